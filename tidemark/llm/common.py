@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The six characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
-SPACES = " \t\n\x0b\x0c\r"
+#: Space, tab, line feed, vertical tab, form feed and carriage return separate words.
+SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: The same for Python's re.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,13 +43,13 @@ def whole_text(c: str | Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Array of the runs of characters outside SPACES."""
-    return F.array_remove(F.split(F.translate(text, SPACES[1:], " " * 5), " "), "")
+    """Array of the runs of characters outside SPACE_RUN."""
+    return F.array_remove(F.split(text, SPACE_RUN), "")
 
 
-def n_of(text: Column, chars: str) -> Column:
-    """How many of text's characters are among chars."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def n_of(text: Column, runs: str) -> Column:
+    """How many of text's characters are in runs of a pattern."""
+    return F.length(text) - F.length(F.regexp_replace(text, runs, ""))
 
 
 def hash60(c: Column, salt: str) -> Column:

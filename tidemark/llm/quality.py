@@ -12,10 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, n_of, settle, table, whole_text, words
+from tidemark.llm.common import SPACE_RUN, n_of, settle, table, whole_text, words
 
-SYMBOLS = "#*$%&|<>"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SYMBOLS = "[#*$%&|<>]+"
 WINDOW = 8
 #: Rule: (feature, base).
 RULES = {"symbols": ("n_symbols", "word_chars"), "lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "capitals": ("n_capitals", "word_chars")}
@@ -38,16 +37,24 @@ def covered_words(found: Column) -> Column:
     return F.aggregate(at, zero, lambda acc, i: F.struct((acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n"), i.alias("last")))["n"]
 
 
+def doubled(hashes: str, k: int) -> Column:
+    """Hashes of 2 * k words from those of k words."""
+    n = F.size(hashes) - k
+    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, k + 1, n), lambda a, b: a.bitwiseXOR(F.shiftleft(b, k)))
+
+
 def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs' other columns and FEATURES (long). Null text has no words, so all features are 0."""
     rest = [c for c in docs.columns if c != text]
     d = docs.select(*rest, whole_text(text).alias("_t"))
-    d = d.select("*", words(F.col("_t")).alias("_w"), F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"), F.translate("_t", SPACES, "").alias("_solid"))
+    d = d.select("*", words(F.col("_t")).alias("_w"), F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"))
     # A window that occurs twice has a hash that occurs twice: only documents with such a hash are looked at as text.
-    hashes = F.transform(F.sequence(F.lit(1), F.size("_w") - WINDOW + 1), lambda i: F.xxhash64(F.slice("_w", i, WINDOW)))
-    d = d.select("*", F.when(F.size("_w") > WINDOW, hashes).alias("_h"))
-    d = d.select("*", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), windows(F.col("_w"))).alias("_found"))
-    values = {"n_words": F.size("_w"), "word_chars": F.length("_solid"), "n_symbols": n_of(F.col("_t"), SYMBOLS), "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")), "n_repeat_words": F.when(F.col("_found").isNotNull(), covered_words(F.col("_found"))).otherwise(0), "n_lines": F.size("_lines"), "n_capitals": n_of(F.col("_solid"), CAPITALS)}
+    # Doubling gives hashes of 2, 4 and 8 words; each select is a step of its own because the next reads its column four times.
+    d = d.select("*", F.when(F.size("_w") > WINDOW, F.transform("_w", lambda x: F.xxhash64(x))).alias("_h"))
+    for k in (1, 2, 4):
+        d = d.withColumn("_h", doubled("_h", k))
+    d = d.withColumn("_found", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), windows(F.col("_w"))))
+    values = {"n_words": F.size("_w"), "word_chars": F.length(F.regexp_replace("_t", SPACE_RUN, "")), "n_symbols": n_of(F.col("_t"), SYMBOLS), "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")), "n_repeat_words": F.when(F.col("_found").isNotNull(), covered_words(F.col("_found"))).otherwise(0), "n_lines": F.size("_lines"), "n_capitals": n_of(F.col("_t"), "[A-Z]+")}
     return d.select(*rest, *[v.cast("long").alias(k) for k, v in values.items()])
 
 
