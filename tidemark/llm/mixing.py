@@ -71,6 +71,18 @@ def mix_sources(docs: DataFrame, *, size, weights: Sequence[int] = (3, 1, 2), sh
     return rows.select(F.col("_key").alias(key), "size", "source_size", F.round("target", 6).alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
 
 
+def mixed_documents(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, its columns unchanged. Texts aren't shuffled: each row meets the threshold of its source."""
+    row = lambda c: F.col("_row")[c]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    hashed = rows.select("_row", row(source).cast("string").alias("_source"), hash60(row(key), "mix:").alias("_hash"))
+    sized = settle(hashed.select("_source", F.size(words(whole_text(row(text)))).cast("long").alias("size"), "_hash"), "mix-sizes")
+    cut = thresholds(sized, source_targets(sized, weights, share, most)).select(F.col("_source").alias("_s"), "_full", "_below")
+    copies = F.col("_full") + F.when(F.col("_hash") < F.col("_below"), 1).otherwise(0)
+    placed = hashed.join(cut, F.col("_source").eqNullSafe(F.col("_s"))).select("_row", copies.cast("int").alias("_copies"))
+    return placed.where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mix_sources(docs, size=F.size(words(whole_text("text")))).select("doc_id", "size", "source_size", "target", "taken")
