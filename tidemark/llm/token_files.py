@@ -23,7 +23,7 @@ from tidemark.llm.common import new_path, table, whole_text
 #: Fixed values of the coding: ids per word and bits per id, by selector.
 PER_WORD = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
-GROUP, BLOCK = 4096, 1 << 16
+GROUP, BLOCK = 1 << 14, 1 << 16
 END = 2
 BLOCKS = "shard int, block int, start long, doc_ids array<bigint>, lengths array<int>, words binary, offsets array<int>, escape_at array<int>, escape_ids array<bigint>"
 
@@ -51,7 +51,10 @@ def pack(ids: np.ndarray) -> tuple[bytes, list[int], list[int], list[int]]:
 def _pack_group(ids: np.ndarray, width: np.ndarray) -> np.ndarray:
     n = len(ids)
     best, place = np.full(n, 15, np.int64), np.arange(n)
+    narrow = np.cumsum(np.bincount(width, minlength=61))
     for sel in range(14, -1, -1):
+        if narrow[BITS[sel]] < PER_WORD[sel]:
+            continue
         wide = np.where(width > BITS[sel], place, n + 240)
         fits = np.minimum.accumulate(wide[::-1])[::-1] - place >= PER_WORD[sel]
         best[fits] = sel
@@ -94,9 +97,9 @@ class Encoder:
 
     The tokenizer's own pre-tokenizer never joins characters across white space, nor letters with the marks after them. So a text is
     the join of its white-space words, and a word of Latin-1 letters with marks behind is that of letters and marks. Texts with other
-    spaces or control characters are encoded as they are. Words are forgotten when there are LIMIT of them; that changes nothing but speed."""
+    spaces or control characters are encoded as they are. Each word is a pair of parts; words and parts are forgotten when there are WORDS or PARTS of them, which changes nothing but speed."""
 
-    LIMIT = 1_000_000
+    WORDS, PARTS = 600_000, 1_200_000
     PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#%$&()-]*)")
     ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 
@@ -111,53 +114,71 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
+        """Forget all. Part 0 is empty."""
+        self.parts = {"": 0}
+        self.ids, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+        self.clear_words()
+
+    def clear_words(self) -> None:
         class Places(dict):
             def __missing__(places, word: str) -> int:
                 self.fresh.append(word)
                 return places.setdefault(word, len(places))
 
-        self.places, self.fresh, self.letters = Places(), [], {"": np.empty(0, np.uint32)}
-        self.ids, self.starts, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
+        self.places, self.fresh, self.pairs = Places(), [], np.zeros((1 << 16, 2), np.int32)
 
     def direct(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def add(self, names: list[str], ids: list) -> None:
+        """Parts and their ids."""
+        for lo in range(0, len(names), 1000):
+            sizes = np.array([len(x) for x in ids[lo : lo + 1000]], np.int64)
+            n = len(self.parts)
+            flat = np.concatenate(ids[lo : lo + 1000])
+            while self.starts[n] + len(flat) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            while n + len(sizes) + 1 > len(self.starts):
+                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.ids[self.starts[n] : self.starts[n] + len(flat)] = flat
+            self.starts[n + 1 : n + 1 + len(sizes)] = self.starts[n] + np.cumsum(sizes)
+            self.parts.update(zip(names[lo : lo + 1000], range(n, n + len(sizes))))
+
     def learn(self) -> None:
-        """Ids of the words in fresh, into ids and starts."""
-        done = len(self.places) - len(self.fresh)
-        cut = [self.PLAIN.fullmatch(w) for w in self.fresh]
-        need = list(dict.fromkeys(x for m in cut if m for x in (m[1].lower(),) if x not in self.letters))
-        for lo in range(0, len(need), 1000):
-            some = need[lo : lo + 1000]
+        """The parts of the words in fresh."""
+        cut = [(m[1].lower(), m[2]) if (m := self.PLAIN.fullmatch(w)) else (w, None) for w in self.fresh]
+        known = self.parts
+        plain = list({a for a, b in cut if b is not None and a not in known})
+        # ASCII letters pass normaliser and pre-tokenizer unchanged, so the model alone gives their ids.
+        simple, tokenize = [x for x in plain if x.isascii()], self.tokenizer.model.tokenize
+        self.add(simple, [np.array([t.id for t in tokenize(x)], np.uint32) for x in simple])
+        plain = [x for x in plain if not x.isascii()]
+        for lo in range(0, len(plain), 1000):
+            some = plain[lo : lo + 1000]
             ids = np.array(self.direct([" ".join(some)])[0], np.uint32)
-            parts = np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1)
-            if len(parts) != len(some):
-                parts = [np.array(x, np.uint32) for x in self.direct(some)]
-            self.letters.update(zip(some, parts))
-        marks = list({m[2] for m in cut if m} - self.letters.keys())
-        self.letters.update(zip(marks, (np.array(x, np.uint32) for x in self.direct(marks))))
-        odd = iter(self.direct([w for w, m in zip(self.fresh, cut) if not m]))
-        found = [(self.letters[m[1].lower()], self.letters[m[2]]) if m else (np.array(next(odd), np.uint32), self.letters[""]) for m in cut]
-        sizes = np.array([len(a) + len(b) for a, b in found], np.int64)
-        flat = np.concatenate([x for pair in found for x in pair])
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.places) + 1 > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.starts[done + 1 : done + 1 + len(sizes)] = self.used + np.cumsum(sizes)
-        self.used += len(flat)
+            each = np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1)
+            if len(each) != len(some):
+                each = [np.array(x, np.uint32) for x in self.direct(some)]
+            self.add(some, each)
+        other = list({b for _, b in cut if b and b not in known} | {a for a, b in cut if b is None and a not in known})
+        self.add(other, [np.array(x, np.uint32) for x in self.direct(other)])
+        done = len(self.places) - len(self.fresh)
+        while len(self.places) > len(self.pairs):
+            self.pairs = np.concatenate([self.pairs, np.zeros_like(self.pairs)])
+        self.pairs[done : len(self.places)] = np.fromiter((known[x or ""] for pair in cut for x in pair), np.int32, 2 * len(cut)).reshape(-1, 2)
         self.fresh.clear()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.places) > self.LIMIT:
+        if len(self.parts) > self.PARTS:
             self.clear()
+        if len(self.places) > self.WORDS:
+            self.clear_words()
         odd = [bool(self.ODD.search(t)) for t in texts]
         at = [None if o else np.fromiter(map(self.places.__getitem__, ws := t.split()), np.int64, len(ws)) for t, o in zip(texts, odd)]
         if self.fresh:
             self.learn()
         other = iter(self.direct([t for t, o in zip(texts, odd) if o]))
-        return [np.array(next(other), np.uint32) if a is None else self.gather(a) for a in at]
+        return [np.array(next(other), np.uint32) if a is None else self.gather(self.pairs[a].ravel()) for a in at]
 
     def gather(self, at: np.ndarray) -> np.ndarray:
         lo, size = self.starts[at], self.starts[at + 1] - self.starts[at]
