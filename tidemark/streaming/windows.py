@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 def event_windows(events: DataFrame, size: str = "1 hour", late: str | None = None) -> DataFrame:
     """Per window and type: n and value. late: watermark for streams."""
-    rows = events.withWatermark("ts", late) if late else events
+    # Watermarks need zoned time; windows are given in the events' own.
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else events
     by = rows.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
-    return by.select(F.col("w.start").alias("window_start"), "event_type", "n", "value")
+    return by.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "value")
 
 
 def stream_once(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, size: str = "1 hour"):
