@@ -19,8 +19,8 @@ def select_versions(filings: DataFrame, as_of: str, known_at: str, entity: str =
 
     The visible filings of an entity must be one path from a single root; its last version is selected. A broken chain, or a last version that
     isn't usable but restates another, blocks rather than falls back; an unusable first version gives neither."""
-    seen = visible(filings, as_of, known_at).select(entity, "filing_id", "supersedes_id", "quality_status", "published_at")
-    parents = seen.select(F.col("filing_id").alias("supersedes_id"), F.col(entity).alias("_owner"), F.lit(1).alias("_found"), F.struct("published_at", "filing_id").alias("_parent"))
+    seen = visible(filings, as_of, known_at).select(entity, "filing_id", "supersedes_id", "quality_status")
+    parents = seen.select(F.col("filing_id").alias("supersedes_id"), F.col(entity).alias("_owner"), F.lit(1).alias("_found"))
     held = seen.join(parents, "supersedes_id", "left").withColumn("_found", F.when(F.col("_owner") == F.col(entity), 1))
     children = held.where("_found = 1").groupBy("supersedes_id").agg(F.count("*").alias("_children")).withColumnRenamed("supersedes_id", "filing_id")
     nodes = held.join(children, "filing_id", "left").withColumn("_children", F.coalesce("_children", F.lit(0)))
@@ -28,13 +28,14 @@ def select_versions(filings: DataFrame, as_of: str, known_at: str, entity: str =
     leaf = F.struct("filing_id", "supersedes_id", "quality_status")
     per = nodes.groupBy(entity).agg(
         F.count("*").alias("n"), F.count_if(F.col("supersedes_id").isNull()).alias("roots"), F.count_if(orphan).alias("orphans"), F.max("_children").alias("widest"),
-        F.count_if(F.col("_children") == 0).alias("leaves"), F.max(F.when(F.col("_children") == 0, leaf)).alias("leaf"), F.count_distinct("filing_id").alias("ids"))
-    # A cycle beside the path has an edge that doesn't lead to an earlier filing; only entities with one are walked.
-    odd = held.where(F.col("_parent") >= F.struct("published_at", "filing_id")).select(entity).distinct()
-    walked = chain_depths(seen.join(odd, entity, "left_semi")).where("root_id IS NULL").select("filing_id")
-    cyclic = seen.join(walked, "filing_id", "left_semi").select(entity).distinct().withColumn("_cyclic", F.lit(True))
-    per = per.join(cyclic, entity, "left")
-    good = F.col("_cyclic").isNull() & (F.col("roots") == 1) & (F.col("orphans") == 0) & (F.col("widest") <= 1) & (F.col("leaves") == 1) & (F.col("ids") == F.col("n"))
+        F.count_if(F.col("_children") == 0).alias("leaves"), F.max(F.when(F.col("_children") == 0, leaf)).alias("leaf"), F.count_distinct("filing_id").alias("ids"),
+        F.collect_list(F.when(F.col("supersedes_id").isNotNull(), F.struct("supersedes_id", "filing_id"))).alias("edges"), F.max(F.when(F.col("supersedes_id").isNull(), F.col("filing_id"))).alias("root"))
+    good = (F.col("roots") == 1) & (F.col("orphans") == 0) & (F.col("widest") <= 1) & (F.col("leaves") == 1) & (F.col("ids") == F.col("n"))
+    # Counts don't see a cycle beside the path: walk an entity's own filings from the root. The map is built only where no filing has two successors.
+    per = per.withColumn("next", F.when(good, F.map_from_entries("edges")))
+    start = F.struct(F.col("root").alias("at"), F.lit(0).cast("long").alias("k"))
+    step = lambda acc, _: F.struct(F.try_element_at("next", acc["at"]).alias("at"), (acc["k"] + F.when(acc["at"].isNotNull(), 1).otherwise(0)).alias("k"))
+    good = good & (F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("n")), start, step)["k"] == F.col("n"))
     unusable = F.col("leaf.quality_status").isin(*UNUSABLE)
     reason = F.when(~good | (unusable & F.col("leaf.supersedes_id").isNotNull()), "FINANCIAL_RESTATEMENT_UNUSABLE")
     return per.select(entity, F.when(good & ~unusable, F.col("leaf.filing_id")).alias("selected"), reason.alias("blocked_reason"))
