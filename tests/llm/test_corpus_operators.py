@@ -251,8 +251,8 @@ def test_hash_collisions_are_verified(monkeypatch):
     assert s.repeated(np.zeros(9, np.int64), r, p).tolist() == want
 
 
-def test_near_duplicates_equal_brute_force(spark, data):
-    rows = corpus() + [(100 + i, " ".join(w if (k * 7 + i) % 97 else f"e{i}x{k}" for k, w in enumerate(prose(200, 33).split())), "en", "a", 1) for i in range(12)]
+def near_classes(rows):
+    """doc_id, class_id by comparing all pairs."""
     texts = {r[1]: near_dedup.shingles(r[1]) for r in rows if r[1] and len(near_dedup.shingles(r[1]))}
     root = {t: t for t in texts}
 
@@ -269,9 +269,29 @@ def test_near_duplicates_equal_brute_force(spark, data):
     for i, t, *_ in rows:
         if t in texts and i is not None:
             least[find(t)].append(i)
-    want = [(i, min(least[find(t)], default=None) if t in texts else i) for i, t, *_ in rows]
+    return [(i, min(least[find(t)], default=None) if t in texts else i) for i, t, *_ in rows]
+
+
+def test_near_duplicates_equal_brute_force(spark, data):
+    rows = corpus() + [(100 + i, " ".join(w if (k * 7 + i) % 97 else f"e{i}x{k}" for k, w in enumerate(prose(200, 33).split())), "en", "a", 1) for i in range(12)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert cells(near_dedup.near_duplicates(docs).select("doc_id", "class_id").collect()) == cells(near_classes(rows))
+
+
+@pytest.mark.parametrize("leaders", [True, False])
+def test_no_link_of_a_large_bucket_is_lost(spark, monkeypatch, leaders):
+    # Texts of one passage with ends of their own, in pairs: similar within a pair alone, while all of them share sketch values.
+    # Without leaders and small buckets the prefixes alone have to find every link.
+    if not leaders:
+        monkeypatch.setattr(near_dedup, "SMALL", 1)
+        monkeypatch.setattr(near_dedup, "candidates", lambda members: spark.createDataFrame([], "a string, b string"))
+    passage, rows = prose(120, 70), []
+    for i in range(40):
+        end = prose(60, 1000 + i)
+        rows += [(2 * i, f"{passage} {end} tail a", "en", "a", 1), (2 * i + 1, f"{passage} {end} b {prose(2, 2000 + i)}", "en", "a", 1)]
     docs = spark.createDataFrame(rows, DOCS)
-    assert cells(near_dedup.near_duplicates(docs).select("doc_id", "class_id").collect()) == cells(want)
+    got = near_dedup.near_duplicates(docs).select("doc_id", "class_id").collect()
+    assert cells(got) == cells(near_classes(rows)) and len({r.class_id for r in got}) == 40
 
 
 def test_one_of_each_class_stays(spark, data):
