@@ -278,13 +278,8 @@ def test_near_duplicates_equal_brute_force(spark, data):
     assert cells(near_dedup.near_duplicates(docs).select("doc_id", "class_id").collect()) == cells(near_classes(rows))
 
 
-@pytest.mark.parametrize("leaders", [True, False])
-def test_no_link_of_a_large_bucket_is_lost(spark, monkeypatch, leaders):
+def test_pairs_in_large_buckets(spark):
     # Texts of one passage with ends of their own, in pairs: similar within a pair alone, while all of them share sketch values.
-    # Without leaders and small buckets the prefixes alone have to find every link.
-    if not leaders:
-        monkeypatch.setattr(near_dedup, "SMALL", 1)
-        monkeypatch.setattr(near_dedup, "candidates", lambda members: spark.createDataFrame([], "a string, b string"))
     passage, rows = prose(120, 70), []
     for i in range(40):
         end = prose(60, 1000 + i)
@@ -294,6 +289,13 @@ def test_no_link_of_a_large_bucket_is_lost(spark, monkeypatch, leaders):
     assert cells(got) == cells(near_classes(rows)) and len({r.class_id for r in got}) == 40
 
 
+def test_finer_buckets_split_large_ones(spark):
+    # Three texts share bands 0 and 1 in pairs only: a and b both values, c one of them.
+    rows = [("a", 50, 0, 7, "a"), ("a", 50, 1, 8, "a"), ("b", 50, 0, 7, "b"), ("b", 50, 1, 8, "b"), ("c", 50, 0, 7, "c"), ("c", 50, 5, 9, "c")]
+    opened = spark.createDataFrame(rows, "key string, n int, band int, value long, component string")
+    assert sorted((r.key, r.size) for r in near_dedup.finer_members(opened).collect()) == [("a", 2), ("b", 2)]
+
+
 def test_one_of_each_class_stays(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     kept = near_dedup.drop_near_duplicates(docs).collect()
