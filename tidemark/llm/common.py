@@ -31,11 +31,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str, *, bucket: tuple[int, str] | None = None) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts the lineage, and lost executors don't matter."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def settle(df: DataFrame, name: str, *, bucket: str | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: cuts the lineage, and lost executors don't matter.
+
+    bucket: a column by which the rows are written in as many buckets as shuffles have partitions, so that joins on it don't move them again."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    if bucket is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    # Only the catalog knows of buckets. The name goes again at once: the files are outside the warehouse and stay.
+    entry = f"settled_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), bucket).option("path", path).saveAsTable(entry, format="parquet")
+    out = spark.table(entry).select("*")
+    spark.sql(f"DROP TABLE {entry}")
+    return out
 
 
 def whole_text(c: str | Column) -> Column:
