@@ -296,6 +296,22 @@ def test_finer_buckets_split_large_ones(spark):
     assert sorted((r.key, r.size) for r in near_dedup.finer_members(opened).collect()) == [("a", 2), ("b", 2)]
 
 
+@pytest.mark.parametrize("buckets", [True, False])
+def test_no_link_of_a_large_bucket_is_lost(spark, monkeypatch, buckets):
+    # Most of each text is a passage that all share, so their buckets are large; only the two texts of a pair are similar, barely. Without candidates
+    # of buckets the prefixes alone have to find every link.
+    if not buckets:
+        monkeypatch.setattr(near_dedup, "SMALL", 1)
+        monkeypatch.setattr(near_dedup, "candidates", lambda members: spark.createDataFrame([], "a string, b string"))
+    passage, rows = prose(400, 70), []
+    for i in range(60):
+        end = prose(15, 1000 + i)
+        rows += [(2 * i + k, f"{passage} {end} {prose(45, 2000 + 2 * i + k)}", "en", "a", 1) for k in (0, 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = near_dedup.near_duplicates(docs).select("doc_id", "class_id").collect()
+    assert cells(got) == cells(near_classes(rows)) and len({r.class_id for r in got}) == 60
+
+
 def test_one_of_each_class_stays(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     kept = near_dedup.drop_near_duplicates(docs).collect()

@@ -8,12 +8,14 @@ matches at least SIMILARITY of them: matched / (n + m - matched). An alignment t
 
 Equal texts are one text from the start, so a group of copies costs one row. In a bucket of up to SMALL texts all pairs are candidates. In a larger
 one every text is first compared with the LEADERS texts that share most values with others, which makes one class of most groups. Texts of a large
-bucket that still holds several classes meet again in finer buckets, of two shared values whose bands are at most GAP apart, by the same rule. All
-of this costs in proportion to the number of texts. What it can miss: two texts that share large buckets only, are linked to no leader of these in
-common, and whose finer buckets are large too or don't exist."""
+bucket that still holds several classes meet again in finer buckets, of two shared values whose bands are at most GAP apart, by the same rule. What
+these leave in several classes is joined exactly: with the shingles of each text in a common order by frequency, the first that two texts share has
+at least as many shingles from its place on in both as they must share. So a passage that leaves two texts under SIMILARITY brings none of them
+together: their own, rarer shingles fill the places in which the passage would count. Every pair of different classes that meets is compared."""
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -31,6 +33,8 @@ SKETCHES, KEPT = 12, 2
 SMALL, LEADERS = 8, 2
 #: Bands that finer buckets combine: those up to so many apart.
 GAP = 3
+#: Counters of shingle frequencies, whatever the number of shingles: shingles that share one only stand later in the order.
+COUNTERS = 1 << 18
 _LUT = np.frombuffer(NORMAL, np.uint8)
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 _WORD = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]"
@@ -101,6 +105,14 @@ def has_words(text: Column) -> Column:
     return text.rlike(_WORD)
 
 
+def prefix(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles, with their places in the order by frequency, of which a text of SIMILARITY or more shares at least one; those that no other text has are left out."""
+    n = counts[h & np.uint64(COUNTERS - 1)]
+    order = np.lexsort((h, n))[: len(h) - math.ceil(SIMILARITY * len(h) - 1e-9) + 1]
+    place = np.flatnonzero(n[order] > 1)
+    return h[order[place]], place
+
+
 def bucket_members(texts: DataFrame) -> DataFrame:
     """band, value, key, n (shingles), size (texts of the bucket) per text and sketch value that others share. texts: key (unique string), text."""
 
@@ -188,6 +200,46 @@ def finer_members(opened: DataFrame) -> DataFrame:
     return settle(rows.join(sizes, ["band", "value"]), "finer-buckets")
 
 
+def open_pairs(texts: DataFrame, opened: DataFrame, seen: DataFrame) -> DataFrame:
+    """a < b, not in seen: the pairs of different classes of open texts that may be links by their prefixes, sizes and places. opened: key, component."""
+    own = texts.join(opened.select("key", "component").distinct(), "key")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                total += np.bincount((shingles(text) & np.uint64(COUNTERS - 1)).view(np.int64), minlength=COUNTERS)
+        slot = np.flatnonzero(total)
+        yield _arrow({"slot": pa.int64(), "n": pa.int64()}, [slot, total[slot]])
+
+    # At most COUNTERS rows reach the driver.
+    slots = own.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[slots["slot"].to_numpy(np.int64)] = slots["n"].to_numpy(np.int64)
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"key": pa.string(), "component": pa.string(), "n": pa.int32(), "token": pa.int64(), "place": pa.int32()}
+        for batch in batches:
+            for key, component, text in zip(*(batch.column(c).to_pylist() for c in ("key", "component", "text"))):
+                h = shingles(text)
+                token, place = prefix(h, shared.value)
+                if len(token):
+                    yield _arrow(kinds, [[key] * len(token), [component] * len(token), np.full(len(token), len(h), np.int32), token.view(np.int64), place.astype(np.int32)])
+
+    rows = settle(own.select("key", "component", "text").mapInArrow(prefixes, "key string, component string, n int, token long, place int"), "prefixes")
+    # Texts of one class needn't meet: of a token's largest class, texts meet those of other classes only.
+    largest = rows.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "component")).alias("l"), F.count("*").alias("classes")).where("classes > 1")
+    rows = settle(rows.join(largest, "token").select("token", "key", "component", "n", "place", (F.col("component") == F.col("l.component")).alias("main")), "shared-prefixes")
+    # Of a pair, the text with fewer shingles shares 2s / (1 + s) of them at least, so its part of the prefix is shorter.
+    short = rows.where(F.col("n") - F.col("place") >= 2 * SIMILARITY / (1 + SIMILARITY) * F.col("n") - 1e-9)
+    other = rows.select("token", F.col("key").alias("k2"), F.col("component").alias("c2"), F.col("n").alias("n2"), F.col("place").alias("p2"), F.col("main").alias("m2"))
+    may = (F.struct("n", "key") < F.struct("n2", "k2")) & (F.col("component") != F.col("c2")) & similar_sizes("n", "n2")
+    may = may & (F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("p2")) >= SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("n2")) - 1e-9)
+    met = short.where("NOT main").join(other, "token").where(may).select("key", "k2").union(short.where("main").join(other.where("NOT m2"), "token").where(may).select("key", "k2"))
+    return settle(met.select(F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"), "open-pairs")
+
+
 def classes(texts: DataFrame) -> DataFrame:
     """node, component of the texts with links. texts: key (unique string), text."""
     members = bucket_members(texts)
@@ -195,8 +247,17 @@ def classes(texts: DataFrame) -> DataFrame:
     found = links(texts, pairs)
     group = components(found)
     more = candidates(finer_members(open_members(members, group)))
-    late = links(texts, settle(more.join(pairs, ["a", "b"], "left_anti"), "finer-pairs"))
-    return components(found.union(late)) if late.limit(1).count() else group
+    more = settle(more.join(pairs, ["a", "b"], "left_anti"), "finer-pairs")
+    late = links(texts, more)
+    if late.limit(1).count():
+        found = found.union(late)
+        group = components(found)
+    rest = open_pairs(texts, open_members(members, group), pairs.union(more))
+    if rest.limit(1).count():
+        last = links(texts, rest)
+        if last.limit(1).count():
+            group = components(found.union(last))
+    return group
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
