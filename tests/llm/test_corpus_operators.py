@@ -325,6 +325,39 @@ def test_alignment_is_sensitive_to_order():
     assert near_dedup.similarity(a, a) == 1.0 and near_dedup.similarity(a, b) == 0.0
 
 
+def all_places(a, b):
+    """similarity by the table of all prefixes, without hashes, labels or band."""
+    a, b = ([tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in (a.split(), b.split()))
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for k, y in enumerate(b):
+            new.append(row[k] + 1 if x == y else max(row[k + 1], new[k]))
+        row = new
+    s = row[-1] / (len(a) + len(b) - row[-1])
+    return s if s >= near_dedup.SIMILARITY - 1e-9 else 0.0
+
+
+def test_repeated_lines_align(spark):
+    line, rows = prose(12, 50), []
+    for k in range(4):
+        parts = [prose(20, 5000 + 100 * k + i) for i in range(12)]
+        whole = " ".join(f"{line} {p}" for p in parts)
+        rows += [whole, whole[len(line) + 1 :], "changed" + whole[len(line.split()[0]) :], " ".join(f"{line} {p}" for p in parts[4:] + parts[:4])]
+    rows += [" ".join([line] * n) for n in (20, 22, 40)] + [" ".join([line] * 9 + [prose(30, 51)] + [line] * n) for n in (9, 12, 30)]
+    root = list(range(len(rows)))
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows):
+            want = all_places(a, b)
+            assert near_dedup.similarity(near_dedup.shingles(a), near_dedup.shingles(b)) == pytest.approx(want)
+            if want:
+                root = [root[i] if r == root[j] else r for r in root]
+    assert root[0] == root[1] == root[2] != root[3]
+    docs = [(i, t, "en", "a", 1) for i, t in enumerate(rows)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, DOCS)).select("doc_id", "class_id").collect()
+    assert cells(got) == cells((i, root.index(r)) for i, r in enumerate(root))
+
+
 @pytest.fixture(scope="module")
 def forest(spark):
     return page_text.fit(spark)

@@ -1,10 +1,11 @@
 """Near-duplicate detection by order MinHash.
 
-Texts are sequences of five-word shingles, each labelled with its occurrence number, so that no two of a text are equal. For each of SKETCHES
-hash functions the two shingles of least hash, kept in text order, are one sketch value: texts agree in it if they share these shingles
-in the same order. Texts that share a value are candidates, and a candidate pair is a link if a banded alignment of the shingle sequences
-matches at least SIMILARITY of them: matched / (n + m - matched). An alignment that good leaves at most
-(1 - s) / (1 + s) * (n + m) shingles unmatched, so no match off the diagonal by more can be part of it: the band loses nothing.
+Texts are sequences of five-word shingles. For sketches and prefixes each is labelled with its occurrence number, so that no two of a text are equal.
+For each of SKETCHES hash functions the two shingles of least hash, kept in text order, are one sketch value: texts agree in it if they share these
+shingles in the same order. Texts that share a value are candidates, and a candidate pair is a link if an alignment of the shingle sequences, without
+labels, matches at least SIMILARITY of them: matched / (n + m - matched). An alignment that good leaves at most
+(1 - s) / (1 + s) * (n + m) shingles unmatched, so no match off the diagonal by more can be part of it: a band of that width loses nothing. It also
+matches no more shingles than the texts share by label.
 
 Equal texts are one text from the start, so a group of copies costs one row. In a bucket of up to SMALL texts all pairs are candidates. In a larger
 one every text is first compared with the LEADERS texts that share most values with others, which makes one class of most groups. Texts of a large
@@ -18,6 +19,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,7 @@ _WORD = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]"
 
 
 def shingles(text: str) -> np.ndarray:
-    """Hashes of the occurrence-labelled shingles in text order. Words are as in decontamination; a text of fewer words, but not none, is one shingle."""
+    """Hashes of the shingles in text order. Words are as in decontamination; a text of fewer words, but not none, is one shingle."""
     data = _LUT[np.frombuffer(text.encode(), np.uint8)]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], data != 32, [False]]).astype(np.int8)))
     if not len(edge):
@@ -51,6 +53,13 @@ def shingles(text: str) -> np.ndarray:
     h = np.zeros(len(words) - k + 1, np.uint64)
     for i in range(k):
         h = mix(h + words[i : i + len(h)])
+    return h
+
+
+def labelled(h: np.ndarray) -> np.ndarray:
+    """The shingles with their occurrence numbers, so that all differ."""
+    if not len(h):
+        return h
     order = np.argsort(h, kind="stable")
     run = h[order]
     first = np.concatenate([[True], run[1:] != run[:-1]])
@@ -71,26 +80,63 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def matched(a: np.ndarray, b: np.ndarray, width: int, need: float) -> int:
+    """Length of the longest common subsequence of two sequences, or less where it is below need or leaves the band of width."""
+    order = np.argsort(b, kind="stable")
+    run = b[order]
+    low, high = np.searchsorted(run, a, "left"), np.searchsorted(run, a, "right")
+    times = high - low
+    if np.count_nonzero(times) < need:
+        return 0
+    total = int(times.sum())
+    if total <= 4 * (len(a) + len(b)):
+        # Pairs of equal places, in b from the last: the longest strictly increasing run of their places in b.
+        i = np.repeat(np.arange(len(a)), times)
+        j = order[np.repeat(high, times) - 1 - (np.arange(total) - np.repeat(np.cumsum(times) - times, times))]
+        j = j[np.abs(i - j) <= width]
+        if (np.diff(j) > 0).all():
+            return len(j)
+        tails: list[int] = []
+        for x in j.tolist():
+            k = bisect_left(tails, x)
+            tails[k : k + 1] = [x]
+        return len(tails)
+
+    # Many repetitions: a bit a place of b, zeros counting the matches, all places of b in a few operations per place of a.
+    @lru_cache(512)
+    def places(lo: int, hi: int) -> int:
+        bits = np.zeros(len(b), bool)
+        bits[order[lo:hi]] = True
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+    full = (1 << len(b)) - 1
+    v = full
+    for lo, hi in zip(low.tolist(), high.tolist()):
+        if lo < hi:
+            u = v & places(lo, hi)
+            v = (v + u | v - u) & full
+    return len(b) - v.bit_count()
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """matched / (n + m - matched) of the best banded alignment of two labelled shingle sequences; 0.0 where it can't reach least."""
+    """matched / (n + m - matched) of the best alignment of two shingle sequences; 0.0 where it is below least."""
     total = len(a) + len(b)
     if not len(a) or not len(b):
         return 0.0
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    near = np.abs(i - j) <= (1 - least) / (1 + least) * total + 1e-9
-    i, j = i[near], j[near]
-    if len(i) < least * (total - len(i)) - 1e-9:
+    need = least / (1 + least) * total - 1e-9
+    k = min(len(a), len(b))
+    if k < need:
         return 0.0
-    j = j[np.argsort(i)]
-    n = len(j)
-    if (np.diff(j) < 0).any():
-        # Labelled shingles are unique, so the alignment is the longest increasing run of matched places.
-        tails: list[int] = []
-        for x in j.tolist():
-            k = bisect_left(tails, x)
-            tails[k : k + 1] = [x]
-        n = len(tails)
-    return n / (total - n)
+    # Equal ends are part of a best alignment.
+    differ = np.flatnonzero(a[:k] != b[:k])
+    head = int(differ[0]) if len(differ) else k
+    differ = np.flatnonzero(a[len(a) - k + head :] != b[len(b) - k + head :])
+    tail = k - head - 1 - int(differ[-1]) if len(differ) else k - head
+    n = head + tail
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if len(a) and len(b):
+        n += matched(a, b, int((1 - least) / (1 + least) * total + 1e-9), need - n)
+    return n / (total - n) if n >= need else 0.0
 
 
 def _arrow(kinds: dict[str, pa.DataType], columns: list) -> pa.RecordBatch:
@@ -121,7 +167,7 @@ def bucket_members(texts: DataFrame) -> DataFrame:
         for batch in batches:
             keys, sizes, values = [], [], []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                h = shingles(text)
+                h = labelled(shingles(text))
                 if len(h):
                     keys.append(key)
                     sizes.append(len(h))
@@ -208,7 +254,7 @@ def open_pairs(texts: DataFrame, opened: DataFrame, seen: DataFrame) -> DataFram
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                total += np.bincount((shingles(text) & np.uint64(COUNTERS - 1)).view(np.int64), minlength=COUNTERS)
+                total += np.bincount((labelled(shingles(text)) & np.uint64(COUNTERS - 1)).view(np.int64), minlength=COUNTERS)
         slot = np.flatnonzero(total)
         yield _arrow({"slot": pa.int64(), "n": pa.int64()}, [slot, total[slot]])
 
@@ -222,7 +268,7 @@ def open_pairs(texts: DataFrame, opened: DataFrame, seen: DataFrame) -> DataFram
         kinds = {"key": pa.string(), "component": pa.string(), "n": pa.int32(), "token": pa.int64(), "place": pa.int32()}
         for batch in batches:
             for key, component, text in zip(*(batch.column(c).to_pylist() for c in ("key", "component", "text"))):
-                h = shingles(text)
+                h = labelled(shingles(text))
                 token, place = prefix(h, shared.value)
                 if len(token):
                     yield _arrow(kinds, [[key] * len(token), [component] * len(token), np.full(len(token), len(h), np.int32), token.view(np.int64), place.astype(np.int32)])
