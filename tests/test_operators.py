@@ -47,6 +47,12 @@ def test_chain_depths_leave_cycles_without_root(spark):
     assert got == {1: (1, 0), 2: (1, 1), 3: (None, None), 4: (None, None)}
 
 
+def test_chains_of_any_length_have_their_root(spark):
+    rows = [(1, i, i - 1 if i else None, D(2026, 1, 1), D(2026, 1, 1), "VALID") for i in range(700)] + [(1, i, 1000 + (i + 1) % 3, D(2026, 1, 1), D(2026, 1, 1), "VALID") for i in range(1000, 1003)]
+    got = {r.filing_id: (r.root_id, r.depth) for r in filings.chain_depths(spark.createDataFrame(rows, CHAIN)).collect()}
+    assert got == {i: (0, i) if i < 700 else (None, None) for i in [*range(700), *range(1000, 1003)]}
+
+
 def test_metric_reasons(spark):
     names = ", ".join(f"{n} double" for n in metrics.INPUTS)
     row = (1, 100.0, 40.0, 60.0, 40.0, 200.0, 0.0, -5.0, 30.0, None, 7.0, None, 2400.0)

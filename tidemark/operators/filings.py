@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Doublings of the walk along a chain: reaches 2**ROUNDS versions.
-ROUNDS = 8
+from tidemark.llm.common import settle
+
 UNUSABLE = ("CONFLICT", "REJECTED", "UNVERIFIED")
 
 
@@ -42,11 +42,17 @@ def select_versions(filings: DataFrame, as_of: str, known_at: str, entity: str =
 
 
 def chain_depths(filings: DataFrame) -> DataFrame:
-    """filing_id, root_id, depth by pointer doubling: each round doubles the distance walked, so ROUNDS joins reach 2**ROUNDS versions. Filings on a cycle, or deeper, have no root."""
-    walk = filings.select("filing_id", F.col("supersedes_id").alias("up"), F.when(F.col("supersedes_id").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.coalesce("supersedes_id", "filing_id").alias("root_id"))
-    for _ in range(ROUNDS):
+    """filing_id, root_id, depth by pointer doubling, a settled table a round: the filings that know their root, and those that walk on. Filings on a cycle, or whose chain leads to one, have no root.
+
+    After r rounds a walk is 2**r steps long. A chain without a cycle has no more steps than there are filings, so what still walks then is on a cycle."""
+    start = filings.select("filing_id", F.col("supersedes_id").alias("up"), F.when(F.col("supersedes_id").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.coalesce("supersedes_id", "filing_id").alias("root_id"))
+    walk = settle(start, "walk")
+    n, steps = walk.count(), 1
+    while steps <= n and walk.where("up IS NOT NULL").limit(1).count():
         ahead = walk.select(F.col("filing_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("root_id").alias("_root"))
-        walk = walk.join(ahead, "up", "left").select("filing_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.coalesce("_root", "root_id").alias("root_id"))
+        step = walk.join(ahead, "up", "left").select("filing_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.coalesce("_root", "root_id").alias("root_id"))
+        walk = settle(step, "walk")
+        steps *= 2
     return walk.select("filing_id", F.when(F.col("up").isNull(), F.col("root_id")).alias("root_id"), F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
 
