@@ -101,6 +101,19 @@ def test_digest_ignores_order_and_sees_nulls(spark):
     assert one[0] == one[1] != one[2]
 
 
+def test_digest_streams_large_groups(spark):
+    import hashlib
+
+    rows = spark.range(50_000).select(F.when(F.col("id") % 5 < 4, F.concat(F.lit("g"), F.col("id") % 5)).alias("g"), (F.col("id") % 9_000).alias("k"))
+    got = tables.content_digest(rows, ["g"], ["k"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and got.schema["n"].dataType.typeName() == "long"
+    want = {}
+    for i in range(50_000):
+        want.setdefault(f"g{i % 5}" if i % 5 < 4 else None, []).append(hashlib.sha256(f"={i % 9000}".encode()).hexdigest())
+    assert {r.g: (r.n, r.digest) for r in got.collect()} == {g: (len(h), hashlib.sha256(",".join(sorted(h)).encode()).hexdigest()) for g, h in want.items()}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "m.csv").write_bytes("﻿ts_code,symbol,name,exchange,board,currency,list_date,security_type,more\n1.SH,1,n,SSE,MAIN_SH,CNY,20200131,A_SHARE,z\n2.SH,2,n,SSE,MAIN_SH,CNY,20201331,A_SHARE,z\n".encode())
     assert [r.list_date for r in tables.read_master(spark, str(tmp_path / "m.csv")).collect()] == [D(2020, 1, 31), None]

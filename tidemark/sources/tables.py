@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,9 +76,39 @@ def archive_members(files: DataFrame) -> DataFrame:
 
 
 def content_digest(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """A digest of each group's rows that doesn't depend on their order: the hash of the sorted row hashes, so that a group costs 64 bytes a row."""
+    """A digest of each group's rows that doesn't depend on their order: the hash of the sorted row hashes, joined by commas.
+
+    SHA-256 of one string takes its bytes in order, so a group is one task's; but its hashes are sorted on disk and streamed, never held in one row."""
     one = F.sha2(F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in columns]), 256)
-    return rows.select(*by, one.alias("_h")).groupBy(*by).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ","), 256).alias("digest"))
+    kinds = rows.select(*by).schema
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first, n, state = None, None, 0, hashlib.sha256()
+
+        def group() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*first.columns[: len(by)], pa.array([n], pa.int64()), pa.array([state.hexdigest()])], names=[*by, "n", "digest"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # Runs of one group: a batch's rows are sorted by group, and equal groups are equal bytes of _g.
+            runs = pc.run_end_encode(batch.column("_g"))
+            at = 0
+            for g, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                if g != now:
+                    if now is not None:
+                        yield group()
+                    now, first, n, state = g, batch.slice(at, 1), 0, hashlib.sha256()
+                state.update((b"," if n else b"") + ",".join(batch.column("_h").slice(at, end - at).to_pylist()).encode())
+                n += end - at
+                at = end
+        if now is not None:
+            yield group()
+
+    keyed = rows.select(*by, F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in by]), {"ignoreNullFields": "false"}).alias("_g"), one.alias("_h"))
+    dealt = keyed.repartition("_g").sortWithinPartitions("_g", "_h")
+    out = kinds.add("n", "long", False).add("digest", "string")
+    return dealt.mapInArrow(digests, out)
 
 
 def dedupe_objects(rows: DataFrame, payload: str, key: str) -> DataFrame:
