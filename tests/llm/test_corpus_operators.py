@@ -289,20 +289,13 @@ def test_pairs_in_large_buckets(spark):
     assert cells(got) == cells(near_classes(rows)) and len({r.class_id for r in got}) == 40
 
 
-def test_finer_buckets_split_large_ones(spark):
-    # Three texts share bands 0 and 1 in pairs only: a and b both values, c one of them.
-    rows = [("a", 50, 0, 7, "a"), ("a", 50, 1, 8, "a"), ("b", 50, 0, 7, "b"), ("b", 50, 1, 8, "b"), ("c", 50, 0, 7, "c"), ("c", 50, 5, 9, "c")]
-    opened = spark.createDataFrame(rows, "key string, n int, band int, value long, component string")
-    assert sorted((r.key, r.size) for r in near_dedup.finer_members(opened).collect()) == [("a", 2), ("b", 2)]
-
-
 @pytest.mark.parametrize("buckets", [True, False])
 def test_no_link_of_a_large_bucket_is_lost(spark, monkeypatch, buckets):
     # Most of each text is a passage that all share, so their buckets are large; only the two texts of a pair are similar, barely. Without candidates
     # of buckets the prefixes alone have to find every link.
     if not buckets:
         monkeypatch.setattr(near_dedup, "SMALL", 1)
-        monkeypatch.setattr(near_dedup, "candidates", lambda members: spark.createDataFrame([], "a string, b string"))
+        monkeypatch.setattr(near_dedup, "candidates", lambda members: spark.createDataFrame([], "a string, b string, near long"))
     passage, rows = prose(400, 70), []
     for i in range(60):
         end = prose(15, 1000 + i)
@@ -312,6 +305,34 @@ def test_no_link_of_a_large_bucket_is_lost(spark, monkeypatch, buckets):
     assert cells(got) == cells(near_classes(rows)) and len({r.class_id for r in got}) == 60
 
 
+def test_versions_of_a_template(spark, monkeypatch):
+    # 150 versions of a template, each with 26 words of its own at a place of its own and two copies with different last words: most links are barely similar, all buckets large.
+    monkeypatch.setattr(near_dedup, "FAN", 20)
+    template, rows, r = prose(400, 90).split(), [], random.Random(3)
+    for i in range(150):
+        at = r.randrange(375)
+        version = template[:at] + prose(26, 5000 + i).split() + template[at + 26 :]
+        rows += [(2 * i + k, " ".join([*version[:-1], f"end{i}x{k}"]), "en", "a", 1) for k in (0, 1)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS)).select("doc_id", "class_id").collect()
+    assert cells(got) == cells(near_classes(rows))
+
+
+def test_bitmaps_bound_what_differs():
+    r = random.Random(4)
+    for n in (1, 30, 400, 3000):
+        a = near_dedup.labelled(near_dedup.shingles(prose(n, n)))
+        b = np.concatenate([a[: len(a) // 2], near_dedup.labelled(near_dedup.shingles(prose(n, n + 1)))])
+        differ = sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(near_dedup.bitmap(a).tolist(), near_dedup.bitmap(b).tolist()))
+        assert differ <= len(set(a.tolist()) ^ set(b.tolist())) and (near_dedup.bitmap(r.sample(a.tolist(), len(a)) and a) == near_dedup.bitmap(a)).all()
+
+
+def test_columns_keep_their_names(spark):
+    rows = [(i, prose(30, i // 2), 9, "k", "t", "c") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int, _k2 string, _text_key string, row string")
+    got = near_dedup.drop_near_duplicates(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [0, 2, 4]
+
+
 def test_one_of_each_class_stays(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     kept = near_dedup.drop_near_duplicates(docs).collect()

@@ -7,12 +7,14 @@ labels, matches at least SIMILARITY of them: matched / (n + m - matched). An ali
 (1 - s) / (1 + s) * (n + m) shingles unmatched, so no match off the diagonal by more can be part of it: a band of that width loses nothing. It also
 matches no more shingles than the texts share by label.
 
-Equal texts are one text from the start, so a group of copies costs one row. In a bucket of up to SMALL texts all pairs are candidates. In a larger
-one every text is first compared with the LEADERS texts that share most values with others, which makes one class of most groups. Texts of a large
-bucket that still holds several classes meet again in finer buckets, of two shared values whose bands are at most GAP apart, by the same rule. What
-these leave in several classes is joined exactly: with the shingles of each text in a common order by frequency, the first that two texts share has
-at least as many shingles from its place on in both as they must share. So a passage that leaves two texts under SIMILARITY brings none of them
-together: their own, rarer shingles fill the places in which the passage would count. Every pair of different classes that meets is compared."""
+Equal texts (by MD5) are one text from the start, so a group of copies costs one row. In a bucket of up to SMALL texts all pairs are candidates. In a
+larger one every text is compared with the one that shares most values with others, which makes one class of most groups. The texts of a large
+bucket that still holds several classes are joined exactly: with the shingles of each text in a common order by frequency, the first that two texts
+share has at least as many shingles from its place on in both as they must share, and two bitmaps in which each shingle turns one bit differ in no
+more bits than there are shingles in one text alone. So a passage that leaves two texts under SIMILARITY brings none of them together: their own,
+rarer shingles fill the places in which the passage would count. Every pair of different classes that these bounds leave is compared.
+
+Rows of a hot key (a text that many meet, a shingle of many texts) are dealt over tasks, FAN to each, and what they are joined to is repeated."""
 
 from __future__ import annotations
 
@@ -32,11 +34,11 @@ from tidemark.llm.polyhash import mix, prefix_hashes, substring_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, KEPT = 12, 2
-SMALL, LEADERS = 8, 2
-#: Bands that finer buckets combine: those up to so many apart.
-GAP = 3
+SMALL, FAN = 8, 2000
 #: Counters of shingle frequencies, whatever the number of shingles: shingles that share one only stand later in the order.
 COUNTERS = 1 << 18
+#: 64-bit words of a bitmap.
+BITMAP = 8
 _LUT = np.frombuffer(NORMAL, np.uint8)
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 _WORD = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]"
@@ -70,11 +72,11 @@ def labelled(h: np.ndarray) -> np.ndarray:
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """SKETCHES values of a text's labelled shingles."""
+    """SKETCHES values of a text's labelled shingles, those of different functions never meant to be equal."""
     kept = min(KEPT, len(h))
     v = mix(h[None, :] ^ _SEEDS)
     at = np.sort(np.argpartition(v, kept - 1, axis=1)[:, :kept], axis=1)
-    out = np.zeros(SKETCHES, np.uint64)
+    out = _SEEDS[:, 0].copy()
     for i in range(kept):
         out = mix(out + h[at[:, i]])
     return out
@@ -159,26 +161,31 @@ def prefix(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[order[place]], place
 
 
+def bitmap(h: np.ndarray) -> np.ndarray:
+    """BITMAP words of labelled shingles: a bit is set if an odd number of them turn it."""
+    bit = mix(h + np.uint64(1)) & np.uint64(64 * BITMAP - 1)
+    odd = np.bincount(bit.view(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def bucket_members(texts: DataFrame) -> DataFrame:
-    """band, value, key, n (shingles), size (texts of the bucket) per text and sketch value that others share. texts: key (unique string), text."""
+    """value, key, n (shingles), size (texts of the bucket) per text and sketch value that others share. texts: key (unique string), text."""
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"key": pa.string(), "n": pa.int32(), "band": pa.int32(), "value": pa.int64()}
+        kinds = {"key": pa.string(), "n": pa.int32(), "sketch": pa.list_(pa.int64())}
         for batch in batches:
-            keys, sizes, values = [], [], []
+            rows = []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
                 h = labelled(shingles(text))
                 if len(h):
-                    keys.append(key)
-                    sizes.append(len(h))
-                    values.append(sketch(h))
-            if keys:
-                flat = np.concatenate(values).view(np.int64)
-                yield _arrow(kinds, [np.repeat(np.array(keys, object), SKETCHES), np.repeat(np.array(sizes, np.int32), SKETCHES), np.tile(np.arange(SKETCHES, dtype=np.int32), len(keys)), flat])
+                    rows.append((key, len(h), sketch(h).view(np.int64)))
+            if rows:
+                yield _arrow(kinds, list(zip(*rows)))
 
-    rows = settle(texts.mapInArrow(sketches, "key string, n int, band int, value long"), "sketches")
-    sizes = rows.groupBy("band", "value").agg(F.count("*").alias("size"), F.min("key").alias("_one")).where("size > 1").drop("_one")
-    return settle(rows.join(sizes, ["band", "value"]), "buckets")
+    sketched = settle(texts.mapInArrow(sketches, "key string, n int, sketch array<bigint>"), "sketches")
+    rows = sketched.select("key", "n", F.explode("sketch").alias("value"))
+    sizes = rows.groupBy("value").agg(F.count("*").alias("size")).where("size > 1")
+    return settle(rows.join(sizes, "value"), "buckets")
 
 
 def similar_sizes(n: str, m: str) -> Column:
@@ -186,123 +193,119 @@ def similar_sizes(n: str, m: str) -> Column:
 
 
 def candidates(members: DataFrame) -> DataFrame:
-    """a < b: all pairs of small buckets, and every text of a large one with its leaders."""
-    rank = members.groupBy("key").agg(F.sum("size").alias("score"))
-    scored = members.join(rank, "key").withColumn("m", F.struct((-F.col("score")).alias("s"), "key", "n"))
-    small = scored.where(F.col("size") <= SMALL).select("band", "value", "key", "n")
-    other = small.select("band", "value", F.col("key").alias("k2"), F.col("n").alias("n2"))
-    pairs = small.join(other, ["band", "value"]).where("key < k2").select("key", "n", "k2", "n2")
-    # The leaders of large buckets, found by sums that combine before the shuffle.
-    large = scored.where(F.col("size") > SMALL)
-    best = large.groupBy("band", "value").agg(F.min("m").alias("l"))
-    found = [best]
-    for _ in range(LEADERS - 1):
-        again = large.join(found[-1].withColumnRenamed("l", "l0"), ["band", "value"]).where(F.col("m") > F.col("l0"))
-        found.append(again.groupBy("band", "value").agg(F.min("m").alias("l")))
-    for leaders in found:
-        to = large.join(leaders, ["band", "value"]).where(F.col("key") != F.col("l.key"))
-        pairs = pairs.union(to.select(F.least("key", "l.key"), "n", F.greatest("key", "l.key"), F.col("l.n")))
-    return settle(pairs.where(similar_sizes("n", "n2")).select(F.col("key").alias("a"), F.col("k2").alias("b")).distinct(), "candidates")
-
-
-def links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, similarity of the pairs that are links. texts: key, text; pairs: a, b."""
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-
-    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a < b, near (no fewer than the texts that either of them meets in one group): all pairs of small buckets, and every text of a large one with its leader."""
+    small = members.where(F.col("size") <= SMALL).select("value", "key", "n")
+    other = small.select("value", F.col("key").alias("k2"), F.col("n").alias("n2"))
+    pairs = small.join(other, "value").where((F.col("key") < F.col("k2")) & similar_sizes("n", "n2")).select(F.col("key").alias("a"), F.col("k2").alias("b"), F.lit(SMALL).cast("long").alias("near"))
+    # The leader of a large bucket is found by sums and maxima that combine before the shuffle.
+    score = members.groupBy("key").agg(F.sum("size").alias("score"))
+    large = members.where(F.col("size") > SMALL)
+    leader = large.join(score, "key").groupBy("value").agg(F.max(F.struct("score", "key", "n")).alias("l"))
+    star = large.join(leader, "value").where((F.col("key") != F.col("l.key")) & similar_sizes("n", "l.n"))
+    pairs = pairs.union(star.select(F.least("key", "l.key"), F.greatest("key", "l.key"), "size"))
+    return settle(pairs.groupBy("a", "b").agg(F.max("near").alias("near")), "candidates")
+
+
+def sequences(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """key, seq (the shingles in text order) of the texts in members. texts: key, text."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seqs = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
             yield _arrow({"key": pa.string(), "seq": pa.binary()}, [batch.column("key"), seqs])
 
-    seqs = settle(texts.join(wanted, "key", "left_semi").mapInArrow(sequences, "key string, seq binary"), "sequences", bucket="key")
+    return settle(texts.join(members.select("key").distinct(), "key", "left_semi").select("key", "text").mapInArrow(made, "key string, seq binary"), "sequences")
+
+
+def attach(pairs: DataFrame, seqs: DataFrame, side: str, other: str, name: str) -> DataFrame:
+    """pairs with the sequence of the text in column side under name. The pairs of one text are dealt over tasks by the other text."""
+    dealt = pairs.withColumn("_salt", F.pmod(F.xxhash64(other), 1 + F.floor(F.col("near") / FAN)))
+    most = dealt.groupBy(F.col(side).alias("key")).agg(F.max("_salt").alias("_most"))
+    held = seqs.join(most, "key").select(F.col("key").alias(side), F.explode(F.sequence(F.lit(0).cast("long"), "_most")).alias("_salt"), F.col("seq").alias(name))
+    return dealt.join(held, [side, "_salt"]).drop("_salt")
+
+
+def links(seqs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, similarity of the pairs that are links. seqs: key, seq; pairs: a, b, near."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p, q = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("p", "q"))
             yield _arrow({"a": pa.string(), "b": pa.string(), "similarity": pa.float64()}, [batch.column("a"), batch.column("b"), [similarity(x, y) for x, y in zip(p, q)]])
 
-    both = pairs.join(seqs.select(F.col("key").alias("a"), F.col("seq").alias("p")), "a").join(seqs.select(F.col("key").alias("b"), F.col("seq").alias("q")), "b")
+    both = attach(attach(pairs, seqs, "a", "b", "p"), seqs, "b", "a", "q")
     return settle(both.select("a", "b", "p", "q").mapInArrow(verify, "a string, b string, similarity double").where(F.col("similarity") >= SIMILARITY - 1e-9), "links")
 
 
-def several_classes(rows: DataFrame, *by: str) -> DataFrame:
-    """The groups of rows that hold more than one component."""
-    return rows.groupBy(*by).agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select(*by)
-
-
-def open_members(members: DataFrame, group: DataFrame) -> DataFrame:
-    """The members of large buckets that hold several classes, with their component."""
-    large = members.where(F.col("size") > SMALL).join(group.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    return large.join(several_classes(large, "band", "value"), ["band", "value"], "left_semi")
+def open_texts(members: DataFrame, group: DataFrame) -> DataFrame:
+    """key, component of the texts of large buckets that hold several classes."""
+    large = members.where(F.col("size") > SMALL).join(group.withColumnRenamed("node", "key"), "key", "left").select("value", "key", F.coalesce("component", "key").alias("component"))
+    several = large.groupBy("value").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi")
+    return settle(large.join(several, "value", "left_semi").select("key", "component").distinct(), "open-texts")
 
 
-def finer_members(opened: DataFrame) -> DataFrame:
-    """As bucket_members, for the buckets of two values that open texts share in bands up to GAP apart."""
-    values = opened.groupBy("key", "n").agg(F.map_from_entries(F.collect_set(F.struct("band", "value"))).alias("v"))
-    rows = values.select("key", "n", "v", F.explode(F.map_keys("v")).alias("b1")).select("*", F.explode(F.sequence(F.lit(1), F.lit(GAP))).alias("gap"))
-    rows = rows.withColumn("b2", (F.col("b1") + F.col("gap")) % SKETCHES).where("v[b2] IS NOT NULL")
-    rows = settle(rows.select("key", "n", (F.col("b1") * (GAP + 1) + F.col("gap")).alias("band"), F.xxhash64(F.expr("v[b1]"), F.expr("v[b2]")).alias("value")), "finer")
-    sizes = rows.groupBy("band", "value").agg(F.count("*").alias("size"), F.min("key").alias("_one")).where("size > 1").drop("_one")
-    return settle(rows.join(sizes, ["band", "value"]), "finer-buckets")
-
-
-def open_pairs(texts: DataFrame, opened: DataFrame, seen: DataFrame) -> DataFrame:
-    """a < b, not in seen: the pairs of different classes of open texts that may be links by their prefixes, sizes and places. opened: key, component."""
-    own = texts.join(opened.select("key", "component").distinct(), "key")
+def open_pairs(seqs: DataFrame, opened: DataFrame, seen: DataFrame) -> DataFrame:
+    """a < b, near, not in seen: the pairs of different classes of open texts that may be links by their prefixes, sizes, places and bitmaps. opened: key, component."""
+    own = settle(seqs.join(opened, "key"), "open-sequences")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                total += np.bincount((labelled(shingles(text)) & np.uint64(COUNTERS - 1)).view(np.int64), minlength=COUNTERS)
+            for seq in batch.column("seq").to_pylist():
+                total += np.bincount((labelled(np.frombuffer(seq, np.uint64)) & np.uint64(COUNTERS - 1)).view(np.int64), minlength=COUNTERS)
         slot = np.flatnonzero(total)
         yield _arrow({"slot": pa.int64(), "n": pa.int64()}, [slot, total[slot]])
 
     # At most COUNTERS rows reach the driver.
-    slots = own.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    slots = own.select("seq").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(COUNTERS, np.int64)
     counts[slots["slot"].to_numpy(np.int64)] = slots["n"].to_numpy(np.int64)
-    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    shared = seqs.sparkSession.sparkContext.broadcast(counts)
+    bits = [f"m{i}" for i in range(BITMAP)]
+    kinds = {"key": pa.string(), "component": pa.string(), "n": pa.int32(), "tokens": pa.list_(pa.int64()), "places": pa.list_(pa.int32())} | dict.fromkeys(bits, pa.int64())
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"key": pa.string(), "component": pa.string(), "n": pa.int32(), "token": pa.int64(), "place": pa.int32()}
         for batch in batches:
-            for key, component, text in zip(*(batch.column(c).to_pylist() for c in ("key", "component", "text"))):
-                h = labelled(shingles(text))
+            rows = []
+            for key, component, seq in zip(*(batch.column(c).to_pylist() for c in ("key", "component", "seq"))):
+                h = labelled(np.frombuffer(seq, np.uint64))
                 token, place = prefix(h, shared.value)
-                if len(token):
-                    yield _arrow(kinds, [[key] * len(token), [component] * len(token), np.full(len(token), len(h), np.int32), token.view(np.int64), place.astype(np.int32)])
+                rows.append((key, component, len(h), token.view(np.int64), place.astype(np.int32), *bitmap(h).tolist()))
+            if rows:
+                yield _arrow(kinds, list(zip(*rows)))
 
-    rows = settle(own.select("key", "component", "text").mapInArrow(prefixes, "key string, component string, n int, token long, place int"), "prefixes")
+    schema = "key string, component string, n int, tokens array<bigint>, places array<int>, " + ", ".join(f"{b} long" for b in bits)
+    found = settle(own.select("key", "component", "seq").mapInArrow(prefixes, schema), "prefixes")
+    rows = found.select("key", "component", "n", *bits, F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("key", "component", "n", *bits, F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
     # Texts of one class needn't meet: of a token's largest class, texts meet those of other classes only.
-    largest = rows.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "component")).alias("l"), F.count("*").alias("classes")).where("classes > 1")
-    rows = settle(rows.join(largest, "token").select("token", "key", "component", "n", "place", (F.col("component") == F.col("l.component")).alias("main")), "shared-prefixes")
+    largest = rows.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "component")).alias("l"), F.sum("c").alias("near"), F.count("*").alias("classes")).where("classes > 1")
+    rows = rows.join(largest, "token").withColumn("main", F.col("component") == F.col("l.component")).withColumn("salts", F.floor(F.col("near") / FAN)).drop("l", "classes")
+    rows = settle(rows, "shared-prefixes")
     # Of a pair, the text with fewer shingles shares 2s / (1 + s) of them at least, so its part of the prefix is shorter.
-    short = rows.where(F.col("n") - F.col("place") >= 2 * SIMILARITY / (1 + SIMILARITY) * F.col("n") - 1e-9)
-    other = rows.select("token", F.col("key").alias("k2"), F.col("component").alias("c2"), F.col("n").alias("n2"), F.col("place").alias("p2"), F.col("main").alias("m2"))
-    may = (F.struct("n", "key") < F.struct("n2", "k2")) & (F.col("component") != F.col("c2")) & similar_sizes("n", "n2")
-    may = may & (F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("p2")) >= SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("n2")) - 1e-9)
-    met = short.where("NOT main").join(other, "token").where(may).select("key", "k2").union(short.where("main").join(other.where("NOT m2"), "token").where(may).select("key", "k2"))
-    return settle(met.select(F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"), "open-pairs")
+    short = rows.where(F.col("n") - F.col("place") >= 2 * SIMILARITY / (1 + SIMILARITY) * F.col("n") - 1e-9).withColumn("_salt", F.pmod(F.xxhash64("key"), F.col("salts") + 1))
+    other = rows.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), "salts"))).select("token", "_salt", *[F.col(c).alias(f"{c}_") for c in ("key", "component", "n", "place", "main", *bits)])
+    need = SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("n_")) - 1e-9
+    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_"))) for b in bits), F.lit(0))
+    may = (F.struct("n", "key") < F.struct("n_", "key_")) & (F.col("component") != F.col("component_")) & similar_sizes("n", "n_")
+    may = may & (F.least(F.col("n") - F.col("place"), F.col("n_") - F.col("place_")) >= need) & (F.col("n") + F.col("n_") - differ >= 2 * need)
+    on = ["token", "_salt"]
+    met = short.where("NOT main").join(other, on).where(may).union(short.where("main").join(other.where("NOT main_"), on).where(may))
+    pairs = met.groupBy(F.least("key", "key_").alias("a"), F.greatest("key", "key_").alias("b")).agg(F.max("near").alias("near"))
+    return settle(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), "open-pairs")
 
 
 def classes(texts: DataFrame) -> DataFrame:
     """node, component of the texts with links. texts: key (unique string), text."""
     members = bucket_members(texts)
+    seqs = sequences(texts, members)
     pairs = candidates(members)
-    found = links(texts, pairs)
+    found = links(seqs, pairs)
     group = components(found)
-    more = candidates(finer_members(open_members(members, group)))
-    more = settle(more.join(pairs, ["a", "b"], "left_anti"), "finer-pairs")
-    late = links(texts, more)
-    if late.limit(1).count():
-        found = found.union(late)
-        group = components(found)
-    rest = open_pairs(texts, open_members(members, group), pairs.union(more))
-    if rest.limit(1).count():
-        last = links(texts, rest)
-        if last.limit(1).count():
-            group = components(found.union(last))
+    opened = open_texts(members, group)
+    if opened.limit(1).count():
+        late = links(seqs, open_pairs(seqs, opened, pairs))
+        if late.limit(1).count():
+            group = components(found.union(late))
     return group
 
 
@@ -341,12 +344,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: that of its least doc_id (of equal rows, one). Rows without words stay."""
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("m")
-    keys = settle(near_duplicates(docs).where("class_key IS NOT NULL").groupBy("class_key").agg(first).select(F.col("m.doc_id").alias("_k1"), F.col("m.text_key").alias("_k2")), "kept")
-    own = docs.withColumn("_text_key", text_key(whole_text("text")))
-    worded = own.where(has_words(whole_text("text"))).join(keys, F.col("_text_key").eqNullSafe(F.col("_k2")) & F.col("doc_id").eqNullSafe(F.col("_k1")), "left_semi").dropDuplicates(["_text_key"])
-    return worded.unionByName(own.where(~has_words(whole_text("text")))).drop("_text_key")
+    """docs with one row of each class: that of its least doc_id (null last; of rows with equal id and text, one). Rows without words stay. Columns may have any names; an empty table gives no rows.
+
+    Whole rows are shuffled once, where equal texts become one."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("text", whole_text(F.col("row")["text"]))
+    rank = F.struct(F.col("row")["doc_id"].isNull(), F.col("row")["doc_id"])
+    texts = rows.where(has_words(F.col("text"))).groupBy(text_key(F.col("text")).alias("key")).agg(F.min_by("row", rank).alias("row"))
+    texts = settle(texts, "rows", bucket="key")
+    group = classes(texts.select("key", F.col("row")["text"].alias("text")))
+    ranked = texts.join(group, F.col("key") == F.col("node")).select("key", "component", F.struct(F.col("row")["doc_id"].isNull(), F.col("row")["doc_id"], "key").alias("rank"))
+    gone = ranked.join(ranked.groupBy("component").agg(F.min("rank").alias("first")), "component").where("rank <> first")
+    kept = texts.join(settle(gone.select("key"), "repeats"), "key", "left_anti").select("row.*")
+    return kept.union(rows.where(~has_words(F.col("text"))).select("row.*"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
