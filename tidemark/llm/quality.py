@@ -94,21 +94,27 @@ def certified_cutoffs(features: DataFrame, labels: DataFrame, *, key: str = "doc
     return best.select(stratum, "rule", F.col("m.cutoff").alias("cutoff"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", stratum: str = "lang", text: str = "text") -> DataFrame:
-    """key, text_hash, stratum, FEATURES, base_failed, kept. Rows of equal key are judged each by its own text; an empty table gives no rows; without labels only the base rule rejects."""
-    features = settle(with_features(docs.select(key, stratum, text, F.xxhash64(whole_text(text)).alias("text_hash")), text), "quality-features")
+def verdicts(features: DataFrame, labels: DataFrame, *, key: str = "doc_id", stratum: str = "lang") -> DataFrame:
+    """features (a stored table) with base_failed and kept. The cutoffs have a row a stratum, so rows aren't shuffled to meet them."""
     picked = certified_cutoffs(features, labels, key=key, stratum=stratum)
     wide = settle(picked.groupBy(F.col(stratum).alias("_stratum")).agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_{r}") for r in RULES]), "quality-cutoffs")
     over = [F.coalesce(1000 * F.col(f) > F.col(f"_{r}") * F.col(b), F.lit(False)) for r, (f, b) in RULES.items()]
     rejected = over[0] | over[1] | over[2] | over[3]
     judged = features.join(wide, features[stratum].eqNullSafe(wide["_stratum"]), "left").withColumn("base_failed", base_failed())
-    return judged.select(key, "text_hash", stratum, *FEATURES, "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"))
+    return judged.select(*features.columns, "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"))
+
+
+def judge(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", stratum: str = "lang", text: str = "text") -> DataFrame:
+    """key, text_hash, stratum, FEATURES, base_failed, kept. Rows of equal key are judged each by its own text; an empty table gives no rows; without labels only the base rule rejects."""
+    features = settle(with_features(docs.select(key, stratum, text, F.xxhash64(whole_text(text)).alias("text_hash")), text), "quality-features")
+    return verdicts(features, labels, key=key, stratum=stratum).select(key, "text_hash", stratum, *FEATURES, "base_failed", "kept")
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rejected ones, all columns kept. The few rejected ids and text hashes are joined against the rows."""
-    bad = settle(judge(docs, labels).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "rejected")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(whole_text(docs["text"])) == bad["_hash"]), "left_anti")
+    """docs without the rejected ones, all columns kept, whatever their names. Rows are written beside their features and read again under the verdict, so they aren't shuffled."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    features = settle(with_features(rows.select("row", F.col("row")["doc_id"].alias("doc_id"), F.col("row")["lang"].alias("lang"), F.col("row")["text"].alias("text"))), "quality-rows")
+    return verdicts(features, labels).where("kept").select("row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
