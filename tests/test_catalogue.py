@@ -6,7 +6,8 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tidemark.plans.catalogue import ORACLES, QUERIES
+from tidemark.plans import catalogue, further  # noqa: F401
+from tidemark.plans.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 

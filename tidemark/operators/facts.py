@@ -66,3 +66,17 @@ def correction_links(facts: DataFrame, filings: DataFrame) -> DataFrame:
     old = facts.groupBy(F.col("filing_id").alias("supersedes_id"), "raw_name").agg(F.max("fact_id").alias("supersedes_fact"))
     new = facts.join(filings.select("filing_id", "supersedes_id"), "filing_id")
     return new.join(old, ["supersedes_id", "raw_name"], "left").select("fact_id", "supersedes_fact")
+
+
+def unmapped_issues(facts: DataFrame) -> DataFrame:
+    """One issue a filing that has facts without a name: its code, how many, and their sorted ids (a filing's facts are few)."""
+    per = facts.where("name IS NULL").groupBy("filing_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("fact_id")), ",").alias("fact_ids"))
+    return per.select("filing_id", F.lit("FINANCIAL_FACT_UNMAPPED").alias("code"), "n", "fact_ids")
+
+
+def retained(facts: DataFrame, *identity: str) -> DataFrame:
+    """facts without folded duplicates, those of a conflict all kept as CONFLICT, others without a name as UNVERIFIED."""
+    groups = facts.groupBy(*identity).agg(F.count_distinct("value").alias("_values"), F.min("fact_id").alias("_kept"))
+    rows = facts.join(groups, list(identity)).where((F.col("_values") > 1) | (F.col("fact_id") == F.col("_kept")))
+    status = F.when(F.col("_values") > 1, "CONFLICT").when(F.col("name").isNull(), "UNVERIFIED").otherwise(F.col("quality_status"))
+    return rows.withColumn("quality_status", status).drop("_values", "_kept")

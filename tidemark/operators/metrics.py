@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.reasons import first_reason, ratio
@@ -16,15 +16,27 @@ def pivot_inputs(facts: DataFrame, key: str) -> DataFrame:
     return facts.groupBy(key).agg(*[F.sum(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in INPUTS])
 
 
-def input_gate(facts: DataFrame, key: str, as_of: str, known_at: str) -> DataFrame:
-    """key, reason: the first failing gate of its inputs in order of fact id; a failure blocks all metrics of the key."""
+def input_gate(facts: DataFrame, key: str, as_of: str, known_at: str, *, unique: bool = True) -> DataFrame:
+    """key, reason: the first failing gate of its inputs in order of fact id; a failure blocks all metrics of the key. With unique, a second fact of a name fails; other gates of the same fact come first."""
+    nth = F.row_number().over(Window.partitionBy(key, "name").orderBy("fact_id")) if unique else F.lit(1)
     reason = first_reason({
         "FINANCIAL_INPUT_TIME_LINEAGE_MISSING": F.col("published_at").isNull() | F.col("valid_from").isNull(),
         "FINANCIAL_INPUT_AFTER_CUTOFF": F.col("published_at") > F.lit(as_of).cast("date"),
         "FINANCIAL_INPUT_NOT_KNOWN_AT_CUTOFF": F.col("valid_from") > F.lit(known_at).cast("date"),
         "FINANCIAL_INPUT_QUALITY_BLOCKED": F.col("quality_status").isin(*BLOCKED),
+        "FINANCIAL_INPUT_DUPLICATE": F.col("_nth") > 1,
     })
-    return facts.withColumn("_r", reason).groupBy(key).agg(F.min_by("_r", F.when(F.col("_r").isNotNull(), F.col("fact_id"))).alias("reason"))
+    return facts.withColumn("_nth", nth).withColumn("_r", reason).groupBy(key).agg(F.min_by("_r", F.when(F.col("_r").isNotNull(), F.col("fact_id"))).alias("reason"))
+
+
+def valuation_gate(values: DataFrame, as_of: str, known_at: str) -> DataFrame:
+    """values (a market value a row) with reason: why it can't be used. It is asked after the inputs have passed."""
+    reason = first_reason({
+        "MARKET_VALUATION_AFTER_CUTOFF": F.col("effective_at") > F.lit(as_of).cast("date"),
+        "MARKET_VALUATION_NOT_KNOWN_AT_CUTOFF": F.greatest("collected_at", "valid_from") > F.lit(known_at).cast("date"),
+        "MARKET_VALUATION_QUALITY_BLOCKED": ~F.col("quality_status").isin("VALID", "DERIVED"),
+    })
+    return values.withColumn("reason", reason)
 
 
 def metrics(rows: DataFrame, key: str, market_cap: str = "market_cap") -> DataFrame:

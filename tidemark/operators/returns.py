@@ -25,6 +25,26 @@ def fold_actions(actions: Column) -> Column:
     return F.aggregate(F.coalesce(actions, none), F.struct(number(1).alias("shares"), number(0).alias("cash"), number(0).alias("cost")), step)
 
 
+#: Qualities of an action that block its security.
+BLOCKING = ("CONFLICT", "MISSING", "REJECTED", "UNVERIFIED")
+
+
+def first_actions(actions: DataFrame, order: str = "ordinal") -> DataFrame:
+    """Of each record id of a security the first row in order: repeats of a record change nothing."""
+    rest = [c for c in actions.columns if c not in ("code", "record_id")]
+    return actions.groupBy("code", "record_id").agg(F.min_by(F.struct(*rest), order).alias("_r")).select("code", "record_id", "_r.*").select(*actions.columns)
+
+
+def blocked_actions(actions: DataFrame, as_of: str, known_at: str, order: str = "ordinal") -> DataFrame:
+    """code and the first reason, in order of its actions, why they can't be used. Cancelled actions block too."""
+    reason = first_reason({
+        "CORPORATE_ACTION_PUBLICATION_AFTER_CUTOFF": F.col("published_at").isNull() | (F.col("published_at") > F.lit(as_of).cast("date")),
+        "CORPORATE_ACTION_NOT_KNOWN_AT_CUTOFF": F.col("valid_from") > F.lit(known_at).cast("date"),
+        "CORPORATE_ACTION_QUALITY_BLOCKED": F.col("quality_status").isin(*BLOCKING),
+    })
+    return actions.withColumn("_r", reason).where("_r IS NOT NULL").groupBy("code").agg(F.min_by("_r", order).alias("reason"))
+
+
 def total_return(bars: DataFrame, actions: DataFrame) -> DataFrame:
     """code, trade_date, index, actions_used. The first bar of a security is 1 and its own actions don't count; cancelled actions and those without a bar on their day have no effect."""
     per_day = actions.where("action_status <> 'CANCELLED'").groupBy("code", F.col("ex_date").alias("trade_date")).agg(F.sort_array(F.collect_list(F.struct("record_id", "action_type", "ratio", "price"))).alias("actions"))
@@ -37,11 +57,11 @@ def total_return(bars: DataFrame, actions: DataFrame) -> DataFrame:
     return stepped.withColumn("index", F.product("step").over(by)).drop("step")
 
 
-def blocked_series(bars: DataFrame, as_of: str, known_at: str, effective: str = "trade_date", valid_from: str = "valid_from", quality: str = "quality_status") -> DataFrame:
-    """code and the first reason, by date, why a series can't be built."""
+def blocked_series(bars: DataFrame, as_of: str, known_at: str, effective: str = "trade_date", valid_from: str = "valid_from", quality: str = "quality_status", collected: str | None = None) -> DataFrame:
+    """code and the first reason, by date, why a series can't be built. A null effective or collected time blocks nothing."""
     reason = first_reason({
-        "MARKET_BAR_AFTER_CUTOFF": F.col(effective) > F.lit(as_of).cast("date"),
-        "MARKET_BAR_NOT_KNOWN_AT_CUTOFF": F.col(valid_from) > F.lit(known_at).cast("date"),
+        "MARKET_BAR_AFTER_CUTOFF": F.greatest("trade_date", effective) > F.lit(as_of).cast("date"),
+        "MARKET_BAR_NOT_KNOWN_AT_CUTOFF": F.greatest(valid_from, collected or valid_from) > F.lit(known_at).cast("date"),
         "MARKET_BAR_QUALITY_BLOCKED": ~F.col(quality).isin("VALID", "DERIVED"),
     })
     return bars.withColumn("_r", reason).where("_r IS NOT NULL").groupBy("code").agg(F.min_by("_r", "trade_date").alias("reason"))

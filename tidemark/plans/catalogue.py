@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import facts, filings, market, metrics, reports, returns, scoring, screening
-from tidemark.plans.views import view, with_views
+from tidemark.plans.registry import AS_OF, DAY, KNOWN_AT, query, table
+from tidemark.plans.views import view
 from tidemark.sources import labelled_text, tables
 from tidemark.streaming.windows import event_windows
 
-#: Cutoffs that the queries use.
-AS_OF, KNOWN_AT, DAY = "1997-06-30", "1997-08-31", "1996-03-15"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 _RULE_NAMES = ("assets", "liabilities", "equity", "revenue", "net_profit", "operating_cash_flow")
 
 
-def query(sql: str | None = None, *views: str):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = with_views(sql, *views) if views else sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 @query(f"SELECT * FROM bars WHERE trade_date = DATE '{DAY}'", "bars")
 def bars_by_date(spark, d):
     return view(spark, d, "bars").where(F.col("trade_date") == F.lit(DAY).cast("date")).orderBy("code")
@@ -223,7 +205,7 @@ def metrics_missing_reasons(spark, d):
 SELECT entity, min_by(r, fact_id) FILTER (r IS NOT NULL) AS reason FROM g GROUP BY entity""", "facts", "filings")
 def metrics_blocked(spark, d):
     rows = view(spark, d, "facts").join(view(spark, d, "filings").select("filing_id", "entity", "published_at", "valid_from"), "filing_id")
-    return metrics.input_gate(rows, "entity", AS_OF, KNOWN_AT)
+    return metrics.input_gate(rows, "entity", AS_OF, KNOWN_AT, unique=False)
 
 
 @query("SELECT code, trade_date, count(*) OVER w AS amount_days, round(avg(amount) OVER w, 6) AS amount_mean FROM bars WINDOW w AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)", "bars")
@@ -370,9 +352,9 @@ def domain_gate(spark, d):
 @query("SELECT event_id, CASE WHEN ts > (SELECT min(ts) + INTERVAL 20 DAY FROM events) THEN 'REPORT_EVENT_CUTOFF_VIOLATION' ELSE 'REPORT_EVENT_QUALITY_BLOCKED' END AS reason FROM events WHERE ts > (SELECT min(ts) + INTERVAL 20 DAY FROM events) OR value < 10")
 def event_gate(spark, d):
     events = table(spark, d, "events")
-    cut = events.agg((F.min("ts") + F.expr("INTERVAL 20 DAYS")).cast("string").alias("c")).first()["c"]
+    cut = events.agg((F.min("ts") + F.expr("INTERVAL 20 DAYS")).alias("cut"))
     rows = events.select("event_id", F.col("ts").alias("published_at"), F.when(F.col("value") < 10, "UNVERIFIED").otherwise("VALID").alias("quality_status"))
-    return reports.event_gate(rows, cut)
+    return reports.event_gate(rows.crossJoin(F.broadcast(cut)), F.col("cut"))
 
 
 @query("SELECT l_partkey AS code, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS strategies, count(DISTINCT l_returnflag) AS n FROM lineitem GROUP BY l_partkey")
@@ -384,10 +366,10 @@ def security_memberships(spark, d):
 SELECT page_id, CASE WHEN page_id % 5 = 4 THEN 'SOURCE_POLICY_MISSING' WHEN page_id % 5 = 3 THEN 'SOURCE_REVIEW_REQUIRED' WHEN page_id % 5 = 2 THEN 'SOURCE_DISABLED' WHEN scheme = 'http' THEN 'HTTP_ENDPOINT_NOT_ALLOWED' WHEN host NOT LIKE '%.example.com' THEN 'DOMAIN_NOT_ALLOWED' WHEN page_id % 7 = 0 THEN 'PURPOSE_NOT_ALLOWED' ELSE 'ALLOWED' END AS decision FROM r""")
 def policy_decision(spark, d):
     pages = table(spark, d, "pages").select("page_id", "url", F.concat(F.lit("s"), F.col("page_id") % 5).alias("source_id"), F.when(F.col("page_id") % 7 == 0, "TRAIN").otherwise("RESEARCH").alias("purpose"))
-    hosts = pages.select(F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("h")).where("h LIKE '%.example.com'").agg(F.collect_set("h").alias("domains"))
-    base = spark.createDataFrame([("s0", True, True), ("s1", True, True), ("s2", True, False), ("s3", False, True)], "source_id string, approved boolean, enabled boolean")
-    policies = base.crossJoin(hosts).withColumns({"schemes": F.array(F.lit("https")), "purposes": F.array(F.lit("RESEARCH")), "http_hosts": F.array().cast("array<string>")})
-    return reports.policy_decision(pages, policies).select("page_id", "decision")
+    hosts = pages.select("source_id", F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("host")).where("host LIKE '%.example.com'").distinct()
+    rows = [("s0", True, True), ("s1", True, True), ("s2", True, False), ("s3", False, True)]
+    policies = spark.createDataFrame([(*r, ["https"], ["RESEARCH"], []) for r in rows], "source_id string, approved boolean, enabled boolean, schemes array<string>, purposes array<string>, http_hosts array<string>")
+    return reports.policy_decision(pages, policies, hosts).select("page_id", "decision")
 
 
 @query("WITH n AS (SELECT event_type AS source_id, event_id AS call_id, epoch(ts) AS asked, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events) SELECT source_id, call_id, round(max(asked - 10.0 * n) OVER (PARTITION BY source_id ORDER BY n) + 10.0 * n, 3) AS slot FROM n")

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.reasons import every_reason, first_reason
 
-#: Fixed values of the format: labels, their names, unit multipliers, and the names that must be there.
+#: Fixed values of the format: labels, their names, unit multipliers, the names that must be there, and how amounts, units and periods are written.
 LABELS = {"资产总计": "total_assets", "负债合计": "total_liabilities", "所有者权益合计": "equity", "股东权益合计": "equity", "营业收入": "revenue", "净利润": "net_profit", "经营活动产生的现金流量净额": "operating_cash_flow"}
 UNITS = {"人民币元": 1, "元": 1, "万元": 10_000, "亿元": 100_000_000}
 REQUIRED = ("total_assets", "total_liabilities", "equity", "revenue", "net_profit", "operating_cash_flow")
 AMOUNT = r"\s*[|｜]\s*([-+]?\(?[\d,]+(?:\.\d+)?\)?)"
+UNIT, PERIOD = r"货币单位\s*[：:]\s*(人民币元|元|万元|亿元)", r"报告期\s*[：:]\s*(\d{4}-\d{2}-\d{2})"
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -21,9 +22,9 @@ def _found(text: Column, pattern: str) -> Column:
 def extract_facts(rows: DataFrame, text: str = "text") -> DataFrame:
     """rows with report_period, currency_unit, multiplier and a column per name. Parentheses mean minus; of two labels of one name the later in LABELS wins."""
     t = F.col(text)
-    unit = _found(t, r"货币单位\s*[：:]\s*(人民币元|元|万元|亿元)")
+    unit = _found(t, UNIT)
     times = F.coalesce(*[F.when(unit == u, F.lit(float(m))) for u, m in UNITS.items()])
-    out = rows.withColumns({"report_period": F.to_date(_found(t, r"报告期\s*[：:]\s*(\d{4}-\d{2}-\d{2})")), "currency_unit": unit, "multiplier": times})
+    out = rows.withColumns({"report_period": F.to_date(_found(t, PERIOD)), "currency_unit": unit, "multiplier": times})
     for name in REQUIRED:
         raws = [F.replace(_found(t, label + AMOUNT), F.lit(","), F.lit("")) for label, n in reversed(LABELS.items()) if n == name]
         raw = F.coalesce(*raws)
@@ -55,3 +56,9 @@ def prefer_source(rows: DataFrame) -> DataFrame:
     chosen = F.when(c("tagged_status") == "VALID", "XBRL").when(c("text_status") == "VALID", "PDF")
     reason = F.when(c("tagged_status") == "VALID", F.when(c("clash"), "XBRL_PDF_FACT_CONFLICT")).otherwise(first_reason({"FINANCIAL_SOURCE_MISSING": c("text_status").isNull(), "CNINFO_PDF_UNVERIFIED": c("text_status") != "VALID"}))
     return rows.select("key", chosen.alias("chosen"), reason.alias("reason"))
+
+
+def source_conflicts(tagged: DataFrame, text: DataFrame) -> DataFrame:
+    """key, name, tagged_value, text_value of the names that both documents of a key give with different values. Both: key, name, value."""
+    both = tagged.select("key", "name", F.col("value").alias("tagged_value")).join(text.select("key", "name", F.col("value").alias("text_value")), ["key", "name"])
+    return both.where("tagged_value <> text_value")

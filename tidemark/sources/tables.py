@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.canonical import stable_hash
+
 MASTER_COLUMNS = ("ts_code", "symbol", "name", "exchange", "board", "currency", "list_date", "security_type")
 #: Limits of archive members: files, bytes of one, bytes of all, ratio of compression.
 ARCHIVE_LIMITS = (5_000, 64 << 20, 512 << 20, 100)
@@ -39,42 +42,81 @@ def read_calendar(spark: SparkSession, path: str) -> DataFrame:
     return days.select(strict_date(F.col("d")).alias("trade_date")).where("trade_date IS NOT NULL").distinct().orderBy("trade_date")
 
 
-def read_policies(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, multiLine=True)
+POLICIES = "source_id string, source_name string, allowed_domains array<string>, allowed_schemes array<string>, allowed_purposes array<string>, rate_limit_per_minute int, review_status string, enabled boolean"
 
 
-def read_contexts(spark: SparkSession, path: str) -> DataFrame:
-    """XBRL contexts: id, entity, period_start, period_end (exclusive end less a day is done by the caller's data), instant."""
-    schema = "_id string, `xbrli:entity` struct<`xbrli:identifier`: struct<_VALUE: string, _scheme: string>>, `xbrli:period` struct<`xbrli:instant`: string, `xbrli:startDate`: string, `xbrli:endDate`: string>"
-    rows = spark.read.format("xml").option("rowTag", "xbrli:context").schema(schema).load(path)
-    p = "xbrli:period"
-    return rows.select(F.col("_id").alias("id"), F.col("`xbrli:entity`.`xbrli:identifier`._VALUE").alias("entity"), *[F.to_date(F.col(f"`{p}`.`xbrli:{a}`")).alias(b) for a, b in (("startDate", "period_start"), ("endDate", "period_end"), ("instant", "instant"))])
+def read_policies(spark: SparkSession, path: str) -> DataFrame:
+    """Source policies from a JSON array. A file that isn't one, or a policy that lacks or mistypes a field, is SOURCE_POLICIES_INVALID; a source listed twice is SOURCE_POLICIES_DUPLICATE_SOURCE_ID."""
+    rows = spark.read.schema(POLICIES + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path, multiLine=True).cache()
+    try:
+        wrong = F.col("_bad").isNotNull() | (F.col("rate_limit_per_minute") <= 0)
+        for c in rows.columns[:-1]:
+            wrong = wrong | F.col(c).isNull()
+        if rows.isEmpty() or not rows.where(wrong).isEmpty():
+            raise ValueError("SOURCE_POLICIES_INVALID")
+        if not rows.groupBy("source_id").count().where("count > 1").isEmpty():
+            raise ValueError("SOURCE_POLICIES_DUPLICATE_SOURCE_ID")
+    finally:
+        rows.unpersist()
+    return rows.drop("_bad")
 
 
 def archive_members(files: DataFrame) -> DataFrame:
-    """path, member, size, reason of the members of ZIP files (a binaryFile table). A damaged or unsafe archive gives one row with its reason."""
+    """path, member, size (bytes inflated), reason of the members of ZIP files (a binaryFile table). Every member is inflated and its checksum taken; a damaged or unsafe archive, or one beyond ARCHIVE_LIMITS, gives one row with its reason."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most, one, every, ratio = ARCHIVE_LIMITS
         for batch in batches:
             rows = []
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 try:
-                    infos = zipfile.ZipFile(io.BytesIO(content)).infolist()
-                except zipfile.BadZipFile:
-                    rows.append((path, None, None, "FINANCIAL_ARCHIVE_INVALID"))
-                    continue
-                if any(i.filename.startswith(("/", "\\")) or ".." in i.filename.replace("\\", "/").split("/") or i.external_attr >> 28 == 0xA for i in infos):
-                    rows.append((path, None, None, "FINANCIAL_ARCHIVE_UNSAFE_PATH"))
-                elif len(infos) > most or any(i.file_size > one or i.file_size > ratio * max(1, i.compress_size) for i in infos) or sum(i.file_size for i in infos) > every:
-                    rows.append((path, None, None, "FINANCIAL_ARCHIVE_LIMIT_EXCEEDED"))
-                else:
-                    rows += [(path, i.filename, i.file_size, None) for i in infos if not i.is_dir()]
+                    rows += [(path, name, size, None) for name, size in _inflated_members(content or b"")]
+                except _Refused as e:
+                    rows.append((path, None, None, str(e)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.string()))], names=["path", "member", "size", "reason"])
 
     return files.select("path", "content").mapInArrow(members, "path string, member string, size long, reason string")
 
 
+class _Refused(ValueError):
+    """An archive that isn't taken, and why."""
+
+
+def _inflated_members(content: bytes) -> list[tuple[str, int]]:
+    """Names and inflated sizes of an archive's files, read through so that sizes and checksums are what they say."""
+    most, one, every, ratio = ARCHIVE_LIMITS
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(content))
+    except (zipfile.BadZipFile, ValueError, NotImplementedError):
+        raise _Refused("FINANCIAL_ARCHIVE_INVALID") from None
+    infos = archive.infolist()
+    names = [i.filename.replace("\\", "/") for i in infos]
+    if any(n.startswith("/") or ":" in n.split("/")[0] or ".." in n.split("/") or i.external_attr >> 28 == 0xA for n, i in zip(names, infos)) or len({n.casefold() for n in names}) < len(names):
+        raise _Refused("FINANCIAL_ARCHIVE_UNSAFE_PATH")
+    if len(infos) > most or any(i.file_size > one or i.file_size > ratio * max(1, i.compress_size) for i in infos) or sum(i.file_size for i in infos) > every:
+        raise _Refused("FINANCIAL_ARCHIVE_LIMIT_EXCEEDED")
+    found, left = [], every
+    for i in infos:
+        size = 0
+        try:
+            with archive.open(i) as f:
+                while piece := f.read(1 << 20):
+                    size, left = size + len(piece), left - len(piece)
+                    if size > one or left < 0:
+                        raise _Refused("FINANCIAL_ARCHIVE_LIMIT_EXCEEDED")
+        except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError):
+            raise _Refused("FINANCIAL_ARCHIVE_INVALID") from None
+        if size != i.file_size:
+            raise _Refused("FINANCIAL_ARCHIVE_INVALID")
+        if not i.is_dir():
+            found.append((i.filename, size))
+    return found
+
+
+def archive_totals(members: DataFrame) -> DataFrame:
+    """path, files, bytes, reason of each archive."""
+    return members.groupBy("path").agg(F.count("member").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.max("reason").alias("reason"))
+
+
 def content_digest(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """A digest of each group's rows that doesn't depend on their order: the hash of the sorted row hashes, joined by commas.
 
@@ -111,16 +153,20 @@ def content_digest(rows: DataFrame, by: list[str], columns: list[str]) -> DataFr
     return dealt.mapInArrow(digests, out)
 
 
+def put_objects(new: DataFrame, known: DataFrame, events: DataFrame, payload: str) -> tuple[DataFrame, DataFrame]:
+    """Objects of new payloads that known (content_hash) lacks, and provenance events (event_hash) that events lacks: one for each source, address, time and content that was seen. new: source_id, source_url, collected_at and the payload."""
+    rows = new.withColumn("content_hash", F.sha2(F.coalesce(payload, F.lit("")), 256))
+    objects = rows.groupBy("content_hash").agg(F.first(payload).alias(payload)).join(known.select("content_hash"), "content_hash", "left_anti")
+    seen = {c: F.col(c).cast("string") for c in ("source_id", "source_url", "collected_at", "content_hash")}
+    told = rows.select("source_id", "source_url", "collected_at", "content_hash", stable_hash(seen).alias("event_hash")).dropDuplicates(["event_hash"])
+    return objects, told.join(events.select("event_hash"), "event_hash", "left_anti")
+
+
 def dedupe_objects(rows: DataFrame, payload: str, key: str) -> DataFrame:
     """content_hash, first (least key), copies."""
     return rows.groupBy(F.sha2(F.coalesce(payload, F.lit("")), 256).alias("content_hash")).agg(F.min(key).alias("first"), F.count("*").alias("copies"))
 
 
-def write_partitioned(rows: DataFrame, path: str, by: list[str]) -> None:
-    """A folder a partition; rows of one are dealt by the writer's own tasks, sorted within files so that statistics prune."""
-    rows.sortWithinPartitions(*by).write.partitionBy(*by).mode("errorifexists").parquet(path)
-
-
 def last_wins(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """Upsert as a new table: of each key the row of greatest order; new rows win ties."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
@@ -128,5 +174,13 @@ def last_wins(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame
     return both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(order, "_new")).alias("r")).select(key, "r.*")
 
 
+def compare_and_set(rows: DataFrame, changes: DataFrame, key: str, field: str) -> tuple[DataFrame, DataFrame]:
+    """rows after changes (key, expected, value), and the changes refused because the field didn't hold what they expected. Of several changes of a key none is taken."""
+    one = changes.groupBy(key).agg(F.count("*").alias("_n"), F.max("expected").alias("_expected"), F.max("value").alias("_value"))
+    met = rows.join(one, key, "left").withColumn("_taken", F.coalesce((F.col("_n") == 1) & F.col(field).eqNullSafe(F.col("_expected")), F.lit(False)))
+    after = met.withColumn(field, F.when(F.col("_taken"), F.col("_value")).otherwise(F.col(field))).select(rows.columns)
+    return after, changes.join(met.where("_taken").select(key), key, "left_anti")
+
+
 def insert_missing(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.unionByName(new.join(old.select(key), key, "left_anti"))
