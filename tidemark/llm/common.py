@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.staging import new_path, passing, settle
+
+__all__ = ["SPACE_RUN", "WORD", "hash60", "n_of", "new_path", "passing", "settle", "table", "whole_text", "words"]
+
 #: Space, tab, line feed, vertical tab, form feed and carriage return separate words.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: The same for Python's re.
@@ -18,35 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary folder where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    return str(base).rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, name: str, *, bucket: str | None = None) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts the lineage, and lost executors don't matter.
-
-    bucket: a column by which the rows are written in as many buckets as shuffles have partitions, so that joins on it don't move them again."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    if bucket is None:
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    # Only the catalog knows of buckets. The name goes again at once: the files are outside the warehouse and stay.
-    entry = f"settled_{uuid.uuid4().hex}"
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), bucket).option("path", path).saveAsTable(entry, format="parquet")
-    out = spark.table(entry).select("*")
-    spark.sql(f"DROP TABLE {entry}")
-    return out
-
-
 def whole_text(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
