@@ -12,7 +12,8 @@ larger one every text is compared with the one that shares most values with othe
 bucket that still holds several classes are joined exactly: with the shingles of each text in a common order by frequency, the first that two texts
 share has at least as many shingles from its place on in both as they must share, and two bitmaps in which each shingle turns one bit differ in no
 more bits than there are shingles in one text alone. So a passage that leaves two texts under SIMILARITY brings none of them together: their own,
-rarer shingles fill the places in which the passage would count. Every pair of different classes that these bounds leave is compared.
+rarer shingles fill the places in which the passage would count. First every such text meets, for each of its first shingles, one text of the class that
+has it most often, which joins most of them to their class; then every pair of different classes that these bounds leave is compared.
 
 Rows of a hot key (a text that many meet, a shingle of many texts) are dealt over tasks, FAN to each, and what they are joined to is repeated."""
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import settle, table, whole_text
+from tidemark.llm.common import passing, settle, table, whole_text
 from tidemark.llm.decontaminate import NORMAL
 from tidemark.llm.polyhash import mix, prefix_hashes, substring_hashes
 
@@ -244,9 +245,12 @@ def open_texts(members: DataFrame, group: DataFrame) -> DataFrame:
     return settle(large.join(several, "value", "left_semi").select("key", "component").distinct(), "open-texts")
 
 
-def open_pairs(seqs: DataFrame, opened: DataFrame, seen: DataFrame) -> DataFrame:
-    """a < b, near, not in seen: the pairs of different classes of open texts that may be links by their prefixes, sizes, places and bitmaps. opened: key, component."""
-    own = settle(seqs.join(opened, "key"), "open-sequences")
+BITS = [f"m{i}" for i in range(BITMAP)]
+
+
+def prefixes(seqs: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, n, tokens and places (the prefix of its shingles), BITS of the texts in keys."""
+    own = settle(seqs.join(keys, "key"), "open-sequences")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
@@ -261,52 +265,81 @@ def open_pairs(seqs: DataFrame, opened: DataFrame, seen: DataFrame) -> DataFrame
     counts = np.zeros(COUNTERS, np.int64)
     counts[slots["slot"].to_numpy(np.int64)] = slots["n"].to_numpy(np.int64)
     shared = seqs.sparkSession.sparkContext.broadcast(counts)
-    bits = [f"m{i}" for i in range(BITMAP)]
-    kinds = {"key": pa.string(), "component": pa.string(), "n": pa.int32(), "tokens": pa.list_(pa.int64()), "places": pa.list_(pa.int32())} | dict.fromkeys(bits, pa.int64())
+    kinds = {"key": pa.string(), "n": pa.int32(), "tokens": pa.list_(pa.int64()), "places": pa.list_(pa.int32())} | dict.fromkeys(BITS, pa.int64())
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, component, seq in zip(*(batch.column(c).to_pylist() for c in ("key", "component", "seq"))):
+            for key, seq in zip(batch.column("key").to_pylist(), batch.column("seq").to_pylist()):
                 h = labelled(np.frombuffer(seq, np.uint64))
                 token, place = prefix(h, shared.value)
-                rows.append((key, component, len(h), token.view(np.int64), place.astype(np.int32), *bitmap(h).tolist()))
+                rows.append((key, len(h), token.view(np.int64), place.astype(np.int32), *bitmap(h).tolist()))
             if rows:
                 yield _arrow(kinds, list(zip(*rows)))
 
-    schema = "key string, component string, n int, tokens array<bigint>, places array<int>, " + ", ".join(f"{b} long" for b in bits)
-    found = settle(own.select("key", "component", "seq").mapInArrow(prefixes, schema), "prefixes")
-    rows = found.select("key", "component", "n", *bits, F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("key", "component", "n", *bits, F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
-    # Texts of one class needn't meet: of a token's largest class, texts meet those of other classes only.
+    return settle(own.select("key", "seq").mapInArrow(first, "key string, n int, tokens array<bigint>, places array<int>, " + ", ".join(f"{b} long" for b in BITS)), "prefixes")
+
+
+def shared_tokens(firsts: DataFrame, group: DataFrame) -> DataFrame:
+    """A row per text and shingle of its prefix that texts of several classes have, with near (how many texts have it) and main: whether the text is of the class that has it most often."""
+    classed = firsts.join(group.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    rows = classed.select("key", "component", "n", *BITS, F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("key", "component", "n", *BITS, F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
     largest = rows.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "component")).alias("l"), F.sum("c").alias("near"), F.count("*").alias("classes")).where("classes > 1")
-    rows = rows.join(largest, "token").withColumn("main", F.col("component") == F.col("l.component")).withColumn("salts", F.floor(F.col("near") / FAN)).drop("l", "classes")
-    rows = settle(rows, "shared-prefixes")
+    return settle(rows.join(largest, "token").withColumn("main", F.col("component") == F.col("l.component")).drop("l", "classes"), "shared-prefixes")
+
+
+def may_link() -> Column:
+    """Whether a row of shared_tokens and another (columns with _) at the same shingle leave room for a link: by sizes, by what follows in both, and by bitmaps."""
+    need = SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("n_")) - 1e-9
+    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_"))) for b in BITS), F.lit(0))
+    return (F.col("component") != F.col("component_")) & similar_sizes("n", "n_") & (F.least(F.col("n") - F.col("place"), F.col("n_") - F.col("place_")) >= need) & (F.col("n") + F.col("n_") - differ >= 2 * need)
+
+
+def unseen(met: DataFrame, seen: DataFrame, name: str) -> DataFrame:
+    """a < b, near of rows that met (key, key_, near), each pair once and none of those in seen."""
+    pairs = met.groupBy(F.least("key", "key_").alias("a"), F.greatest("key", "key_").alias("b")).agg(F.max("near").alias("near"))
+    return settle(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), name)
+
+
+def other_side(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("token", *more, *[F.col(c).alias(f"{c}_") for c in ("key", "component", "n", "place", "main", *BITS)])
+
+
+def token_leaders(rows: DataFrame) -> DataFrame:
+    """Rows of texts that meet the leader of a shingle: of the class that has it most often, the text in which it stands first."""
+    leader = other_side(rows.where("main").groupBy("token").agg(F.min(F.struct("place", "key", "n", "component", "main", *BITS)).alias("l")).select("token", "l.*"))
+    return rows.where("NOT main").join(leader, "token").where(may_link()).select("key", "key_", "near")
+
+
+def token_pairs(rows: DataFrame) -> DataFrame:
+    """Rows of texts that meet in a shingle: those of its main class with those of others, and these with each other. A shingle of many texts is dealt over tasks."""
+    rows = rows.withColumn("salts", F.floor(F.col("near") / FAN))
     # Of a pair, the text with fewer shingles shares 2s / (1 + s) of them at least, so its part of the prefix is shorter.
     short = rows.where(F.col("n") - F.col("place") >= 2 * SIMILARITY / (1 + SIMILARITY) * F.col("n") - 1e-9).withColumn("_salt", F.pmod(F.xxhash64("key"), F.col("salts") + 1))
-    other = rows.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), "salts"))).select("token", "_salt", *[F.col(c).alias(f"{c}_") for c in ("key", "component", "n", "place", "main", *bits)])
-    need = SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("n_")) - 1e-9
-    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_"))) for b in bits), F.lit(0))
-    may = (F.struct("n", "key") < F.struct("n_", "key_")) & (F.col("component") != F.col("component_")) & similar_sizes("n", "n_")
-    may = may & (F.least(F.col("n") - F.col("place"), F.col("n_") - F.col("place_")) >= need) & (F.col("n") + F.col("n_") - differ >= 2 * need)
-    on = ["token", "_salt"]
+    other = other_side(rows.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), "salts"))), "_salt")
+    on, may = ["token", "_salt"], (F.struct("n", "key") < F.struct("n_", "key_")) & may_link()
     met = short.where("NOT main").join(other, on).where(may).union(short.where("main").join(other.where("NOT main_"), on).where(may))
-    pairs = met.groupBy(F.least("key", "key_").alias("a"), F.greatest("key", "key_").alias("b")).agg(F.max("near").alias("near"))
-    return settle(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), "open-pairs")
+    return met.select("key", "key_", "near")
 
 
 def classes(texts: DataFrame) -> DataFrame:
     """node, component of the texts with links. texts: key (unique string), text."""
-    members = bucket_members(texts)
-    seqs = sequences(texts, members)
-    pairs = candidates(members)
-    found = links(seqs, pairs)
-    group = components(found)
-    opened = open_texts(members, group)
-    if opened.limit(1).count():
-        late = links(seqs, open_pairs(seqs, opened, pairs))
-        if late.limit(1).count():
-            group = components(found.union(late))
-    return group
+    with passing(texts.sparkSession):
+        members = bucket_members(texts)
+        seqs = sequences(texts, members)
+        seen = candidates(members)
+        found = links(seqs, seen)
+        group = components(found)
+        opened = open_texts(members, group)
+        if opened.limit(1).count():
+            firsts = prefixes(seqs, opened.select("key"))
+            for meet in (token_leaders, token_pairs):
+                pairs = unseen(meet(shared_tokens(firsts, group)), seen, "open-pairs")
+                late = links(seqs, pairs)
+                if late.limit(1).count():
+                    seen, found = seen.union(pairs), found.union(late)
+                    group = components(found)
+        return settle(group, "classes", keep=True)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
