@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +20,13 @@ from tidemark.llm.page_layouts import Layout
 
 #: Pages of the labelled sample at most, and the size of the model.
 TRAINING_PAGES, TREES, DEPTH = 1500, 30, 5
-#: Fixed values of HTML: elements without content, elements whose text isn't shown, elements that begin and end a block.
+#: Nodes whose features are held at a time.
+NODES = 50_000
+#: Fixed values of HTML: elements without content, elements whose text is never shown as text, elements that begin and end a block, elements whose content is no markup (without and with character references).
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = set("head script style template noscript title iframe object svg math select option textarea button".split())
+SILENT = set("head script style template title iframe select option textarea button".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
+RAW, RAW_DECODED = set("script style xmp iframe noembed noframes".split()), set("title textarea".split())
 #: A start tag (key) ends an open element (first set) unless one of the second set is between.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
 TAGS = ["html body", "article", "main", "section", "div", "p", "h1", "h2 h3 h4 h5 h6", "ul ol menu dl", "li dt dd", "table tbody thead tfoot tr td th", "nav", "header", "footer", "aside", "form fieldset label input select textarea button", "a", "b i em strong span u small code sub sup font mark", "figure figcaption img picture video", "blockquote pre"]
@@ -33,11 +36,47 @@ TOKEN_GROUP = {t: i for i, group in enumerate(TOKENS) for t in group.split()}
 WITHIN = [TAG_GROUP[t] for t in ("article", "main", "nav", "header", "footer", "aside", "form")]
 
 
-class Dom(HTMLParser):
-    """Elements in document order, and the events of which text is made: (node, text) or None at the edge of a block."""
+_S = r"[\t\n\r\f ]"
+#: A tag written plainly, and one of its attributes. Quantifiers never give back, so a match takes linear time.
+_TAG = re.compile(rf"<(/?)([A-Za-z][^\t\n\r\f />]*+)((?:{_S}++[^\t\n\r\f \"'<>/=]++(?:=(?:\"[^\"]*+\"|'[^']*+'|[^\t\n\r\f \"'=<>`]++))?+)*+){_S}*+/?+>")
+_ATTRIBUTE = re.compile(rf"{_S}++([^\t\n\r\f =]++)(?:=(\"[^\"]*+\"|'[^']*+'|[^\t\n\r\f ]++))?+")
+_NAME, _GAP, _EQUALS = re.compile(r"[A-Za-z][^\t\n\r\f />]*+"), re.compile(r"[\t\n\r\f /]*+"), re.compile(rf"{_S}*+={_S}*+")
+_ATTRIBUTE_NAME, _UNQUOTED = re.compile(r"=?+[^\t\n\r\f />=]*+"), re.compile(r"[^\t\n\r\f >]*+")
+_COMMENT_END = re.compile(r"--!?>")
+
+
+def odd_tag(html: str, at: int) -> tuple[list[tuple[str, str | None]], int]:
+    """Attributes of a tag from behind its name, and where it ends: -1 if it never does."""
+    attrs = []
+    while True:
+        at = _GAP.match(html, at).end()
+        if at >= len(html):
+            return attrs, -1
+        if html[at] == ">":
+            return attrs, at + 1
+        m = _ATTRIBUTE_NAME.match(html, at)
+        name, value, at = m[0].lower(), None, m.end()
+        if m := _EQUALS.match(html, at):
+            at = m.end()
+            quote = html[at : at + 1]
+            if quote and quote in "\"'":
+                end = html.find(quote, at + 1)
+                if end < 0:
+                    return attrs, -1
+                value, at = html[at + 1 : end], end + 1
+            else:
+                m = _UNQUOTED.match(html, at)
+                value, at = m[0], m.end()
+        attrs.append((name, value))
+
+
+class Dom:
+    """Elements in document order, and the events of which text is made: (node, text) or None at the edge of a block.
+
+    Any string is a page and is read in linear time, as browsers do it: a declaration or processing instruction ends at the next ">", a comment that
+    never ends takes the rest, a tag that never ends is dropped, "<" before anything else is text."""
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
         self.tag: list[str] = []
         self.parent: list[int] = []
         self.end: list[int] = []
@@ -46,49 +85,94 @@ class Dom(HTMLParser):
         self.silent: list[bool] = []
         self.events: list[tuple[int, str] | None] = []
         self.stack: list[int] = []
-        self.open: dict[str, int] = {}
+        #: Places in the stack of the open elements of each tag.
+        self.places: dict[str, list[int]] = {}
         self.add("#root", [])
-        self.feed(html)
-        self.close()
+        self.read(html)
         while self.stack:
             self.pop()
 
+    def read(self, html: str) -> None:
+        at = 0
+        while at < len(html):
+            mark = html.find("<", at)
+            if mark != at:
+                self.events.append((self.stack[-1], unescape(html[at : mark if mark >= 0 else len(html)])))
+            if mark < 0:
+                return
+            if m := _TAG.match(html, mark):
+                at, name, closing = m.end(), m[2].lower(), bool(m[1])
+                attrs = [(k.lower(), v[1:-1] if v and v[0] in "\"'" else v) for k, v in _ATTRIBUTE.findall(m[3])] if m[3] else []
+            else:
+                closing = html.startswith("/", mark + 1)
+                m = _NAME.match(html, mark + 1 + closing)
+                if not m:
+                    at = self.not_a_tag(html, mark)
+                    continue
+                name = m[0].lower()
+                attrs, at = odd_tag(html, m.end())
+                if at < 0:
+                    return
+            if closing:
+                self.handle_endtag(name)
+                continue
+            self.handle_starttag(name, attrs)
+            if name in RAW or name in RAW_DECODED:
+                m = re.compile(rf"</{re.escape(name)}(?=[\t\n\r\f />])", re.IGNORECASE).search(html, at)
+                text, at = html[at : m.start() if m else len(html)], m.start() if m else len(html)
+                if text:
+                    self.events.append((self.stack[-1], unescape(text) if name in RAW_DECODED else text))
+
+    def not_a_tag(self, html: str, mark: int) -> int:
+        """Where what begins at mark with "<", but isn't a tag, ends."""
+        if html.startswith("<!--", mark):
+            if m := re.compile("-?>").match(html, mark + 4):
+                return m.end()
+            m = _COMMENT_END.search(html, mark + 4)
+            return m.end() if m else len(html)
+        if html[mark + 1 : mark + 2] in ("!", "?", "/") and mark + 2 < len(html):
+            end = html.find(">", mark + 2)
+            return end + 1 if end >= 0 else len(html)
+        self.events.append((self.stack[-1], "<"))
+        return mark + 1
+
     def add(self, tag: str, attrs: list) -> None:
         up = self.stack[-1] if self.stack else -1
-        bits = 0
+        bits, gold = 0, False
         for k, v in attrs:
             if k in ("class", "id", "role") and v:
-                for t in re.findall("[a-z]+", v[:500].lower()):
+                for t in re.findall("[a-z]+", (unescape(v) if "&" in v else v).lower()):
                     if t in TOKEN_GROUP:
                         bits |= 1 << TOKEN_GROUP[t]
             elif k == "hidden" or k == "style" and v and "display:none" in v.replace(" ", "").lower():
                 bits |= 1 << TOKEN_GROUP["hidden"]
+            elif k == "data-gold":
+                gold = True
         self.tag.append(tag)
         self.parent.append(up)
         self.end.append(0)
         self.tokens.append(bits)
-        self.gold.append(any(k == "data-gold" for k, _ in attrs))
+        self.gold.append(gold)
         self.silent.append(tag in SILENT or up >= 0 and self.silent[up])
+        self.places.setdefault(tag, []).append(len(self.stack))
         self.stack.append(len(self.tag) - 1)
-        self.open[tag] = self.open.get(tag, 0) + 1
 
     def pop(self) -> None:
         node = self.stack.pop()
         self.end[node] = len(self.tag)
-        self.open[self.tag[node]] -= 1
+        self.places[self.tag[node]].pop()
         if self.tag[node] in BLOCK:
             self.events.append(None)
 
+    def innermost(self, tags: set[str]) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
     def pop_through(self, tags: set[str], stop: set[str]) -> None:
-        if any(self.open.get(t) for t in tags):
-            for k in range(len(self.stack) - 1, 0, -1):
-                t = self.tag[self.stack[k]]
-                if t in tags:
-                    while len(self.stack) > k:
-                        self.pop()
-                    return
-                if t in stop:
-                    return
+        """End the innermost element of tags and all in it, unless an element of stop is inside it."""
+        at = self.innermost(tags)
+        if at >= 0 and at > self.innermost(stop):
+            while len(self.stack) > at:
+                self.pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
@@ -103,16 +187,10 @@ class Dom(HTMLParser):
         if tag in VOID:
             self.pop()
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-
     def handle_endtag(self, tag: str) -> None:
         if tag not in VOID:
             self.pop_through({tag}, set())
 
-    def handle_data(self, data: str) -> None:
-        self.events.append((self.stack[-1], data))
-
     def text(self, chosen: list[bool]) -> str:
         blocks, now = [], []
         for e in [*self.events, None]:
@@ -126,7 +204,11 @@ class Dom(HTMLParser):
 
 
 def features(doms: list[Dom]) -> np.ndarray:
-    """A row per node of all pages. Subtrees are runs of nodes, so their sums are differences of running sums."""
+    return np.vstack(list(feature_blocks(doms)))
+
+
+def feature_blocks(doms: list[Dom]) -> Iterator[np.ndarray]:
+    """A row per node of all pages, NODES at a time. Subtrees are runs of nodes, so their sums are differences of running sums."""
     sizes = np.array([len(d.tag) for d in doms])
     base = np.repeat(np.cumsum(sizes) - sizes, sizes)
     n = int(sizes.sum())
@@ -181,8 +263,11 @@ def features(doms: list[Dom]) -> np.ndarray:
     _, inverse, counts = np.unique(pair, return_inverse=True, return_counts=True)
     alike = counts[inverse] / np.maximum(children[up], 1)
     columns = [depth, place, children[up], children, np.log1p(chars), ratio, np.log1p(tags), chars / tags, points / (chars + 1), np.log1p(own), chars / total, chars / (chars[up] + 1), (first - first[top]) / total, np.log1p(paragraphs), items / tags, np.log1p(anchors), np.log1p(fields), ratio[up], np.log1p(kin[up] / np.maximum(children[up], 1)), alike, np.log1p(chars[up]), np.log1p(paragraphs[up])]
-    flags = [(group[:, None] == np.arange(len(TAGS) + 1)).astype(float), (group[up][:, None] == np.arange(len(TAGS) + 1)).astype(float), inside, (bits[:, None] >> np.arange(len(TOKENS)) & 1).astype(float), (around[:, None] >> np.arange(len(TOKENS)) & 1).astype(float)]
-    return np.hstack([np.column_stack(columns), *flags])
+    table, kinds, topics = np.column_stack(columns), np.arange(len(TAGS) + 1), np.arange(len(TOKENS))
+    for lo in range(0, n, NODES):
+        i = slice(lo, lo + NODES)
+        flags = [group[i, None] == kinds, group[up[i], None] == kinds, inside[i], bits[i, None] >> topics & 1, around[i, None] >> topics & 1]
+        yield np.hstack([table[i], *flags])
 
 
 class Forest:
@@ -285,7 +370,7 @@ def main_text(html: str, forest: Forest) -> str:
 
 def main_texts(pages: list[str], forest: Forest) -> list[str]:
     doms = [Dom(p) for p in pages]
-    score, at, out = forest.log_odds(features(doms)).tolist() if doms else [], 0, []
+    score, at, out = [x for block in feature_blocks(doms) for x in forest.log_odds(block).tolist()] if doms else [], 0, []
     for d in doms:
         out.append(d.text(decode(d, score[at : at + len(d.tag)])))
         at += len(d.tag)
@@ -293,7 +378,7 @@ def main_texts(pages: list[str], forest: Forest) -> list[str]:
 
 
 def extract_text(pages: DataFrame, *, html: str = "html", forest: Forest | None = None) -> DataFrame:
-    """row (struct of pages' columns) and text: the main text of the whole html. Null and empty html give empty text; equal pages give equal texts."""
+    """row (struct of pages' columns, whatever their names) and text: the main text of the whole html, of any length and however broken. Null and empty html give empty text; equal pages give equal texts; an empty table gives no rows."""
     spark = pages.sparkSession
     model = spark.sparkContext.broadcast(forest or fit(spark))
 
