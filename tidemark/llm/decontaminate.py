@@ -1,8 +1,8 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, against which every text's word windows are scanned.
 
-Words are numbered by the benchmark's own vocabulary, so a window of numbers is the window itself and a hit in the set is verified by
-being found: no two windows share a key. Training text shuffles nowhere. The set is broadcast only within WINDOWS words; a larger
-benchmark is dealt over several sets, each within the bound, and the texts pass through one after the other."""
+The set is arrays: sorted window hashes with the windows' places in the normalised text, made once and shared by all tasks of a worker. A window of a text
+whose hash is in it is compared as text, so no two windows pass for each other. Training text shuffles nowhere. A set holds WINDOWS words at most; a larger
+benchmark is dealt over several sets, long items in pieces, and the texts meet one set after the other."""
 
 from __future__ import annotations
 
@@ -13,11 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, whole_text
+from tidemark.llm.common import settle, table, whole_text
+from tidemark.llm.polyhash import mix, prefix_hashes, substring_hashes
 
 N = 10
-#: Words of benchmark text in one broadcast set at most (the last item may go beyond).
-WINDOWS = 2_000_000
+#: Words of benchmark text in one set (32 bytes each and the text), and in one piece of an item, at most.
+WINDOWS, PIECE = 2_000_000, 10_000
 #: Bytes of words stay, A-Z in lower case; all others of the ASCII range separate.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD_BYTES = bytes(c if NORMAL[c] != 32 else 32 for c in range(256))
@@ -27,31 +28,63 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(NORMAL).split()
 
 
+class Words:
+    """A normalised text: its words with one space between, where they start and end, and their hashes."""
+
+    def __init__(self, text: str):
+        self.data = b" ".join(words_of(text))
+        raw = np.frombuffer(self.data, np.uint8)
+        gaps = np.flatnonzero(raw == 32)
+        self.start, self.end = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(raw)]])
+        if not len(raw):
+            self.start = self.end = np.empty(0, np.int64)
+        self.hashes = mix(substring_hashes(prefix_hashes(raw), self.start, self.end))
+
+    def windows(self, size: int) -> np.ndarray:
+        """Hashes of the windows of size words."""
+        at = np.arange(max(0, len(self.hashes) - size + 1))
+        return mix(substring_hashes(prefix_hashes(self.hashes), at, at + size)) if len(at) else np.empty(0, np.uint64)
+
+
 class GramSet:
     """Windows of n words of items (id, text); an item of fewer words, but not none, is one window."""
 
     def __init__(self, items: list[tuple[str | None, str]], n: int = N):
-        self.vocabulary: dict[bytes, int] = {}
-        self.windows: dict[int, dict[bytes, set]] = {}
-        for item, text in items:
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32)
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1) if size else ():
-                self.windows.setdefault(size, {}).setdefault(ids[i : i + size].tobytes(), set()).add(item)
-
-    def scan(self, words: list[bytes]) -> tuple[list[int], list]:
+        self.items = [item for item, _ in items]
+        parts: dict[int, list] = {}
+        texts, at = [], 0
+        for number, (_, text) in enumerate(items):
+            w = Words(text)
+            size = min(n, len(w.hashes))
+            if size:
+                k = len(w.hashes) - size + 1
+                parts.setdefault(size, []).append((w.windows(size), w.start[:k] + at, w.end[size - 1 :] + at, np.full(k, number)))
+                texts.append(w.data)
+                at += len(w.data)
+        self.text = b"".join(texts)
+        self.windows = {}
+        for size, columns in parts.items():
+            h, start, end, number = (np.concatenate(c) for c in zip(*columns))
+            order = np.argsort(h, kind="stable")
+            # A table of low hash bits, most of them unset, tells most absent windows in one look.
+            low = np.zeros(1 << max(10, int(8 * len(h)).bit_length()), bool)
+            low[h & np.uint64(len(low) - 1)] = True
+            self.windows[size] = (h[order], start[order].astype(np.int32), end[order].astype(np.int32), number[order].astype(np.int32), low)
+
+    def scan(self, words: Words) -> tuple[list[int], list]:
         """Places of the hit words, in order, and ids of the items found."""
-        known = self.vocabulary.get
-        ids = np.fromiter((known(w, 0) for w in words), np.int32, len(words))
-        gaps = np.concatenate([[0], np.cumsum(ids == 0)])
-        hit, items = np.zeros(len(ids), bool), set()
-        for size, grams in self.windows.items():
-            for i in np.flatnonzero(gaps[size:] == gaps[:-size]).tolist() if len(ids) >= size else ():
-                found = grams.get(ids[i : i + size].tobytes())
-                if found:
-                    hit[i : i + size] = True
-                    items |= found
-        return np.flatnonzero(hit).tolist(), [x for x in items if x is not None]
+        hit, found = np.zeros(len(words.hashes), bool), set()
+        for size, (hashes, start, end, number, low) in self.windows.items():
+            h = words.windows(size)
+            at = np.flatnonzero(low[h & np.uint64(len(low) - 1)])
+            first, last = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
+            for i, lo, hi in zip(at.tolist(), first.tolist(), last.tolist()):
+                mine = words.data[words.start[i] : words.end[i + size - 1]] if lo < hi else b""
+                for j in range(lo, hi):
+                    if self.text[start[j] : end[j]] == mine:
+                        hit[i : i + size] = True
+                        found.add(self.items[number[j]])
+        return np.flatnonzero(hit).tolist(), [x for x in found if x is not None]
 
 
 def without_words(text: str, places: list[int]) -> str:
@@ -75,46 +108,62 @@ def without_words(text: str, places: list[int]) -> str:
     return b"".join(out).decode()
 
 
-def scan_documents(docs: DataFrame, benchmark: DataFrame, *, n: int = N, windows: int = WINDOWS) -> DataFrame:
-    """row (struct of docs' columns, whatever their names), n_words, places (array of the hit words' numbers), items (ids found, as strings).
+def pieces(benchmark: DataFrame, n: int = N) -> DataFrame:
+    """item, text, n_words: the normalised items, long ones in pieces that overlap by n - 1 words, so that every window is in one of them."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+                words = words_of(text)
+                parts = [words[lo : lo + PIECE + n - 1] for lo in range(0, max(1, len(words) - n + 1), PIECE)]
+                cells = [[item] * len(parts), [b" ".join(x).decode() for x in parts], [len(x) for x in parts]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.string(), pa.string(), pa.int64()))], names=["item", "text", "n_words"])
 
-    Null texts have no words. Items without words never hit; items of null id hit but are not listed; items of equal id count once."""
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), whole_text("text").alias("text")).mapInArrow(cut, "item string, text string, n_words long").where("n_words > 0")
+
+
+def scan_documents(docs: DataFrame, benchmark: DataFrame, *, n: int = N, windows: int = WINDOWS, cut: bool = False) -> DataFrame:
+    """row (struct of docs' columns, whatever their names), n_words, places (array of the hit words' numbers), items (ids found, as strings), and with cut the text without the hit words (null: none hit).
+
+    Null texts have no words. Items without words never hit; items of null id hit but are not listed; items of equal id count once; an empty table gives no rows."""
     spark = docs.sparkSession
     text = whole_text(F.col("row")["text"])
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", text.alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("places"), F.array().cast("array<string>").alias("items"))
-    tests = benchmark.select(F.col("item_id").cast("string").alias("item"), whole_text("text").alias("text"))
-    slices = 1 + (tests.agg(F.sum(F.length("text") + 1).alias("n")).first()["n"] or 0) // (2 * windows)
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", text.alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("places"), F.array().cast("array<string>").alias("items"), F.lit(None).cast("string").alias("cut"))
+    tests = settle(pieces(benchmark, n), "benchmark-pieces")
+    slices = 1 + (tests.agg(F.sum("n_words").alias("n")).first()["n"] or 0) // windows
     for k in range(slices):
-        mine = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k)
-        items = spark.sparkContext.broadcast([tuple(r) for r in mine.collect()])
+        mine = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k) if slices > 1 else tests
+        grams = spark.sparkContext.broadcast(GramSet([(r.item, r.text) for r in mine.toLocalIterator()], n))
 
-        def scan(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            grams = GramSet(items.value, n)
+        def scan(batches: Iterator[pa.RecordBatch], grams=grams, last=k == slices - 1) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                counts, places, found = [], [], []
+                counts, places, found, cuts = [], [], [], []
                 for t, p, i in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), batch.column("items").to_pylist()):
-                    words = words_of(t)
-                    at, ids = grams.scan(words)
-                    counts.append(len(words))
+                    words = Words(t)
+                    at, ids = grams.value.scan(words)
+                    counts.append(len(words.hashes))
                     places.append(sorted({*p, *at}) if p else at)
                     found.append(sorted({*i, *ids}))
-                cells = [pa.array(counts, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), *cells], names=["row", "text", "n_words", "places", "items"])
+                    cuts.append(without_words(t, places[-1]) if cut and last and places[-1] else None)
+                cells = [pa.array(counts, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string())), pa.array(cuts, pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), *cells], names=["row", "text", "n_words", "places", "items", "cut"])
 
         out = out.mapInArrow(scan, out.schema)
-    return out
+        if k < slices - 1:
+            # So that a worker never holds two sets.
+            out = settle(out, "scanned")
+            grams.unpersist()
+    return out.drop("text")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents", n: int = N) -> DataFrame:
-    """docs without the documents that hold a benchmark window, or (remove="spans") with the hit words cut out of their texts."""
-    found = scan_documents(docs, benchmark, n=n)
+    """docs without the documents that hold a benchmark window, or (remove="spans") with the hit words cut out of their texts. Columns may have any names."""
+    if remove not in ("documents", "spans"):
+        raise ValueError("remove is documents or spans")
+    found = scan_documents(docs, benchmark, n=n, cut=remove == "spans")
     if remove == "documents":
         return found.where(F.size("places") == 0).select("row.*")
-    if remove != "spans":
-        raise ValueError("remove is documents or spans")
-    cut = F.udf(without_words, "string")
-    kept = F.when(F.size("places") == 0, F.col("row")["text"]).otherwise(cut("text", "places"))
-    return found.select(F.col("row").withField("text", kept).alias("row")).select("row.*")
+    return found.select(F.col("row").withField("text", F.coalesce("cut", F.col("row")["text"])).alias("row")).select("row.*")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
