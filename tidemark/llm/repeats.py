@@ -22,6 +22,8 @@ from tidemark.llm.polyhash import mix, powers, prefix_hashes, substring_hashes
 LENGTH, GRAM = 200, 100
 #: Bytes of text that are hashed at a time; bytes of text per bucket.
 PIECE, BUCKET_BYTES = 1 << 20, 4 << 20
+#: Different contexts of one sample that are compared in one task; those of a more frequent sample are dealt over more tasks by a hash of each string.
+HOT = 20_000
 ANCHOR = np.dtype([("gram", "<u8"), ("context", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("before", "u1"), ("count", "u1"), ("state", "u1")])
 #: state: nothing known; settled but still to be compared with; settled only.
 OPEN, SETTLED, DONE = 0, 1, 2
@@ -102,11 +104,11 @@ def _sample(buckets: int):
     return sample
 
 
-FOUND = "k1 long, k2 long, gram long, start int, before int, count int, state int"
+FOUND = "k1 long, k2 long, gram long, start int, before int, count int, state int, splits int"
 
 
 def _match(group: pa.Table) -> pa.Table:
-    """Of a bucket's samples, those that are settled and those with a sample of another context to be compared with."""
+    """Of a bucket's samples, those that are settled and those with a sample of another context to be compared with, in so many splits."""
     keys, parts, at = [], [], 0
     for docs, raw in zip(group.column("docs").to_pylist(), group.column("anchors").to_pylist()):
         k, p = np.frombuffer(docs, np.int64).reshape(2, -1), np.frombuffer(raw, ANCHOR).copy()
@@ -122,9 +124,13 @@ def _match(group: pa.Table) -> pa.Table:
     mixed = counts[inverse] > 1
     alone = rest[~mixed & (rest["state"] == SETTLED)]
     alone["state"] = DONE
-    a = np.concatenate([done, a[a["state"] == DONE], alone, rest[mixed]])
+    hot = counts[inverse][mixed]
+    splits = np.where(hot > HOT, hot * (LENGTH - GRAM + 1) // HOT, 1)
+    settled = [done, a[a["state"] == DONE], alone]
+    splits = np.concatenate([np.ones(sum(map(len, settled)), np.int64), splits])
+    a = np.concatenate([*settled, rest[mixed]])
     start = a["at"].astype(np.int64) - a["before"]
-    cells = [k[0][a["doc"]], k[1][a["doc"]], np.ascontiguousarray(a["gram"]).view(np.int64), start.astype(np.int32), a["before"].astype(np.int32), a["count"].astype(np.int32), a["state"].astype(np.int32)]
+    cells = [k[0][a["doc"]], k[1][a["doc"]], np.ascontiguousarray(a["gram"]).view(np.int64), start.astype(np.int32), a["before"].astype(np.int32), a["count"].astype(np.int32), a["state"].astype(np.int32), splits.astype(np.int32)]
     return pa.table([pa.array(c) for c in cells], names=[x.split()[0] for x in FOUND.split(", ")])
 
 
@@ -235,23 +241,44 @@ def _sorted_ranges(group: pa.Table) -> pa.Table:
     return pa.table([pa.array(k1[r]), pa.array(k2[r]), pa.array((start[r] + a).astype(np.int32)), pa.array((start[r] + b + LENGTH).astype(np.int32))], names=["k1", "k2", "start", "end"])
 
 
+CONTEXTS = "k1 long, k2 long, gram long, split int, start int, before int, count int, state int, context binary"
+
+
+def parts(data: bytes, count: int, splits: int) -> Iterator[tuple[int, int, int]]:
+    """split, first, n: the runs of the context's strings that go to the same split. Equal strings go to the same."""
+    if splits == 1:
+        yield 0, 0, count
+        return
+    raw = np.frombuffer(data, np.uint8)
+    at = np.arange(count)
+    split = (mix(substring_hashes(prefix_hashes(raw), at, at + LENGTH)) % np.uint64(splits)).tolist()
+    first = 0
+    for i in range(1, count + 1):
+        if i == count or split[i] != split[first]:
+            yield split[first], first, i - first
+            first = i
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
+        out, held = [], 0
         for k1, k2, text, found in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "text", "found"))):
             data = text.encode()
             for f in found:
-                out.append((k1, k2, f["gram"], f["start"], f["before"], f["count"], f["state"], data[f["start"] : f["start"] + f["count"] - 1 + LENGTH]))
-            if len(out) > 20_000:
+                context = data[f["start"] : f["start"] + f["count"] - 1 + LENGTH]
+                for split, first, n in parts(context, f["count"], f["splits"]):
+                    out.append((k1, k2, f["gram"], split, f["start"] + first, f["before"] - first, n, f["state"], context[first : first + n - 1 + LENGTH]))
+                    held += n + LENGTH
+            if held > 8 << 20:
                 yield _context_batch(out)
-                out = []
+                out, held = [], 0
         if out:
             yield _context_batch(out)
 
 
 def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["k1", "k2", "gram", "start", "before", "count", "state", "context"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in CONTEXTS.split(", ")])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,10 +311,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     sampled = keyed.select("k1", "k2", "text").mapInArrow(_sample(buckets), "bucket int, docs binary, anchors binary")
     found = settle(sampled.groupBy("bucket").applyInArrow(_match, FOUND), "repeat-samples")
     settled = found.where(F.col("state") != OPEN).select("k1", "k2", "start", (F.col("start") + F.col("count") - 1 + LENGTH).alias("end"))
-    mixed = found.where(F.col("state") != DONE).groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "start", "before", "count", "state")).alias("found"))
-    own = keyed.join(mixed, ["k1", "k2"]).select("k1", "k2", "text", "found").mapInArrow(_contexts, "k1 long, k2 long, gram long, start int, before int, count int, state int, context binary")
-    ordered = own.groupBy(F.pmod("gram", F.lit(buckets)).alias("bucket")).applyInArrow(_sorted_ranges, RANGES)
-    ranges = settled.union(ordered).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    mixed = found.where(F.col("state") != DONE).groupBy("k1", "k2").agg(F.collect_set(F.struct("gram", "start", "before", "count", "state", "splits")).alias("found"))
+    own = keyed.join(mixed, ["k1", "k2"]).select("k1", "k2", "text", "found").mapInArrow(_contexts, CONTEXTS)
+    ordered = own.groupBy(F.pmod(F.xxhash64("gram", "split"), F.lit(buckets)).alias("bucket")).applyInArrow(_sorted_ranges, RANGES)
+    ranges = settled.union(ordered).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     cut = keyed.join(ranges, ["k1", "k2"], "left").select("row", "text", "ranges")
     return cut.mapInArrow(_cut, f"row {rows.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
 
