@@ -2,7 +2,8 @@
 
 Archives that were compressed as one gzip stream can only be read from the start. The normaliser inflates each such file once, as a stream,
 writes every record as a gzip member of its own, and gives a sidecar index of offsets, with which single records are read. Files
-are written under a name of the task attempt and then moved, so a repeated task leaves one whole file."""
+are written under another name and then moved. Archives are named by the task attempt that wrote them, and only those that Spark's own
+table lists count, so attempts that were lost or repeated leave nothing that is read."""
 
 from __future__ import annotations
 
@@ -24,6 +25,8 @@ from tidemark.llm.common import new_path, settle, table, whole_text
 #: Bytes of records, uncompressed, after which a writer begins a new archive.
 ARCHIVE_BYTES = 1 << 30
 CHUNK, LEVEL = 1 << 20, 5
+#: Bytes of members that one task reads, about.
+READ_BYTES = 16 << 20
 GZIP = 16 + zlib.MAX_WBITS
 ARCHIVES = "archive string, records long"
 INDEX = "archive string, offset long, length long, record_id string, record_type string"
@@ -121,7 +124,7 @@ def _records(pieces: Iterator[bytes]) -> Iterator[bytes]:
         del held[:size]
 
 
-def write_monolithic(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def write_monolithic(pages: DataFrame, path: str, *, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Write a record per row in archives that are one gzip stream each; gives archive, records.
 
     Of rows with equal payloads of min_bytes or more, that of the smallest page_id is a response (several rows of that id all are; null ids count
@@ -135,7 +138,7 @@ def write_monolithic(pages: DataFrame, path: str, *, min_bytes: int = 0, date: s
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, done = TaskContext.get().partitionId(), []
+        task, done = TaskContext.get(), []
         out, name, squeeze, n, size = None, "", None, 0, 0
 
         def end() -> None:
@@ -146,12 +149,12 @@ def write_monolithic(pages: DataFrame, path: str, *, min_bytes: int = 0, date: s
         for batch in batches:
             for r in batch.to_pylist():
                 if out is None:
-                    name = f"{path}/part-{task:06d}-{len(done):04d}.warc.gz"
+                    name = f"{path}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):04d}.warc.gz"
                     out, squeeze, n, size = _Whole(name), zlib.compressobj(LEVEL, zlib.DEFLATED, GZIP), 0, 0
                 data = record(r["page_id"], r["url"], r["html"].encode(), r["refers_to"], date)
                 out.write(squeeze.compress(data))
                 n, size = n + 1, size + len(data)
-                if size >= ARCHIVE_BYTES:
+                if size >= archive_bytes:
                     end()
                     out = None
         if out is not None:
@@ -222,7 +225,9 @@ def read_records(index: DataFrame) -> DataFrame:
     def made(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    dealt = index.repartition("archive", F.floor(F.col("offset") / (64 * CHUNK))).sortWithinPartitions("archive", "offset")
+    # Dealt by the bytes to be read, in a number of tasks that adaptive execution leaves alone: the index itself is small.
+    tasks = 1 + (index.agg(F.sum("length").alias("n")).first()["n"] or 0) // READ_BYTES
+    dealt = index.repartition(tasks, "archive", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
