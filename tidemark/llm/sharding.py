@@ -36,11 +36,13 @@ def lookup_table(shards: list[str], slots: int = SLOTS) -> list[int]:
 
 
 def assign_shards(docs: DataFrame, *, shards: list[str] | None = None, slots: int = SLOTS, key: str = "doc_id", slot_as: str = "slot", shard_as: str = "shard") -> DataFrame:
-    """docs with slot_as and shard_as, replacing columns of these names. Rows of equal key (null counts as empty) share a shard; the rows are not shuffled; an empty table gives no rows."""
+    """docs with slot_as and shard_as, replacing columns of these names; other columns may have any names. Rows of equal key (null counts as empty) share a shard; the rows are not shuffled; an empty table gives no rows."""
     names = shards or [f"shard-{i:05d}" for i in range(SHARDS)]
-    owners = docs.sparkSession.createDataFrame(list(enumerate(lookup_table(names, slots))), "_slot long, _shard long")
-    rows = docs.drop(slot_as, shard_as).withColumn(slot_as, F.pmod(hash60(F.col(key), "shard:"), F.lit(slots).cast("long")))
-    return rows.join(F.broadcast(owners), F.col(slot_as) == F.col("_slot")).drop("_slot").withColumnRenamed("_shard", shard_as)
+    owners = docs.sparkSession.createDataFrame(list(enumerate(lookup_table(names, slots))), "slot long, shard long")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.withColumn("slot", F.pmod(hash60(F.col("row")[key], "shard:"), F.lit(slots).cast("long"))).join(F.broadcast(owners), "slot")
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in (slot_as, shard_as)]
+    return rows.select(*kept, F.col("slot").alias(slot_as), F.col("shard").alias(shard_as))
 
 
 def write_shards(placed: DataFrame, path: str, *, files: int = 1, shard: str = "shard", key: str = "doc_id") -> None:
