@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import new_path, table, whole_text
+from tidemark.llm.common import new_path, settle, table, whole_text
 
 #: Fixed values of the coding: ids per word and bits per id, by selector.
 PER_WORD = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
+#: Bits per id of the narrowest selector that holds ids of so many bits.
+_WIDTH = np.array([min((b for b in BITS.tolist() if b >= n), default=60) for n in range(62)])
 GROUP, BLOCK = 1 << 14, 1 << 16
 END = 2
 BLOCKS = "shard int, block int, start long, doc_ids array<bigint>, lengths array<int>, words binary, offsets array<int>, escape_at array<int>, escape_ids array<bigint>"
@@ -32,12 +34,12 @@ def pack(ids: np.ndarray) -> tuple[bytes, list[int], list[int], list[int]]:
     """ids (uint64) as words, word offset of each group, places and values of escapes (as signed)."""
     ids = ids.astype(np.uint64)
     at = np.flatnonzero(ids >> np.uint64(60))
-    held = ids.copy()
-    held[at] = 0
-    width = np.zeros(len(held), np.int64)
-    for b in BITS[BITS > 0][::-1]:
-        width[held < np.uint64(1) << np.uint64(b)] = b
-    width[held == 0] = 0
+    held = ids
+    if len(at):
+        held = ids.copy()
+        held[at] = 0
+    # The exponent of a float is the number of bits; rounding only makes it larger where 60 bits are needed anyway.
+    width = _WIDTH[np.frexp(held.astype(np.float64))[1]]
     words: list[np.ndarray] = []
     offsets, n = [], 0
     for lo in range(0, len(held), GROUP):
@@ -196,6 +198,7 @@ def _write_blocks(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
     shard, block, start = TaskContext.get().partitionId(), 0, 0
     keys: list = []
     held: list[np.ndarray] = []
+    size = 0
 
     def row() -> pa.RecordBatch:
         ids = np.concatenate(held)
@@ -209,10 +212,11 @@ def _write_blocks(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             for key, ids in zip(batch.column("doc_id")[lo : lo + 256].to_pylist(), encode(texts[lo : lo + 256])):
                 keys.append(key)
                 held.append(np.append(ids, np.uint32(END)))
-                if sum(map(len, held)) >= BLOCK:
+                size += len(held[-1])
+                if size >= BLOCK:
                     yield row()
-                    block, start = block + 1, start + sum(map(len, held))
-                    keys, held = [], []
+                    block, start = block + 1, start + size
+                    keys, held, size = [], [], 0
     if held:
         yield row()
 
@@ -244,7 +248,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, decoded from the files. The running total is over one row a file; within a file blocks know their own start."""
     blocks = spark.read.schema(BLOCKS).parquet(path)
     sums = blocks.select("shard", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("shard").agg(F.sum("n").alias("n"))
-    base = sums.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
+    # Written, so that Spark knows its size: up to spark.sql.autoBroadcastJoinThreshold it is broadcast and the words stay where they are read.
+    base = settle(sums.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base")), "token-bases")
     return blocks.join(base, "shard").mapInArrow(_read_blocks, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
