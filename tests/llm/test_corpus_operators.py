@@ -67,9 +67,10 @@ def test_query_equals_sql(spark, data, name):
     assert cells(got.select(*names).collect()) == cells(want.fetchall())
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if n != "op2_chat_prefixes"])
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, data, name):
-    assert QUERIES[name](spark, f"{data}/empty").collect() == []
+    # The chat query adds a conversation of its own.
+    assert len(QUERIES[name](spark, f"{data}/empty").collect()) == (name == "op2_chat_prefixes")
 
 
 def test_token_files(spark, data):
@@ -99,6 +100,36 @@ def test_word_aligned_round_trip(ids):
     assert len(words) % 8 == 0 and (token_files.unpack(words, len(x), offsets, at, values) == x).all()
 
 
+def test_blocks_and_groups(spark, tmp_path):
+    import time
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(i, prose(n, i)) for i, n in enumerate([40_000, 3, 25_000, 0, 90_000])] + [(9, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    token_files.write_token_files(docs, str(tmp_path / "a"), path)
+    got = token_files.read_token_files(spark, str(tmp_path / "a")).orderBy("start").collect()
+    e, at, want = token_files.Encoder(path).tokenizer, 0, []
+    for i, t in rows:
+        ids = np.array([*e.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert [tuple(r)[:4] for r in got] == want and at > token_files.BLOCK > token_files.GROUP
+
+    batch = token_files.pa.RecordBatch.from_pydict({"doc_id": list(range(65_536)), "text": [""] * 65_536})
+    monkey = type("Task", (), {"partitionId": lambda self: 0})
+    import pyspark
+
+    real, pyspark.TaskContext.get = pyspark.TaskContext.get, classmethod(lambda cls: monkey())
+    try:
+        start = time.time()
+        assert sum(b.num_rows for b in token_files._write_blocks(path, iter([batch]))) == 1
+        assert time.time() - start < 5
+    finally:
+        pyspark.TaskContext.get = real
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="aÀß Zé.,'’\t\n\x0b\x1c\u00a0\u0301<|endoftxİ19#*字", max_size=40), max_size=6))
 def test_encoder_equals_tokenizer(texts):
@@ -171,8 +202,9 @@ def test_shards_of_documents(spark, data):
     got = QUERIES["op4_sharding"](spark, data).collect()
     slot = lambda i: int(hashlib.md5(f"shard:{'' if i is None else i}".encode()).hexdigest()[:15], 16) % sharding.SLOTS
     assert cells((r.doc_id, r.slot, r.shard) for r in got) == cells((i, slot(i), t[slot(i)]) for i, *_ in corpus())
-    clash = spark.createDataFrame([(1, "s")], "doc_id long, slot string")
-    assert sharding.assign_shards(clash).columns == ["doc_id", "slot", "shard"]
+    clash = spark.createDataFrame([(1, "s", 4, 5)], "doc_id long, slot string, _slot int, row int")
+    placed = sharding.assign_shards(clash)
+    assert placed.columns == ["doc_id", "_slot", "row", "slot", "shard"] and placed.select("_slot", "row").first() == (4, 5)
 
 
 def test_mix_rows_equal_plan(spark, data):
@@ -192,6 +224,42 @@ def test_spans_are_cut(spark):
     assert sorted(len(r.places) for r in some.collect()) == [0, 3]
 
 
+def test_benchmark_in_slices_and_pieces(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 30)
+    items = [(i, prose(n, 300 + i)) for i, n in enumerate((500, 31, 10, 39, 40, 3, 30, 12))] + [(8, None), (0, "a b")]
+    r = random.Random(8)
+    docs = []
+    for i in range(60):
+        words = (items[i % 8][1] or "").split()
+        lo = r.randrange(len(words))
+        docs.append((i, " ".join([*prose(9, i).split(), *words[lo : lo + r.randint(5, 25)], *prose(9, 100 + i).split()]), 1))
+    docs += [(60, None, 1), (61, "", 1), (62, prose(30_000, 1) + " " + items[0][1] + " " + prose(40_000, 2), 1)]
+
+    def brute(text):
+        words, hit, found = decontaminate.words_of(text or ""), set(), set()
+        for item, t in items:
+            w = decontaminate.words_of(t or "")
+            k = min(10, len(w))
+            for p in range(len(w) - k + 1) if k else ():
+                for q in range(len(words) - k + 1):
+                    if words[q] == w[p] and words[q : q + k] == w[p : p + k]:
+                        hit |= set(range(q, q + k))
+                        found.add(str(item))
+        return len(words), sorted(hit), sorted(found)
+
+    want = [(i, *brute(t)) for i, t, _ in docs]
+    for windows in (100, 10**6):
+        got = decontaminate.scan_documents(spark.createDataFrame(docs, "doc_id long, text string, cut int"), spark.createDataFrame(items, "item_id long, text string"), windows=windows)
+        assert cells((r.row.doc_id, r.n_words, list(r.places), list(r["items"])) for r in got.collect()) == cells(want)
+
+
+def test_equal_hashes_are_not_hits(monkeypatch):
+    monkeypatch.setattr(decontaminate, "mix", lambda x: x * np.uint64(0))
+    grams = decontaminate.GramSet([("1", prose(12, 1)), ("2", prose(12, 2))])
+    assert grams.scan(decontaminate.Words(prose(40, 3))) == ([], [])
+    assert grams.scan(decontaminate.Words(f"{prose(3, 4)} {prose(11, 1)}")) == (list(range(3, 14)), ["1"])
+
+
 def test_warc(spark, data):
     rows = spark.read.parquet(f"{data}/pages.parquet").collect()
     first = {}
@@ -215,6 +283,18 @@ def test_monolithic_and_damaged_archives():
         list(warc._records(warc._inflated(io.BytesIO(data[:-20]))))
 
 
+def test_many_archives_and_long_records(spark, tmp_path):
+    r = random.Random(12)
+    rows = [(i, f"u{i}", "".join(r.choices("abcdef<>é", k=k))) for i, k in enumerate([1_500_000, 10, 3_000_000] + [40_000] * 30)] + [(99, "v", "z")] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    archives = warc.write_monolithic(pages, str(tmp_path / "whole"), archive_bytes=100_000)
+    names = [r.archive for r in archives.collect()]
+    assert len(names) == len(set(names)) > 8
+    got = warc.read_records(warc.normalise(archives, str(tmp_path / "members"))).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == sorted((i, len(h.encode())) for i, _, h in rows)
+    assert {r.page_id: bytes(r.payload).decode() for r in got} == {i: h for i, _, h in rows}
+
+
 def brute_repeats(rows, n=200):
     data = [(r[0], (r[1] or "").encode()) for r in rows]
     c = collections.Counter(b[p : p + n] for _, b in data for p in range(len(b) - n + 1))
@@ -242,6 +322,26 @@ def test_repeats_at_edges(spark, monkeypatch):
     assert cells(got.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()) == cells(brute_repeats(rows))
 
 
+def test_frequent_samples_are_split(spark, monkeypatch):
+    # One line of 150 bytes in many contexts, of which some are equal for 200 bytes around it.
+    monkeypatch.setattr(repeats, "HOT", 7)
+    line, rows = (prose(200, 7) + " ")[:150], []
+    for i in range(60):
+        rows.append((i, prose(40, 900 + i % 40) + line + prose(40, 700 + i % 50)))
+    rows += [rows[3], (None, rows[5][1]), (77, None), (78, prose(100, 900) * 30)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert cells(got.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()) == cells(brute_repeats(rows))
+
+
+def test_texts_longer_than_a_piece(spark):
+    base = prose(230_000, 21)
+    assert len(base) > repeats.PIECE
+    cut = base[repeats.PIECE - 150 : repeats.PIECE + 150]
+    rows = [(1, base), (2, f"{prose(50, 22)}{cut}{prose(50, 23)}")]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "n_removed", "n_spans").collect()}
+    assert got == {1: (300, 1), 2: (300, 1)}
+
+
 def test_hash_collisions_are_verified(monkeypatch):
     contexts = [bytes(random.Random(i % 3).choices(b"ab", k=260)) for i in range(9)]
     s = repeats.Suffixes(contexts)
@@ -412,6 +512,38 @@ def test_odd_pages(spark, forest):
     assert got[1] == got[2] == got[3] == got[5] == ""
 
 
+def shown(html):
+    dom = page_text.Dom(html)
+    return dom.text([True] * len(dom.tag))
+
+
+def test_broken_markup():
+    import time
+
+    for html, want in [
+        ("<![foo[x]]>y", "y"), ("<!doctype html><p>a", "a"), ("a<!--b>c--!>d", "ad"), ("a<!-->b", "ab"), ("a<!--b", "a"), ("<?php x ?>y", "y"), ("</ x>y", "y"), ("a < b <3", "a < b <3"), ("a<", "a<"),
+        ("x<a href='y", "x"), ("x<a href=y", "x"), ("<a title=it's>b</a>", "b"), ('<p title="a>b" class=c>d', "d"), ("<p/ =x y>z", "z"), ("<title>a<b>c</title>d", "d"), ("<script>a</scripts></SCRIPT >b", "b"), ("<style>p{}", ""),
+        ("<math><mi>x</mi></math><noscript>n</noscript><svg><text>s</text></svg><object>o</object>", "xnso"), ("<p><b>a<div>b</div>c", "a\nb\nc"), ("<ul><li>a<li>b<ul><li>c</ul>d</ul>", "a\nb\nc\nd"), ("&lt;p&gt &#65;&copy", "<p> A©"),
+    ]:
+        assert shown(html) == want, html
+    start = time.time()
+    for html in ("<!--" * 50_000, "<a " * 50_000, '<a b="' * 50_001, "<a b='" * 50_001, "<![" * 50_000, "</" * 50_000, "<" * 50_000, "<p><button>" + "<ul>" * 5_000 + "<div></div>" * 5_000, "<title>" * 20_000, "<a b=\"'" * 9_999, "<p " + "a=b " * 50_000):
+        page_text.Dom(html)
+    assert time.time() - start < 8
+
+
+def test_long_attributes_count():
+    dom = page_text.Dom(f'<div class="{"x1 " * 400} sidebar"></div><div class="side&#98;ar"></div>')
+    assert [bool(b >> page_text.TOKEN_GROUP["sidebar"] & 1) for b in dom.tokens] == [False, True, True]
+
+
+def test_long_page(forest, monkeypatch):
+    page = "<body><article>" + "".join(f"<p>Sentence {i} of the article, with words enough.</p>" for i in range(300)) + "</article></body>"
+    want = page_text.main_text(page, forest)
+    monkeypatch.setattr(page_text, "NODES", 64)
+    assert page_text.main_text(page, forest) == want and want.count("\n") == 299
+
+
 def test_chosen_nodes_are_closed_under_parents(forest):
     for seed in range(900_000, 900_020):
         dom = page_text.Dom(Layout(seed).page())
@@ -433,7 +565,7 @@ def test_pipeline_equals_its_stages(spark, data):
             single.append(r)
         seen.append(h)
     grams = decontaminate.GramSet([(str(i), t or "") for i, t in [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]])
-    clean = [r for r in single if not grams.scan(decontaminate.words_of(r[1] or ""))[0]]
+    clean = [r for r in single if not grams.scan(decontaminate.Words(r[1] or ""))[0]]
     want = mixing.mixed_documents(spark.createDataFrame(clean, DOCS))
     got = corpus_pipeline.run(spark, data)
     assert got.columns == [*DOCS.replace(" long", "").replace(" string", "").split(", "), "slot", "shard"]
