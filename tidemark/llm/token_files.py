@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import new_path, settle, table, whole_text
+from tidemark.llm.polyhash import mix
 
 #: Fixed values of the coding: ids per word and bits per id, by selector.
 PER_WORD = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -40,40 +41,44 @@ def pack(ids: np.ndarray) -> tuple[bytes, list[int], list[int], list[int]]:
         held[at] = 0
     # The exponent of a float is the number of bits; rounding only makes it larger where 60 bits are needed anyway.
     width = _WIDTH[np.frexp(held.astype(np.float64))[1]]
-    words: list[np.ndarray] = []
-    offsets, n = [], 0
-    for lo in range(0, len(held), GROUP):
-        w = _pack_group(held[lo : lo + GROUP], width[lo : lo + GROUP])
-        offsets.append(n)
-        n += len(w)
-        words.append(w)
-    return (np.concatenate(words) if words else np.empty(0, np.uint64)).astype("<u8").tobytes(), offsets, at.tolist(), ids[at].astype(np.int64).tolist()
+    words, heads = _pack_words(held, width)
+    offsets = np.searchsorted(heads, np.arange(0, len(held), GROUP))
+    return words.astype("<u8").tobytes(), offsets.tolist(), at.tolist(), ids[at].astype(np.int64).tolist()
 
 
-def _pack_group(ids: np.ndarray, width: np.ndarray) -> np.ndarray:
+def _pack_words(ids: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words, and the place of the first id of each. No word goes on into the next group."""
     n = len(ids)
-    best, place = np.full(n, 15, np.int64), np.arange(n)
-    narrow = np.cumsum(np.bincount(width, minlength=61))
+    best, at, width = np.full(n, 15, np.int64), np.arange(n), width.astype(np.uint8)
+    end = np.minimum(at // GROUP * GROUP + GROUP, n)
     for sel in range(14, -1, -1):
-        if narrow[BITS[sel]] < PER_WORD[sel]:
-            continue
-        wide = np.where(width > BITS[sel], place, n + 240)
-        fits = np.minimum.accumulate(wide[::-1])[::-1] - place >= PER_WORD[sel]
-        best[fits] = sel
-    step, heads, i = (place + PER_WORD[best]).tolist(), [], 0
-    while i < n:
-        heads.append(i)
-        i = step[i]
-    heads = np.array(heads)
+        # A selector of more and narrower ids fits only where that of fewer and wider ones does.
+        at = at[at + PER_WORD[sel] <= end[at]]
+        wide = np.concatenate([[0], np.cumsum(width > BITS[sel], dtype=np.int32)])
+        at = at[wide[at + PER_WORD[sel]] == wide[at]]
+        if not len(at):
+            break
+        best[at] = sel
+    # Where words begin, from each word's length: 1, 2, 4, ... words ahead of every place, then all places that such jumps reach from the first.
+    jumps = [np.append(np.arange(n) + PER_WORD[best], n)]
+    while jumps[-1][0] < n:
+        jumps.append(jumps[-1][jumps[-1]])
+    heads = np.zeros(min(n, 1), np.int64)
+    for jump in reversed(jumps):
+        ahead = jump[heads]
+        heads = np.concatenate([heads, ahead[ahead < n]])
+    heads.sort()
     sels = best[heads]
     out = sels.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate([ids, np.zeros(240, np.uint64)])
     for sel in np.unique(sels):
         if BITS[sel]:
             mine = np.flatnonzero(sels == sel)
+            first, word = heads[mine], out[mine]
             for k in range(PER_WORD[sel]):
-                out[mine] |= padded[heads[mine] + k] << np.uint64(k * BITS[sel])
-    return out
+                word |= padded[first + k] << np.uint64(k * BITS[sel])
+            out[mine] = word
+    return out, heads
 
 
 def unpack(words: bytes, n: int, offsets: list[int], escape_at: list[int], escape_ids: list[int]) -> np.ndarray:
@@ -94,15 +99,22 @@ def unpack(words: bytes, n: int, offsets: list[int], escape_at: list[int], escap
     return out
 
 
+_LONG = 16
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
 class Encoder:
     """Token ids of whole texts by a tokenizer of the tokenizers library, each distinct word encoded once.
 
     The tokenizer's own pre-tokenizer never joins characters across white space, nor letters with the marks after them. So a text is
     the join of its white-space words, and a word of Latin-1 letters with marks behind is that of letters and marks. Texts with other
-    spaces or control characters are encoded as they are. Each word is a pair of parts; words and parts are forgotten when there are WORDS or PARTS of them, which changes nothing but speed."""
+    spaces or control characters are encoded as they are. Each word is a pair of parts; words and parts are forgotten when there are WORDS or PARTS of them, which changes nothing but speed.
 
-    WORDS, PARTS = 600_000, 1_200_000
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#%$&()-]*)")
+    Words are numbered all of some texts at a time: one of up to 16 bytes is two integers, by which it is found in a hash table of arrays; longer ones are looked up one by one."""
+
+    WORDS, PARTS = 1_500_000, 1_200_000
+    #: Letters and the marks after them, or anything else, a line each.
+    CUT = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#%$&()-]*)|(.*))$", re.MULTILINE)
     ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 
     def __init__(self, path: str):
@@ -122,70 +134,143 @@ class Encoder:
         self.clear_words()
 
     def clear_words(self) -> None:
-        class Places(dict):
-            def __missing__(places, word: str) -> int:
-                self.fresh.append(word)
-                return places.setdefault(word, len(places))
-
-        self.places, self.fresh, self.pairs = Places(), [], np.zeros((1 << 16, 2), np.int32)
+        self.words, self.long = 0, {}
+        self.low, self.high, self.pairs = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64), np.zeros((1 << 16, 2), np.int32)
+        self.table = np.full(1 << 18, -1, np.int32)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Numbers of short words, -1 for those not known."""
+        slot = mix(low ^ mix(high)) & np.uint64(len(self.table) - 1)
+        out, todo = np.full(len(low), -1, np.int32), np.arange(len(low))
+        while len(todo):
+            at = self.table[slot]
+            same = (self.low[at] == low[todo]) & (self.high[at] == high[todo]) & (at >= 0)
+            out[todo[same]] = at[same]
+            on = ~same & (at >= 0)
+            todo, slot = todo[on], (slot[on] + np.uint64(1)) & np.uint64(len(self.table) - 1)
+        return out
+
+    def enter(self, number: np.ndarray) -> None:
+        """Put words into the table, each at the first free slot from its own."""
+        slot = mix(self.low[number] ^ mix(self.high[number])) & np.uint64(len(self.table) - 1)
+        while len(number):
+            free = np.flatnonzero(self.table[slot] < 0)
+            self.table[slot[free]] = number[free]
+            on = self.table[slot] != number
+            number, slot = number[on], (slot[on] + np.uint64(1)) & np.uint64(len(self.table) - 1)
+
+    def number(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Number and start of every word of UTF-8 text. New ones are learnt."""
+        raw = np.frombuffer(data + bytes(_LONG), np.uint8)
+        space = (raw == 32) | (raw == 9) | (raw == 10) | (raw == 13) | (raw == 0)
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if not space[0]:
+            edge = np.concatenate([[0], edge])
+        start, end = edge[::2], edge[1::2]
+        size = end - start
+        eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+        low, high = eight[start] & _MASKS[np.minimum(size, 8)], eight[start + 8 * (size > 8)] & _MASKS[np.clip(size - 8, 0, 8)]
+        out, fresh = np.empty(len(start), np.int32), []
+        long = np.flatnonzero(size > _LONG)
+        short = np.flatnonzero(size <= _LONG)
+        out[short] = self.find(low[short], high[short])
+        new = short[out[short] < 0]
+        if len(new):
+            order = new[np.lexsort((high[new], low[new]))]
+            first = np.concatenate([[True], (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])])
+            kinds = order[first]
+            self.room(len(kinds))
+            number = self.words + np.arange(len(kinds), dtype=np.int32)
+            out[order] = number[np.cumsum(first) - 1]
+            self.low[number], self.high[number] = low[kinds], high[kinds]
+            self.enter(number)
+            fresh += [data[a:b].decode() for a, b in zip(start[kinds].tolist(), end[kinds].tolist())]
+            self.words += len(kinds)
+        for i, a, b in zip(long.tolist(), start[long].tolist(), end[long].tolist()):
+            word = data[a:b]
+            if (k := self.long.get(word)) is None:
+                k = self.long[word] = self.words
+                self.words += 1
+                fresh.append(word.decode())
+            out[i] = k
+        if fresh:
+            self.room(0)
+            self.learn(fresh)
+        return out, start
+
+    def room(self, more: int) -> None:
+        """Space for so many more words."""
+        while self.words + more > len(self.low):
+            self.low, self.high, self.pairs = (np.concatenate([x, np.zeros_like(x)]) for x in (self.low, self.high, self.pairs))
+        if 2 * (self.words + more) > len(self.table):
+            known = self.table[self.table >= 0]
+            self.table = np.full(4 * len(self.table), -1, np.int32)
+            self.enter(known)
 
     def direct(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def add(self, names: list[str], ids: list) -> None:
-        """Parts and their ids."""
-        for lo in range(0, len(names), 1000):
-            sizes = np.array([len(x) for x in ids[lo : lo + 1000]], np.int64)
-            n = len(self.parts)
-            flat = np.concatenate(ids[lo : lo + 1000])
-            while self.starts[n] + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while n + len(sizes) + 1 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.ids[self.starts[n] : self.starts[n] + len(flat)] = flat
-            self.starts[n + 1 : n + 1 + len(sizes)] = self.starts[n] + np.cumsum(sizes)
-            self.parts.update(zip(names[lo : lo + 1000], range(n, n + len(sizes))))
-
-    def learn(self) -> None:
-        """The parts of the words in fresh."""
-        cut = [(m[1].lower(), m[2]) if (m := self.PLAIN.fullmatch(w)) else (w, None) for w in self.fresh]
+    def add(self, names: list[str], sizes: list[int], flat: np.ndarray | list[int]) -> None:
+        """Parts, how many ids each has, and the ids."""
+        n, end = len(self.parts), int(self.starts[len(self.parts)]) + len(flat)
+        while end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + len(sizes) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.ids[end - len(flat) : end] = flat
+        self.starts[n + 1 : n + 1 + len(sizes)] = self.starts[n] + np.cumsum(np.array(sizes, np.int64))
+        self.parts.update(zip(names, range(n, n + len(sizes))))
+
+    def learn(self, fresh: list[str]) -> None:
+        """The parts of new words, which have the last numbers."""
+        letters, marks, other = (list(x) for x in zip(*self.CUT.findall("\n".join(fresh))))
+        letters = "\n".join(letters).lower().split("\n")
         known = self.parts
-        plain = list({a for a, b in cut if b is not None and a not in known})
+        plain = set(letters).difference(known)
         # ASCII letters pass normaliser and pre-tokenizer unchanged, so the model alone gives their ids.
         simple, tokenize = [x for x in plain if x.isascii()], self.tokenizer.model.tokenize
-        self.add(simple, [np.array([t.id for t in tokenize(x)], np.uint32) for x in simple])
-        plain = [x for x in plain if not x.isascii()]
-        for lo in range(0, len(plain), 1000):
-            some = plain[lo : lo + 1000]
+        sizes, flat = [], []
+        for x in simple:
+            found = tokenize(x)
+            sizes.append(len(found))
+            flat += [t.id for t in found]
+        self.add(simple, sizes, flat)
+        rest = [x for x in plain if not x.isascii()]
+        for lo in range(0, len(rest), 1000):
+            some = rest[lo : lo + 1000]
             ids = np.array(self.direct([" ".join(some)])[0], np.uint32)
-            each = np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1)
-            if len(each) != len(some):
-                each = [np.array(x, np.uint32) for x in self.direct(some)]
-            self.add(some, each)
-        other = list({b for _, b in cut if b and b not in known} | {a for a, b in cut if b is None and a not in known})
-        self.add(other, [np.array(x, np.uint32) for x in self.direct(other)])
-        done = len(self.places) - len(self.fresh)
-        while len(self.places) > len(self.pairs):
-            self.pairs = np.concatenate([self.pairs, np.zeros_like(self.pairs)])
-        self.pairs[done : len(self.places)] = np.fromiter((known[x or ""] for pair in cut for x in pair), np.int32, 2 * len(cut)).reshape(-1, 2)
-        self.fresh.clear()
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):
+                self.add(some, np.diff(ends, prepend=0).tolist(), ids)
+            else:
+                each = self.direct(some)
+                self.add(some, [len(x) for x in each], [i for x in each for i in x])
+        rest = list((set(marks) | set(other)).difference(known))
+        each = self.direct(rest)
+        self.add(rest, [len(x) for x in each], [i for x in each for i in x])
+        # A word is letters and marks, or it is other; what is empty is part 0.
+        mine = slice(self.words - len(fresh), self.words)
+        self.pairs[mine, 0] = np.fromiter(map(known.__getitem__, letters), np.int32, len(letters)) + np.fromiter(map(known.__getitem__, other), np.int32, len(other))
+        self.pairs[mine, 1] = np.fromiter(map(known.__getitem__, marks), np.int32, len(marks))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.parts) > self.PARTS:
             self.clear()
-        if len(self.places) > self.WORDS:
+        if self.words > self.WORDS:
             self.clear_words()
         odd = [bool(self.ODD.search(t)) for t in texts]
-        at = [None if o else np.fromiter(map(self.places.__getitem__, ws := t.split()), np.int64, len(ws)) for t, o in zip(texts, odd)]
-        if self.fresh:
-            self.learn()
-        other = iter(self.direct([t for t, o in zip(texts, odd) if o]))
-        return [np.array(next(other), np.uint32) if a is None else self.gather(self.pairs[a].ravel()) for a in at]
-
-    def gather(self, at: np.ndarray) -> np.ndarray:
-        lo, size = self.starts[at], self.starts[at + 1] - self.starts[at]
-        end = np.cumsum(size)
-        return self.ids[np.arange(end[-1] if len(end) else 0) + np.repeat(lo - (end - size), size)]
+        plain = [t.encode() for t, o in zip(texts, odd) if not o]
+        others = iter(self.direct([t for t, o in zip(texts, odd) if o]))
+        numbers, start = self.number(b"\n".join(plain))
+        at = self.pairs[numbers].ravel()
+        size = self.starts[at + 1] - self.starts[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.starts[at] - ends[:-1], size)]
+        # Where texts begin among the words, and so among the ids.
+        bounds = np.cumsum([0] + [len(t) + 1 for t in plain])
+        cuts = ends[2 * np.searchsorted(start, bounds)].tolist()
+        each = iter([ids[a:b] for a, b in zip(cuts, cuts[1:])])
+        return [np.array(next(others), np.uint32) if o else next(each) for o in odd]
 
 
 _encoders: dict[str, Encoder] = {}
