@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.functions.canonical import canonical_json, day_end, json_of_map, map_of_json, utc_text
-from tidemark.operators import facts, filings, market, metrics, normalise, reports, returns, scoring
+from tidemark.operators import facts, filings, market, metrics, normalise, reports, returns, scoring, state
 from tidemark.plans.catalogue import _FOLD, _SCREEN, _label_text, _rank_sql, _score_sql, _screened
 from tidemark.plans.registry import AS_OF, KNOWN_AT, query, table
 from tidemark.plans.views import view
 from tidemark.sources import artifacts, instances, labelled_text, tables
 from tidemark.sources.staging import new_path
-from tidemark.streaming.windows import event_sessions, event_windows
+from tidemark.streaming.windows import event_sessions, event_windows, late_versions, stream_once
 
 CNY, SHARE = normalise.CURRENCIES + "CNY", normalise.SHARES
 _CUT, _KNOWN = f"DATE '{AS_OF}'", f"DATE '{KNOWN_AT}'"
@@ -519,3 +519,113 @@ def events_sliding_windows(spark, d):
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n, round(sum(value), 2) AS value FROM s GROUP BY user_id, k""")
 def events_sessions(spark, d):
     return event_sessions(table(spark, d, "events"))
+
+
+@query("SELECT window_start, event_type, n, value FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY ALL) WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)")
+def events_stream_replay(spark, d):
+    """The events as a stream, run twice over one checkpoint: windows are given once, when the watermark has passed them."""
+    source, sink, check = (new_path(spark, f"stream-{x}") for x in ("in", "out", "check"))
+    events = table(spark, d, "events")
+    events.write.parquet(source)
+    for _ in range(2):
+        stream_once(spark, source, events.schema, sink, check).awaitTermination()
+    return spark.read.parquet(sink)
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_id % 2 AS batch, round(value * 100)::BIGINT AS place FROM events), first AS (SELECT user_id, max(place) AS top FROM e WHERE batch = 0 GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, batch, place ORDER BY event_id) AS nth FROM e)
+SELECT r.user_id, event_id, nth = 1 AND (batch = 0 OR place > coalesce(top, -1)) AS accepted FROM r LEFT JOIN first ON r.user_id = first.user_id""")
+def events_late_versions(spark, d):
+    """Versions of a user as a stream of two batches: what isn't beyond the last accepted version is refused."""
+    source, sink, check = (new_path(spark, f"versions-{x}") for x in ("in", "out", "check"))
+    rows = table(spark, d, "events").select("user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("place"))
+    for batch in (0, 1):
+        rows.where(F.col("event_id") % 2 == batch).write.mode("append").parquet(source)
+        out = late_versions(spark.readStream.schema(rows.schema).parquet(source), "user_id", "event_id", "place")
+        out.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(sink).select("user_id", "event_id", "accepted")
+
+
+# --- Files and state ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey::VARCHAR || '.SH' AS ts_code, p_name AS name, CASE WHEN p_size = 50 THEN NULL ELSE DATE '1990-01-01' + p_size END AS list_date FROM part WHERE p_partkey % 3 <> 0")
+def master_file(spark, d):
+    """A security master written as CSV with a column too many, and read back: dates that aren't dates are null."""
+    path, c = new_path(spark, "master"), F.col("p_partkey")
+    day = F.when(F.col("p_size") == 50, "19900230").otherwise(F.date_format(F.date_add(_day("1990-01-01"), F.col("p_size")), "yyyyMMdd"))
+    rows = table(spark, d, "part").select(F.concat(c.cast("string"), F.when(c % 3 == 0, ".SZ").otherwise(".SH")).alias("ts_code"), c.cast("string").alias("symbol"), F.col("p_name").alias("name"), F.lit("SSE").alias("exchange"), F.lit("MAIN_SH").alias("board"), F.lit("CNY").alias("currency"), day.alias("list_date"), F.lit("A_SHARE").alias("security_type"), F.lit("x").alias("more"))
+    rows.write.csv(path, header=True)
+    return tables.read_master(spark, path).where("ts_code LIKE '%.SH'").select("ts_code", "name", "list_date")
+
+
+@query("SELECT DISTINCT trade_date FROM bars WHERE day(trade_date) <> 13", "bars")
+def calendar_file(spark, d):
+    """The trading days as a JSON array, with repeats and a day that isn't one, read back sorted and once each."""
+    path = new_path(spark, "calendar")
+    days = view(spark, d, "bars").select("trade_date").distinct().where("day(trade_date) <> 13").select(F.explode(F.array(F.col("trade_date").cast("string"), F.col("trade_date").cast("string"))).alias("d"))
+    one = days.agg(F.to_json(F.concat(F.collect_list("d"), F.array(F.lit("1996-02-30"), F.lit("1996-1-2")))).alias("value"))
+    one.write.text(path)
+    return tables.read_calendar(spark, path)
+
+
+@query("""WITH t AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%-m-%-d') WHEN 2 THEN '1995-02-29' ELSE strftime(o_orderdate, '%Y%m%d') END AS d FROM orders)
+SELECT o_orderkey, CASE WHEN d SIMILAR TO '[0-9]{4}-[0-9]{2}-[0-9]{2}' THEN try_cast(d AS DATE) END AS day FROM t""")
+def strict_dates(spark, d):
+    k, day = F.col("o_orderkey") % 4, F.col("o_orderdate")
+    text = F.when(k == 0, F.date_format(day, "yyyy-MM-dd")).when(k == 1, F.date_format(day, "yyyy-M-d")).when(k == 2, "1995-02-29").otherwise(F.date_format(day, "yyyyMMdd"))
+    return table(spark, d, "orders").select("o_orderkey", tables.strict_date(text).alias("day"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 AND s_nationkey > 10 THEN s_name || '!' ELSE s_name END AS s_name FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 = 0")
+def state_upsert(spark, d):
+    """Rows of even keys, then rows of keys divisible by 3, of which those that are later win."""
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_name", F.lit(10).alias("t"))
+    old = rows.where("s_suppkey % 2 = 0")
+    new = table(spark, d, "supplier").where("s_suppkey % 3 = 0").select("s_suppkey", F.when(F.col("s_nationkey") > 10, F.concat("s_name", F.lit("!"))).otherwise(F.col("s_name")).alias("s_name"), F.when(F.col("s_nationkey") > 10, 11).otherwise(9).alias("t"))
+    return tables.last_wins(old, new, "s_suppkey", "t").select("s_suppkey", "s_name")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'old' ELSE 'new' END AS origin FROM supplier")
+def state_insert_missing(spark, d):
+    rows = table(spark, d, "supplier").select("s_suppkey")
+    return tables.insert_missing(rows.where("s_suppkey % 2 = 0").withColumn("origin", F.lit("old")), rows.withColumn("origin", F.lit("new")), "s_suppkey")
+
+
+@query("SELECT event_id AS run_id, ts AS updated_at FROM events WHERE json_extract_string(props, '$.k') = '7'")
+def runs_by_type(spark, d):
+    runs = table(spark, d, "events").select(F.col("event_id").alias("run_id"), F.col("props").alias("payload"), F.col("ts").alias("updated_at"))
+    return state.runs_of_type(runs, "$.k", "7").select("run_id", "updated_at")
+
+
+@query("SELECT sha256(coalesce(text, '')) AS content_hash, CASE WHEN bool_or(source < 'm') THEN 'objects' ELSE 'legacy' END AS place, NULL::VARCHAR AS issue FROM documents GROUP BY 1")
+def object_lookup(spark, d):
+    """Documents by their hash, of which some are in the new store and the rest in the old one."""
+    rows = table(spark, d, "documents").select("source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+    return state.stored_objects(rows, rows.where("source < 'm'").dropDuplicates(["content_hash"]), rows.where("source >= 'm'"), "text")
+
+
+@query("""SELECT o_orderkey AS key, concat_ws(',', 'equity', CASE WHEN o_orderkey % 2 = 0 THEN 'operating_cash_flow' END, 'total_assets') AS names, CASE o_orderkey % 3 WHEN 0 THEN 'CNY' WHEN 1 THEN 'CNY' ELSE 'UNKNOWN' END AS currency, CASE o_orderkey % 3 WHEN 0 THEN '10000' WHEN 1 THEN '1' ELSE 'UNKNOWN' END AS unit_multiplier FROM orders""")
+def text_documents(spark, d):
+    rows = state.document_rows(labelled_text.extract_facts(_label_text(spark, d)), "key", ["total_assets", "equity", "operating_cash_flow"])
+    return rows.select("key", F.array_join(F.array_sort(F.map_keys("facts")), ",").alias("names"), F.col("units")["currency"].alias("currency"), F.col("units")["unit_multiplier"].alias("unit_multiplier"))
+
+
+@query("""SELECT c_custkey AS channel, CASE WHEN o.o_orderstatus IN ('F', 'O') THEN o.o_orderkey END AS report_id, CASE WHEN o.o_orderkey IS NULL THEN 'NO_REPORT' WHEN c_custkey % 4 = 0 THEN 'STALE_PREVIOUS_REPORT' ELSE 'CURRENT' END AS shown
+FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS k FROM orders GROUP BY 1) l ON o_custkey = c_custkey LEFT JOIN orders o ON o.o_orderkey = l.k""")
+def report_display(spark, d):
+    orders, channels = table(spark, d, "orders"), table(spark, d, "customer").select(F.col("c_custkey").alias("channel"))
+    pointers = channels.join(orders.groupBy(F.col("o_custkey").alias("channel")).agg(F.max("o_orderkey").alias("report_id")), "channel", "left")
+    stored = orders.select(F.col("o_orderkey").alias("report_id"), F.when(F.col("o_orderstatus") == "F", "PUBLISHED").when(F.col("o_orderstatus") == "O", "PUBLISHED_PARTIAL").otherwise("DRAFT").alias("status"))
+    return state.report_status(stored, pointers, channels.select("channel", (F.col("channel") % 4 != 0).alias("succeeded")))
+
+
+@query("SELECT s_suppkey AS id, NULL::VARCHAR AS issue FROM supplier")
+def report_documents(spark, d):
+    """Manifests stored as immutable documents, twice, and read back under their hashes."""
+    supplier, path = table(spark, d, "supplier").withColumnRenamed("s_suppkey", "report_id"), new_path(spark, "documents")
+    none = spark.createDataFrame([], "report_id long, strategy string, rank int, code long, score long, domain string, status string, record_id long")
+    made = reports.manifest(supplier.select("report_id", "s_name"), none, none, none).select(F.col("report_id").alias("id"), "document", F.col("manifest_hash").alias("hash"))
+    artifacts.write_documents(made, path)
+    artifacts.write_documents(made, path)
+    return artifacts.read_documents(spark, path).select("id", "issue")
