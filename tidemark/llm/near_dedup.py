@@ -35,7 +35,7 @@ from tidemark.llm.polyhash import mix, prefix_hashes, substring_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, KEPT = 12, 2
-SMALL, FAN = 8, 2000
+SMALL, FAN = 8, 10_000
 #: Counters of shingle frequencies, whatever the number of shingles: shingles that share one only stand later in the order.
 COUNTERS = 1 << 18
 #: 64-bit words of a bitmap.
@@ -215,7 +215,7 @@ def sequences(texts: DataFrame, members: DataFrame) -> DataFrame:
             seqs = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
             yield _arrow({"key": pa.string(), "seq": pa.binary()}, [batch.column("key"), seqs])
 
-    return settle(texts.join(members.select("key").distinct(), "key", "left_semi").select("key", "text").mapInArrow(made, "key string, seq binary"), "sequences")
+    return settle(texts.join(members.select("key").distinct(), "key", "left_semi").select("key", "text").mapInArrow(made, "key string, seq binary"), "sequences", bucket="key")
 
 
 def attach(pairs: DataFrame, seqs: DataFrame, side: str, other: str, name: str) -> DataFrame:
@@ -234,7 +234,12 @@ def links(seqs: DataFrame, pairs: DataFrame) -> DataFrame:
             p, q = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("p", "q"))
             yield _arrow({"a": pa.string(), "b": pa.string(), "similarity": pa.float64()}, [batch.column("a"), batch.column("b"), [similarity(x, y) for x, y in zip(p, q)]])
 
-    both = attach(attach(pairs, seqs, "a", "b", "p"), seqs, "b", "a", "q")
+    # Sequences lie in buckets by key, so only pairs and what is attached to them move. Pairs of a text that many meet are dealt over tasks.
+    p, q = (seqs.select(F.col("key").alias(k), F.col("seq").alias(v)) for k, v in (("a", "p"), ("b", "q")))
+    both = pairs.where(F.col("near") <= FAN).join(p, "a").join(q, "b").select("a", "b", "p", "q")
+    hot = pairs.where(F.col("near") > FAN)
+    if not hot.isEmpty():
+        both = both.union(attach(attach(hot, seqs, "a", "b", "p"), seqs, "b", "a", "q").select("a", "b", "p", "q"))
     return settle(both.select("a", "b", "p", "q").mapInArrow(verify, "a string, b string, similarity double").where(F.col("similarity") >= SIMILARITY - 1e-9), "links")
 
 
@@ -295,10 +300,9 @@ def may_link() -> Column:
     return (F.col("component") != F.col("component_")) & similar_sizes("n", "n_") & (F.least(F.col("n") - F.col("place"), F.col("n_") - F.col("place_")) >= need) & (F.col("n") + F.col("n_") - differ >= 2 * need)
 
 
-def unseen(met: DataFrame, seen: DataFrame, name: str) -> DataFrame:
-    """a < b, near of rows that met (key, key_, near), each pair once and none of those in seen."""
-    pairs = met.groupBy(F.least("key", "key_").alias("a"), F.greatest("key", "key_").alias("b")).agg(F.max("near").alias("near"))
-    return settle(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), name)
+def met_pairs(met: DataFrame) -> DataFrame:
+    """a < b, near of rows that met (key, key_, near), each pair once."""
+    return settle(met.groupBy(F.least("key", "key_").alias("a"), F.greatest("key", "key_").alias("b")).agg(F.max("near").alias("near")), "open-pairs")
 
 
 def other_side(rows: DataFrame, *more: str) -> DataFrame:
@@ -327,18 +331,12 @@ def classes(texts: DataFrame) -> DataFrame:
     with passing(texts.sparkSession):
         members = bucket_members(texts)
         seqs = sequences(texts, members)
-        seen = candidates(members)
-        found = links(seqs, seen)
-        group = components(found)
+        group = components(links(seqs, candidates(members)))
         opened = open_texts(members, group)
-        if opened.limit(1).count():
+        if not opened.isEmpty():
             firsts = prefixes(seqs, opened.select("key"))
             for meet in (token_leaders, token_pairs):
-                pairs = unseen(meet(shared_tokens(firsts, group)), seen, "open-pairs")
-                late = links(seqs, pairs)
-                if late.limit(1).count():
-                    seen, found = seen.union(pairs), found.union(late)
-                    group = components(found)
+                group = merged(group, links(seqs, met_pairs(meet(shared_tokens(firsts, group)))))
         return settle(group, "classes", keep=True)
 
 
@@ -352,10 +350,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         own = labels.select(F.col("node").alias("component"), F.col("component").alias("own"))
         new = settle(step.join(own, "component").select("node", "was", F.least("component", "own").alias("component")), "labels")
         labels = new.select("node", "component")
-        if not new.where("was <> component").limit(1).count():
+        if new.where("was <> component").isEmpty():
             return labels
 
 
+def merged(group: DataFrame, more: DataFrame) -> DataFrame:
+    """group (node, component) after more links (a, b): components of the components that they join."""
+    of = lambda side: group.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+    joined = more.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b").distinct()
+    joined = settle(joined, "joined-components")
+    if joined.isEmpty():
+        return group
+    top = components(joined).withColumnRenamed("component", "_top").withColumnRenamed("node", "_node")
+    old = group.join(top, F.col("component") == F.col("_node"), "left").select("node", F.coalesce("_top", "component").alias("component"))
+    new = top.join(group.select(F.col("node").alias("_node")), "_node", "left_anti").select("_node", "_top")
+    return settle(old.union(new), "labels")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, class_id, class_key per row of docs. class_id: the least doc_id of all documents whose texts are linked, directly or through others; class_key: a text key of the class (null: no words), the same for all of it and for no other.
 
