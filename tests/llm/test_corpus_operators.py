@@ -173,6 +173,18 @@ def test_cutoffs_bound_false_rejections(spark):
     assert kept[True] >= 0.98 and kept[False] == 0.0
 
 
+def test_features_of_a_very_long_text(spark):
+    words = prose(30_000, 41).split() + ["one", "two"] * 60 + prose(30_000, 42).split()
+    text = " ".join(words) + "\n" + "same line\n" * 50
+    got = quality.with_features(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    w, hit = text.split(), set()
+    seen = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    for i in range(len(w) - 7):
+        if seen[tuple(w[i : i + 8])] > 1:
+            hit |= set(range(i, i + 8))
+    assert (got.n_words, got.n_repeat_words, got.n_dup_lines) == (len(w), len(hit), 49)
+
+
 def test_lookup_table():
     names = [f"s{i}" for i in range(7)]
     t = sharding.lookup_table(names, 1009)
