@@ -36,29 +36,43 @@ def tolerance(decimals: Column) -> Column:
     return F.when(decimals.isNull(), 0.0).otherwise(0.5 * F.pow(F.lit(10.0), -decimals))
 
 
-def balance(facts: DataFrame, *key: str) -> DataFrame:
-    """key, gap, allowed, status of the balance equation: COMPONENT_MISSING, SKIPPED (a component twice), CONFLICT or BALANCED."""
-    names = ("assets", "liabilities", "equity")
-    parts = facts.where(F.col("name").isin(*names))
-    counts = [F.count_if(F.col("name") == n).alias(f"n_{n}") for n in names]
-    values = [F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names]
-    g = parts.groupBy(*key).agg(*counts, *values, F.round(F.sum(tolerance(F.col("decimals"))), 6).alias("allowed"))
+NAMES = ("assets", "liabilities", "equity")
+
+
+def _balance_sums() -> list[Column]:
+    """Sums over rows of name, value, decimals from which the balance equation is judged."""
+    part = F.col("name").isin(*NAMES)
+    counts = [F.count_if(F.col("name") == n).alias(f"n_{n}") for n in NAMES]
+    values = [F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in NAMES]
+    return [*counts, *values, F.round(F.sum(F.when(part, tolerance(F.col("decimals")))), 6).alias("allowed")]
+
+
+def _balance_status() -> tuple[Column, Column]:
+    """gap and status of such sums: COMPONENT_MISSING, SKIPPED (a component twice), CONFLICT or BALANCED."""
     gap = F.round(F.abs(F.col("assets") - F.col("liabilities") - F.col("equity")), 4)
-    status = F.when(F.least("n_assets", "n_liabilities", "n_equity") == 0, "FINANCIAL_BALANCE_COMPONENT_MISSING").when(F.greatest("n_assets", "n_liabilities", "n_equity") > 1, "SKIPPED").when(gap > F.col("allowed"), "FINANCIAL_BALANCE_EQUATION_CONFLICT").otherwise("BALANCED")
-    return g.select(*key, gap.alias("gap"), "allowed", status.alias("status"))
+    n = [f"n_{x}" for x in NAMES]
+    return gap, F.when(F.least(*n) == 0, "FINANCIAL_BALANCE_COMPONENT_MISSING").when(F.greatest(*n) > 1, "SKIPPED").when(gap > F.col("allowed"), "FINANCIAL_BALANCE_EQUATION_CONFLICT").otherwise("BALANCED")
+
+
+def balance(facts: DataFrame, *key: str) -> DataFrame:
+    """key, gap, allowed, status of the balance equation, of keys that have a part of it."""
+    gap, status = _balance_status()
+    return facts.where(F.col("name").isin(*NAMES)).groupBy(*key).agg(*_balance_sums()).select(*key, gap.alias("gap"), "allowed", status.alias("status"))
 
 
 def filing_status(facts: DataFrame) -> DataFrame:
-    """filing_id, quality_status: CONFLICT before PARTIAL before VALID. Conflicting identities don't take part in the balance."""
-    groups = identity_groups(facts, "filing_id", "raw_name")
-    kept = facts.join(groups.where("status <> 'FINANCIAL_FACT_CONFLICT'").select(F.col("kept").alias("fact_id")), "fact_id", "left_semi")
-    clash = groups.groupBy("filing_id").agg(F.bool_or(F.col("status") == "FINANCIAL_FACT_CONFLICT").alias("clash"))
-    even = balance(kept, "filing_id").select("filing_id", F.col("status").alias("balance"))
-    unmapped = facts.groupBy("filing_id").agg(F.bool_or(F.col("name").isNull()).alias("unmapped"))
-    rows = clash.join(unmapped, "filing_id").join(even, "filing_id", "left")
-    bad = F.col("clash") | (F.coalesce("balance", F.lit("")) == "FINANCIAL_BALANCE_EQUATION_CONFLICT")
-    partial = F.col("unmapped") | (F.coalesce("balance", F.lit("")) == "FINANCIAL_BALANCE_COMPONENT_MISSING")
-    return rows.select("filing_id", F.when(bad, "CONFLICT").when(partial, "PARTIAL").otherwise("VALID").alias("quality_status"))
+    """filing_id, quality_status: CONFLICT before PARTIAL before VALID. Conflicting identities don't take part in the balance.
+
+    Two aggregations: by identity, which folds duplicates into their least fact, and by filing."""
+    kept = F.min(F.struct("fact_id", "name", "value", "decimals")).alias("kept")
+    groups = facts.groupBy("filing_id", "raw_name").agg((F.min("value") != F.max("value")).alias("clash"), F.bool_or(F.col("name").isNull()).alias("unmapped"), kept)
+    good = ~F.coalesce("clash", F.lit(False))
+    rows = groups.select("filing_id", "clash", "unmapped", *[F.when(good, F.col(f"kept.{c}")).alias(c) for c in ("name", "value", "decimals")])
+    per = rows.groupBy("filing_id").agg(F.coalesce(F.bool_or("clash"), F.lit(False)).alias("clash"), F.bool_or("unmapped").alias("unmapped"), *_balance_sums())
+    even = F.when(F.greatest(*[f"n_{x}" for x in NAMES]) > 0, _balance_status()[1])
+    bad = F.col("clash") | (F.coalesce(even, F.lit("")) == "FINANCIAL_BALANCE_EQUATION_CONFLICT")
+    partial = F.col("unmapped") | (F.coalesce(even, F.lit("")) == "FINANCIAL_BALANCE_COMPONENT_MISSING")
+    return per.select("filing_id", F.when(bad, "CONFLICT").when(partial, "PARTIAL").otherwise("VALID").alias("quality_status"))
 
 
 def correction_links(facts: DataFrame, filings: DataFrame) -> DataFrame:
