@@ -42,7 +42,8 @@ def write_artifacts(rows: DataFrame, path: str, by: list[str], *, maps: tuple[st
     keyed = stored.join(new.select(*by, "digest"), by)
     # Partition columns also stay in the rows, in which the digest is taken.
     keyed = keyed.withColumns({f"p_{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by})
-    keyed.sortWithinPartitions(*by).write.mode("append").partitionBy(*[f"p_{c}" for c in by], "digest").parquet(f"{path}/rows")
+    # A group is one task's unless it is large: adaptive execution splits those and puts small ones together.
+    keyed.hint("rebalance", *[F.col(c) for c in by]).sortWithinPartitions(*by).write.mode("append").partitionBy(*[f"p_{c}" for c in by], "digest").parquet(f"{path}/rows")
     # The manifest comes last: what it doesn't list isn't read.
     new.write.mode("append" if exists else "errorifexists").parquet(f"{path}/manifest")
     return new
