@@ -106,6 +106,11 @@ def memberships(pools: DataFrame) -> DataFrame:
     return pools.groupBy("code").agg(F.array_join(F.array_sort(F.collect_set("strategy")), ",").alias("strategies"), F.count("*").alias("n"))
 
 
+def places_of(pools: DataFrame, code) -> DataFrame:
+    """The rows of pools that hold a security, by strategy and rank; the condition reaches the scan."""
+    return pools.where(F.col("code") == code).orderBy("strategy", "rank")
+
+
 def policy_decision(requests: DataFrame, policies: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
     """requests with decision: ALLOWED or the first reason to deny. policies: source_id, approved, enabled, schemes, domains, purposes, http_hosts. hosts: source_id, host of allowed hosts as rows, in place of the array domains."""
     scheme, host = F.lower(F.try_parse_url(F.col("url"), F.lit("PROTOCOL"))), F.lower(F.try_parse_url(F.col("url"), F.lit("HOST")))

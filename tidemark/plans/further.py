@@ -135,6 +135,15 @@ def taxonomy_requests(spark, d):
     return normalise.requested(ids, registry).select("request", "place", "taxonomy_id", "payload", "missing")
 
 
+@query("""+g AS (SELECT filing_id, raw_name, count(DISTINCT value) > 1 AS clash FROM facts GROUP BY ALL), c AS (SELECT filing_id, count(*) FILTER (clash) AS conflict_count FROM g GROUP BY 1), n AS (SELECT filing_id, count(*) AS fact_count FROM facts GROUP BY 1)
+SELECT filing_id, CASE WHEN conflict_count > 0 THEN 'CONFLICT' ELSE 'VALID' END AS quality_status, conflict_count, fact_count, DATE '1999-01-01' AS valid_from FROM c JOIN n USING (filing_id) JOIN filings USING (filing_id)""", "facts", "filings")
+def filings_finalised(spark, d):
+    rows = view(spark, d, "facts")
+    groups = facts.identity_groups(rows, "filing_id", "raw_name").groupBy("filing_id").agg(F.count_if(F.col("status") == "FINANCIAL_FACT_CONFLICT").alias("conflict_count"))
+    status = groups.withColumn("quality_status", F.when(F.col("conflict_count") > 0, "CONFLICT").otherwise("VALID"))
+    return normalise.finalise(view(spark, d, "filings"), rows, status, _day("1999-01-01"))[0].select("filing_id", "quality_status", "conflict_count", "fact_count", "valid_from")
+
+
 # --- Instances, attachments and archives -------------------------------------------------------------------------------------
 
 
@@ -403,6 +412,13 @@ def report_pool_counts(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("strategy")).agg(F.count_distinct("l_partkey").alias("candidates"), F.bool_and(F.col("l_linestatus") == "F").alias("ready"))
 
 
+@query("SELECT l_returnflag AS strategy, l_linenumber AS rank, l_orderkey AS report_id FROM lineitem WHERE l_partkey = 7")
+def security_report(spark, d):
+    """Where one security stands, over all pools of all reports."""
+    pools = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("report_id"), F.col("l_returnflag").alias("strategy"), F.col("l_linenumber").alias("rank"), F.col("l_partkey").alias("code"))
+    return reports.places_of(pools, 7).select("strategy", "rank", "report_id")
+
+
 @query("""WITH s AS (SELECT s_suppkey AS k, DATE '1996-01-01' + (s_suppkey % 290)::INT AS p, s_suppkey % 19 = 0 AS twice, s_suppkey % 5 = 0 AS bad FROM supplier)
 SELECT k AS record_id, CASE WHEN twice THEN 'REPORT_SOURCE_RECORD_DUPLICATE' WHEN p > DATE '1996-09-01' OR p + (k % 30)::INT > DATE '1996-08-15' THEN 'REPORT_SOURCE_CUTOFF_VIOLATION' ELSE 'REPORT_SOURCE_QUALITY_BLOCKED' END AS reason
 FROM s, range(CASE WHEN twice THEN 2 ELSE 1 END) WHERE twice OR p > DATE '1996-09-01' OR p + (k % 30)::INT > DATE '1996-08-15' OR bad""")
