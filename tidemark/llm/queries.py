@@ -16,4 +16,4 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_page_text": page_text.op10_page_text,
 }
-ORACLES = {"op2_chat_prefixes": chat.OP2_SQL, "op3_quality_rules": quality.OP3_SQL, "op5_mixing": mixing.OP5_SQL, "op6_decontaminate": decontaminate.OP6_SQL}
+ORACLES = {"op2_chat_prefixes": chat.OP2_SQL, "op3_quality_rules": quality.OP3_SQL, "op5_mixing": mixing.OP5_SQL, "op6_decontaminate": decontaminate.OP6_SQL, "op7_warc": warc.OP7_SQL, "op8_repeats": repeats.OP8_SQL, "op10_page_text": page_text.OP10_SQL}

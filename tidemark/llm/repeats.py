@@ -322,3 +322,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+p AS MATERIALIZED (SELECT rid, i, md5_number(substr(x, (2 * i + 1)::INT, 400)) AS g FROM d, unnest(range(n - 199)) u(i) WHERE n >= 200),
+twice AS (SELECT g FROM p GROUP BY g HAVING count(*) > 1),
+hit AS (SELECT rid, i FROM p SEMI JOIN twice ON p.g = twice.g),
+runs AS (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS k FROM (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM hit)),
+spans AS (SELECT rid, min(i) AS s, max(i) + 200 AS e FROM runs GROUP BY rid, k),
+cut AS (SELECT rid, s, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0) AS before FROM spans),
+kept AS (SELECT c.rid, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, (2 * before + 1)::INT, (2 * (s - before))::INT), '' ORDER BY s) || substr(any_value(x), (2 * max(e) + 1)::INT) AS k FROM cut c JOIN d ON c.rid = d.rid GROUP BY c.rid)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256 FROM d LEFT JOIN kept ON d.rid = kept.rid
+"""

@@ -235,3 +235,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     index = normalise(write_monolithic(table(spark, sf_dir, "pages"), f"{path}/whole"), f"{path}/members")
     return read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP7_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+a AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' AS a)
+SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr(a, (('0x' || substr(h, (5 * (k // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (k % 4))::INT & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p, a
+"""
