@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.canonical import canonical_json, day_end, json_of_map, map_of_json, utc_text
 from tidemark.operators import facts, filings, market, metrics, normalise, reports, returns, scoring, state
-from tidemark.plans.catalogue import _FOLD, _SCREEN, _label_text, _rank_sql, _score_sql, _screened
+from tidemark.plans.catalogue import _FOLD, _SCREEN, _label_text, _score_sql, _screened
 from tidemark.plans.registry import AS_OF, KNOWN_AT, query, table
 from tidemark.plans.views import view
 from tidemark.sources import artifacts, instances, labelled_text, tables
