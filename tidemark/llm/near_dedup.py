@@ -185,9 +185,9 @@ def bucket_members(texts: DataFrame) -> DataFrame:
 
     sketched = settle(texts.mapInArrow(sketches, "key string, n int, sketch array<bigint>"), "sketches")
     rows = sketched.select("key", "n", F.explode("sketch").alias("value"))
-    # Written, so that Spark knows its size and joins it as it is: sketches are wide and most of them are alone.
-    sizes = settle(rows.groupBy("value").agg(F.count("*").alias("size")).where("size > 1"), "bucket-sizes")
-    return settle(rows.join(sizes, "value"), "buckets")
+    sizes = rows.groupBy("value").agg(F.count("*").alias("size")).where("size > 1")
+    # Both sides grow with the corpus, so they are merged at every size.
+    return settle(rows.join(sizes.hint("merge"), "value"), "buckets")
 
 
 def similar_sizes(n: str, m: str) -> Column:
@@ -291,9 +291,7 @@ def shared_tokens(firsts: DataFrame, group: DataFrame) -> DataFrame:
     classed = firsts.join(group.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     rows = classed.select("key", "component", "n", *BITS, F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("key", "component", "n", *BITS, F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
     largest = rows.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "component")).alias("l"), F.sum("c").alias("near"), F.count("*").alias("classes")).where("classes > 1")
-    # Written for the same reason as the sizes of buckets: rows with bitmaps are wide, and few shingles are in texts of several classes.
-    largest = settle(largest, "largest-classes")
-    return settle(rows.join(largest, "token").withColumn("main", F.col("component") == F.col("l.component")).drop("l", "classes"), "shared-prefixes")
+    return settle(rows.join(largest.hint("merge"), "token").withColumn("main", F.col("component") == F.col("l.component")).drop("l", "classes"), "shared-prefixes")
 
 
 def may_link() -> Column:
