@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat, decontaminate, mixing, near_dedup, page_text, periodic, quality, repeats, sharding, simhash, token_files, warc
+from tidemark.llm import chat, collocations, decontaminate, mixing, near_dedup, page_text, periodic, quality, repeats, sharding, simhash, token_files, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_repeats": repeats.op8_repeats,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_page_text": page_text.op10_page_text,
+    "op11_collocations": collocations.op11_collocations,
     "op12_simhash": simhash.op12_simhash,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
-ORACLES = {"op2_chat_prefixes": chat.OP2_SQL, "op3_quality_rules": quality.OP3_SQL, "op5_mixing": mixing.OP5_SQL, "op6_decontaminate": decontaminate.OP6_SQL, "op7_warc": warc.OP7_SQL, "op8_repeats": repeats.OP8_SQL, "op10_page_text": page_text.OP10_SQL}
+ORACLES = {"op2_chat_prefixes": chat.OP2_SQL, "op3_quality_rules": quality.OP3_SQL, "op5_mixing": mixing.OP5_SQL, "op6_decontaminate": decontaminate.OP6_SQL, "op7_warc": warc.OP7_SQL, "op8_repeats": repeats.OP8_SQL, "op10_page_text": page_text.OP10_SQL, "op11_collocations": collocations.OP11_SQL}
