@@ -35,12 +35,15 @@ def settle(df: DataFrame, name: str, *, bucket: str | None = None, keep: bool =
         held.append(path)
     if bucket is None:
         df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+        out._settled_at = path
+        return out
     # Only the catalog knows of buckets. The name goes again at once: the files are outside the warehouse and stay.
     entry = f"settled_{uuid.uuid4().hex}"
     df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), bucket).option("path", path).saveAsTable(entry, format="parquet")
     out = spark.table(entry).select("*")
     spark.sql(f"DROP TABLE {entry}")
+    out._settled_at = path
     return out
 
 
@@ -54,6 +57,16 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables whose last reader has ended, before their passing() block does. Other tables are left alone."""
+    for path, df in ((vars(df).get("_settled_at"), df) for df in tables):
+        if path is None:
+            continue
+        remove(df.sparkSession, path)
+        if (held := _held.get()) is not None and path in held:
+            held.remove(path)
+
+
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
     """Tables settled inside are deleted at the end, but for those to be kept: what the block leaves must not read the others any more."""
