@@ -1,13 +1,12 @@
 """Phrase collocation mining over sorted count streams.
 
-Words are counted as windows of three, each starting at one word of a piece (shorter at its end), so that the windows alone say how often every shorter phrase occurs: it is the sum of the
-windows that begin with it. Tasks sort and sum blocks of windows; the blocks meet in one stream in prefix order (first word, second, third), dealt by ranges, and a scan of that stream sums the runs
-of one, two and three equal words and keeps the frequent ones.
+Phrases of one, two and three words are counted one length after the other. Tasks sort and sum blocks of text, and only what can be frequent leaves them: both phrases inside it that are a word shorter must be frequent,
+as a filter of fixed size says, which may let others through but holds none back. The counts are then exact sums of what came through.
 
-The frequent phrases then make two streams: prefix order again, and suffix order (last word, the one before, the first). In each a phrase stands right before those that it begins (ends), so one
-scan in lockstep over the three lengths gives every phrase the counts of its first one and two words (last one and two), and every phrase of two words the largest count of a phrase that extends
-it to the right (left). Both streams are merged on the phrase. Nothing is looked up by hash, and no range is bound to a word: where a range ends within a word or phrase, the few
-counts that the next range needs are passed on as rows, three a range at most."""
+The frequent phrases make two streams: prefix order (first word, second, third) and suffix order (last word, the one before, the first), each dealt by ranges and sorted within them. There a phrase stands
+right before those that it begins (ends), so one scan in lockstep over the three lengths gives every phrase the counts of its first one and two words (last one and two), and every phrase of two words
+the largest count of a phrase that extends it to the right (left). Both streams are merged on the phrase. No count is looked up by hash, and no range is bound to a word: where a range
+ends within a word or phrase, the few counts that the next range needs are passed on as rows, three a range at most."""
 
 from __future__ import annotations
 
@@ -17,23 +16,46 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import passing, settle, table, whole_text
+from tidemark.llm.common import discard, passing, settle, table, whole_text
+from tidemark.llm.polyhash import mix
 
 LEAST, TOP = 10, 2000
 #: A phrase goes if one that holds it has this share of its count, in hundredths.
 SHARE = 50
 #: Words in a sorted block, about, and rows of one batch.
-BLOCK, ROWS = 1 << 20, 1 << 16
+BLOCK, ROWS = 1 << 22, 1 << 16
+#: Bits of a filter for each phrase, and of all at least and at most (16 MB).
+BITS, FILTER = 16, (1 << 16, 1 << 27)
 #: A-Z in lower case; the ends of pieces all as a full stop, which then is in no word.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 GRAM = ("head", "second", "third")
 
 
+def word_hashes(words: list[bytes], lang: str) -> np.ndarray:
+    seed = xxhash.xxh32_intdigest(lang.encode())
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+
+
+def phrase_hashes(words: list[np.ndarray]) -> np.ndarray:
+    """Of phrases whose first, second and further words have these hashes."""
+    h = mix(words[0])
+    for w in words[1:]:
+        h = mix(h * np.uint64(3) + w)
+    return h
+
+
+def bits_of(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each hash in a filter of size bits."""
+    return h & np.uint64(size - 1), (h >> np.uint64(32)) & np.uint64(size - 1)
+
+
 class Block:
-    """Windows of one language, summed in sorted order."""
+    """Words of one language."""
 
     def __init__(self):
         self.number: dict[bytes, int] = defaultdict()
@@ -47,44 +69,89 @@ class Block:
         self.ids += (0, 0)
         return len(words) + 2
 
-    def counts(self, lang: str) -> pa.Table:
-        """head (first word, tab, language), second, third (empty: the piece ends), n."""
+    def counts(self, lang: str, size: int, known: np.ndarray | None) -> pa.Table:
+        """head (first word, tab, language), second, third (empty in shorter phrases), n of the phrases of size words, in order. known: the filter of those a word shorter."""
         words = list(self.number)[1:]
         order = sorted(range(len(words)), key=words.__getitem__)
         rank = np.zeros(len(words) + 1, np.int64)
         rank[np.array(order, np.int64) + 1] = np.arange(1, len(words) + 1)
         at = rank[np.array(self.ids, np.int64)]
-        first, second, third = at[:-2], at[1:-1], np.where(at[1:-1] > 0, at[2:], 0)
-        start = first > 0
-        first, second, third = first[start], second[start], third[start]
-        # Two words make one number and that with the third another, whatever the number of words.
-        pair, of = np.unique(first * (len(words) + 1) + second, return_inverse=True)
-        gram, n = np.unique(of * (len(words) + 1) + third, return_counts=True)
-        pair, third = pair[gram // (len(words) + 1)], gram % (len(words) + 1)
-        kept = pa.array([b"", *(words[i] for i in order)], pa.binary()).cast(pa.string())
-        heads = pc.binary_join_element_wise(kept, pa.scalar(lang), "\t")
-        return pa.table([heads.take(pa.array(pair // (len(words) + 1))), kept.take(pa.array(pair % (len(words) + 1))), kept.take(pa.array(third)), pa.array(n)], names=[*GRAM, "n"])
-
-
-def windows(docs: DataFrame) -> DataFrame:
-    """head, second, third, n: the windows of each task's blocks. docs: lang, text."""
+        parts = [at[i : len(at) - 2 + i] for i in range(size)]
+        whole = np.logical_and.reduce([p > 0 for p in parts])
+        parts = [p[whole] for p in parts]
+        if known is not None:
+            own = np.concatenate([np.zeros(1, np.uint64), word_hashes([words[i] for i in order], lang)])
+            for inner in (slice(None, -1), slice(1, None)):
+                h = phrase_hashes([own[p] for p in parts[inner]])
+                told = [known[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8) & 1 for b in bits_of(h, 8 * len(known))]
+                kept = (told[0] & told[1]).astype(bool)
+                parts = [p[kept] for p in parts]
+        # The words so far make one number and that with the next word another, whatever the number of words.
+        base, found = len(words) + 1, [np.zeros(1, np.int64)]
+        gram = np.zeros(len(parts[0]), np.int64)
+        for i, p in enumerate(parts):
+            values, gram, n = np.unique(gram * base + p, return_inverse=True, return_counts=True)
+            found = [f[values // base] for f in found] + [values % base]
+        texts = pa.array([b"", *(words[i] for i in order)], pa.binary()).cast(pa.string())
+        columns = [pc.binary_join_element_wise(texts.take(pa.array(found[1])), pa.scalar(lang), "\t"), *(texts.take(pa.array(f)) for f in found[2:])]
+        columns += [pa.array([""] * len(n), pa.string())] * (3 - size)
+        return pa.table([*columns, pa.array(n)], names=[*GRAM, "n"])
+
+
+def counts(docs: DataFrame, size: int, known: Broadcast | None = None) -> DataFrame:
+    """head, second, third, f of the phrases of size words, of which those that a word shorter isn't in known may be left out. docs: lang, text."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, size = defaultdict(Block), 0
+        blocks, held = defaultdict(Block), 0
+        bits = None if known is None else np.frombuffer(known.value, np.uint8)
 
         def summed() -> Iterator[pa.RecordBatch]:
             for lang, block in blocks.items():
-                yield from block.counts(lang).to_batches(ROWS)
+                yield from block.counts(lang, size, bits).to_batches(ROWS)
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                size += blocks[lang].add(text)
-                if size >= BLOCK:
+                held += blocks[lang].add(text)
+                if held >= BLOCK:
                     yield from summed()
-                    blocks, size = defaultdict(Block), 0
+                    blocks, held = defaultdict(Block), 0
         yield from summed()
 
-    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), whole_text("text").alias("text")).mapInArrow(counted, "head string, second string, third string, n long")
+    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), whole_text("text").alias("text")).mapInArrow(counted, "head string, second string, third string, n long")
+    return rows.groupBy(*GRAM).agg(F.sum("n").alias("f"))
+
+
+def filter_of(grams: DataFrame) -> bytes:
+    """A bitmap in which both bits of every phrase are set: BITS for each, but no more than the most of FILTER, beyond which it lets more through."""
+    least, most = FILTER
+    size = min(max(least, 1 << max(0, BITS * grams.count() - 1).bit_length()), most)
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(size, bool)
+        for batch in batches:
+            words, langs = [], []
+            for head in batch.column("head").to_pylist():
+                word, _, lang = head.partition("\t")
+                words.append(word.encode())
+                langs.append(lang)
+            further = [[w.encode() for w in batch.column(c).to_pylist()] for c in GRAM[1:]]
+            if not words:
+                continue
+            used = [words, *(f for f in further if f[0])]
+            one = {lang: xxhash.xxh32_intdigest(lang.encode()) for lang in set(langs)}
+            hashes = [np.fromiter((xxhash.xxh64_intdigest(w, one[x]) for w, x in zip(ws, langs)), np.uint64, len(ws)) for ws in used]
+            for b in bits_of(phrase_hashes(hashes), size):
+                held[b.astype(np.int64)] = True
+        packed = np.packbits(held, bitorder="little").view("<i8")
+        at = np.flatnonzero(packed)
+        for lo in range(0, len(at), ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(at[lo : lo + ROWS]), pa.array(packed[at[lo : lo + ROWS]])], names=["place", "bits"])
+
+    # At most a row for 64 bits of the largest filter: 2,097,152.
+    rows = grams.select(*GRAM).mapInArrow(bits, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size // 64, "<i8")
+    out[np.asarray(rows["place"])] = np.asarray(rows["bits"])
+    return out.tobytes()
 
 
 def in_order(stream: DataFrame) -> DataFrame:
@@ -93,68 +160,22 @@ def in_order(stream: DataFrame) -> DataFrame:
     return stream.repartitionByRange(parts, *GRAM).sortWithinPartitions(*GRAM)
 
 
-def changes(batch: pa.RecordBatch, before: tuple | None) -> list[np.ndarray]:
-    """For one, two and three words: whether each row begins another phrase than the row before it."""
-    new, out = np.zeros(batch.num_rows, bool), []
-    for k, name in enumerate(GRAM):
-        c = batch.column(name)
-        new = new.copy()
-        new[1:] |= np.asarray(pc.not_equal(c[1:], c[:-1]))
-        new[0] |= before is None or before[k] != c[0].as_py()
-        out.append(new)
-    return out
-
-
 def _rows(batch: pa.RecordBatch, at: np.ndarray, k: int) -> list[pa.Array]:
     """The first k + 1 words of the rows at places, the others empty."""
     return [batch.column(name).take(pa.array(at)) if i <= k else pa.array([""] * len(at), pa.string()) for i, name in enumerate(GRAM)]
 
 
-def frequent(stream: DataFrame, least: int) -> DataFrame:
-    """head, second, third, f of the phrases of one to three words (the others empty) with f >= least. stream: windows, n."""
-    names = [*GRAM, "f"]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
-        # Of each length the phrase that goes on, its count, and whether the range began with it.
-        held: list[tuple | None] = [None] * 3
-
-        def ended(k: int, edge: bool) -> Iterator[pa.RecordBatch]:
-            phrase, n, first = held[k]
-            if all(phrase[: k + 1]) and (n >= least or edge or first):
-                yield pa.RecordBatch.from_arrays([*(pa.array([phrase[i] if i <= k else ""], pa.string()) for i in range(3)), pa.array([n], pa.int64())], names=names)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            n = np.asarray(batch.column("n"))
-            for k, new in enumerate(changes(batch, before)):
-                starts = np.flatnonzero(new)
-                sums = np.add.reduceat(n, starts) if len(starts) else starts
-                if held[k]:
-                    held[k] = (held[k][0], held[k][1] + int(n[: starts[0] if len(starts) else len(n)].sum()), held[k][2])
-                if not len(starts):
-                    continue
-                whole = starts[:-1]
-                if held[k]:
-                    yield from ended(k, False)
-                elif len(whole):
-                    # The first phrase of the range may have begun in the one before.
-                    held[k] = (tuple(batch.column(c)[0].as_py() for c in GRAM), int(sums[0]), True)
-                    yield from ended(k, True)
-                    whole, sums = whole[1:], sums[1:]
-                told = np.flatnonzero((sums[:-1] >= least) & np.asarray(pc.not_equal(batch.column(GRAM[k]), ""))[whole])
-                if len(told):
-                    yield pa.RecordBatch.from_arrays([*_rows(batch, whole[told], k), pa.array(sums[told])], names=names)
-                last = int(starts[-1])
-                held[k] = (tuple(batch.column(c)[last].as_py() for c in GRAM), int(sums[-1]), before is None and len(starts) == 1)
-            before = tuple(batch.column(c)[batch.num_rows - 1].as_py() for c in GRAM)
-        for k in range(3):
-            if held[k]:
-                yield from ended(k, True)
-
-    parts = in_order(stream).mapInArrow(scan, "head string, second string, third string, f long")
-    return parts.groupBy(*GRAM).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+def frequent(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """head, second, third, f of the phrases of one to three words (the others empty) with f >= least, and lang, n: how many words each language has."""
+    words = settle(counts(docs, 1), "words")
+    total = settle(words.groupBy(F.expr("substr(head, instr(head, '\t') + 1)").alias("lang")).agg(F.sum("f").alias("n")), "words-of-languages")
+    found = [settle(words.where(F.col("f") >= least), "frequent-phrases")]
+    discard(words)
+    for size in (2, 3):
+        known = docs.sparkSession.sparkContext.broadcast(filter_of(found[-1]))
+        found.append(settle(counts(docs, size, known).where(F.col("f") >= least), "frequent-phrases"))
+        known.unpersist()
+    return found[0].union(found[1]).union(found[2]), total
 
 
 CONTEXT = "kind int, head string, second string, third string, f long, one long, two long, longer long"
@@ -256,9 +277,7 @@ def collocations(docs: DataFrame, *, least: int = LEAST, top: int = TOP, share:
     such phrases and an empty table give no rows."""
     spark = docs.sparkSession
     with passing(spark):
-        blocks = settle(windows(docs), "windows")
-        total = settle(blocks.groupBy(F.expr("substr(head, instr(head, '\t') + 1)").alias("lang")).agg(F.sum("n").alias("n")), "words-of-languages")
-        grams = settle(frequent(blocks, least), "frequent-phrases")
+        grams, total = frequent(docs, least)
         right = in_context(grams, "prefix-order")
         left = backwards(in_context(backwards(grams), "suffix-order")).select(*GRAM, F.col("one").alias("one_"), F.col("two").alias("two_"), F.col("longer").alias("longer_"))
         both = right.join(left.hint("merge"), [*GRAM])
