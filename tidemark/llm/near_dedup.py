@@ -29,15 +29,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import passing, settle, table, whole_text
+from tidemark.llm.common import discard, passing, settle, table, whole_text
 from tidemark.llm.decontaminate import NORMAL
 from tidemark.llm.polyhash import mix, prefix_hashes, substring_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, KEPT = 12, 2
 SMALL, FAN = 8, 10_000
-#: Counters of shingle frequencies, whatever the number of shingles: shingles that share one only stand later in the order.
-COUNTERS = 1 << 18
+#: The narrowest band of an alignment.
+BAND = 64
+#: Counters of shingle frequencies, at least and at most, between them two for each shingle: shingles that share one only stand later in the order. The most are 32 MB.
+COUNTERS = (1 << 18, 1 << 22)
+#: Ratio of one block of sizes to the next, a little over 1 / SIMILARITY.
+BLOCKS = 1.2501
 #: 64-bit words of a bitmap.
 BITMAP = 8
 _LUT = np.frombuffer(NORMAL, np.uint8)
@@ -105,20 +109,52 @@ def matched(a: np.ndarray, b: np.ndarray, width: int, need: float) -> int:
             tails[k : k + 1] = [x]
         return len(tails)
 
-    # Many repetitions: a bit a place of b, zeros counting the matches, all places of b in a few operations per place of a.
-    @lru_cache(512)
-    def places(lo: int, hi: int) -> int:
-        bits = np.zeros(len(b), bool)
-        bits[order[lo:hi]] = True
+    # Many repetitions: a band around the diagonal, widened until what is left unmatched fits inside it, so that no better alignment leaves it.
+    band = min(BAND, width)
+    while True:
+        found = banded(len(a), low, high, order, band, need)
+        left = max(len(a), len(b)) - found
+        if band >= width or left <= band:
+            return found
+        band = min(8 * band, left, width)
+
+
+def banded(n: int, low: np.ndarray, high: np.ndarray, order: np.ndarray, band: int, need: float) -> int:
+    """Longest common subsequence of n shingles and others among pairs of places that differ by band at most; where that can't reach need and the band is the widest, any smaller number.
+
+    Shingle i of one sequence stands at the places order[low[i]:high[i]] of the other. The rows of the band are integers with a bit a place, in which zeros count matches; a row is a few operations
+    on 2 * band + 1 bits, and what leaves the band is counted for good."""
+    wide = 2 * band + 1
+    full = (1 << wide) - 1
+    step = max(2048, wide)
+
+    @lru_cache(2048)
+    def places(lo: int, hi: int, part: int) -> int:
+        """Bits of the places from band before part * step on, as far as rows of this part look."""
+        spot = order[lo:hi] - (part * step - band)
+        bits = np.zeros(step + wide, bool)
+        bits[spot[(spot >= 0) & (spot < len(bits))]] = True
         return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
-    full = (1 << len(b)) - 1
-    v = full
-    for lo, hi in zip(low.tolist(), high.tolist()):
+    spots = order.tolist()
+    v, done = full, 0
+    for i, (lo, hi) in enumerate(zip(low.tolist(), high.tolist())):
+        if i:
+            done += not v & 1
+            v = v >> 1 | 1 << 2 * band
         if lo < hi:
-            u = v & places(lo, hi)
+            if hi - lo > 16:
+                here = places(lo, hi, i // step) >> i % step & full
+            else:
+                here = 0
+                for j in spots[lo:hi]:
+                    if -band <= j - i <= band:
+                        here |= 1 << j - i + band
+            u = v & here
             v = (v + u | v - u) & full
-    return len(b) - v.bit_count()
+        if not i & 1023 and done + wide - v.bit_count() + n - i - 1 < need:
+            return 0
+    return done + wide - v.bit_count()
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
@@ -156,7 +192,7 @@ def has_words(text: Column) -> Column:
 
 def prefix(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The shingles, with their places in the order by frequency, of which a text of SIMILARITY or more shares at least one; those that no other text has are left out."""
-    n = counts[h & np.uint64(COUNTERS - 1)]
+    n = counts[h & np.uint64(len(counts) - 1)]
     order = np.lexsort((h, n))[: len(h) - math.ceil(SIMILARITY * len(h) - 1e-9) + 1]
     place = np.flatnonzero(n[order] > 1)
     return h[order[place]], place
@@ -187,7 +223,9 @@ def bucket_members(texts: DataFrame) -> DataFrame:
     rows = sketched.select("key", "n", F.explode("sketch").alias("value"))
     sizes = rows.groupBy("value").agg(F.count("*").alias("size")).where("size > 1")
     # Both sides grow with the corpus, so they are merged at every size.
-    return settle(rows.join(sizes.hint("merge"), "value"), "buckets")
+    members = settle(rows.join(sizes.hint("merge"), "value"), "buckets")
+    discard(sketched)
+    return members
 
 
 def similar_sizes(n: str, m: str) -> Column:
@@ -208,82 +246,81 @@ def candidates(members: DataFrame) -> DataFrame:
     return settle(pairs.groupBy("a", "b").agg(F.max("near").alias("near")), "candidates")
 
 
-def sequences(texts: DataFrame, members: DataFrame) -> DataFrame:
-    """key, seq (the shingles in text order) of the texts in members. texts: key, text."""
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seqs = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
-            yield _arrow({"key": pa.string(), "seq": pa.binary()}, [batch.column("key"), seqs])
-
-    return settle(texts.join(members.select("key").distinct(), "key", "left_semi").select("key", "text").mapInArrow(made, "key string, seq binary"), "sequences", bucket="key")
-
-
-def attach(pairs: DataFrame, seqs: DataFrame, side: str, other: str, name: str) -> DataFrame:
-    """pairs with the sequence of the text in column side under name. The pairs of one text are dealt over tasks by the other text."""
+def attach(pairs: DataFrame, texts: DataFrame, side: str, other: str, name: str) -> DataFrame:
+    """pairs with the text in column side under name. The pairs of one text are dealt over tasks by the other text."""
     dealt = pairs.withColumn("_salt", F.pmod(F.xxhash64(other), 1 + F.floor(F.col("near") / FAN)))
     most = dealt.groupBy(F.col(side).alias("key")).agg(F.max("_salt").alias("_most"))
-    held = seqs.join(most, "key").select(F.col("key").alias(side), F.explode(F.sequence(F.lit(0).cast("long"), "_most")).alias("_salt"), F.col("seq").alias(name))
+    held = texts.join(most, "key").select(F.col("key").alias(side), F.explode(F.sequence(F.lit(0).cast("long"), "_most")).alias("_salt"), F.col("text").alias(name))
     return dealt.join(held, [side, "_salt"]).drop("_salt")
 
 
-def links(seqs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, similarity of the pairs that are links. seqs: key, seq; pairs: a, b, near."""
+def links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, similarity of the pairs that are links. texts: key, text; pairs: a, b, near."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Pairs of one text follow each other. Texts are smaller than their shingles, so they are what moves.
+        known = lru_cache(64)(shingles)
         for batch in batches:
-            p, q = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("p", "q"))
-            yield _arrow({"a": pa.string(), "b": pa.string(), "similarity": pa.float64()}, [batch.column("a"), batch.column("b"), [similarity(x, y) for x, y in zip(p, q)]])
+            found = [similarity(known(x), known(y)) for x, y in zip(batch.column("p").to_pylist(), batch.column("q").to_pylist())]
+            yield _arrow({"a": pa.string(), "b": pa.string(), "similarity": pa.float64()}, [batch.column("a"), batch.column("b"), found])
 
-    # Sequences lie in buckets by key, so only pairs and what is attached to them move. Pairs of a text that many meet are dealt over tasks.
-    p, q = (seqs.select(F.col("key").alias(k), F.col("seq").alias(v)) for k, v in (("a", "p"), ("b", "q")))
+    # Texts lie in buckets by key, so only pairs and what is attached to them move. Pairs of a text that many meet are dealt over tasks.
+    p, q = (texts.select(F.col("key").alias(k), F.col("text").alias(v)) for k, v in (("a", "p"), ("b", "q")))
     both = pairs.where(F.col("near") <= FAN).join(p, "a").join(q, "b").select("a", "b", "p", "q")
     hot = pairs.where(F.col("near") > FAN)
     if not hot.isEmpty():
-        both = both.union(attach(attach(hot, seqs, "a", "b", "p"), seqs, "b", "a", "q").select("a", "b", "p", "q"))
+        both = both.union(attach(attach(hot, texts, "a", "b", "p"), texts, "b", "a", "q").select("a", "b", "p", "q"))
     return settle(both.select("a", "b", "p", "q").mapInArrow(verify, "a string, b string, similarity double").where(F.col("similarity") >= SIMILARITY - 1e-9), "links")
 
 
 def open_texts(members: DataFrame, group: DataFrame) -> DataFrame:
-    """key, component of the texts of large buckets that hold several classes."""
-    large = members.where(F.col("size") > SMALL).join(group.withColumnRenamed("node", "key"), "key", "left").select("value", "key", F.coalesce("component", "key").alias("component"))
+    """key, n, component of the texts of large buckets that hold several classes."""
+    large = members.where(F.col("size") > SMALL).join(group.withColumnRenamed("node", "key"), "key", "left").select("value", "key", "n", F.coalesce("component", "key").alias("component"))
     several = large.groupBy("value").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi")
-    return settle(large.join(several, "value", "left_semi").select("key", "component").distinct(), "open-texts")
+    return settle(large.join(several, "value", "left_semi").select("key", "n", "component").distinct(), "open-texts")
 
 
 BITS = [f"m{i}" for i in range(BITMAP)]
 
 
-def prefixes(seqs: DataFrame, keys: DataFrame) -> DataFrame:
-    """key, n, tokens and places (the prefix of its shingles), BITS of the texts in keys."""
-    own = settle(seqs.join(keys, "key"), "open-sequences")
+def prefixes(texts: DataFrame, opened: DataFrame) -> DataFrame:
+    """key, n, tokens and places (the prefix of its shingles), BITS of the texts in opened (key, n)."""
+    own = settle(texts.join(opened.select("key"), "key", "left_semi").select("key", "text"), "opened")
+    total = opened.agg(F.sum("n").alias("n")).first()["n"]
+    least, most = COUNTERS
+    counters = min(max(least, 1 << (2 * total).bit_length()), most)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(counters, np.int64)
         for batch in batches:
-            for seq in batch.column("seq").to_pylist():
-                total += np.bincount((labelled(np.frombuffer(seq, np.uint64)) & np.uint64(COUNTERS - 1)).view(np.int64), minlength=COUNTERS)
+            for text in batch.column("text").to_pylist():
+                np.add.at(total, (labelled(shingles(text)) & np.uint64(counters - 1)).view(np.int64), 1)
         slot = np.flatnonzero(total)
-        yield _arrow({"slot": pa.int64(), "n": pa.int64()}, [slot, total[slot]])
+        for lo in range(0, len(slot), 1 << 16):
+            part = slot[lo : lo + (1 << 16)]
+            yield _arrow({"slot": pa.int64(), "n": pa.int64()}, [part, total[part]])
 
     # At most COUNTERS rows reach the driver.
-    slots = own.select("seq").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(COUNTERS, np.int64)
+    slots = own.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(counters, np.int64)
     counts[slots["slot"].to_numpy(np.int64)] = slots["n"].to_numpy(np.int64)
-    shared = seqs.sparkSession.sparkContext.broadcast(counts)
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
     kinds = {"key": pa.string(), "n": pa.int32(), "tokens": pa.list_(pa.int64()), "places": pa.list_(pa.int32())} | dict.fromkeys(BITS, pa.int64())
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, seq in zip(batch.column("key").to_pylist(), batch.column("seq").to_pylist()):
-                h = labelled(np.frombuffer(seq, np.uint64))
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+                h = labelled(shingles(text))
                 token, place = prefix(h, shared.value)
                 rows.append((key, len(h), token.view(np.int64), place.astype(np.int32), *bitmap(h).tolist()))
             if rows:
                 yield _arrow(kinds, list(zip(*rows)))
 
-    return settle(own.select("key", "seq").mapInArrow(first, "key string, n int, tokens array<bigint>, places array<int>, " + ", ".join(f"{b} long" for b in BITS)), "prefixes")
+    made = settle(own.mapInArrow(first, "key string, n int, tokens array<bigint>, places array<int>, " + ", ".join(f"{b} long" for b in BITS)), "prefixes")
+    discard(own)
+    shared.unpersist()
+    return made
 
 
 def shared_tokens(firsts: DataFrame, group: DataFrame) -> DataFrame:
@@ -317,12 +354,13 @@ def token_leaders(rows: DataFrame) -> DataFrame:
 
 
 def token_pairs(rows: DataFrame) -> DataFrame:
-    """Rows of texts that meet in a shingle: those of its main class with those of others, and these with each other. A shingle of many texts is dealt over tasks."""
-    rows = rows.withColumn("salts", F.floor(F.col("near") / FAN))
+    """Rows of texts that meet in a shingle: those of its main class with those of others, and these with each other. A shingle of many texts is dealt over tasks, and texts meet only those whose number of
+    shingles is in the same block of sizes or the next, as all that are similar enough are."""
+    rows = rows.withColumn("salts", F.floor(F.col("near") / FAN)).withColumn("_block", F.floor(F.log("n") / math.log(BLOCKS)).cast("int"))
     # Of a pair, the text with fewer shingles shares 2s / (1 + s) of them at least, so its part of the prefix is shorter.
-    short = rows.where(F.col("n") - F.col("place") >= 2 * SIMILARITY / (1 + SIMILARITY) * F.col("n") - 1e-9).withColumn("_salt", F.pmod(F.xxhash64("key"), F.col("salts") + 1))
-    other = other_side(rows.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), "salts"))), "_salt")
-    on, may = ["token", "_salt"], (F.struct("n", "key") < F.struct("n_", "key_")) & may_link()
+    short = rows.where(F.col("n") - F.col("place") >= 2 * SIMILARITY / (1 + SIMILARITY) * F.col("n") - 1e-9).withColumn("_salt", F.pmod(F.xxhash64("key"), F.col("salts") + 1)).withColumn("_block", F.explode(F.array(F.col("_block"), F.col("_block") + 1)))
+    other = other_side(rows.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), "salts"))), "_salt", "_block")
+    on, may = ["token", "_salt", "_block"], (F.struct("n", "key") < F.struct("n_", "key_")) & may_link()
     met = short.where("NOT main").join(other, on).where(may).union(short.where("main").join(other.where("NOT main_"), on).where(may))
     return met.select("key", "key_", "near")
 
@@ -331,27 +369,39 @@ def classes(texts: DataFrame) -> DataFrame:
     """node, component of the texts with links. texts: key (unique string), text."""
     with passing(texts.sparkSession):
         members = bucket_members(texts)
-        seqs = sequences(texts, members)
-        group = components(links(seqs, candidates(members)))
+        pairs = candidates(members)
+        found = links(texts, pairs)
+        discard(pairs)
+        group = components(found)
+        discard(found)
         opened = open_texts(members, group)
+        discard(members)
         if not opened.isEmpty():
-            firsts = prefixes(seqs, opened.select("key"))
+            firsts = prefixes(texts, opened)
             for meet in (token_leaders, token_pairs):
-                group = merged(group, links(seqs, met_pairs(meet(shared_tokens(firsts, group)))))
+                rows = shared_tokens(firsts, group)
+                pairs = met_pairs(meet(rows))
+                discard(rows)
+                found = links(texts, pairs)
+                discard(pairs)
+                group = merged(group, found)
+                discard(found)
         return settle(group, "classes", keep=True)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (its least node) of every node of edges, by taking the least label of neighbours and then that label's own, until nothing changes."""
     both = settle(edges.select(F.col(a).alias("node"), F.col(b).alias("to")).union(edges.select(F.col(b), F.col(a))), "edges")
-    labels = settle(both.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("component")), "labels")
+    labels = now = settle(both.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("component")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("to"), "component"), "to").groupBy("node").agg(F.min("component").alias("near"))
         step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         own = labels.select(F.col("node").alias("component"), F.col("component").alias("own"))
         new = settle(step.join(own, "component").select("node", "was", F.least("component", "own").alias("component")), "labels")
-        labels = new.select("node", "component")
+        discard(now)
+        labels, now = new.select("node", "component"), new
         if new.where("was <> component").isEmpty():
+            discard(both)
             return labels
 
 
@@ -378,6 +428,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # One text a key: the id decides nothing, so any of the equal texts does.
     texts = settle(texts.groupBy("key").agg(F.first("text").alias("text")), "texts", bucket="key")
     group = classes(texts)
+    discard(texts)
     keys = rows.where("worded").groupBy("text_key").agg(F.min("doc_id").alias("first"))
     keys = keys.join(group, keys["text_key"] == group["node"], "left").drop("node")
     keys = keys.withColumn("component", F.coalesce("component", "text_key"))
