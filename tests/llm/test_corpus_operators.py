@@ -173,6 +173,35 @@ def test_cutoffs_bound_false_rejections(spark):
     assert kept[True] >= 0.98 and kept[False] == 0.0
 
 
+def test_a_certified_cutoff_rejects_alone(spark):
+    # The rows of the given tables: the method's own verdict is seen, and it spares the documents that are labelled good.
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    judged = quality.judge(spark.read.parquet(f"{d}/documents.parquet"), labels).cache()
+    per = {r.lang: r for r in quality.rejections(judged).collect()}
+    assert per["en"].method >= 20 and per["de"].method == per["es"].method == per["fr"].method == 0
+    lost = judged.where("NOT base_failed AND NOT kept").join(labels.where("quality = 1"), "doc_id").count()
+    assert lost <= quality.ALPHA * judged.where("NOT base_failed").join(labels.where("quality = 1"), "doc_id").count()
+
+
+def test_steps_are_tested_in_a_fixed_sequence(spark):
+    """By hand: the test ends at the first step that costs too many good documents, though a later one would cost no more; of equal gains the laxest step is taken."""
+    feature = dict.fromkeys(quality.FEATURES, 0) | {"n_words": 100, "word_chars": 1000, "n_lines": 10}
+    rows = [(i, "en", 1, feature) for i in range(400)] + [(1000 + i, "en", 0, feature | {"n_symbols": 450 if i < 30 else 70}) for i in range(40)]
+    rows += [(2000 + i, "en", 1, feature | {"n_repeat_words": 25}) for i in range(60)] + [(3000, None, 1, feature), (3001, None, 0, feature | {"n_symbols": 900})]
+    features = spark.createDataFrame([(i, lang, *f.values()) for i, lang, _, f in rows], "doc_id long, lang string, " + ", ".join(f"{c} long" for c in feature))
+    labels = spark.createDataFrame([(i, good) for i, _, good, _ in rows], "doc_id long, quality int")
+    tested = {(r.lang, r.step): r for r in quality.certificates(features, labels).collect()}
+    assert len(tested) == 2 * len(quality.steps()) and tested["en", 0].n == 460 and tested[None, 0].n == 1
+    names = list(quality.RULES)
+    lines = quality.steps().index({"symbols": 20, "lines": 500})
+    assert [tested["en", s].b for s in (0, 2, 6, 7)] == [0, 30, 30, 40] and tested["en", lines].certified and not tested[None, 0].certified
+    fails = [s for s in range(len(quality.steps())) if not tested["en", s].certified]
+    assert fails == list(range(fails[0], len(quality.steps()))) and names.index("repeats") * 10 <= fails[0] < names.index("capitals") * 10
+    picked = quality.certified_cutoffs(features, labels).collect()
+    assert [r.asDict() for r in picked] == [{"lang": "en", "symbols": 60, "lines": None, "repeats": None, "capitals": None}]
+
+
 def test_features_of_a_very_long_text(spark):
     words = prose(30_000, 41).split() + ["one", "two"] * 60 + prose(30_000, 42).split()
     text = " ".join(words) + "\n" + "same line\n" * 50
@@ -445,6 +474,13 @@ def test_columns_keep_their_names(spark):
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [0, 2, 4]
 
 
+def test_rejection_keeps_names(spark):
+    names = "doc_id long, text string, lang string, row string, n_words string, _h string, base_failed string, _stratum string"
+    docs = spark.createDataFrame([(i, prose(30, i) if i else None, "en" if i % 2 else None, "r", "w", "h", "b", "s") for i in range(6)], names)
+    got = quality.drop_rejected(docs, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 2, 3, 4, 5]
+
+
 def test_one_of_each_class_stays(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     kept = near_dedup.drop_near_duplicates(docs).collect()
@@ -458,6 +494,21 @@ def test_alignment_is_sensitive_to_order():
     assert near_dedup.similarity(a, a) == 1.0 and near_dedup.similarity(a, b) == 0.0
 
 
+def test_alignment_of_long_repetitive_texts():
+    import time
+
+    r = random.Random(5)
+    words = r.choices("xy", k=200_000)
+    other = list(words)
+    for _ in range(20):
+        other[r.randrange(len(other))] = "z"
+    a, b = (near_dedup.shingles(" ".join(w)) for w in (words, other))
+    start = time.process_time()
+    s = near_dedup.similarity(a, b)
+    assert 0.998 < s < 1 and time.process_time() - start < 3
+    assert near_dedup.similarity(a[:30_000], near_dedup.shingles(" ".join(r.choices("xy", k=30_000)))) == 0.0
+
+
 def all_places(a, b):
     """similarity by the table of all prefixes, without hashes, labels or band."""
     a, b = ([tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in (a.split(), b.split()))

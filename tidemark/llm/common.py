@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.staging import new_path, passing, settle
+from tidemark.sources.staging import discard, new_path, passing, settle
 
-__all__ = ["SPACE_RUN", "WORD", "hash60", "n_of", "new_path", "passing", "settle", "table", "whole_text", "words"]
+__all__ = ["SPACE_RUN", "WORD", "discard", "hash60", "n_of", "new_path", "passing", "settle", "table", "whole_text", "words"]
 
 #: Space, tab, line feed, vertical tab, form feed and carriage return separate words.
 SPACE_RUN = r"[\x20\x09-\x0D]+"

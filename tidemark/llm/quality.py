@@ -1,10 +1,11 @@
 """Quality rules with risk-controlled thresholds.
 
-Features of every document are counted with built-in expressions. Each rule rejects a document when 1000 * feature > cutoff * base. For
-each stratum (language) and rule, labelled good documents are the holdout: a cutoff is certified if the exact one-sided
-binomial bound shows its false rejection rate to be under alpha / rules, at confidence 1 - delta divided by strata * rules * cutoffs
-(Bonferroni). So with probability 1 - delta no stratum loses more than alpha of its good documents to all rules together. Of the certified
-cutoffs the one that rejects most labelled bad documents is taken, the laxest on a tie; a rule without one rejects nothing.
+Features of every document are counted with built-in expressions. A rule rejects a document when 1000 * feature > cutoff * base. The rules stand in a fixed order, each with its cutoffs from the laxest to the
+strictest; every step along this list rejects all that the steps before it reject and what its own cutoff adds. For each stratum (language) the labelled good documents
+are the holdout: a step is certified if the exact one-sided binomial bound shows that all its rules together reject less than alpha of good documents. A step's rejections only
+grow, so this is a fixed-sequence test that ends at the first step that fails: it needs no share of the error for each rule and cutoff, and only the strata divide delta (Bonferroni). So with
+probability 1 - delta no stratum loses more than alpha of its good documents. Of the certified steps the one is taken that rejects most labelled bad documents less the good ones it costs, the laxest of equal ones;
+where none rejects more bad than good, and where the holdout is too small to certify anything (under ln(delta / strata) / ln(1 - alpha) good documents), no rule rejects.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ SYMBOLS = "[#*$%&|<>]+"
 WINDOW = 8
 #: Rule: (feature, base).
 RULES = {"symbols": ("n_symbols", "word_chars"), "lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "capitals": ("n_capitals", "word_chars")}
+#: Permille of the base.
 CUTOFFS = (20, 40, 60, 80, 100, 150, 200, 300, 400, 500)
 ALPHA, DELTA = 0.02, 0.05
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
@@ -76,45 +78,71 @@ def log_binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), start, add)["s"]
 
 
-def certified_cutoffs(features: DataFrame, labels: DataFrame, *, key: str = "doc_id", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, cutoffs: tuple[int, ...] = CUTOFFS) -> DataFrame:
-    """stratum, rule, cutoff of the certified cutoffs that are taken. All labelled documents that pass the base rule count; a document with several labels is good if any of them says so."""
+def steps(cutoffs: tuple[int, ...] = CUTOFFS) -> list[dict[str, int]]:
+    """Cutoff of each rule that rejects at a step."""
+    lax = sorted(cutoffs, reverse=True)
+    return [dict.fromkeys(list(RULES)[:k], lax[-1]) | {rule: c} for k, rule in enumerate(RULES) for c in lax]
+
+
+def certificates(features: DataFrame, labels: DataFrame, *, key: str = "doc_id", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, cutoffs: tuple[int, ...] = CUTOFFS) -> DataFrame:
+    """stratum, step, n (good documents held out), k and b (good and bad ones that the step rejects), bound (logarithm of the chance of so few rejections at a rate of alpha), certified; a row for each stratum and step.
+
+    All labelled documents that pass the base rule count; a document with several labels is good if any of them says so; a null stratum is one more."""
     truth = labels.groupBy(F.col(key).alias("_key")).agg(F.max("quality").alias("_good"))
     held = features.join(truth, features[key] == truth["_key"]).where(~base_failed() & F.col("_good").isNotNull())
-    grid = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f).alias("x"), F.col(b).alias("y")) for r, (f, b) in RULES.items()])).alias("r")
-    held = held.select(stratum, "_good", grid).select(stratum, "_good", "r.*")
-    hits = [F.sum(F.when((F.col("_good") == good) & (1000 * F.col("x") > c * F.col("y")), 1).otherwise(0)).alias(f"{name}{c}") for c in cutoffs for good, name in ((1, "k"), (0, "b"))]
-    sums = held.groupBy(stratum, "rule").agg(F.sum(F.col("_good").cast("long")).alias("n"), *hits)
-    rows = sums.select(stratum, "rule", "n", F.explode(F.array(*[F.struct(F.lit(c).cast("long").alias("cutoff"), F.col(f"k{c}").alias("k"), F.col(f"b{c}").alias("b")) for c in cutoffs])).alias("c")).select(stratum, "rule", "n", "c.*")
-    # Strata and rules are counted over the few summed rows; a null stratum is one more.
-    tests = F.count("*").over(Window.partitionBy())
-    share = alpha / len(RULES)
-    bound = F.when((F.col("n") > 0) & (F.col("k") <= share * F.col("n")), log_binomial_cdf(F.col("k"), F.col("n"), share))
-    passed = rows.select("*", tests.alias("tests")).where(bound <= F.log(delta / F.col("tests")))
-    best = passed.where("b > 0").groupBy(stratum, "rule").agg(F.max(F.struct("b", "cutoff")).alias("m"))
-    return best.select(stratum, "rule", F.col("m.cutoff").alias("cutoff"))
-
-
-def verdicts(features: DataFrame, labels: DataFrame, *, key: str = "doc_id", stratum: str = "lang") -> DataFrame:
-    """features (a stored table) with base_failed and kept. The cutoffs have a row a stratum, so rows aren't shuffled to meet them."""
-    picked = certified_cutoffs(features, labels, key=key, stratum=stratum)
-    wide = settle(picked.groupBy(F.col(stratum).alias("_stratum")).agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_{r}") for r in RULES]), "quality-cutoffs")
+    lax = sorted(cutoffs, reverse=True)
+    # The first step that rejects a document; of a rule, its first cutoff.
+    firsts = [F.when(1000 * F.col(f) > c * F.col(b), k * len(lax) + i) for k, (f, b) in enumerate(RULES.values()) for i, c in enumerate(lax)]
+    sums = held.groupBy(stratum, F.coalesce(*firsts, F.lit(len(firsts))).alias("first")).agg(F.sum(F.col("_good").cast("long")).alias("good"), F.count("*").alias("all"))
+    # From here on there is a row for each stratum and step.
+    per = sums.groupBy(stratum).agg(F.sum("good").alias("n"), F.collect_list(F.struct("first", "good", "all")).alias("sums"))
+    per = per.withColumn("strata", F.count("*").over(Window.partitionBy()))
+    upto = lambda step, value: F.aggregate("sums", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["first"] <= step, value(x)).otherwise(0))
+    rows = per.select(stratum, "n", "sums", F.explode(F.sequence(F.lit(0), F.lit(len(firsts) - 1))).alias("step"), "strata")
+    rows = rows.select(stratum, "step", "n", upto(F.col("step"), lambda x: x["good"]).alias("k"), upto(F.col("step"), lambda x: x["all"] - x["good"]).alias("b"), "strata")
+    bound = F.when((F.col("n") > 0) & (F.col("k") <= alpha * F.col("n")), log_binomial_cdf(F.col("k"), F.col("n"), alpha))
+    return rows.withColumn("bound", bound).withColumn("certified", F.coalesce(F.col("bound") <= F.log(delta / F.col("strata")), F.lit(False))).drop("strata")
+
+
+def certified_cutoffs(features: DataFrame, labels: DataFrame, *, key: str = "doc_id", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, cutoffs: tuple[int, ...] = CUTOFFS) -> DataFrame:
+    """stratum and a column for each rule with its cutoff (null: the rule rejects nothing) of the strata in which a step is taken."""
+    tested = certificates(features, labels, key=key, stratum=stratum, alpha=alpha, delta=delta, cutoffs=cutoffs)
+    best = tested.where("certified AND b > k").groupBy(stratum).agg(F.max_by("step", F.struct(F.col("b") - F.col("k"), -F.col("step"))).alias("step"))
+    at = [F.get(F.array(*[F.lit(s.get(r)).cast("int") for s in steps(cutoffs)]), F.col("step")).alias(r) for r in RULES]
+    return best.select(stratum, *at)
+
+
+def verdicts(features: DataFrame, picked: DataFrame, *, stratum: str = "lang") -> DataFrame:
+    """features with base_failed and kept. picked: certified_cutoffs, a row a stratum, so rows aren't shuffled to meet them."""
+    wide = settle(picked.select(F.col(stratum).alias("_stratum"), *[F.col(r).alias(f"_{r}") for r in RULES]), "quality-cutoffs")
     over = [F.coalesce(1000 * F.col(f) > F.col(f"_{r}") * F.col(b), F.lit(False)) for r, (f, b) in RULES.items()]
     rejected = over[0] | over[1] | over[2] | over[3]
     judged = features.join(wide, features[stratum].eqNullSafe(wide["_stratum"]), "left").withColumn("base_failed", base_failed())
     return judged.select(*features.columns, "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"))
 
 
+def rejections(judged: DataFrame, stratum: str = "lang") -> DataFrame:
+    """stratum, n, base (rejected by the base rule), method (passed by it and rejected by a certified cutoff)."""
+    method = F.count_if(~F.col("base_failed") & ~F.col("kept")).alias("method")
+    return judged.groupBy(stratum).agg(F.count("*").alias("n"), F.count_if("base_failed").alias("base"), method)
+
+
 def judge(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", stratum: str = "lang", text: str = "text") -> DataFrame:
     """key, text_hash, stratum, FEATURES, base_failed, kept. Rows of equal key are judged each by its own text; an empty table gives no rows; without labels only the base rule rejects."""
     features = settle(with_features(docs.select(key, stratum, text, F.xxhash64(whole_text(text)).alias("text_hash")), text), "quality-features")
-    return verdicts(features, labels, key=key, stratum=stratum).select(key, "text_hash", stratum, *FEATURES, "base_failed", "kept")
+    picked = certified_cutoffs(features, labels, key=key, stratum=stratum)
+    return verdicts(features, picked, stratum=stratum).select(key, "text_hash", stratum, *FEATURES, "base_failed", "kept")
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rejected ones, all columns kept, whatever their names. Rows are written beside their features and read again under the verdict, so they aren't shuffled."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    features = settle(with_features(rows.select("row", F.col("row")["doc_id"].alias("doc_id"), F.col("row")["lang"].alias("lang"), F.col("row")["text"].alias("text"))), "quality-rows")
-    return verdicts(features, labels).where("kept").select("row.*")
+    """docs without the rejected ones, all columns kept, whatever their names.
+
+    The cutoffs come from the labelled documents alone, which are counted first; then every row is counted and judged where it is read, so that none is shuffled or stored on the way."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = own.select("row", F.col("row")["doc_id"].alias("doc_id"), F.col("row")["lang"].alias("lang"), F.col("row")["text"].alias("text"))
+    known = labels.where("quality IS NOT NULL").select("doc_id").distinct()
+    held = settle(with_features(rows.drop("row").join(known, "doc_id", "left_semi")), "quality-holdout")
+    return verdicts(with_features(rows), certified_cutoffs(held, labels)).where("kept").select("row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,9 +151,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    grid = ", ".join(f"('{r}', {f}, {b})" for r, (f, b) in RULES.items())
+    lax = sorted(CUTOFFS, reverse=True)
+    firsts = " ".join(f"WHEN 1000 * {f} > {c} * {b} THEN {k * len(lax) + i}" for k, (f, b) in enumerate(RULES.values()) for i, c in enumerate(lax))
+    taken = ", ".join(f"({i}, {', '.join(str(s.get(r, 'NULL')) for r in RULES)})" for i, s in enumerate(steps()))
     over = " OR ".join(f"coalesce(1000 * f.{f} > p.c_{r} * f.{b}, false)" for r, (f, b) in RULES.items())
-    share = ALPHA / len(RULES)
     return rf"""
 WITH w AS MATERIALIZED (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS rid FROM documents),
 g AS MATERIALIZED (SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS g FROM w, unnest(range(1, len(w) - 6)) u(i) WHERE len(w) >= 8),
@@ -139,14 +168,13 @@ f AS MATERIALIZED (
   FROM w LEFT JOIN rep ON w.rid = rep.rid),
 j AS MATERIALIZED (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
 l AS (SELECT doc_id, max(quality) AS good FROM labels GROUP BY doc_id),
-held AS (SELECT lang, good, r.rule, r.x, r.y FROM j JOIN l ON j.doc_id = l.doc_id, LATERAL (VALUES {grid}) r(rule, x, y) WHERE NOT base_failed AND good IS NOT NULL),
-c AS (SELECT lang, rule, c, sum(good) AS n, count(*) FILTER (good = 1 AND 1000 * x > c * y) AS k, count(*) FILTER (good = 0 AND 1000 * x > c * y) AS b
-  FROM held, unnest({list(CUTOFFS)}) u(c) GROUP BY ALL),
-p0 AS (SELECT *, count(*) OVER () AS tests FROM c),
-passed AS (SELECT lang, rule, c, b FROM p0 WHERE n > 0 AND b > 0 AND k <= {share} * n AND (
-  SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({share}) + (n - i) * ln(1 - {share}))) FROM unnest(range(0, k + 1)) u(i)) <= {DELTA}::DOUBLE / tests),
-best AS (SELECT lang, rule, max_by(c, b * 1000000 + c) AS c FROM passed GROUP BY ALL),
-p AS (SELECT lang, {", ".join(f"max(c) FILTER (rule = '{r}') AS c_{r}" for r in RULES)} FROM best GROUP BY lang)
+held AS (SELECT lang, good, CASE {firsts} ELSE {len(lax) * len(RULES)} END AS first FROM j JOIN l ON j.doc_id = l.doc_id WHERE NOT base_failed AND good IS NOT NULL),
+c AS (SELECT lang, step, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND first <= step) AS k, count(*) FILTER (good = 0 AND first <= step) AS b, (SELECT count(DISTINCT coalesce(lang, chr(0))) FROM held) AS strata
+  FROM held, unnest(range({len(lax) * len(RULES)})) u(step) GROUP BY lang, step),
+passed AS (SELECT lang, step, b - k AS gain FROM c WHERE n > 0 AND b > k AND k <= {ALPHA} * n AND (
+  SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA}))) FROM unnest(range(0, k + 1)) u(i)) <= {DELTA}::DOUBLE / strata),
+best AS (SELECT lang, max_by(step, gain * 1000 - step) AS step FROM passed GROUP BY lang),
+p AS (SELECT lang, {", ".join(f"c_{r}" for r in RULES)} FROM best JOIN (VALUES {taken}) v(step, {", ".join(f"c_{r}" for r in RULES)}) USING (step))
 SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed, NOT f.base_failed AND NOT ({over}) AS kept
 FROM j f LEFT JOIN p ON f.lang IS NOT DISTINCT FROM p.lang
 """
