@@ -38,8 +38,8 @@ SKETCHES, KEPT = 12, 2
 SMALL, FAN = 8, 10_000
 #: The narrowest band of an alignment.
 BAND = 64
-#: Counters of shingle frequencies, at least and at most, between them two for each shingle: shingles that share one only stand later in the order. The most are 32 MB.
-COUNTERS = (1 << 18, 1 << 22)
+#: Counters of shingle frequencies, at least and at most, between them two for each shingle: shingles that share one only stand later in the order. The most are 16 MB.
+COUNTERS, PART = (1 << 18, 1 << 22), 1 << 14
 #: Ratio of one block of sizes to the next, a little over 1 / SIMILARITY.
 BLOCKS = 1.2501
 #: 64-bit words of a bitmap.
@@ -291,19 +291,22 @@ def prefixes(texts: DataFrame, opened: DataFrame) -> DataFrame:
     counters = min(max(least, 1 << (2 * total).bit_length()), most)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(counters, np.int64)
+        held = np.zeros(counters, np.int64)
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                np.add.at(total, (labelled(shingles(text)) & np.uint64(counters - 1)).view(np.int64), 1)
-        slot = np.flatnonzero(total)
-        for lo in range(0, len(slot), 1 << 16):
-            part = slot[lo : lo + (1 << 16)]
-            yield _arrow({"slot": pa.int64(), "n": pa.int64()}, [part, total[part]])
-
-    # At most COUNTERS rows reach the driver.
-    slots = own.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(counters, np.int64)
-    counts[slots["slot"].to_numpy(np.int64)] = slots["n"].to_numpy(np.int64)
+                np.add.at(held, (labelled(shingles(text)) & np.uint64(counters - 1)).view(np.int64), 1)
+        parts = held.reshape(-1, PART)
+        used = np.flatnonzero(parts.any(axis=1))
+        yield _arrow({"part": pa.int32(), "n": pa.binary()}, [used.astype(np.int32), [parts[i].tobytes() for i in used.tolist()]])
+
+    def summed(group: pa.Table) -> pa.Table:
+        n = sum(np.frombuffer(x, np.int64) for x in group.column("n").to_pylist())
+        return pa.table({"part": group.column("part").slice(0, 1), "n": pa.array([np.minimum(n, (1 << 31) - 1).astype(np.int32).tobytes()], pa.binary())})
+
+    # A row for PART counters, 4 bytes each: 16 MB at most reach the driver.
+    counts = np.zeros(counters, np.int32)
+    for r in own.select("text").mapInArrow(count, "part int, n binary").groupBy("part").applyInArrow(summed, "part int, n binary").toLocalIterator():
+        counts[r.part * PART : (r.part + 1) * PART] = np.frombuffer(r.n, np.int32)
     shared = texts.sparkSession.sparkContext.broadcast(counts)
     kinds = {"key": pa.string(), "n": pa.int32(), "tokens": pa.list_(pa.int64()), "places": pa.list_(pa.int32())} | dict.fromkeys(BITS, pa.int64())
 
