@@ -1,12 +1,13 @@
 """Every registered research query against its SQL equivalent on the smallest tables."""
 
+import datetime
 import math
 from pathlib import Path
 
 import duckdb
 import pytest
 
-from tidemark.plans import catalogue, further  # noqa: F401
+from tidemark.plans import catalogue, further, warehouse  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -25,7 +26,7 @@ def cell(x):
         return None
     if isinstance(x, (int, float)) and not isinstance(x, bool):
         return f"{float(x):.5f}"
-    return str(x)[:19]
+    return str(x)[:19] if isinstance(x, datetime.date) else str(x)
 
 
 def rows(names, found):

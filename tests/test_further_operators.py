@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import canonical
-from tidemark.operators import filings, market, metrics, normalise, reports, returns, scoring, state
-from tidemark.sources import artifacts, instances, staging, tables
+from tidemark.operators import backfill, filings, market, metrics, normalise, reports, returns, scoring, state
+from tidemark.sources import artifacts, commits, instances, staging, tables
+from tidemark.streaming import sinks
 from tidemark.streaming.windows import event_sessions, stream_once
 
 D = dt.date
@@ -111,11 +112,75 @@ def test_artifacts(spark, tmp_path):
     with pytest.raises(ValueError, match="MULTIPLE_ARTIFACTS"):
         artifacts.read_artifacts(spark, path, ["day"])
     assert artifacts.read_artifacts(spark, path, ["day"], where=F.col("day") == F.lit("2026-01-01").cast("date")).count() == 2
-    # Rows that are added or lost by other hands are seen.
-    digest = artifacts.manifest(spark, path).where("day = '2026-01-01'").first().digest
-    folder = f"{path}/rows/p_day=2026-01-01/digest={digest}"
+    # Files that no manifest lists aren't read.
+    listed = artifacts.manifest(spark, path).where("day = '2026-01-01'").first()
+    folder = f"{path}/rows/attempt={listed.attempt}/p_day=v2026-01-01/artifact=sha256-{listed.digest}"
     spark.read.parquet(folder).where("code = 1").withColumn("code", F.lit(5)).write.mode("append").parquet(folder)
-    assert {str(r.day): r.issue for r in artifacts.validate_artifacts(spark, path, ["day"]).collect()}["2026-01-01"] == "ARTIFACT_COUNT"
+    assert {str(r.day): r.issue for r in artifacts.validate_artifacts(spark, path, ["day"]).collect()}["2026-01-01"] is None
+    # A file that is lost is seen.
+    jvm = spark._jvm
+    jvm.java.io.File(f"{folder}/{listed.files[0].name}").delete()
+    assert {str(r.day): r.issue for r in artifacts.validate_artifacts(spark, path, ["day"]).collect()}["2026-01-01"] in ("ARTIFACT_MISSING", "ARTIFACT_COUNT")
+
+
+def test_a_writer_that_dies_leaves_nothing(spark, tmp_path, monkeypatch):
+    """The case that doubled rows: rows are written, the job dies before they count, and the call is made again."""
+    path, rows = str(tmp_path / "a"), spark.createDataFrame([(1, "x"), (2, "x"), (3, None)], "code int, day string")
+    for name in ("list_files", "commit"):
+        with monkeypatch.context() as m, pytest.raises(RuntimeError):
+            m.setattr(artifacts, name, lambda *a, **k: (_ for _ in ()).throw(RuntimeError("dead")))
+            artifacts.write_artifacts(rows, path, ["day"])
+    with pytest.raises(ValueError, match="ARTIFACT_NOT_FOUND"):
+        artifacts.manifest(spark, path)
+    assert artifacts.write_artifacts(rows, path, ["day"]).count() == 2
+    assert artifacts.write_artifacts(rows, path, ["day"]).count() == 0
+    assert sorted(r.code for r in artifacts.read_artifacts(spark, path, ["day"]).collect()) == [1, 2, 3]
+    assert [r.issue for r in artifacts.validate_artifacts(spark, path, ["day"]).collect()] == [None, None]
+    # Rows that a lost task has left out are seen before anything counts.
+    with monkeypatch.context() as m, pytest.raises(ValueError, match="ARTIFACT_WRITE_INCOMPLETE"):
+        write = artifacts.write_rows
+        m.setattr(artifacts, "write_rows", lambda stored, *a: write(stored.where("code <> 7"), *a))
+        artifacts.write_artifacts(rows.union(spark.createDataFrame([(7, "x")], rows.schema)), path, ["day"])
+    assert artifacts.manifest(spark, path).count() == 2
+
+
+def test_an_attempt_counts_once(spark, tmp_path):
+    log = str(tmp_path / "log")
+    assert commits.committed(spark, log) == {}
+    assert commits.commit(spark, log, "a", "1") and not commits.commit(spark, log, "a", "2") and commits.commit(spark, log, "b", "x@y")
+    assert commits.committed(spark, log) == {"a": "1", "b": "x@y"}
+    path, rows = str(tmp_path / "a"), spark.createDataFrame([(1,)], "code int")
+    one = artifacts.write_artifacts(rows, path, ["code"], attempt="batch-1")
+    again = artifacts.write_artifacts(rows.withColumn("code", F.lit(9)), path, ["code"], attempt="batch-1")
+    assert one.collect() == again.collect() and artifacts.manifest(spark, path).count() == 1
+
+
+def test_versions_expire_and_run_again(spark, tmp_path):
+    path, T = str(tmp_path / "v"), lambda day: dt.datetime(2026, 1, day)
+    batch = lambda rows: spark.createDataFrame(rows, "k string, v int, o long, at timestamp")
+    sink = sinks.versions(path, "k", "v", "o", seen="at", keep="5 days")
+    first = batch([("a", 1, 5, T(1)), ("a", 2, 5, T(1)), ("a", 3, None, T(1)), (None, 4, 1, T(1)), ("b", 5, 7, T(1)), ("a", 6, 9, T(2)), ("a", None, 9, T(2))])
+    sink(first, 0)
+    sink(batch([("b", 7, 7, T(3)), ("b", 8, 8, T(3)), ("c", 9, 1, T(20))]), 1)
+    sink(batch([("a", 10, 1, T(21)), ("c", 11, 1, T(21))]), 2)
+    sink(batch([("a", 10, 1, T(21)), ("c", 11, 1, T(21))]), 2)
+    sink(batch([]), 3)
+    got = {(r.batch, r.v): r.reason for r in sinks.stored(spark, f"{path}/rows", []).collect()}
+    assert got == {(0, 1): None, (0, 2): "VERSION_REPEATED", (0, 3): "VERSION_ORDER_MISSING", (0, 4): "VERSION_KEY_MISSING", (0, 5): None, (0, 6): None, (0, None): "VERSION_REPEATED", (1, 7): "VERSION_LATE", (1, 8): None, (1, 9): None, (2, 10): None, (2, 11): "VERSION_LATE"}
+
+
+def test_backfill_goes_on(spark, tmp_path):
+    path, days = str(tmp_path / "b"), spark.createDataFrame([("2026-01-0%d" % i,) for i in (3, 1, 2, 2, 5)], "day string")
+    bars = spark.createDataFrame([("2026-01-0%d" % i, i, "BAD" if i == 3 else None) for i in (1, 2, 3, 4, 5)], "day string, close int, issue string")
+    run = lambda source: {r.day[-1]: (r.status, r.reason) for r in backfill.backfill(days, source, path, "day", F.col("issue")).collect()}
+    assert run(bars) == {"1": ("PUBLISHED", None), "2": ("PUBLISHED", None), "3": ("FAILED", "BAD"), "5": ("NOT_REACHED", None)} and backfill.progress(spark, path) == "2026-01-02"
+    assert run(bars.where("close = 3")) == {"1": ("COMPLETED", None), "2": ("COMPLETED", None), "3": ("FAILED", "BAD"), "5": ("NOT_REACHED", None)}
+    assert run(bars.withColumn("issue", F.when(F.col("close") < 3, "READ_AGAIN"))) == {"1": ("COMPLETED", None), "2": ("COMPLETED", None), "3": ("PUBLISHED", None), "5": ("PUBLISHED", None)}
+    assert backfill.progress(spark, path) == "2026-01-05" and artifacts.read_artifacts(spark, path, ["day"]).count() == 4
+    listed = artifacts.manifest(spark, path).where("day = '2026-01-01'").first()
+    spark._jvm.java.io.File(f"{path}/rows/attempt={listed.attempt}/p_day=v2026-01-01/artifact=sha256-{listed.digest}/{listed.files[0].name}").delete()
+    with pytest.raises(ValueError, match="MARKET_CHECKPOINT_ARTIFACT_INVALID"):
+        run(bars)
 
 
 def test_documents_are_immutable(spark, tmp_path):

@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import ordering
 from tidemark.functions.statistics import mid_rank_percentiles
 from tidemark.operators import facts, filings, market, metrics, reports, returns
 from tidemark.sources import labelled_text, tables
@@ -74,6 +75,42 @@ def test_mid_ranks_with_ties_and_alone(spark):
     assert got == [("a", 25.0), ("a", 25.0), ("a", 100.0), ("b", 50.0)]
 
 
+def test_ranks_of_a_group_over_many_ranges(spark):
+    """One group with most rows and ties, over twenty ranges, against the definition."""
+    import random
+    from bisect import bisect_left, bisect_right
+
+    R = random.Random(1)
+    groups = {"a": [R.choice((R.gauss(0, 9), 1.5, 1.5, -2.0)) for _ in range(3000)], "b": [R.random() for _ in range(50)], "c": [4.0] * 9, "d": [1.0], None: [3.0, 1.0, 2.0]}
+    rows = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None)], "g string, v double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 20)
+    try:
+        counts = ordering.ordered_counts(rows, ["g"], "v").collect()
+        for r in counts:
+            vs = sorted(groups[r.g])
+            assert (r.below, r.below + r.equal, r.total) == (bisect_left(vs, r.v), bisect_right(vs, r.v), len(vs))
+        got = {}
+        for r in mid_rank_percentiles(rows.where("v IS NOT NULL AND g IS NOT NULL"), ["g"], "v", tails=0.05).collect():
+            got.setdefault(r.g, []).append((r.v, r.low, r.high, r.population, r.percentile))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+    def quantile(vs, share):
+        place = (len(vs) - 1) * share
+        i = int(place)
+        return vs[i] + (place - i) * ((vs[i + 1] if i + 1 < len(vs) else vs[i]) - vs[i])
+
+    for g, found in got.items():
+        vs = sorted(groups[g])
+        low, high = quantile(vs, 0.05), quantile(vs, 0.95)
+        held = sorted(min(max(v, low), high) for v in vs)
+        for v, lo, hi, n, share in found:
+            x = min(max(v, lo), hi)
+            want = 50.0 if n == 1 else (bisect_left(held, x - 1e-12) + (bisect_right(held, x + 1e-12) - bisect_left(held, x - 1e-12) - 1) / 2) / (n - 1) * 100
+            assert (lo, hi, n) == (pytest.approx(low), pytest.approx(high), len(vs)) and share == pytest.approx(want)
+
+
 def test_rate_slots(spark):
     calls = spark.createDataFrame([("s", i, t) for i, t in enumerate((0.0, 1.0, 2.0, 100.0))], "source_id string, call_id long, asked double")
     assert [r.slot for r in reports.rate_slots(calls, 6).orderBy("call_id").collect()] == [0.0, 10.0, 20.0, 100.0]
@@ -101,17 +138,32 @@ def test_digest_ignores_order_and_sees_nulls(spark):
     assert one[0] == one[1] != one[2]
 
 
-def test_digest_streams_large_groups(spark):
+def test_digest_is_a_tree(spark):
     import hashlib
 
+    def tree(parts, depth=(8, 4)):
+        """Digests of parts that share their first digits, and then of these."""
+        sha = lambda x: hashlib.sha256(",".join(sorted(x)).encode()).hexdigest()
+        for digits in depth:
+            groups = {}
+            for p in parts:
+                groups.setdefault(p[:digits], []).append(p)
+            parts = [f"{g}:{sha(x)}" for g, x in groups.items()]
+        return sha(parts)
+
     rows = spark.range(50_000).select(F.when(F.col("id") % 5 < 4, F.concat(F.lit("g"), F.col("id") % 5)).alias("g"), (F.col("id") % 9_000).alias("k"))
     got = tables.content_digest(rows, ["g"], ["k"])
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "collect_list" not in plan and got.schema["n"].dataType.typeName() == "long"
+    assert got.schema["n"].dataType.typeName() == "long"
     want = {}
     for i in range(50_000):
-        want.setdefault(f"g{i % 5}" if i % 5 < 4 else None, []).append(hashlib.sha256(f"={i % 9000}".encode()).hexdigest())
-    assert {r.g: (r.n, r.digest) for r in got.collect()} == {g: (len(h), hashlib.sha256(",".join(sorted(h)).encode()).hexdigest()) for g, h in want.items()}
+        counts = want.setdefault(f"g{i % 5}" if i % 5 < 4 else None, {})
+        h = hashlib.sha256(f"={i % 9000}".encode()).hexdigest()
+        counts[h] = counts.get(h, 0) + 1
+    assert {r.g: (r.n, r.digest) for r in got.collect()} == {g: (sum(c.values()), tree([f"{h}:{n}" for h, n in c.items()])) for g, c in want.items()}
+    # All rows of one group are dealt over many tasks.
+    parts = spark.range(20_000).select((F.col("id") % 1).alias("g"), "id")
+    plan = tables.content_digest(parts, ["g"], ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "_branch" in plan and plan.count("Exchange hashpartitioning") == 3
 
 
 def test_sources(spark, tmp_path):

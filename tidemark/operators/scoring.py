@@ -75,25 +75,34 @@ def scored(values: DataFrame, strategy: str | Spec) -> DataFrame:
     return rows.withColumn("normalized", F.when(F.col("higher"), F.col("percentile")).otherwise(100 - F.col("percentile"))).drop("higher")
 
 
-def ranked_pool(values: DataFrame, strategy: str | Spec, *, cycle_needed: bool | None = None) -> DataFrame:
+def ranked_pool(values: DataFrame, strategy: str | Spec, *, cycle_needed: bool | None = None, scores: DataFrame | None = None) -> DataFrame:
     """rank, code, score (two places, half even), exact_score, completeness, status of the POOL best. Percentiles are taken among the sufficient only; status and order go by the unrounded score.
 
-    strategy: one of STRATEGIES, or a list of factors. cycle_needed: only securities with a cycle position can be candidates (deep value)."""
+    strategy: one of STRATEGIES, or a list of factors. cycle_needed: only securities with a cycle position can be candidates (deep value). scores: scored(values, strategy), where it is there already."""
     cycle_needed = strategy == "deep-value-v1" if cycle_needed is None else cycle_needed
-    per = scored(values, strategy).groupBy("code").agg(F.sum(F.col("weight") * F.col("normalized")).alias("s"), F.round(F.sum("weight"), 2).alias("completeness"), F.bool_or(F.col("factor") == "cycle_position").alias("cycle"))
+    scores = scored(values, strategy) if scores is None else scores
+    per = scores.groupBy("code").agg(F.sum(F.col("weight") * F.col("normalized")).alias("s"), F.round(F.sum("weight"), 2).alias("completeness"), F.bool_or(F.col("factor") == "cycle_position").alias("cycle"))
     top = per.withColumn("s", F.round("s", 9)).orderBy(F.desc("s"), "code").limit(POOL)
     status = F.when((F.col("s") >= CANDIDATE) & (F.lit(not cycle_needed) | F.col("cycle")), "CANDIDATE").otherwise("WATCH")
     return top.select(F.row_number().over(Window.orderBy(F.desc("s"), "code")).cast("long").alias("rank"), "code", F.bround("s", 2).alias("score"), F.col("s").alias("exact_score"), "completeness", status.alias("status"))
 
 
-def factor_details(values: DataFrame, strategy: str | Spec) -> DataFrame:
-    """A row per sufficient security and factor of the strategy: raw_value, normalized, weight, weighted, quality_status, sources, scope, fallback.
+def usable_values(values: DataFrame) -> DataFrame:
+    return values.withColumn("value", F.when(F.col("available"), F.col("value")))
 
-    values: code, industry, factor, value, quality_status, source_record_ids, available. What isn't available has no scores, quality MISSING, scope unavailable and the sources it has; where there is no row at all the source is missing-input."""
+
+def factor_details(values: DataFrame, strategy: str | Spec, *, codes: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
+    """A row per security and factor of the strategy: raw_value, normalized, weight, weighted, quality_status, sources, scope, fallback.
+
+    values: code, industry, factor, value, quality_status, source_record_ids, available. What isn't available has no scores, quality MISSING, scope unavailable and the sources it has; where there is no row at all the source is missing-input.
+    codes: the securities (a pool, few), all sufficient ones by default; scores: those of the usable values, where they are there already."""
     spec, _ = _spec(values, strategy)
-    usable = values.withColumn("value", F.when(F.col("available"), F.col("value")))
-    scores = scored(usable, strategy).select("code", "factor", "normalized", "scope", "fallback")
-    every = sufficient(usable, strategy).crossJoin(F.broadcast(spec.select("ordinal", "factor", "weight")))
+    usable = usable_values(values)
+    scores = (scored(usable, strategy) if scores is None else scores).select("code", "factor", "normalized", "scope", "fallback")
+    wanted = sufficient(usable, strategy) if codes is None else codes
+    if codes is not None:
+        usable, scores = (x.join(F.broadcast(codes), "code", "left_semi") for x in (usable, scores))
+    every = wanted.crossJoin(F.broadcast(spec.select("ordinal", "factor", "weight")))
     rows = every.join(usable.select("code", "factor", "value", "quality_status", "source_record_ids"), ["code", "factor"], "left").join(scores, ["code", "factor"], "left")
     there = F.col("normalized").isNotNull()
     return rows.select("code", "ordinal", "factor", F.when(there, F.col("value")).alias("raw_value"), "normalized", "weight", (F.col("normalized") * F.col("weight")).alias("weighted"), F.when(there, F.col("quality_status")).otherwise("MISSING").alias("quality_status"),
@@ -101,9 +110,11 @@ def factor_details(values: DataFrame, strategy: str | Spec) -> DataFrame:
 
 
 def candidates(values: DataFrame, strategy: str | Spec) -> DataFrame:
-    """ranked_pool with confidence and factor_details: an array of a candidate's details in the strategy's order (a row a factor, so it is short)."""
-    pool = settle(ranked_pool(values.withColumn("value", F.when(F.col("available"), F.col("value"))), strategy), "pool")
-    details = factor_details(values, strategy).join(F.broadcast(pool.select("code")), "code", "left_semi")
+    """ranked_pool with confidence and factor_details: an array of a candidate's details in the strategy's order (a row a factor, so it is short). The securities are scored once; details are made of the POOL best alone."""
+    usable = usable_values(values)
+    scores = settle(scored(usable, strategy), "scores")
+    pool = settle(ranked_pool(usable, strategy, scores=scores), "pool")
+    details = factor_details(values, strategy, codes=pool.select("code"), scores=scores)
     nested = details.groupBy("code").agg(F.array_sort(F.collect_list(F.struct(*[c for c in details.columns if c != "code"]))).alias("factor_details"))
     return pool.withColumn("confidence", F.col("completeness")).join(nested, "code")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import ordering
 from tidemark.operators import facts, filings, market, metrics, reports, returns, scoring, screening
 from tidemark.plans.registry import AS_OF, DAY, KNOWN_AT, query, table
 from tidemark.plans.views import view
@@ -296,7 +297,8 @@ def factor_scope_fallback(spark, d):
 @query("SELECT industry, round(quantile_cont(f3, 0.01), 6) AS low, round(quantile_cont(f3, 0.99), 6) AS high FROM factors f JOIN master m ON f.code = m.code WHERE f3 IS NOT NULL GROUP BY industry", "factors", "master")
 def factor_winsor_bounds(spark, d):
     rows = view(spark, d, "factors").where("f3 IS NOT NULL").join(view(spark, d, "master").select("code", "industry"), "code")
-    return rows.groupBy("industry").agg(F.round(F.percentile("f3", F.lit(0.01)), 6).alias("low"), F.round(F.percentile("f3", F.lit(0.99)), 6).alias("high"))
+    counts = ordering.ordered_counts(rows, ["industry"], "f3")
+    return counts.groupBy("industry").agg(F.round(ordering.quantile("f3", 0.01), 6).alias("low"), F.round(ordering.quantile("f3", 0.99), 6).alias("high"))
 
 
 @query(_rank_sql("quality-growth-v1"), "factors", "master")
@@ -383,7 +385,7 @@ def raw_dedupe(spark, d):
     return tables.dedupe_objects(table(spark, d, "documents"), "text", "doc_id")
 
 
-@query("SELECT o_orderpriority, count(*) AS n, sha256(string_agg(h, ',' ORDER BY h)) AS digest FROM (SELECT o_orderpriority, sha256(concat_ws('|', '=' || o_orderkey, '=' || o_custkey, '=' || o_orderstatus)) AS h FROM orders) GROUP BY 1")
+@query(tables.digest_sql("orders", "o_orderpriority", "sha256(concat_ws('|', '=' || o_orderkey, '=' || o_custkey, '=' || o_orderstatus))"))
 def content_digest(spark, d):
     return tables.content_digest(table(spark, d, "orders"), ["o_orderpriority"], ["o_orderkey", "o_custkey", "o_orderstatus"])
 

@@ -16,7 +16,7 @@ from tidemark.plans.registry import AS_OF, KNOWN_AT, query, table
 from tidemark.plans.views import view
 from tidemark.sources import artifacts, instances, labelled_text, tables
 from tidemark.sources.staging import new_path
-from tidemark.streaming.windows import event_sessions, event_windows, late_versions, stream_once
+from tidemark.streaming.windows import event_sessions, event_windows, stream_once
 
 CNY, SHARE = normalise.CURRENCIES + "CNY", normalise.SHARES
 _CUT, _KNOWN = f"DATE '{AS_OF}'", f"DATE '{KNOWN_AT}'"
@@ -548,20 +548,6 @@ def events_stream_replay(spark, d):
     return spark.read.parquet(sink)
 
 
-@query("""WITH e AS (SELECT user_id, event_id, event_id % 2 AS batch, round(value * 100)::BIGINT AS place FROM events), first AS (SELECT user_id, max(place) AS top FROM e WHERE batch = 0 GROUP BY 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id, batch, place ORDER BY event_id) AS nth FROM e)
-SELECT r.user_id, event_id, nth = 1 AND (batch = 0 OR place > coalesce(top, -1)) AS accepted FROM r LEFT JOIN first ON r.user_id = first.user_id""")
-def events_late_versions(spark, d):
-    """Versions of a user as a stream of two batches: what isn't beyond the last accepted version is refused."""
-    source, sink, check = (new_path(spark, f"versions-{x}") for x in ("in", "out", "check"))
-    rows = table(spark, d, "events").select("user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("place"))
-    for batch in (0, 1):
-        rows.where(F.col("event_id") % 2 == batch).write.mode("append").parquet(source)
-        out = late_versions(spark.readStream.schema(rows.schema).parquet(source), "user_id", "event_id", "place")
-        out.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(sink).select("user_id", "event_id", "accepted")
-
-
 # --- Files and state ---------------------------------------------------------------------------------------------------------
 
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 import io
 import zipfile
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,40 +115,35 @@ def archive_totals(members: DataFrame) -> DataFrame:
     return members.groupBy("path").agg(F.count("member").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.max("reason").alias("reason"))
 
 
-def content_digest(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """A digest of each group's rows that doesn't depend on their order: the hash of the sorted row hashes, joined by commas.
+def row_hash(columns: list[str]) -> Column:
+    """SHA-256 of a row's values as text, null and empty told apart."""
+    return F.sha2(F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in columns]), 256)
 
-    SHA-256 of one string takes its bytes in order, so a group is one task's; but its hashes are sorted on disk and streamed, never held in one row."""
-    one = F.sha2(F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in columns]), 256)
-    kinds = rows.select(*by).schema
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, first, n, state = None, None, 0, hashlib.sha256()
+def digest_of(parts: Column) -> Column:
+    """SHA-256 of a group's parts in sorted order."""
+    return F.sha2(F.array_join(F.array_sort(F.collect_list(parts)), ","), 256)
 
-        def group() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*first.columns[: len(by)], pa.array([n], pa.int64()), pa.array([state.hexdigest()])], names=[*by, "n", "digest"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # Runs of one group: a batch's rows are sorted by group, and equal groups are equal bytes of _g.
-            runs = pc.run_end_encode(batch.column("_g"))
-            at = 0
-            for g, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
-                if g != now:
-                    if now is not None:
-                        yield group()
-                    now, first, n, state = g, batch.slice(at, 1), 0, hashlib.sha256()
-                state.update((b"," if n else b"") + ",".join(batch.column("_h").slice(at, end - at).to_pylist()).encode())
-                n += end - at
-                at = end
-        if now is not None:
-            yield group()
-
-    keyed = rows.select(*by, F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in by]), {"ignoreNullFields": "false"}).alias("_g"), one.alias("_h"))
-    dealt = keyed.repartition("_g").sortWithinPartitions("_g", "_h")
-    out = kinds.add("n", "long", False).add("digest", "string")
-    return dealt.mapInArrow(digests, out)
+def content_digest(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """by, n, digest: a digest of each group's rows that doesn't depend on their order.
+
+    It is a tree. Rows are hashed, and equal ones counted; hashes that share their first eight digits make a leaf, leaves that share four a branch, and the branches of a group its digest, each of them the hash of
+    its sorted parts. So the rows of one group are dealt over 65,536 branches, no list is longer than that or a leaf of some thousand rows of 10**13, and what reaches the group's own task are its branches."""
+    hashed = rows.select(*by, row_hash(columns).alias("_h")).groupBy(*by, "_h").agg(F.count("*").alias("_c"))
+    dealt = hashed.select(*by, F.substring("_h", 1, 4).alias("_branch"), F.substring("_h", 1, 8).alias("_leaf"), "_h", "_c").repartition(*by, "_branch")
+    # What is dealt by branch is together by leaf too.
+    leaves = dealt.groupBy(*by, "_branch", "_leaf").agg(F.sum("_c").alias("_c"), digest_of(F.concat_ws(":", "_h", "_c")).alias("_d"))
+    branches = leaves.groupBy(*by, "_branch").agg(F.sum("_c").alias("_c"), digest_of(F.concat_ws(":", "_leaf", "_d")).alias("_d"))
+    return branches.groupBy(*by).agg(F.sum("_c").alias("n"), digest_of(F.concat_ws(":", "_branch", "_d")).alias("digest"))
+
+
+def digest_sql(table: str, by: str, row: str) -> str:
+    """content_digest in SQL. row: an expression for the hash of a row."""
+    return f"""SELECT {by}, sum(c)::BIGINT AS n, sha256(string_agg(branch || ':' || d, ',' ORDER BY branch)) AS digest FROM (
+  SELECT {by}, branch, sum(c) AS c, sha256(string_agg(leaf || ':' || d, ',' ORDER BY leaf)) AS d FROM (
+    SELECT {by}, h[1:4] AS branch, h[1:8] AS leaf, sum(c) AS c, sha256(string_agg(h || ':' || c, ',' ORDER BY h || ':' || c)) AS d FROM (
+      SELECT {by}, {row} AS h, count(*) AS c FROM {table} GROUP BY ALL) GROUP BY ALL) GROUP BY ALL) GROUP BY {by}"""
 
 
 def put_objects(new: DataFrame, known: DataFrame, events: DataFrame, payload: str) -> tuple[DataFrame, DataFrame]:

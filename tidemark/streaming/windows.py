@@ -1,13 +1,9 @@
-"""Windows over events, the same for a stream and a table, and a stateful check of their order."""
+"""Windows over events, the same for a stream and a table."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def zoned(events: DataFrame, late: str | None) -> DataFrame:
@@ -27,22 +23,6 @@ def event_sessions(events: DataFrame, gap: str = "30 minutes", late: str | None
     return by.select(key, F.col("w.start").cast("timestamp_ntz").alias("session_start"), F.col("w.end").cast("timestamp_ntz").alias("session_end"), "n", "value")
 
 
-def late_versions(events: DataFrame, key: str, version: str, order: str) -> DataFrame:
-    """A stream's rows (key, version, order as long) with accepted: false where a row's order isn't beyond that of the last accepted one of its key. The state is one number a key; of rows in one batch those of lower order come first."""
-
-    def check(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values([order, version], kind="stable")
-        last, good = state.get[0] if state.exists else None, []
-        for n in rows[order]:
-            good.append(last is None or n > last)
-            last = n if good[-1] else last
-        state.update((int(last),))
-        yield rows.assign(accepted=good)[[key, version, order, "accepted"]]
-
-    kinds = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in (key, version, order))
-    return events.select(key, version, order).groupBy(key).applyInPandasWithState(check, f"{kinds}, accepted boolean", "last long", "append", GroupStateTimeout.NoTimeout)
-
-
 def stream_once(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, size: str = "1 hour", *, windows=event_windows):
     """Process what is there and end; repeated runs go on from the checkpoint and give each row once."""
     events = spark.readStream.schema(schema).parquet(source)
