@@ -28,7 +28,7 @@ LEAST, TOP = 10, 2000
 #: A phrase goes if one that holds it has this share of its count, in hundredths.
 SHARE = 50
 #: Words in a sorted block, about, and rows of one batch.
-BLOCK, ROWS = 1 << 20, 1 << 16
+BLOCK, ROWS = 1 << 19, 1 << 16
 #: Bits of a filter for each phrase, and of all at least and at most (16 MB).
 BITS, FILTER = 16, (1 << 16, 1 << 27)
 #: A-Z in lower case; the ends of pieces all as a full stop, which then is in no word.
@@ -70,7 +70,7 @@ class Block:
         return len(words) + 2
 
     def counts(self, lang: str, size: int, known: np.ndarray | None) -> pa.Table:
-        """head (first word, tab, language), second, third (empty in shorter phrases), n of the phrases of size words, in order. known: the filter of those a word shorter."""
+        """head (first word, tab, language) and further words, n of the phrases of size words, in order. known: the filter of those a word shorter."""
         words = list(self.number)[1:]
         order = sorted(range(len(words)), key=words.__getitem__)
         rank = np.zeros(len(words) + 1, np.int64)
@@ -94,8 +94,7 @@ class Block:
             found = [f[values // base] for f in found] + [values % base]
         texts = pa.array([b"", *(words[i] for i in order)], pa.binary()).cast(pa.string())
         columns = [pc.binary_join_element_wise(texts.take(pa.array(found[1])), pa.scalar(lang), "\t"), *(texts.take(pa.array(f)) for f in found[2:])]
-        columns += [pa.array([""] * len(n), pa.string())] * (3 - size)
-        return pa.table([*columns, pa.array(n)], names=[*GRAM, "n"])
+        return pa.table([*columns, pa.array(n.astype(np.int32))], names=[*GRAM[:size], "n"])
 
 
 def counts(docs: DataFrame, size: int, known: Broadcast | None = None) -> DataFrame:
@@ -110,15 +109,17 @@ def counts(docs: DataFrame, size: int, known: Broadcast | None = None) -> DataFr
                 yield from block.counts(lang, size, bits).to_batches(ROWS)
 
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                held += blocks[lang].add(text)
+            # One text at a time is held as Python's.
+            for lang, text in zip(batch.column("lang"), batch.column("text")):
+                held += blocks[lang.as_py()].add(text.as_py())
                 if held >= BLOCK:
                     yield from summed()
                     blocks, held = defaultdict(Block), 0
         yield from summed()
 
-    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), whole_text("text").alias("text")).mapInArrow(counted, "head string, second string, third string, n long")
-    return rows.groupBy(*GRAM).agg(F.sum("n").alias("f"))
+    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), whole_text("text").alias("text")).mapInArrow(counted, ", ".join(f"{c} string" for c in GRAM[:size]) + ", n int")
+    summed = rows.groupBy(*GRAM[:size]).agg(F.sum("n").alias("f"))
+    return summed.select(*[F.col(c) if c in GRAM[:size] else F.lit("").alias(c) for c in GRAM], "f")
 
 
 def filter_of(grams: DataFrame) -> bytes:
