@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tidemark.plans import catalogue, further, warehouse  # noqa: F401
+from tidemark.plans import catalogue, further, quality, warehouse  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"

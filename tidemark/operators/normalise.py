@@ -60,7 +60,7 @@ def normalise_facts(facts: DataFrame, contexts: DataFrame, units: DataFrame, fil
     place = entity | {"period": period, "dimensions": sorted_pairs(c("dimensions"), "axis", "member")}
     same = place | {"raw_qname": c("raw_qname"), "unit_signature": c("unit_signature")}
     rows = rows.withColumns({
-        "issue": issue, "mapping_status": F.when(mapped, "MAPPED").otherwise("UNMAPPED"), "quality_status": F.when(mapped, "VALID").otherwise("UNVERIFIED"), "statement_type": F.coalesce("statement_type", F.lit("OTHER")),
+        "issue": issue, "mapping_status": F.when(mapped, "MAPPED").otherwise("UNMAPPED"), "quality_status": F.when(mapped, "VALID").otherwise("UNVERIFIED"), "statement_type": F.coalesce("statement_type", F.lit("OTHER")), "consolidation_scope": F.lit("UNKNOWN"),
         "context_signature": stable_hash(place), "fact_identity_hash": stable_hash(same | {"filing_id": c("filing_id").cast("string")}),
         "comparison_identity_hash": stable_hash(same | {"report_period": day("report_period"), "report_type": c("report_type"), "consolidation_scope": F.lit("UNKNOWN")}),
         "effective_at": day_end(c("report_period")), "version": F.concat_ws(":", "filing_version", "parser_version", F.lit(mapping_version)),

@@ -29,14 +29,19 @@ def _day(x):
 # --- Facts -------------------------------------------------------------------------------------------------------------------
 
 _MAPPING = [("q1", "assets", "BALANCE", "MONETARY"), ("q2", "liabilities", "BALANCE", "PER_SHARE"), ("q3", "equity", "BALANCE", "SHARES"), ("q5", "net_profit", "INCOME", "MONETARY")]
-_RAW = f"""+raw AS (SELECT DISTINCT l_orderkey AS filing_id, 'q' || l_linenumber AS raw_qname, l_extendedprice::DECIMAL(18, 2)::VARCHAR AS value, CASE WHEN l_tax > 0.04 THEN '0' END AS decimals,
-  'c' || CASE WHEN l_partkey % 97 = 0 THEN 9 ELSE l_linenumber % 3 END AS context_id, CASE WHEN l_linenumber % 4 <> 0 THEN 'u' || l_linenumber % 4 END AS unit_id FROM lineitem),
+_LINES = """SELECT DISTINCT l_orderkey AS filing_id, 'q' || l_linenumber AS raw_qname, l_extendedprice::DECIMAL(18, 2)::VARCHAR AS value, CASE WHEN l_tax > 0.04 THEN '0' END AS decimals,
+  'c' || CASE WHEN l_partkey % 97 = 0 THEN 9 ELSE l_linenumber % 3 END AS context_id, CASE WHEN l_linenumber % 4 <> 0 THEN 'u' || l_linenumber % 4 END AS unit_id FROM lineitem"""
+
+
+def raw_sql(lines: str, mapping: list[tuple]) -> str:
+    """SQL for normalised facts (i) of raw ones."""
+    return f"""+raw AS ({lines}),
 ctx AS (SELECT o_orderkey AS filing_id, 'c' || k AS context_id, 'urn:s' AS entity_scheme, 'E' || (o_custkey + CASE WHEN o_orderkey % 31 = 0 THEN 1 ELSE 0 END) AS entity_identifier,
   CASE WHEN k = 1 THEN (o_orderdate::DATE - 364)::VARCHAR END AS period_start, CASE WHEN k = 1 THEN o_orderdate::DATE::VARCHAR END AS period_end, CASE WHEN k <> 1 THEN o_orderdate::DATE::VARCHAR END AS instant,
   CASE WHEN k = 2 THEN [['axis:a', o_orderstatus], ['axis:b', o_orderpriority]] ELSE [] END AS dimensions FROM orders, unnest([0, 1, 2]) u(k)),
 owner AS (SELECT 'E' || c_custkey AS entity_identifier, c_custkey % 41 = 0 AS shared, c_custkey AS owner FROM customer),
 unit AS (SELECT * FROM (VALUES ('u1', ['{CNY}'], []::VARCHAR[], 'CNY', 'MONETARY', '{CNY}'), ('u2', ['{CNY}'], ['{SHARE}'], NULL, 'PER_SHARE', '{CNY}/{SHARE}'), ('u3', ['{SHARE}'], []::VARCHAR[], NULL, 'SHARES', '{SHARE}')) v(unit_id, over_, under_, currency, kind, unit)),
-map AS (SELECT * FROM (VALUES {", ".join(map(str, _MAPPING))}) v(raw_qname, canonical_name, statement_type, expected)),
+map AS (SELECT * FROM (VALUES {", ".join(map(str, mapping))}) v(raw_qname, canonical_name, statement_type, expected)),
 j AS (SELECT r.*, c.* EXCLUDE (filing_id, context_id), u.* EXCLUDE (unit_id), m.* EXCLUDE (raw_qname), o_custkey AS code, o_orderdate::DATE::VARCHAR AS report_period, o_orderstatus AS report_type, w.owner, w.shared, c.context_id IS NULL AS dangling,
   CASE WHEN u.unit_id IS NOT NULL THEN sha256(to_json({{'currency': u.currency, 'denominator_measures': under_, 'numerator_measures': over_}})) END AS unit_signature
   FROM raw r JOIN orders o ON r.filing_id = o_orderkey LEFT JOIN ctx c ON r.filing_id = c.filing_id AND r.context_id = c.context_id LEFT JOIN unit u ON r.unit_id = u.unit_id LEFT JOIN map m ON r.raw_qname = m.raw_qname LEFT JOIN owner w ON c.entity_identifier = w.entity_identifier),
@@ -48,10 +53,17 @@ i AS (SELECT *, sha256(to_json({{'dimensions': dimensions, 'entity_identifier':
 """
 
 
-def _normalised(spark, d):
-    k, lines, orders = F.col("l_linenumber"), table(spark, d, "lineitem"), table(spark, d, "orders")
-    raw = lines.select(F.col("l_orderkey").alias("filing_id"), F.concat(F.lit("q"), k).alias("raw_qname"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("value"), F.when(F.col("l_tax") > 0.04, "0").alias("decimals"),
+_RAW = raw_sql(_LINES, _MAPPING)
+
+
+def _raw_facts(spark, d):
+    k, lines = F.col("l_linenumber"), table(spark, d, "lineitem")
+    return lines.select(F.col("l_orderkey").alias("filing_id"), F.concat(F.lit("q"), k).alias("raw_qname"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("value"), F.when(F.col("l_tax") > 0.04, "0").alias("decimals"),
                        F.concat(F.lit("c"), F.when(F.col("l_partkey") % 97 == 0, 9).otherwise(k % 3)).alias("context_id"), F.when(k % 4 != 0, F.concat(F.lit("u"), k % 4)).alias("unit_id")).distinct()
+
+
+def normalised(spark, d, raw, mapping):
+    orders = table(spark, d, "orders")
     day = F.col("o_orderdate").cast("date")
     pair = lambda a, m: F.struct(F.lit(a).alias("axis"), F.col(m).alias("member"))
     none = F.array().cast("array<struct<axis:string,member:string>>")
@@ -64,10 +76,14 @@ def _normalised(spark, d):
     rows = orders.select(F.col("o_orderkey").alias("filing_id"), F.col("o_custkey").alias("code"), day.alias("report_period"), F.col("o_orderstatus").alias("report_type"), F.lit("f1").alias("filing_version"), F.lit("p1").alias("parser_version"))
     c = F.col("c_custkey")
     registry = table(spark, d, "customer").select(F.lit("urn:s").alias("entity_scheme"), F.concat(F.lit("E"), c).alias("entity_identifier"), F.explode(F.when(c % 41 == 0, F.array(c, c + 1)).otherwise(F.array(c, c))).alias("code"))
-    mapping = spark.createDataFrame(_MAPPING, "raw_qname string, canonical_name string, statement_type string, expected_kind string")
+    mapping = spark.createDataFrame(mapping, "raw_qname string, canonical_name string, statement_type string, expected_kind string")
     return normalise.normalise_facts(raw, contexts, units, rows, mapping, normalise.owners_of(registry))
 
 
+def _normalised(spark, d):
+    return normalised(spark, d, _raw_facts(spark, d), _MAPPING)
+
+
 @query(_RAW + """SELECT filing_id, raw_qname, 'fact-' || sha256(to_json({'decimals': decimals, 'fact_identity_hash': fact_identity_hash, 'fact_value': value})) AS fact_id, fact_identity_hash, comparison_identity_hash, context_signature,
   CASE WHEN canonical_name IS NULL THEN 'UNMAPPED' ELSE 'MAPPED' END AS mapping_status, CASE WHEN canonical_name IS NULL THEN 'UNVERIFIED' ELSE 'VALID' END AS quality_status, coalesce(statement_type, 'OTHER') AS statement_type, unit, issue, 'f1:p1:1' AS version FROM i""", "facts")
 def fact_normalised(spark, d):
