@@ -318,10 +318,57 @@ def test_monolithic_and_damaged_archives():
 
     import io
 
-    got = [warc.parse(r)[2] for r in warc._records(warc._inflated(io.BytesIO(data + data)))]
-    assert got == [bytes([i]) * i * 1000 for i in range(9)] * 2
+    got = [(warc.parse(r)[2], issue) for r, issue in warc._records(warc._inflated(io.BytesIO(data + data)))]
+    assert got == [(bytes([i]) * i * 1000, None) for i in range(9)] * 2
+    cut = list(warc._records(warc._inflated(io.BytesIO(data[:-20]))))
+    assert cut[-1][1] == "STREAM_DAMAGED" and {issue for _, issue in cut[:-1]} <= {None}
     with pytest.raises(ValueError):
-        list(warc._records(warc._inflated(io.BytesIO(data[:-20]))))
+        list(warc._inflated(io.BytesIO(data[:-20])))
+
+
+def foreign(head, block, end="\r\n", length=True):
+    lines = ["WARC/1.0", *head, *([f"Content-Length: {len(block)}"] if length else [])]
+    return end.join(lines).encode() + end.encode() * 2 + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    import gzip
+
+    sha = lambda x, kind="sha1": getattr(hashlib, kind)(x)
+    http = lambda body, more="": f"HTTP/1.1 200 OK\r\nX: y\r\n{more}\r\n".encode() + body
+    kind = "Content-Type: application/http; msgtype=response"
+    cases = [
+        (foreign(["WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:1>", "Content-Type: application/warc-fields"], b"software: x\r\nformat: y\r\n"), ("warcinfo", b"software: x\r\nformat: y\r\n", None)),
+        (foreign(["WARC-Type: request", "WARC-Record-ID: <urn:uuid:2>", "WARC-Target-URI: http://h/", "Content-Type: application/http; msgtype=request"], b"GET / HTTP/1.1\r\nHost: h\r\n\r\n"), ("request", b"", None)),
+        (foreign(["WARC-Type: metadata", "WARC-Record-ID: <urn:uuid:3>", "Content-Type: text/plain"], b"a: b"), ("metadata", b"a: b", None)),
+        (foreign(["WARC-Type: response", "WARC-Record-ID: <urn:uuid:4>", kind], http(b"no digest")), ("response", b"no digest", None)),
+        (foreign(["WARC-Type: response", kind, f"WARC-Payload-Digest: sha256:{sha(b'two', 'sha256').hexdigest()}"], http(b"two")), ("response", b"two", None)),
+        (foreign(["WARC-Type: response", kind, f"WARC-Payload-Digest: SHA-1:{sha(b'hex').hexdigest()}"], http(b"hex")), ("response", b"hex", None)),
+        (foreign(["WARC-Type: response", kind, "WARC-Payload-Digest: sha1:" + "A" * 32], http(b"wrong")), ("response", b"wrong", "DIGEST_MISMATCH")),
+        (foreign(["WARC-Type: response", kind, "WARC-Payload-Digest: blake9:xyz"], http(b"unknown")), ("response", b"unknown", None)),
+        (foreign(["WARC-Type: response", kind], http(b"4\r\nWiki\r\n5;x=1\r\npedia\r\n0\r\n\r\n", "Transfer-Encoding: chunked\r\n")), ("response", b"Wikipedia", None)),
+        (foreign(["WARC-Type: response", kind], http(b"zz", "Transfer-Encoding: chunked\r\n")), ("response", b"zz", "CHUNKS_INVALID")),
+        (foreign(["WARC-Type: resource", "X-Long: a", "  b"], "é".encode(), end="\n"), ("resource", "é".encode(), None)),
+        (foreign(["X: no type"], b"?") + b"\r\n\r\n", (None, b"?", None)),
+        (foreign([], b""), (None, b"", None)),
+    ]
+    revisit = foreign(["WARC-Type: revisit", kind, f"WARC-Payload-Digest: sha1:{sha(b'x').hexdigest()}", "WARC-Refers-To: <urn:uuid:4>"], b"HTTP/1.1 304 Not Modified\r\n\r\n")
+    files = {"whole": b"".join(c for c, _ in cases) + revisit, "short": cases[3][0] + cases[4][0][:-12], "open": cases[0][0] + foreign(["WARC-Type: resource"], b"to the end", length=False), "empty": b"", "junk": b"this is no archive"}
+    for name, data in files.items():
+        (tmp_path / f"{name}.warc.gz").write_bytes(gzip.compress(data))
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(random.Random(1).randbytes(0) + cases[3][0] + foreign(["WARC-Type: resource"], random.Random(1).randbytes(9000)))[:-3000])
+    archives = spark.createDataFrame([(str(tmp_path / f"{n}.warc.gz"),) for n in [*files, "cut"]], "archive string")
+    index = warc.normalise(archives, str(tmp_path / "members"))
+    got = {}
+    for name in [*files, "cut"]:
+        rows = warc.read_records(index.where(F.col("archive").endswith(f"/{name}.warc.gz")).orderBy("offset")).collect()
+        got[name] = [(r.record_type, None if r.payload is None else bytes(r.payload), r.issue) for r in rows]
+    assert sorted(got["whole"], key=repr) == sorted([*(c for _, c in cases), ("revisit", None, None)], key=repr)
+    assert got["short"][0] == cases[3][1] and got["short"][1][0] == "response" and got["short"][1][2] == "TRUNCATED"
+    assert got["open"][1] == ("resource", b"to the end\r\n\r\n\r\n\r\n", "LENGTH_MISSING") and got["empty"] == [] and got["junk"][0][2] == "TRUNCATED"
+    assert got["cut"][0] == cases[3][1] and got["cut"][-1][2] == "STREAM_DAMAGED"
+    rows = warc.read_records(index).where("record_type = 'revisit'").collect()
+    assert [(r.payload_digest, r.payload_bytes, r.page_id) for r in rows] == [(base64.b32encode(sha(b"x").digest()).decode(), None, None)]
 
 
 def test_many_archives_and_long_records(spark, tmp_path):

@@ -29,7 +29,10 @@ CHUNK, LEVEL = 1 << 20, 5
 READ_BYTES = 16 << 20
 GZIP = 16 + zlib.MAX_WBITS
 ARCHIVES = "archive string, records long"
-INDEX = "archive string, offset long, length long, record_id string, record_type string"
+INDEX = "archive string, offset long, length long, record_id string, record_type string, issue string"
+#: Ends of a head, with line feeds alone allowed.
+HEAD_END = re.compile(rb"\r?\n\r?\n")
+DIGESTS = {"sha1": hashlib.sha1, "sha-1": hashlib.sha1, "sha256": hashlib.sha256, "sha-256": hashlib.sha256, "sha512": hashlib.sha512, "sha-512": hashlib.sha512, "md5": hashlib.md5}
 
 
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -56,7 +59,7 @@ class _Whole:
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
     """A response, or a revisit of the response refers_to: then the block has the HTTP head alone, which still tells the payload's length."""
-    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    digest = base32_sha1(payload)
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
     if url is not None:
@@ -70,15 +73,72 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def fields(head: bytes) -> dict[str, str]:
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    """Names in lower case and values of a head's lines; a line that begins with white space goes on with the one before. Of a name that comes twice the last counts."""
+    lines = re.sub(r"\r?\n[ \t]+", " ", head.decode("utf-8", "replace")).splitlines()
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+
+
+def _length(head: dict[str, str]) -> int | None:
+    n = head.get("content-length", "")
+    return int(n) if re.fullmatch(r"[0-9]{1,18}", n) else None
 
 
 def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
-    """WARC fields, HTTP fields and payload of one record."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    warc = fields(head)
-    http, _, payload = rest[: int(warc["content-length"])].partition(b"\r\n\r\n")
-    return warc, fields(http), payload
+    """WARC fields, HTTP fields and payload of one record. A block that isn't HTTP is the payload; a record without a good length ends where its data does."""
+    end = HEAD_END.search(data)
+    warc, rest = fields(data[: end.start()] if end else data), data[end.end() :] if end else b""
+    block = rest[: _length(warc)]
+    kind = warc.get("content-type", "").lower().replace(" ", "")
+    if not kind.startswith("application/http") and warc.get("warc-type") not in ("response", "revisit", "request") or not re.match(rb"HTTP/|[A-Z]+ [^\r\n]* HTTP/", block):
+        return warc, {}, block
+    end = HEAD_END.search(block)
+    return warc, fields(block[: end.start()] if end else block), block[end.end() :] if end else b""
+
+
+def unchunked(body: bytes) -> bytes | None:
+    """The content of a body in chunks, or None if it isn't one."""
+    out, at = [], 0
+    while m := re.compile(rb"([0-9A-Fa-f]{1,15})[^\r\n]*\r?\n").match(body, at):
+        size = int(m[1], 16)
+        if not size:
+            return b"".join(out)
+        out.append(body[m.end() : m.end() + size])
+        if len(out[-1]) < size:
+            return None
+        at = m.end() + size
+        at += 2 if body[at : at + 2] == b"\r\n" else 1 if body[at : at + 1] == b"\n" else 0
+    return None
+
+
+def base32_sha1(payload: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
+def has_digest(payload: bytes, told: str) -> bool | None:
+    """Whether a payload has the digest that a record tells, in base 32 or 16; None for an algorithm that isn't known."""
+    name, _, value = told.partition(":")
+    if name.lower() not in DIGESTS:
+        return None
+    digest = DIGESTS[name.lower()](payload)
+    return value.lower() == digest.hexdigest() or value.upper().rstrip("=") == base64.b32encode(digest.digest()).decode().rstrip("=")
+
+
+def judged(data: bytes) -> tuple[dict[str, str], bytes, int | None, str | None, str | None]:
+    """WARC fields, payload without its transfer coding, its length (of a revisit the length told), its SHA-1 in base 32 (of a revisit that told, if it is one), and what is wrong with it."""
+    warc, http, payload = parse(data)
+    told, issue = warc.get("warc-payload-digest"), None
+    if warc.get("warc-type") == "revisit":
+        name, _, value = (told or "").partition(":")
+        if re.fullmatch(r"[0-9A-Fa-f]{40}", value):
+            value = base64.b32encode(bytes.fromhex(value)).decode()
+        return warc, payload, _length(http), value.upper() if name.lower() in ("sha1", "sha-1") and re.fullmatch(r"[A-Za-z2-7]{32}", value) else None, None
+    whole = payload
+    if "chunked" in http.get("transfer-encoding", "").lower():
+        plain = unchunked(payload)
+        payload, issue = (payload, "CHUNKS_INVALID") if plain is None else (plain, None)
+    if told and has_digest(payload, told) is False and has_digest(whole, told) is False:
+        issue = issue or "DIGEST_MISMATCH"
+    return warc, payload, len(payload), base32_sha1(payload), issue
 
 
 def _inflated(stream) -> Iterator[bytes]:
@@ -98,37 +158,57 @@ def _inflated(stream) -> Iterator[bytes]:
         raise ValueError("the gzip stream ends early")
 
 
-def _records(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    """Whole records from pieces of a stream; holds one record and one piece at most."""
+def _records(pieces: Iterator[bytes]) -> Iterator[tuple[bytes, str | None]]:
+    """Records from pieces of a stream, each with its end mark, and what is wrong with it: LENGTH_MISSING (the rest of the stream is its block), TRUNCATED (the stream ends inside it) or STREAM_DAMAGED (it can't be inflated
+    any further). Holds one record and one piece at most."""
     held = bytearray()
-    ended = False
+    ended, damaged = False, False
 
     def need(n: int) -> bool:
-        nonlocal ended
+        nonlocal ended, damaged
         while len(held) < n and not ended:
-            piece = next(pieces, None)
+            try:
+                piece = next(pieces, None)
+            except (ValueError, zlib.error, EOFError, OSError):
+                piece, damaged = None, True
             if piece is None:
                 ended = True
             else:
                 held.extend(piece)
         return len(held) >= n
 
+    def everything() -> None:
+        while need(len(held) + 1):
+            pass
+
     while need(1):
-        while (end := held.find(b"\r\n\r\n")) < 0:
+        # Records end with two line ends, but some writers give more or fewer.
+        if blank := len(held) - len(held.lstrip(b"\r\n")):
+            del held[:blank]
+            continue
+        at = 0
+        while not (end := HEAD_END.search(held, at)):
+            at = max(0, len(held) - 3)
             if not need(len(held) + 1):
-                raise ValueError("a record's head ends early")
-        size = end + 4 + int(fields(bytes(held[:end]))["content-length"]) + 4
-        if not need(size):
-            raise ValueError("a record ends early")
-        yield bytes(held[:size])
-        del held[:size]
+                break
+        size = _length(fields(bytes(held[: end.start()]))) if end else None
+        if size is not None and need(end.end() + size):
+            data = bytes(held[: end.end() + size])
+            yield data + b"\r\n\r\n", None
+            del held[: len(data)]
+            continue
+        everything()
+        yield bytes(held) + b"\r\n\r\n", "STREAM_DAMAGED" if damaged else "TRUNCATED" if size is not None or not end else "LENGTH_MISSING"
+        return
+    if damaged:
+        yield b"", "STREAM_DAMAGED"
 
 
 def write_monolithic(pages: DataFrame, path: str, *, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Write a record per row in archives that are one gzip stream each; gives archive, records.
 
     Of rows with equal payloads of min_bytes or more, that of the smallest page_id is a response (several rows of that id all are; null ids count
-    only where there is no other) and others revisit it. Groups are summed by digest before the shuffle and the rows are then joined to one row a group, a join
+    only where there is no other) and others revisit it. Other columns of pages are left out, whatever their names. Groups are summed by digest before the shuffle and the rows are then joined to one row a group, a join
     that Spark splits where a payload is frequent."""
     rows = pages.select("page_id", "url", whole_text("html").alias("html")).withColumn("digest", F.sha2("html", 256))
     groups = rows.select("digest", "page_id").groupBy("digest").agg(F.min("page_id").alias("first"))
@@ -165,7 +245,10 @@ def write_monolithic(pages: DataFrame, path: str, *, min_bytes: int = 0, archive
 
 
 def normalise(archives: DataFrame, path: str) -> DataFrame:
-    """Rewrite each archive with a member per record under path; gives the offset index, which is also stored there as the sidecar table."""
+    """Rewrite each archive with a member per record under path; gives the offset index, which is also stored there as the sidecar table.
+
+    Archives may be anybody's: records of any type, without type or id (null), with other line ends. What can't be read on ends its archive with a record that has an issue (see _records); damage
+    right after a whole record is a row of length 0. Archives of one name overwrite each other, so names must differ; no archives give an empty index."""
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,24 +257,32 @@ def normalise(archives: DataFrame, path: str) -> DataFrame:
                 fs, at = _store(source)
                 out, rows = _Whole(name), []
                 with fs.open_input_stream(at, compression=None, buffer_size=CHUNK) as stream:
-                    for data in _records(_inflated(stream)):
+                    for data, issue in _records(_inflated(stream)):
                         squeeze = zlib.compressobj(LEVEL, zlib.DEFLATED, GZIP)
-                        member = squeeze.compress(data) + squeeze.flush()
-                        head = fields(data[: data.index(b"\r\n\r\n")])
-                        rows.append((name, out.at, len(member), head["warc-record-id"], head["warc-type"]))
+                        member = squeeze.compress(data) + squeeze.flush() if data else b""
+                        end = HEAD_END.search(data)
+                        head = fields(data[: end.start()]) if end else {}
+                        rows.append((name, out.at, len(member), head.get("warc-record-id"), head.get("warc-type"), issue))
                         out.write(member)
                 out.close()
                 for lo in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 10_000]), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=[x.split()[0] for x in INDEX.split(", ")])
+                    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 10_000]), kinds)], names=[x.split()[0] for x in INDEX.split(", ")])
 
     spark = archives.sparkSession
-    # A task an archive: the listing is a few bytes a file.
-    archives.select("archive").repartition(max(1, archives.count())).mapInArrow(rewrite, INDEX).write.parquet(f"{path}/index")
+    # A task an archive, by ranges of their names: the listing is a few bytes a file.
+    archives.select("archive").repartitionByRange(max(1, archives.count()), "archive").mapInArrow(rewrite, INDEX).write.parquet(f"{path}/index")
     return spark.read.schema(INDEX).parquet(f"{path}/index")
 
 
+RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, record_id string, target_uri string, issue string"
+
+
 def read_records(index: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits), read member by member at the index's offsets. A response whose payload doesn't have its digest is an error."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits), record_id, target_uri, issue, read member by member at the index's offsets.
+
+    page_id and refers_to are null for ids that aren't those of op7's pages. The payload is what follows the HTTP head, without its transfer coding, or the block of a record that isn't HTTP; payload_digest its SHA-1 in base 32. issue: what the normaliser found, or
+    CHUNKS_INVALID, or DIGEST_MISMATCH where the record tells a digest (SHA-1, SHA-2 or MD5, in base 32 or 16) that its payload hasn't. An index row of length 0 has nulls and its issue."""
     number = re.compile(r"<urn:page:(-?\d+)>")
 
     def page(x: str | None) -> int | None:
@@ -206,12 +297,12 @@ def read_records(index: DataFrame) -> DataFrame:
                     name = r["archive"]
                     fs, at = _store(name)
                     file = fs.open_input_file(at)
-                data = zlib.decompress(file.read_at(r["length"], r["offset"]), GZIP)
-                warc, http, payload = parse(data)
-                digest, revisit = warc["warc-payload-digest"].removeprefix("sha1:"), warc["warc-type"] == "revisit"
-                if not revisit and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-                    raise ValueError(f"payload of {warc['warc-record-id']} in {name} doesn't have its digest")
-                rows.append((page(warc["warc-record-id"]), int(http["content-length"]), digest, warc["warc-type"], page(warc.get("warc-refers-to")), None if revisit else payload))
+                if not r["length"]:
+                    rows.append((None, None, None, None, None, None, None, None, r["issue"]))
+                    continue
+                warc, payload, n, digest, issue = judged(zlib.decompress(file.read_at(r["length"], r["offset"]), GZIP))
+                kind, own = warc.get("warc-type"), warc.get("warc-record-id")
+                rows.append((page(own), n, digest, kind, page(warc.get("warc-refers-to")), None if kind == "revisit" else payload, own, warc.get("warc-target-uri"), r["issue"] or issue))
                 held += len(payload)
                 if held > 8 * CHUNK:
                     yield made(rows)
@@ -219,8 +310,8 @@ def read_records(index: DataFrame) -> DataFrame:
             if rows:
                 yield made(rows)
 
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    names = [x.split()[0] for x in RECORDS.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string(), pa.string()]
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
@@ -228,7 +319,7 @@ def read_records(index: DataFrame) -> DataFrame:
     # Dealt by the bytes to be read, in a number of tasks that adaptive execution leaves alone: the index itself is small.
     tasks = 1 + (index.agg(F.sum("length").alias("n")).first()["n"] or 0) // READ_BYTES
     dealt = index.repartition(tasks, "archive", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("archive", "offset")
-    return dealt.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return dealt.mapInArrow(read, RECORDS)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
