@@ -294,6 +294,27 @@ def test_benchmark_in_slices_and_pieces(spark, monkeypatch):
         assert cells((r.row.doc_id, r.n_words, list(r.places), list(r["items"])) for r in got.collect()) == cells(want)
 
 
+def test_a_benchmark_of_many_sets_writes_no_texts(spark, monkeypatch):
+    written, settle = [], decontaminate.settle
+    monkeypatch.setattr(decontaminate, "settle", lambda df, name, **k: written.append((name, df.columns)) or settle(df, name, **k))
+    items = spark.createDataFrame([(i, prose(40, 700 + i)) for i in range(30)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, prose(20, i) + " " + prose(40, 700 + i) + " tail", "x") for i in range(12)] + [(0, prose(20, 0) + " " + prose(40, 700) + " tail", "y"), (50, prose(30, 50), None)], "doc_id long, text string, text_key string")
+    got = decontaminate.scan_documents(docs, items, windows=100, cut=True).collect()
+    assert sum(name == "slice-hits" for name, _ in written) > 10 and all(set(c) <= {"item", "text", "n_words"} or "text" not in c for _, c in written)
+    assert {(r.row.doc_id, len(r.places), tuple(r["items"])) for r in got} == {(i, 40, (str(i),)) for i in range(12)} | {(50, 0, ())} and len(got) == 14
+    assert {" ".join(r.cut.split()) for r in got if r.row.doc_id == 3} == {prose(20, 3) + " tail"}
+    assert decontaminate.decontaminate(docs, items).columns == docs.columns
+
+
+def test_a_window_of_many_items_is_compared_once():
+    line = prose(12, 1)
+    grams = decontaminate.GramSet([(str(i), line if i % 2 else f"{line} {prose(5, i)}") for i in range(200)])
+    hashes = grams.windows[10][0]
+    assert len(hashes) == 3 + 5 * 100
+    places, found = grams.scan(decontaminate.Words(f"a b {line} c"))
+    assert places == list(range(2, 14)) and sorted(found) == sorted(map(str, range(200)))
+
+
 def test_equal_hashes_are_not_hits(monkeypatch):
     monkeypatch.setattr(decontaminate, "mix", lambda x: x * np.uint64(0))
     grams = decontaminate.GramSet([("1", prose(12, 1)), ("2", prose(12, 2))])

@@ -1,17 +1,19 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, against which every text's word windows are scanned.
 
 The set is arrays: sorted window hashes with the windows' places in the normalised text, made once and shared by all tasks of a worker. A window of a text
-whose hash is in it is compared as text, so no two windows pass for each other. Training text shuffles nowhere. A set holds WINDOWS words at most; a larger
-benchmark is dealt over several sets, long items in pieces, and the texts meet one set after the other."""
+whose hash is in it is compared as text, so no two windows pass for each other; equal windows of many items are one. A set holds WINDOWS words at most, and with one set training text shuffles nowhere. A larger
+benchmark is dealt over several sets, long items in pieces. The texts meet one set after the other where they are read, which leaves the hits alone, and these meet their texts once at the end."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.llm.common import settle, table, whole_text
 from tidemark.llm.polyhash import mix, prefix_hashes, substring_hashes
@@ -66,16 +68,30 @@ class GramSet:
         for size, columns in parts.items():
             h, start, end, number = (np.concatenate(c) for c in zip(*columns))
             order = np.argsort(h, kind="stable")
+            h, start, end, number = h[order], start[order].astype(np.int32), end[order].astype(np.int32), number[order].astype(np.int32)
             # A table of low hash bits, most of them unset, tells most absent windows in one look.
             low = np.zeros(1 << max(10, int(8 * len(h)).bit_length()), bool)
             low[h & np.uint64(len(low) - 1)] = True
-            self.windows[size] = (h[order], start[order].astype(np.int32), end[order].astype(np.int32), number[order].astype(np.int32), low)
+            self.windows[size] = (*self._unique(h, start, end, number), low)
+
+    def _unique(self, h: np.ndarray, start: np.ndarray, end: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Hashes and places of the different windows, and of each where its items begin in owners and end. Windows of one hash are compared as text."""
+        edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
+        kind = np.arange(len(h))
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            if hi - lo > 1:
+                first: dict[bytes, int] = {}
+                kind[lo:hi] = [first.setdefault(self.text[start[i] : end[i]], i) for i in range(lo, hi)]
+        order = np.lexsort((kind, h))
+        at = np.flatnonzero(np.concatenate([[True], kind[order][1:] != kind[order][:-1]]))
+        first = kind[order][at]
+        return h[first], start[first], end[first], np.concatenate([at, [len(h)]]).astype(np.int32), number[order]
 
     def scan(self, words: Words) -> tuple[list[int], list]:
         """Places of the hit words, in order, and ids of the items found."""
         hit, found = np.zeros(len(words.hashes), bool), set()
-        for size, (hashes, start, end, number, low) in self.windows.items():
-            h = words.windows(size)
+        for size, (hashes, start, end, owners, number, low) in self.windows.items():
+            h, seen = words.windows(size), set()
             at = np.flatnonzero(low[h & np.uint64(len(low) - 1)])
             first, last = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
             for i, lo, hi in zip(at.tolist(), first.tolist(), last.tolist()):
@@ -83,7 +99,9 @@ class GramSet:
                 for j in range(lo, hi):
                     if self.text[start[j] : end[j]] == mine:
                         hit[i : i + size] = True
-                        found.add(self.items[number[j]])
+                        seen.add(j)
+            for j in seen:
+                found.update(self.items[k] for k in number[owners[j] : owners[j + 1]].tolist())
         return np.flatnonzero(hit).tolist(), [x for x in found if x is not None]
 
 
@@ -122,38 +140,78 @@ def pieces(benchmark: DataFrame, n: int = N) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string").alias("item"), whole_text("text").alias("text")).mapInArrow(cut, "item string, text string, n_words long").where("n_words > 0")
 
 
+COUNTED = ("n_words", pa.int64()), ("places", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("cut", pa.string())
+
+
 def scan_documents(docs: DataFrame, benchmark: DataFrame, *, n: int = N, windows: int = WINDOWS, cut: bool = False) -> DataFrame:
     """row (struct of docs' columns, whatever their names), n_words, places (array of the hit words' numbers), items (ids found, as strings), and with cut the text without the hit words (null: none hit).
 
-    Null texts have no words. Items without words never hit; items of null id hit but are not listed; items of equal id count once; an empty table gives no rows."""
+    Null texts have no words; repeated rows are each scanned; items without words never hit; items of null id hit but are not listed; items of equal id count once; an empty table gives no rows.
+    The driver makes the sets, one at a time, so it holds WINDOWS words of benchmark text and their hashes at most."""
     spark = docs.sparkSession
-    text = whole_text(F.col("row")["text"])
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", text.alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("places"), F.array().cast("array<string>").alias("items"), F.lit(None).cast("string").alias("cut"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     tests = settle(pieces(benchmark, n), "benchmark-pieces")
     slices = 1 + (tests.agg(F.sum("n_words").alias("n")).first()["n"] or 0) // windows
+    if slices > 1:
+        return _with_hits(rows, settle(_hits_of_slices(rows, tests, slices, n), "benchmark-hits"), cut)
+    grams = spark.sparkContext.broadcast(GramSet([(r.item, r.text) for r in tests.toLocalIterator()], n))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, places, found, cuts = [], [], [], []
+            for t in batch.column("text").to_pylist():
+                words = Words(t)
+                at, ids = grams.value.scan(words)
+                counts.append(len(words.hashes))
+                places.append(at)
+                found.append(sorted(ids))
+                cuts.append(without_words(t, at) if cut and at else None)
+            cells = [pa.array(c, t) for c, (_, t) in zip((counts, places, found, cuts), COUNTED)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *cells], names=["row", *[c for c, _ in COUNTED]])
+
+    out = rows.select("row", whole_text(F.col("row")["text"]).alias("text"))
+    return out.mapInArrow(scan, _schema(rows))
+
+
+def _hits_of_slices(rows: DataFrame, tests: DataFrame, slices: int, n: int) -> DataFrame:
+    """text_key, places, items of the texts that hit a window, a part of the benchmark after the other. Equal texts have equal hits, so a text's key stands for its rows; only hits are stored."""
+    spark, out = rows.sparkSession, None
+    texts = rows.select(whole_text(F.col("row")["text"]).alias("text"))
     for k in range(slices):
-        mine = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k) if slices > 1 else tests
+        mine = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k)
         grams = spark.sparkContext.broadcast(GramSet([(r.item, r.text) for r in mine.toLocalIterator()], n))
 
-        def scan(batches: Iterator[pa.RecordBatch], grams=grams, last=k == slices - 1) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], grams=grams) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                counts, places, found, cuts = [], [], [], []
-                for t, p, i in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), batch.column("items").to_pylist()):
-                    words = Words(t)
-                    at, ids = grams.value.scan(words)
-                    counts.append(len(words.hashes))
-                    places.append(sorted({*p, *at}) if p else at)
-                    found.append(sorted({*i, *ids}))
-                    cuts.append(without_words(t, places[-1]) if cut and last and places[-1] else None)
-                cells = [pa.array(counts, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string())), pa.array(cuts, pa.string())]
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), *cells], names=["row", "text", "n_words", "places", "items", "cut"])
-
-        out = out.mapInArrow(scan, out.schema)
-        if k < slices - 1:
-            # So that a worker never holds two sets.
-            out = settle(out, "scanned")
-            grams.unpersist()
-    return out.drop("text")
+                found = [(t, *grams.value.scan(Words(t))) for t in batch.column("text").to_pylist()]
+                found = [x for x in found if x[1]]
+                cells = [[md5(t.encode()).hexdigest() for t, _, _ in found], [p for _, p, _ in found], [i for _, _, i in found]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.string(), pa.list_(pa.int32()), pa.list_(pa.string())))], names=["text_key", "places", "items"])
+
+        part = settle(texts.mapInArrow(scan, "text_key string, places array<int>, items array<string>").dropDuplicates(["text_key"]), "slice-hits")
+        out = part if out is None else out.union(part)
+        # So that a worker never holds two sets.
+        grams.unpersist()
+    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return out.groupBy("text_key").agg(merged("places"), merged("items"))
+
+
+def _with_hits(rows: DataFrame, hits: DataFrame, cut: bool) -> DataFrame:
+    """rows with their hits, n_words and what is left of their texts."""
+    met = rows.withColumn("text", whole_text(F.col("row")["text"])).withColumn("text_key", F.md5("text")).join(hits, "text_key", "left")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, places = batch.column("text").to_pylist(), [p or [] for p in batch.column("places").to_pylist()]
+            cells = [[len(words_of(t)) for t in texts], places, [i or [] for i in batch.column("items").to_pylist()], [without_words(t, p) if cut and p else None for t, p in zip(texts, places)]]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, t) for c, (_, t) in zip(cells, COUNTED))], names=["row", *[c for c, _ in COUNTED]])
+
+    return met.select("row", "text", "places", "items").mapInArrow(counted, _schema(rows))
+
+
+def _schema(rows: DataFrame) -> StructType:
+    kinds = {"n_words": "long", "places": "array<int>", "items": "array<string>", "cut": "string"}
+    return rows.select("row", *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()]).schema
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents", n: int = N) -> DataFrame:
