@@ -111,6 +111,38 @@ def test_ranks_of_a_group_over_many_ranges(spark):
             assert (lo, hi, n) == (pytest.approx(low), pytest.approx(high), len(vs)) and share == pytest.approx(want)
 
 
+def test_exact_index_equals_pythons_decimals(spark):
+    """5,000 bars with 1,100 actions, a security with actions each day, one of a single bar, one without actions."""
+    import random
+    from decimal import Decimal as X
+
+    R, bars, actions = random.Random(1), [], []
+    for code, n, every in ((1, 5000, 9), (2, 50, 1), (3, 1, 1), (4, 300, 10**9)):
+        close = X(10)
+        for i in range(n):
+            close = max((close * X(str(round(R.uniform(0.97, 1.031), 4)))).quantize(X("0.0001")), X("0.5"))
+            day = D(2000, 1, 1) + dt.timedelta(i)
+            bars.append((code, day, close))
+            for k in range(R.randint(1, 3) if i % every == 0 else 0):
+                kind = R.choice(["CASH", "STOCK", "SPLIT", "RIGHTS"])
+                ratio = {"CASH": X("0.05"), "STOCK": X("0.02"), "SPLIT": R.choice([X("1.05"), X("0.95")]), "RIGHTS": X("0.03")}[kind]
+                actions.append((code, day, kind, f"{code}-{i}-{k}", ratio, (close * X("0.9")).quantize(X("0.0000001")), "CANCELLED" if R.random() < 0.1 else "ANNOUNCED"))
+    out = returns.exact_total_return(spark.createDataFrame(bars, "code int, trade_date date, close decimal(18,7)"), spark.createDataFrame(actions, "code int, ex_date date, action_type string, record_id string, ratio decimal(12,6), price decimal(18,7), action_status string"))
+    got, days, index, before = {(r.code, r.trade_date): (r["index"], r.actions_used) for r in out.collect()}, {}, {}, {}
+    for a in actions:
+        if a[6] != "CANCELLED":
+            days.setdefault(a[:2], []).append(a)
+    for code, day, close in bars:
+        mine, shares, cash, cost = sorted(days.get((code, day), []) if code in before else [], key=lambda a: a[3]), X(1), X(0), X(0)
+        for _, _, kind, _, ratio, price, _ in mine:
+            shares = shares * (1 + ratio) if kind == "STOCK" else shares * ratio if kind == "SPLIT" else shares + ratio if kind == "RIGHTS" else shares
+            cash, cost = cash + (ratio if kind == "CASH" else 0), cost + (ratio * price if kind == "RIGHTS" else 0)
+        index[code] = index[code] * (close * shares + cash - cost) / before[code] if code in before else X(1)
+        before[code] = close
+        value, used = got[code, day]
+        assert used == len(mine) and abs(value - index[code]) <= X("0.5e-10") + index[code] * X("1e-12")
+
+
 def test_rate_slots(spark):
     calls = spark.createDataFrame([("s", i, t) for i, t in enumerate((0.0, 1.0, 2.0, 100.0))], "source_id string, call_id long, asked double")
     assert [r.slot for r in reports.rate_slots(calls, 6).orderBy("call_id").collect()] == [0.0, 10.0, 20.0, 100.0]

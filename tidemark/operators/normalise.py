@@ -46,8 +46,8 @@ def normalise_facts(facts: DataFrame, contexts: DataFrame, units: DataFrame, fil
     """A row per fact: name, mapping and quality, three hashes (of the fact's identity, of what other filings can be compared in, of the observation), effective time, and issue where the filing must be refused.
 
     facts: filing_id, raw_qname, value (text), decimals, context_id, unit_id. contexts: entity_scheme, entity_identifier, period_start, period_end, instant, dimensions (axis,
-    member). filings: filing_id, code, report_period, report_type, filing_version, parser_version. mapping (a fixed registry: it is broadcast): raw_qname, canonical_name, statement_type, expected_kind."""
-    rows = attach_parts(facts, contexts, units).join(filings, "filing_id").join(F.broadcast(mapping), "raw_qname", "left").join(owners, ["entity_scheme", "entity_identifier"], "left")
+    member). filings: filing_id, code, report_period, report_type, filing_version, parser_version. mapping: raw_qname, canonical_name, statement_type, expected_kind."""
+    rows = attach_parts(facts, contexts, units).join(filings, "filing_id").join(mapping, "raw_qname", "left").join(owners, ["entity_scheme", "entity_identifier"], "left")
     c, mapped = F.col, F.col("canonical_name").isNotNull()
     issue = first_reason({
         "FINANCIAL_XBRL_PARSE_ERROR": c("dangling"),

@@ -62,14 +62,23 @@ _FOLD = """list_reduce(list_prepend({'k': '', 't': '', 'r': 0.0::DOUBLE, 'p': 0.
   's': CASE e.t WHEN 'STOCK' THEN acc.s * (1 + e.r) WHEN 'SPLIT' THEN acc.s * e.r WHEN 'RIGHTS' THEN acc.s + e.r ELSE acc.s END, 'c': acc.c + CASE WHEN e.t = 'CASH' THEN e.r ELSE 0 END, 'x': acc.x + CASE WHEN e.t = 'RIGHTS' THEN e.r * e.p ELSE 0 END})"""
 
 
-@query(f"""+per AS (SELECT code, ex_date, list({{'k': record_id, 't': action_type, 'r': ratio::DOUBLE, 'p': price::DOUBLE, 's': 1.0::DOUBLE, 'c': 0.0::DOUBLE, 'x': 0.0::DOUBLE}} ORDER BY record_id) AS acts FROM actions WHERE action_status <> 'CANCELLED' GROUP BY code, ex_date),
+_INDEX = f"""+per AS (SELECT code, ex_date, list({{'k': record_id, 't': action_type, 'r': ratio::DOUBLE, 'p': price::DOUBLE, 's': 1.0::DOUBLE, 'c': 0.0::DOUBLE, 'x': 0.0::DOUBLE}} ORDER BY record_id) AS acts FROM actions WHERE action_status <> 'CANCELLED' GROUP BY code, ex_date),
 folded AS (SELECT b.code, b.trade_date, b.close, len(coalesce(a.acts, [])) AS n, {_FOLD} AS f FROM bars b LEFT JOIN per a ON a.code = b.code AND a.ex_date = b.trade_date),
 steps AS (SELECT *, lag(close) OVER (PARTITION BY code ORDER BY trade_date) AS before FROM folded)
-SELECT code, trade_date, CASE WHEN before IS NULL THEN 0 ELSE n END::BIGINT AS actions_used, round(product(CASE WHEN before IS NULL THEN 1 ELSE (close * f.s + f.c - f.x) / before END) OVER (PARTITION BY code ORDER BY trade_date), 6) AS index FROM steps""", "bars", "actions")
+SELECT code, trade_date, CASE WHEN before IS NULL THEN 0 ELSE n END::BIGINT AS actions_used, round(product(CASE WHEN before IS NULL THEN 1 ELSE (close * f.s + f.c - f.x) / before END) OVER (PARTITION BY code ORDER BY trade_date), 6) AS index FROM steps"""
+
+
+@query(_INDEX, "bars", "actions")
 def total_return_index(spark, d):
     return returns.total_return(view(spark, d, "bars"), view(spark, d, "actions")).withColumn("index", F.round("index", 6))
 
 
+@query(_INDEX, "bars", "actions")
+def total_return_exact(spark, d):
+    """The same in decimal arithmetic; six places of it are those of the floating product."""
+    return returns.exact_total_return(view(spark, d, "bars"), view(spark, d, "actions")).withColumn("index", F.round("index", 6).cast("double"))
+
+
 @query(f"""+late AS (SELECT code, trade_date, CASE WHEN trade_date > DATE '{AS_OF}' THEN 'MARKET_BAR_AFTER_CUTOFF' WHEN trade_date + (code % 90)::INT > DATE '{KNOWN_AT}' THEN 'MARKET_BAR_NOT_KNOWN_AT_CUTOFF' WHEN code % 31 = 0 THEN 'MARKET_BAR_QUALITY_BLOCKED' END AS reason FROM bars)
 SELECT code, min_by(reason, trade_date) AS reason FROM late WHERE reason IS NOT NULL GROUP BY code""", "bars")
 def total_return_blocked(spark, d):
