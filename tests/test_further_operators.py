@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import canonical
 from tidemark.operators import backfill, filings, market, metrics, normalise, reports, returns, scoring, state
-from tidemark.sources import artifacts, commits, instances, staging, tables
+from tidemark.sources import artifacts, commits, instances, responses, staging, tables
 from tidemark.streaming import sinks
 from tidemark.streaming.windows import event_sessions, stream_once
 
@@ -123,6 +123,47 @@ def test_artifacts(spark, tmp_path):
     assert {str(r.day): r.issue for r in artifacts.validate_artifacts(spark, path, ["day"]).collect()}["2026-01-01"] in ("ARTIFACT_MISSING", "ARTIFACT_COUNT")
 
 
+def test_prefixes_mean_what_they_mean_there():
+    """A prefix that is bound again inside, and again outside of that; names without a prefix; a prefix that ended."""
+    unit = b'<unit id="%s"%s><measure>%s</measure></unit>'
+    text = b'<xbrl xmlns="http://www.xbrl.org/2003/instance" xmlns:p="urn:one"><group xmlns:p="urn:two">' + unit % (b"a", b"", b"p:x") + unit % (b"b", b' xmlns:p="urn:three"', b"p:x") + unit % (b"c", b"", b"p:x") + b"</group>" + unit % (b"d", b"", b"p:x") + unit % (b"e", b' xmlns=""', b"y") + b"</xbrl>"
+    text = text.replace(b'<unit id="e" xmlns=""><measure>y</measure>', b'<unit id="e"><measure xmlns:q="urn:q">y</measure>')
+    got = {u["unit_id"]: u["over"] for u in instances.parse_instance(text)["units"]}
+    assert got == {"a": ["{urn:two}x"], "b": ["{urn:three}x"], "c": ["{urn:two}x"], "d": ["{urn:one}x"], "e": ["{http://www.xbrl.org/2003/instance}y"]}
+    with pytest.raises(ValueError):
+        instances.parse_instance(b'<xbrl xmlns="http://www.xbrl.org/2003/instance"><a xmlns:z="urn:z"/><unit id="u"><measure>z:x</measure></unit></xbrl>')
+
+
+def test_document_types_are_refused(spark):
+    bad = '<?xml version="1.0" encoding="%s"?><!DOCTYPE xbrl [<!ENTITY a "77">]><xbrl xmlns="http://www.xbrl.org/2003/instance">&a;</xbrl>'
+    files = [("a", bytearray((bad % "UTF-8").encode())), ("b", bytearray((bad % "UTF-16").encode("utf-16"))), ("c", bytearray(INSTANCE)), ("d", bytearray(b"<!DOCTYPE x SYSTEM 'file:///etc/passwd'><x/>")), ("e", bytearray(b""))]
+    rows = instances.read_instances(spark.createDataFrame(files, "path string, content binary"))
+    assert {r.path: r.codes for r in instances.diagnostics(rows, instances.facts_of(rows)).collect()} == {"a": ["FINANCIAL_XML_UNSAFE"], "b": ["FINANCIAL_XML_UNSAFE"], "c": [], "d": ["FINANCIAL_XML_UNSAFE"], "e": ["FINANCIAL_XBRL_PARSE_ERROR"]}
+
+
+def test_responses_of_a_provider(spark, tmp_path):
+    names = list(responses.DAILY_FIELDS)
+    row = ["600000.SH", "20260720", 10.10, 11, 9.5, 10.1234567891, "10", 1000, None]
+    bodies = {
+        "20260720": [{"data": {"fields": names, "items": [row, [*row[:2], "x", *row[3:]]]}}, {"data": {"fields": names[::-1], "items": [row[::-1]]}}, {"data": {"fields": names[:-1], "items": []}}, {"data": {"fields": [*names[:-1], "z"], "items": []}}, {"data": {"fields": [*names[:-1], 1], "items": []}},
+                     {"data": {"fields": names, "items": [row[:-1]]}}, {"data": {"fields": names, "items": 3}}, {"data": None}, [1], "text"],
+        "20260721": [{"data": {"fields": names, "items": [row, [row[0], "2026-07-21", *row[2:]]]}}, {"data": {"fields": names, "items": []}}],
+    }
+    for day, files in bodies.items():
+        (tmp_path / f"requested=d{day}").mkdir()
+        for i, body in enumerate(files):
+            (tmp_path / f"requested=d{day}" / f"{i}.json").write_text(json.dumps(body))
+    judged = responses.judge_responses(responses.landed(spark, str(tmp_path)))
+    got = {(r.requested[-2:], r.file[-6]): (r.issue and r.issue.split("_")[1], r.missing, r.unknown) for r in judged.collect()}
+    assert got == {("20", "0"): (None, [], []), ("20", "1"): (None, [], []), ("20", "2"): ("FIELDS", ["amount"], []), ("20", "3"): ("FIELDS", ["amount"], ["z"]), ("20", "4"): ("FIELDS", ["amount"], ["1"]), ("20", "5"): ("ROW", [], []), ("20", "6"): ("ROW", [], []),
+                   ("20", "7"): ("FIELDS", sorted(names), []), ("20", "8"): ("RESPONSE", sorted(names), []), ("20", "9"): ("RESPONSE", sorted(names), []), ("21", "0"): (None, [], []), ("21", "1"): (None, [], [])}
+    rows = sorted((r.requested[-2:], str(r.open), str(r.close), r.issue) for r in responses.daily_bars(judged).collect())
+    number = ("10.1000000000", "10.1234567891")
+    assert rows == sorted([("20", *number, None), ("20", *number, None), ("20", "None", number[1], "TUSHARE_VALUE_INVALID"), ("21", *number, "TUSHARE_TRADE_DATE_MISMATCH"), ("21", *number, "TUSHARE_TRADE_DATE_INVALID")])
+    plan = responses.landed(spark, str(tmp_path)).where("requested = '20260721'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(requested" in plan
+
+
 def test_a_writer_that_dies_leaves_nothing(spark, tmp_path, monkeypatch):
     """The case that doubled rows: rows are written, the job dies before they count, and the call is made again."""
     path, rows = str(tmp_path / "a"), spark.createDataFrame([(1, "x"), (2, "x"), (3, None)], "code int, day string")

@@ -192,6 +192,16 @@ def xbrl_diagnostics(spark, d):
     return _instances(spark, d).groupBy("issue").agg(F.count("*").alias("files"), F.sum("nil_facts").alias("nil_facts"), F.sum("text_facts").alias("text_facts"))
 
 
+@query("SELECT CASE WHEN o_orderkey < 0 THEN 'unsafe-' ELSE '' END || o_orderkey AS path, CASE WHEN o_orderkey < 0 THEN 'FINANCIAL_XML_UNSAFE' WHEN o_orderkey % 101 = 0 THEN 'FINANCIAL_XBRL_PARSE_ERROR' ELSE '' END AS codes FROM (SELECT o_orderkey FROM orders UNION ALL SELECT -o_orderkey - 1 FROM orders WHERE o_orderkey % 13 = 0)")
+def instance_codes(spark, d):
+    """The diagnostic codes of every instance; some more have a document type with an entity."""
+    key = table(spark, d, "orders").where("o_orderkey % 13 = 0").select((-F.col("o_orderkey") - 1).alias("k"))
+    more = key.select(F.concat(F.lit("unsafe-"), "k").alias("path"), F.encode(F.lit('<?xml version="1.0"?><!DOCTYPE x [<!ENTITY a "77">]><x>&a;</x>'), "UTF-8").alias("content"))
+    found = _instances(spark, d)
+    found = found.withColumn("path", F.col("path").cast("string")).unionByName(instances.read_instances(more))
+    return instances.diagnostics(found, instances.facts_of(found)).select("path", F.array_join("codes", ",").alias("codes"))
+
+
 @query("""SELECT page_id, CASE WHEN page_id % 6 = 5 OR (page_id % 6 = 4 AND page_id % 2 = 0) THEN 'FINANCIAL_ATTACHMENT_TYPE_INVALID' WHEN regexp_matches(html, '^[ \\t\\r\\n]*<') AND regexp_matches(html, '(?i)<!(doctype|entity)') THEN 'FINANCIAL_XML_UNSAFE' WHEN NOT regexp_matches(html, '^[ \\t\\r\\n]*<') THEN 'FINANCIAL_ATTACHMENT_TYPE_INVALID' END AS reason FROM pages""")
 def attachment_reasons(spark, d):
     k = F.col("page_id")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,20 +42,56 @@ def attachment_reason(files: DataFrame) -> DataFrame:
 def _clark(text: str | None, names: dict[str, str]) -> str:
     prefix, colon, local = (text or "").strip().rpartition(":")
     space = names.get(prefix)
-    if colon and space is None:
+    if colon and not space:
         raise ValueError(f"prefix {prefix}")
     return f"{{{space}}}{local}" if space else local
 
 
-def parse_instance(content: bytes) -> dict:
-    """contexts, units, numeric facts (in tuples too), and counts of nil and text facts. Raises ValueError or ParseError on what can't be read."""
-    names: dict[str, str] = {}
-    root = None
-    for event, x in ElementTree.iterparse(io.BytesIO(content), events=("start-ns", "start")):
+class UnsafeXml(ValueError):
+    """A document type, and with it entities."""
+
+
+def refuse_types(content: bytes) -> None:
+    """UnsafeXml for a document type declaration, in whatever encoding; nothing behind it is read, so no entity is expanded."""
+
+    class Begun(Exception):
+        pass
+
+    def unsafe(*_):
+        raise UnsafeXml
+
+    def begun(*_):
+        raise Begun
+
+    parser = expat.ParserCreate()
+    parser.StartDoctypeDeclHandler, parser.StartElementHandler = unsafe, begun
+    with contextlib.suppress(Begun, expat.ExpatError):
+        parser.Parse(content, True)
+
+
+#: Elements whose text or attributes hold names with prefixes.
+NAMED = {XBRLI + "measure", DIMENSION}
+
+
+def scoped_tree(content: bytes) -> tuple[ElementTree.Element, dict]:
+    """The root, and of each element in NAMED what the prefixes mean there: a prefix may be bound again further in."""
+    refuse_types(content)
+    bound, scopes, root = [("xml", "http://www.w3.org/XML/1998/namespace")], {}, None
+    for event, x in ElementTree.iterparse(io.BytesIO(content), events=("start-ns", "end-ns", "start")):
         if event == "start-ns":
-            names.setdefault(*x)
-        elif root is None:
-            root = x
+            bound.append(x)
+        elif event == "end-ns":
+            bound.pop()
+        else:
+            root = x if root is None else root
+            if x.tag in NAMED:
+                scopes[x] = dict(bound)
+    return root, scopes
+
+
+def parse_instance(content: bytes) -> dict:
+    """contexts, units, numeric facts (in tuples too), and counts of nil and text facts. Raises ValueError or ParseError on what can't be read, UnsafeXml on a document type."""
+    root, scopes = scoped_tree(content)
     text = lambda e, path: (found.text or "").strip() if e is not None and (found := e.find(path)) is not None else None
     contexts, units, facts, nil, prose = [], [], [], 0, 0
     for c in root.iter(XBRLI + "context"):
@@ -61,11 +99,11 @@ def parse_instance(content: bytes) -> dict:
         start, end, instant = (text(period, XBRLI + n) for n in ("startDate", "endDate", "instant"))
         if entity is None or not (instant or start and end) or c.find(f".//{TYPED}") is not None:
             raise ValueError("context")
-        members = sorted((_clark(m.get("dimension"), names), _clark(m.text, names)) for m in c.iter(DIMENSION))
+        members = sorted((_clark(m.get("dimension"), scopes[m]), _clark(m.text, scopes[m])) for m in c.iter(DIMENSION))
         contexts.append({"context_id": c.get("id"), "entity_scheme": entity.get("scheme"), "entity_identifier": (entity.text or "").strip(), "period_start": start, "period_end": end, "instant": instant, "dimensions": [{"axis": a, "member": m} for a, m in members]})
     for u in root.iter(XBRLI + "unit"):
         parts = [u.iterfind(XBRLI + "measure"), []] if u.find(XBRLI + "divide") is None else [u.iterfind(f".//{XBRLI}{n}/{XBRLI}measure") for n in ("unitNumerator", "unitDenominator")]
-        over, under = (sorted(_clark(m.text, names) for m in p) for p in parts)
+        over, under = (sorted(_clark(m.text, scopes[m]) for m in p) for p in parts)
         units.append({"unit_id": u.get("id"), "over": over, "under": under})
     for f in root.iter():
         if f.get("contextRef") is None:
@@ -93,6 +131,8 @@ def read_instances(files: DataFrame) -> DataFrame:
                 row = dict.fromkeys(schema.names) | {"path": path}
                 try:
                     row |= parse_instance(content or b"")
+                except UnsafeXml:
+                    row["issue"] = "FINANCIAL_XML_UNSAFE"
                 except (ValueError, ElementTree.ParseError):
                     row["issue"] = "FINANCIAL_XBRL_PARSE_ERROR"
                 rows.append(row)
@@ -115,3 +155,10 @@ def facts_of(instances: DataFrame, key: str = "path") -> DataFrame:
     """A row per numeric fact; value is text and issue tells where it is no number."""
     rows = instances.select(key, F.explode("facts").alias("f")).select(key, "f.*")
     return rows.withColumn("issue", F.when(F.col("value").try_cast("decimal(38,10)").isNull(), "FINANCIAL_XBRL_PARSE_ERROR"))
+
+
+def diagnostics(instances: DataFrame, facts: DataFrame, key: str = "path") -> DataFrame:
+    """key, codes: the different issues of a file and of its facts, sorted; empty where all is well."""
+    found = facts.where("issue IS NOT NULL").select(key, F.col("issue").alias("_code")).distinct()
+    both = instances.select(key, F.col("issue").alias("_code")).union(found)
+    return both.groupBy(key).agg(F.array_sort(F.collect_set("_code")).alias("codes"))
