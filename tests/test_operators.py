@@ -111,6 +111,22 @@ def test_ranks_of_a_group_over_many_ranges(spark):
             assert (lo, hi, n) == (pytest.approx(low), pytest.approx(high), len(vs)) and share == pytest.approx(want)
 
 
+def test_predecessors_of_a_large_entity(spark):
+    import random
+
+    R = random.Random(3)
+    rows = [(i, "hot" if i % 3 else f"e{i % 40}", D(2020, 1, 1) + dt.timedelta(R.randrange(400))) for i in range(1500)] + [(9001, None, D(2020, 1, 1)), (9002, "hot", None)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 25)
+    try:
+        got = {r.filing_id: r.predecessor for r in filings.predecessors(spark.createDataFrame(rows, "filing_id int, entity string, published_at date")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for i, e, day in rows:
+        earlier = [(d, j) for j, x, d in rows if e and day and x == e and d and d < day]
+        assert got[i] == (max(earlier)[1] if earlier else None)
+
+
 def test_exact_index_equals_pythons_decimals(spark):
     """5,000 bars with 1,100 actions, a security with actions each day, one of a single bar, one without actions."""
     import random

@@ -37,3 +37,16 @@ def quantile(value: str, share: float) -> Column:
     low, high = order_statistic(value, F.floor(place)), order_statistic(value, F.ceil(place))
     part = F.max(place - F.floor(place))
     return F.when(low == high, low).otherwise(low * (1 - part) + high * part)
+
+
+def previous(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """by, order, previous: for each different order of a group the greatest value at the order before it (null at the first). Null groups and orders are left out.
+
+    A row a group and order is dealt by ranges of both, so a group of any size lies in many ranges; within one the row before is beside, and the last row of each range and group is carried to the next one that has the group."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = rows.where(F.col(by).isNotNull() & F.col(order).isNotNull()).groupBy(by, order).agg(F.max(value).alias("_value"))
+    dealt = settle(steps.repartitionByRange(parts, by, order).withColumn("_part", F.spark_partition_id()), "order-ranges")
+    ends = dealt.groupBy(by, "_part").agg(F.max_by("_value", order).alias("_end"))
+    carried = ends.select(by, "_part", F.lag("_end").over(Window.partitionBy(by).orderBy("_part")).alias("_carried"))
+    beside = F.lag("_value").over(Window.partitionBy("_part", by).orderBy(order))
+    return dealt.withColumn("_beside", beside).join(carried, [by, "_part"]).select(by, order, F.coalesce("_beside", "_carried").alias("previous"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.ordering import previous
 from tidemark.sources.staging import passing, settle
 
 UNUSABLE = ("CONFLICT", "REJECTED", "UNVERIFIED")
@@ -63,9 +64,10 @@ def chain_depths(filings: DataFrame) -> DataFrame:
 
 
 def predecessors(filings: DataFrame, entity: str = "entity") -> DataFrame:
-    """filing_id, predecessor: the last filing of the entity published strictly earlier (ties within a day have the same predecessor)."""
-    days = Window.partitionBy(entity).orderBy(F.datediff("published_at", F.lit("1970-01-01"))).rangeBetween(Window.unboundedPreceding, -1)
-    return filings.select("filing_id", F.max(F.struct("published_at", "filing_id")).over(days)["filing_id"].alias("predecessor"))
+    """filing_id, predecessor: the last filing of the entity published strictly earlier (ties within a day have the same predecessor, the greatest id of the day before). An entity's filings are dealt over ranges of days, however many there are."""
+    days = previous(filings, entity, "published_at", "filing_id").select(F.col(entity).alias("_entity"), F.col("published_at").alias("_day"), "previous")
+    met = filings.join(days, (F.col(entity) == F.col("_entity")) & (F.col("published_at") == F.col("_day")), "left")
+    return met.select("filing_id", F.col("previous").alias("predecessor"))
 
 
 def facts_as_of(facts: DataFrame, filings: DataFrame, as_of: str, known_at: str) -> DataFrame:
