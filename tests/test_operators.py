@@ -178,6 +178,15 @@ def test_labelled_text(spark):
     assert got[1].issues == ["PDF_REPORT_PERIOD_MISSING", "PDF_CURRENCY_MISSING", "PDF_UNIT_MULTIPLIER_MISSING", "PDF_REQUIRED_FACTS_MISSING"]
 
 
+def test_amounts_as_written(spark):
+    cases = {"1,000": 1000, "1000": 1000, "+12.5": 12.5, "-12.50": -12.5, "(1,234,567.8)": -1234567.8, "0": 0, "1,2,3": None, "(5": None, "5)": None, "12,34": None, "1234,567": None, "1,000,": None, "": None, "1.": None, ".5": None, "-(5)": None, "(-5)": None, "1e5": None, "n/a": None, "1.2.3": None, "12 3": None}
+    rows = spark.createDataFrame([(k,) for k in cases], "cell string")
+    assert {r.cell: r.v for r in rows.select("cell", labelled_text.amount_of(F.col("cell")).alias("v")).collect()} == cases
+    text = "净利润 | 1,2,3\n其他净利润 | 5\n营业收入\u3000：\u30007\n报告期: 2025-13-01\n货币单位：箱\n资产总计 5"
+    got = labelled_text.extract_facts(spark.createDataFrame([(text,)], "text string")).first()
+    assert (got.revenue, got.net_profit, got.unreadable, got.report_period, got.currency_unit, got.total_assets) == (7, None, ["net_profit"], None, None, None)
+
+
 def test_digest_ignores_order_and_sees_nulls(spark):
     a = spark.createDataFrame([(1, "x"), (2, None)], "k int, v string")
     b = spark.createDataFrame([(2, None), (1, "x")], "k int, v string")

@@ -401,9 +401,9 @@ def content_digest(spark, d):
 
 def _label_text(spark, d):
     c, n = F.col("o_orderkey"), F.round("o_totalprice").cast("long")
-    amount = F.when(c % 4 == 0, F.concat(F.lit("("), n.cast("string"), F.lit(")"))).otherwise(F.concat(n.cast("string"), F.lit(",000")))
+    amount = F.when(c % 4 == 0, F.concat(F.lit("("), n.cast("string"), F.lit(")"))).otherwise(F.format_number(n * 1000, 0))
     unit = F.when(c % 3 == 0, "万元").when(c % 3 == 1, "元").otherwise("箱")
-    text = F.concat(F.lit("报告期："), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("\n货币单位："), unit, F.lit("\n资产总计｜"), n.cast("string"), F.lit(",000\n负债合计 | "), (n - 5).cast("string"), F.lit(",000\n股东权益合计 | "), F.when(c % 5 == 0, "5,000").otherwise("9,000"), F.lit("\n营业收入 | 77\n净利润 | "), amount, F.when(c % 2 == 0, F.lit("\n经营活动产生的现金流量净额 | -12.5")).otherwise(F.lit("")))
+    text = F.concat(F.lit("报告期："), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("\n货币单位："), unit, F.lit("\n资产总计｜"), F.format_number(n * 1000, 0), F.lit("\n负债合计 | "), F.format_number((n - 5) * 1000, 0), F.lit("\n股东权益合计 | "), F.when(c % 5 == 0, "5,000").otherwise("9,000"), F.lit("\n营业收入 | 77\n净利润 | "), amount, F.when(c % 2 == 0, F.lit("\n经营活动产生的现金流量净额 | -12.5")).otherwise(F.lit("")))
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), text.alias("text"))
 
 
