@@ -142,7 +142,9 @@ def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = own.select("row", F.col("row")["doc_id"].alias("doc_id"), F.col("row")["lang"].alias("lang"), F.col("row")["text"].alias("text"))
     known = labels.where("quality IS NOT NULL").select("doc_id").distinct()
     held = settle(with_features(rows.drop("row").join(known, "doc_id", "left_semi")), "quality-holdout")
-    return verdicts(with_features(rows), certified_cutoffs(held, labels)).where("kept").select("row.*")
+    # A row number, which has no order to it, keeps the verdict above the features: conditions that are pushed below would have each counted anew wherever it is read.
+    features = with_features(rows).withColumn("_row", F.monotonically_increasing_id())
+    return verdicts(features, certified_cutoffs(held, labels)).where("kept AND _row >= 0").select("row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
