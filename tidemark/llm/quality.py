@@ -137,11 +137,10 @@ def judge(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", stratum: s
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rejected ones, all columns kept, whatever their names.
 
-    The cutoffs come from the labelled documents alone, which are counted first; then every row is counted and judged where it is read, so that none is shuffled or stored on the way."""
+    All rows are counted once for the cutoffs, of which the labelled ones' numbers meet their labels, and once more where they are judged: so no text is shuffled or stored on the way."""
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = own.select("row", F.col("row")["doc_id"].alias("doc_id"), F.col("row")["lang"].alias("lang"), F.col("row")["text"].alias("text"))
-    known = labels.where("quality IS NOT NULL").select("doc_id").distinct()
-    held = settle(with_features(rows.drop("row").join(known, "doc_id", "left_semi")), "quality-holdout")
+    held = settle(with_features(rows.drop("row")), "quality-features")
     # A row number, which has no order to it, keeps the verdict above the features: conditions that are pushed below would have each counted anew wherever it is read.
     features = with_features(rows).withColumn("_row", F.monotonically_increasing_id())
     return verdicts(features, certified_cutoffs(held, labels)).where("kept AND _row >= 0").select("row.*")
