@@ -159,6 +159,16 @@ def test_exact_index_equals_pythons_decimals(spark):
         assert used == len(mine) and abs(value - index[code]) <= X("0.5e-10") + index[code] * X("1e-12")
 
 
+def test_exact_index_is_rounded_once_with_whole_prices(spark):
+    """A value just under a tie at six places that ten places make a tie, and a price of rights whose digits after the seventh decide."""
+    bars = [(1, D(2020, 1, 1), 10.0), (1, D(2020, 1, 2), 9.0), (2, D(2020, 1, 1), 1.0), (2, D(2020, 1, 2), 1.0)]
+    actions = [(1, D(2020, 1, 2), "CASH", "a", 0.004594999999, None, "ANNOUNCED"), (2, D(2020, 1, 2), "RIGHTS", "b", 0.1, 0.99999504, "ANNOUNCED")]
+    schemas = "code int, trade_date date, close double", "code int, ex_date date, action_type string, record_id string, ratio double, price double, action_status string"
+    frames = [spark.createDataFrame(rows, s) for rows, s in zip((bars, actions), schemas)]
+    six, floats = (dict(df.where("trade_date > DATE '2020-01-01'").select("code", F.round("index", 6).cast("double")).collect()) for df in (returns.exact_total_return(*frames, places=6), returns.total_return(*frames)))
+    assert six == floats == {1: 0.900459, 2: 1.0}
+
+
 def test_rate_slots(spark):
     calls = spark.createDataFrame([("s", i, t) for i, t in enumerate((0.0, 1.0, 2.0, 100.0))], "source_id string, call_id long, asked double")
     assert [r.slot for r in reports.rate_slots(calls, 6).orderBy("call_id").collect()] == [0.0, 10.0, 20.0, 100.0]

@@ -57,46 +57,45 @@ def total_return(bars: DataFrame, actions: DataFrame) -> DataFrame:
     return stepped.withColumn("index", F.product("step").over(by)).drop("step")
 
 
-#: Prices, ratios and amounts of a day; a day's factor; the product of factors. The widths are such that every product and quotient below is exact before it is rounded, half up, to the last of them.
-PRICE, RATIO, FACTOR, PRODUCT = "decimal(18,7)", "decimal(12,6)", "decimal(17,14)", "decimal(20,14)"
+#: Closes; ratios, prices and amounts of actions, with all digits of a DOUBLE; a day's factor; the product of factors. A product or quotient below keeps 18 places or more before it is rounded, half up, to these.
+CLOSE, RATIO, MONEY, FACTOR, PRODUCT = "decimal(18,7)", "decimal(24,18)", "decimal(29,18)", "decimal(26,20)", "decimal(28,20)"
 
 
 def exact_fold(actions: Column) -> Column:
-    """fold_actions in decimals: shares of up to 14 decimal places, cash and cost of 10."""
-    money = "decimal(28,10)"
+    """fold_actions in decimals: shares of up to 20 decimal places, cash and cost of 18."""
 
     def step(acc: Column, a: Column) -> Column:
-        kind, ratio, price = a["action_type"], a["ratio"].cast(RATIO), a["price"].cast(PRICE)
+        kind, ratio, price = a["action_type"], a["ratio"].cast(RATIO), a["price"].cast(MONEY)
         grown = (acc["shares"] * F.when(kind == "STOCK", (ratio + 1).cast(RATIO)).when(kind == "SPLIT", ratio).otherwise(F.lit(1).cast(RATIO))).cast(PRODUCT)
         shares = F.when(kind == "RIGHTS", (grown + ratio).cast(PRODUCT)).otherwise(grown)
-        cash = (acc["cash"] + F.when(kind == "CASH", ratio).otherwise(F.lit(0).cast(RATIO))).cast(money)
-        cost = (acc["cost"] + F.when(kind == "RIGHTS", (ratio * price).cast(money)).otherwise(F.lit(0).cast(money))).cast(money)
+        cash = (acc["cash"] + F.when(kind == "CASH", ratio).otherwise(F.lit(0).cast(RATIO))).cast(MONEY)
+        cost = (acc["cost"] + F.when(kind == "RIGHTS", (ratio * price).cast(MONEY)).otherwise(F.lit(0).cast(MONEY))).cast(MONEY)
         return F.struct(shares.alias("shares"), cash.alias("cash"), cost.alias("cost"))
 
-    start = F.struct(F.lit(1).cast(PRODUCT).alias("shares"), F.lit(0).cast(money).alias("cash"), F.lit(0).cast(money).alias("cost"))
+    start = F.struct(F.lit(1).cast(PRODUCT).alias("shares"), F.lit(0).cast(MONEY).alias("cash"), F.lit(0).cast(MONEY).alias("cost"))
     return F.aggregate(actions, start, step)
 
 
 def times(a: Column, b: Column) -> Column:
-    """A product of factors times another factor or product, rounded half up to 14 places."""
-    return (a.cast(PRODUCT) * b.cast(FACTOR)).cast(PRODUCT)
+    """A product of factors times another factor or product, rounded half up to 20 places."""
+    return (a.cast(PRODUCT) * b.cast(PRODUCT)).cast(PRODUCT)
 
 
-def exact_total_return(bars: DataFrame, actions: DataFrame) -> DataFrame:
-    """code, trade_date, index (DECIMAL, 10 places, half up), actions_used: total_return in decimal arithmetic.
+def exact_total_return(bars: DataFrame, actions: DataFrame, places: int = 10) -> DataFrame:
+    """code, trade_date, index (DECIMAL, rounded once, half up, to so many places), actions_used: total_return in decimal arithmetic.
 
-    Between two bars without actions the index only follows the close, so it is close / first close times the product of what the days with actions add: (close * shares + cash - cost) / close, rounded to 14 places. That
+    Between two bars without actions the index only follows the close, so it is close / first close times the product of what the days with actions add: shares + (cash - cost) / close, rounded to 20 places. That
     running product has three steps, so that no series is one row or one task's fold: the factors of a security's year are multiplied in order, the years' products before a year are, and a day takes the second
-    times the first up to its own. Each day with actions adds an error of 1e-14 of the index at most. A factor has to be less than 1,000, an index less than a million."""
+    times the first up to its own. Each day with actions adds an error of 1e-20 to the product, relative to the factors it is multiplied by. Closes have 7 places. A factor has to be less than a million, a product of
+    factors less than 1e8, a close less than 1e10 times the first; round the index here, not a rounded one again."""
     first = bars.groupBy("code").agg(F.min_by(F.struct("trade_date", "close"), "trade_date").alias("_first"))
     rows = bars.join(first, "code")
     per_day = actions.where("action_status <> 'CANCELLED'").groupBy("code", F.col("ex_date").alias("trade_date")).agg(F.sort_array(F.collect_list(F.struct("record_id", "action_type", "ratio", "price"))).alias("actions"))
-    close = F.col("close").cast(PRICE)
     dated = per_day.join(rows.select("code", "trade_date", "close", "_first"), ["code", "trade_date"]).where(F.col("trade_date") > F.col("_first.trade_date"))
     folded = dated.withColumn("f", exact_fold(F.col("actions")))
-    # A quotient of 24 digits by 18 keeps 21 places, of which 14 are taken.
-    value = (F.col("f.shares") * close).cast("decimal(37,14)") + F.col("f.cash") - F.col("f.cost")
-    factor = F.round(value.cast("decimal(24,14)") / close, 14).cast(FACTOR)
+    # A quotient of 29 digits by 18 keeps 20 places.
+    paid = (F.col("f.cash") - F.col("f.cost")).cast(MONEY) / F.col("close").cast(CLOSE)
+    factor = (F.col("f.shares") + paid.cast(PRODUCT)).cast(FACTOR)
     factors = folded.select("code", "trade_date", F.year("trade_date").alias("_year"), factor.alias("_f"), F.size("actions").cast("long").alias("actions_used"))
     one = F.lit(1).cast(PRODUCT)
     product = lambda xs, name: F.aggregate(F.transform(F.array_sort(xs), lambda x: x[name]), one, times)
@@ -104,13 +103,14 @@ def exact_total_return(bars: DataFrame, actions: DataFrame) -> DataFrame:
     years = factors.groupBy("code", "_year").agg(F.array_sort(F.collect_list(F.struct("trade_date", "_f", "actions_used"))).alias("days"))
     years = years.withColumn("_p", product(F.col("days"), "_f"))
     before = F.collect_list(F.struct("_year", "_p")).over(Window.partitionBy("code").orderBy("_year").rowsBetween(Window.unboundedPreceding, -1))
-    years = years.withColumn("_before", F.aggregate(F.transform(before, lambda x: x["_p"]), one, lambda a, x: (a.cast(PRODUCT) * x.cast("decimal(18,14)")).cast(PRODUCT)))
+    years = years.withColumn("_before", product(before, "_p"))
     within = F.transform(F.col("days"), lambda d, i: F.struct(d["trade_date"].alias("day"), d["actions_used"].alias("used"), F.aggregate(F.transform(F.slice(F.col("days"), 1, i + 1), lambda x: x["_f"]), one, times).alias("w")))
-    known = years.select("code", "_year", F.explode(within).alias("d"), "_before").select("code", F.col("d.day").alias("trade_date"), F.col("d.used").alias("actions_used"), (F.col("_before").cast(PRODUCT) * F.col("d.w").cast("decimal(18,14)")).cast(PRODUCT).alias("_a"))
+    known = years.select("code", "_year", F.explode(within).alias("d"), "_before").select("code", F.col("d.day").alias("trade_date"), F.col("d.used").alias("actions_used"), times(F.col("_before"), F.col("d.w")).alias("_a"))
     # A day without actions has the product of the last one with them.
     last = F.coalesce(F.last("_a", ignorenulls=True).over(Window.partitionBy("code").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)), one)
-    out = rows.select("code", "trade_date", close.alias("_close"), F.col("_first.close").cast(PRICE).alias("_start")).join(known, ["code", "trade_date"], "left").withColumn("_a", last)
-    index = F.round((F.col("_close") * F.col("_a")).cast("decimal(32,14)") / F.col("_start"), 10).cast("decimal(28,10)")
+    grown = F.col("close").cast(CLOSE) / F.col("_first.close").cast(CLOSE)
+    out = rows.select("code", "trade_date", grown.cast("decimal(30,20)").alias("_grown")).join(known, ["code", "trade_date"], "left").withColumn("_a", last)
+    index = F.round(F.col("_grown") * F.col("_a"), places).cast(f"decimal(28,{places})")
     return out.select("code", "trade_date", index.alias("index"), F.coalesce("actions_used", F.lit(0).cast("long")).alias("actions_used"))
 
 

@@ -76,7 +76,7 @@ def total_return_index(spark, d):
 @query(_INDEX, "bars", "actions")
 def total_return_exact(spark, d):
     """The same in decimal arithmetic; six places of it are those of the floating product."""
-    return returns.exact_total_return(view(spark, d, "bars"), view(spark, d, "actions")).withColumn("index", F.round("index", 6).cast("double"))
+    return returns.exact_total_return(view(spark, d, "bars"), view(spark, d, "actions"), places=6).withColumn("index", F.col("index").cast("double"))
 
 
 @query(f"""+late AS (SELECT code, trade_date, CASE WHEN trade_date > DATE '{AS_OF}' THEN 'MARKET_BAR_AFTER_CUTOFF' WHEN trade_date + (code % 90)::INT > DATE '{KNOWN_AT}' THEN 'MARKET_BAR_NOT_KNOWN_AT_CUTOFF' WHEN code % 31 = 0 THEN 'MARKET_BAR_QUALITY_BLOCKED' END AS reason FROM bars)
