@@ -2,9 +2,11 @@
 
 import random
 import re
+import sys
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from tidemark.llm import collocations
@@ -59,6 +61,33 @@ def test_ranges_end_anywhere(spark, monkeypatch, parts, batch, block):
             spark.conf.set(k, v)
 
 
+@pytest.mark.parametrize("numbers", [1 << 63, 1])
+def test_blocks_equal_counting(monkeypatch, numbers):
+    """White space of any kind and place, with phrases as one number and as numbers of numbers."""
+    monkeypatch.setattr(collocations, "NUMBERS", numbers)
+    R, every = random.Random(4), np.full(1 << 13, 255, np.uint8)
+    for _ in range(60):
+        texts = ["".join(R.choices(["a", "B", "é", "\x1c", "\x1f", "\x85", "\xa0", "\0", *"  \t\t.,\n\x0b\x0c\r"], k=R.randint(0, 80))) for _ in range(R.randint(1, 4))]
+        want = Counter()
+        for text in texts:
+            for piece in re.split(r"[.,;:!?\x0A-\x0D]", text.replace("B", "b")):
+                w = re.findall(r"[^\x20\x09]+", piece)
+                want.update(tuple(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+        block = collocations.Block()
+        assert sum(block.add(t) for t in texts) >= sum(f for g, f in want.items() if len(g) == 1)
+        got = [tuple(r.values()) for k in (1, 2, 3) for r in block.counts("en", k, None if k == 1 else every).to_pylist()]
+        assert [(g[0].removesuffix("\ten"), *g[1:-1], g[-1]) for g in got] == [(*g, f) for k in (1, 2, 3) for g, f in sorted((x for x in want.items() if len(x[0]) == k), key=lambda x: [w.encode() for w in x[0]])]
+
+
+def test_blocks_hold_no_object_of_a_word():
+    """Python objects a word, made and looked up three times, took most of a task's time."""
+    texts = [" ".join(f"w{i}-{k}" for k in range(1000)) for i in range(20)]
+    block = collocations.Block()
+    before = sys.getallocatedblocks()
+    assert sum(block.add(t) for t in texts) >= 20_000
+    assert sys.getallocatedblocks() - before < 2000
+
+
 def test_scores_pass_64_bits(spark):
     a, l, r = 4_000_000_000_003, 5_000_000_000_009, 6_000_000_000_011  # noqa: E741
     row = ("x\ten", "y", "", a, l, None, r, None)

@@ -11,7 +11,8 @@ ends within a word or phrase, the few counts that the next range needs are passe
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,9 @@ LEAST, TOP = 10, 2000
 #: A phrase goes if one that holds it has this share of its count, in hundredths.
 SHARE = 50
 #: Words in a sorted block, about, and rows of one batch.
-BLOCK, ROWS = 1 << 19, 1 << 16
+BLOCK, ROWS = 1 << 20, 1 << 16
+#: Above the numbers that stand for a phrase.
+NUMBERS = 1 << 63
 #: Bits of a filter for each phrase, and of all at least and at most (16 MB).
 BITS, FILTER = 16, (1 << 16, 1 << 27)
 #: A-Z in lower case; the ends of pieces all as a full stop, which then is in no word.
@@ -36,9 +39,8 @@ _NORMAL = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?\n\x0b\x0c\r" el
 GRAM = ("head", "second", "third")
 
 
-def word_hashes(words: list[bytes], lang: str) -> np.ndarray:
-    seed = xxhash.xxh32_intdigest(lang.encode())
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+def word_hashes(words: Iterable[bytes], lang: str) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(xxhash.xxh32_intdigest(lang.encode()))), np.uint64)
 
 
 def phrase_hashes(words: list[np.ndarray]) -> np.ndarray:
@@ -58,42 +60,59 @@ class Block:
     """Words of one language."""
 
     def __init__(self):
-        self.number: dict[bytes, int] = defaultdict()
-        self.number.default_factory = self.number.__len__
-        self.number[b"."] = 0
-        self.ids: list[int] = []
+        self.texts: list[bytes] = []
 
     def add(self, text: str) -> int:
-        words = text.encode().translate(_NORMAL).replace(b".", b" . ").split()
-        self.ids += map(self.number.__getitem__, words)
-        self.ids += (0, 0)
-        return len(words) + 2
+        """How many words it has, at most."""
+        self.texts.append(text.encode().translate(_NORMAL).replace(b".", b" . ") + b" . .")
+        return self.texts[-1].count(b" ") + self.texts[-1].count(b"\t")
+
+    def numbered(self) -> tuple[pa.Array, np.ndarray]:
+        """The words in order, and for each place the number of its word from 1, or 0 between pieces."""
+        coded = pc.list_flatten(pc.ascii_split_whitespace(pa.array(self.texts, pa.large_string()))).dictionary_encode()
+        at, found = np.asarray(coded.indices), coded.dictionary
+        # White space at a text's beginning leaves an empty word.
+        stop, empty = (pc.index(found, w).as_py() for w in (".", ""))
+        if empty >= 0:
+            at = at[at != empty]
+        order = np.asarray(pc.array_sort_indices(found)).astype(np.int64)
+        order = order[(order != stop) & (order != empty)]
+        rank = np.zeros(len(found), np.int64)
+        rank[order] = np.arange(1, len(order) + 1)
+        return found.take(pa.array(order)), rank[at]
 
     def counts(self, lang: str, size: int, known: np.ndarray | None) -> pa.Table:
         """head (first word, tab, language) and further words, n of the phrases of size words, in order. known: the filter of those a word shorter."""
-        words = list(self.number)[1:]
-        order = sorted(range(len(words)), key=words.__getitem__)
-        rank = np.zeros(len(words) + 1, np.int64)
-        rank[np.array(order, np.int64) + 1] = np.arange(1, len(words) + 1)
-        at = rank[np.array(self.ids, np.int64)]
+        words, at = self.numbered()
         parts = [at[i : len(at) - 2 + i] for i in range(size)]
         whole = np.logical_and.reduce([p > 0 for p in parts])
         parts = [p[whole] for p in parts]
         if known is not None:
-            own = np.concatenate([np.zeros(1, np.uint64), word_hashes([words[i] for i in order], lang)])
+            own = np.concatenate([np.zeros(1, np.uint64), word_hashes(words.cast(pa.large_binary()).to_numpy(zero_copy_only=False), lang)])
             for inner in (slice(None, -1), slice(1, None)):
                 h = phrase_hashes([own[p] for p in parts[inner]])
                 told = [known[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8) & 1 for b in bits_of(h, 8 * len(known))]
                 kept = (told[0] & told[1]).astype(bool)
                 parts = [p[kept] for p in parts]
-        # The words so far make one number and that with the next word another, whatever the number of words.
-        base, found = len(words) + 1, [np.zeros(1, np.int64)]
-        gram = np.zeros(len(parts[0]), np.int64)
-        for i, p in enumerate(parts):
-            values, gram, n = np.unique(gram * base + p, return_inverse=True, return_counts=True)
-            found = [f[values // base] for f in found] + [values % base]
-        texts = pa.array([b"", *(words[i] for i in order)], pa.binary()).cast(pa.string())
-        columns = [pc.binary_join_element_wise(texts.take(pa.array(found[1])), pa.scalar(lang), "\t"), *(texts.take(pa.array(f)) for f in found[2:])]
+        base = len(words) + 1
+        if base**size <= NUMBERS:
+            # All words of a phrase make one number.
+            gram = parts[0]
+            for p in parts[1:]:
+                gram = gram * base + p
+            values, n = np.unique(gram, return_counts=True)
+            found = []
+            for _ in range(size):
+                values, last = np.divmod(values, base)
+                found.insert(0, last)
+        else:
+            # The words so far make one number and that with the next word another, whatever the number of words.
+            found, gram = [], np.zeros(len(parts[0]), np.int64)
+            for p in parts:
+                values, gram, n = np.unique(gram * base + p, return_inverse=True, return_counts=True)
+                found = [f[values // base] for f in found] + [values % base]
+        heads = pc.binary_join_element_wise(words, pa.scalar(lang, pa.large_string()), pa.scalar("\t", pa.large_string()))
+        columns = [texts.take(pa.array(f - 1)).cast(pa.string()) for texts, f in zip((heads, words, words), found)]
         return pa.table([*columns, pa.array(n.astype(np.int32))], names=[*GRAM[:size], "n"])
 
 
