@@ -34,6 +34,24 @@ def test_instance(spark):
     assert [(r.raw_qname, r.value, r.context_id) for r in normalise.in_order(instances.facts_of(rows)).collect()] == [("{urn:t}Assets", "1000", "i"), ("{urn:t}Revenue", "2000", "d")]
 
 
+def test_facts_are_moved_once(spark):
+    pairs = "array<struct<axis:string,member:string>>"
+    facts = spark.createDataFrame([(1, "q", "5", "0", "c", "u"), (1, "q", "6", None, "gone", "u"), (2, "r", "7", "0", "c", None), (2, "q", "8", "0", "c", "gone"), (3, "q", "9", "0", "c", "u"), (4, "q", "1", "0", "c", "u")], "filing_id int, raw_qname string, value string, decimals string, context_id string, unit_id string")
+    contexts = spark.createDataFrame([(1, "c", "s", "a", None, None, D(2025, 12, 31), []), (2, "c", "s", "b", None, None, D(2025, 12, 31), [("x", "m")]), (3, "c", "s", "z", None, None, D(2025, 1, 1), []), (3, "c", "s", "a", None, None, D(2025, 1, 2), [])], f"filing_id int, context_id string, entity_scheme string, entity_identifier string, period_start date, period_end date, instant date, dimensions {pairs}")
+    units = spark.createDataFrame([(1, "u", [CNY], []), (3, "u", [CNY], [])], "filing_id int, unit_id string, over array<string>, under array<string>")
+    filings_ = spark.createDataFrame([(k, 10 if k != 2 else 20, D(2025, 12, 31), "A", "f", "p") for k in (1, 2, 3)], "filing_id int, code int, report_period date, report_type string, filing_version string, parser_version string")
+    mapping = spark.createDataFrame([("q", "assets", "BALANCE", "MONETARY")], "raw_qname string, canonical_name string, statement_type string, expected_kind string")
+    registry = spark.createDataFrame([("s", "a", 10), ("s", "b", 20), ("s", "b", 21)], "entity_scheme string, entity_identifier string, code int")
+    rows = normalise.normalise_facts(facts, contexts, units, filings_, mapping, normalise.owners_of(registry))
+    # An id that is there twice gives two rows, facts of filings that aren't listed none.
+    got = sorted((r.filing_id, r.value, r.issue, r.owners, str(r.instant), r.currency) for r in rows.collect())
+    parse, entity, day = "FINANCIAL_XBRL_PARSE_ERROR", "FINANCIAL_ENTITY_MISMATCH", "2025-12-31"
+    assert got == sorted([(1, "5", None, [10], day, "CNY"), (1, "6", parse, None, "None", "CNY"), (2, "7", None, [20, 21], day, None), (2, "8", parse, [20, 21], day, None), (3, "9", entity, None, "2025-01-01", "CNY"), (3, "9", None, [10], "2025-01-02", "CNY")], key=lambda r: r[:2] + r[4:5])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.split("\n") if "Exchange hashpartitioning(filing_id" in x]
+    assert len(dealt) == 6 and all("REPARTITION_BY_COL" in x or "ENSURE" not in x for x in dealt)
+
+
 @pytest.mark.parametrize(("over", "under", "kind"), [([CNY], [], "MONETARY"), ([normalise.CURRENCIES], [], "OTHER"), ([CNY], [SHARE], "PER_SHARE"), ([SHARE], [], "SHARES"), ([normalise.PURE], [], "PURE"), ([CNY, CNY], [], "OTHER"), (None, None, "NONE")])
 def test_unit_kinds(spark, over, under, kind):
     rows = spark.createDataFrame([(over, under)], "over array<string>, under array<string>")

@@ -21,6 +21,10 @@ def measured_kind(over: Column, under: Column) -> Column:
     return kind.when((over == F.array(F.lit(SHARES))) & alone, "SHARES").when((over == F.array(F.lit(PURE))) & alone, "PURE").otherwise("OTHER")
 
 
+#: What unit_rows adds.
+UNIT = ("currency", "unit", "unit_signature", "unit_kind")
+
+
 def unit_rows(units: DataFrame) -> DataFrame:
     """units (over, under: arrays of measures) with sorted measures, currency (of a single measure alone), unit, unit_signature, unit_kind."""
     rows = units.withColumns({"over": F.array_sort("over"), "under": F.array_sort("under")})
@@ -31,10 +35,31 @@ def unit_rows(units: DataFrame) -> DataFrame:
     return rows.withColumns({"unit": text, "unit_signature": signature, "unit_kind": measured_kind(F.col("over"), F.col("under"))})
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows dealt by filing, once: groups and windows with filing_id in their keys and joins on it move nothing afterwards. What is dealt so already isn't moved again."""
+    return rows.repartition("filing_id")
+
+
+def listed(rows: DataFrame, name: str) -> DataFrame:
+    """A row a filing: its contexts, units or owners as one list. A join on two keys would move both sides again, with all that the facts have gathered."""
+    rest = [c for c in rows.columns if c != "filing_id"]
+    return dealt(rows).groupBy("filing_id").agg(F.collect_list(F.struct(*rest)).alias(name))
+
+
 def attach_parts(facts: DataFrame, contexts: DataFrame, units: DataFrame) -> DataFrame:
     """facts with their context and unit, and dangling: they name one that isn't there. Facts, contexts and units of one filing meet by filing_id."""
-    rows = facts.join(contexts.withColumn("_c", F.lit(True)), ["filing_id", "context_id"], "left").join(unit_rows(units).withColumn("_u", F.lit(True)), ["filing_id", "unit_id"], "left")
-    return rows.withColumn("dangling", F.col("_c").isNull() | (F.col("unit_id").isNotNull() & F.col("_u").isNull())).drop("_c", "_u")
+    return with_parts(facts, listed(contexts, "_cs"), listed(unit_rows(dealt(units)), "_us"), contexts.columns, [*units.columns, *UNIT])
+
+
+def with_parts(facts: DataFrame, contexts: DataFrame, units: DataFrame, context: list[str], unit: list[str]) -> DataFrame:
+    """attach_parts for lists of contexts (_cs) and units (_us) with these columns."""
+    rows = dealt(facts).join(contexts, "filing_id", "left").join(units, "filing_id", "left")
+    of = lambda name, key: F.filter(name, lambda x: x[key] == F.col(key))
+    rows = rows.select(*facts.columns, of("_cs", "context_id").alias("_cs"), of("_us", "unit_id").alias("_us"))
+    # One of each, unless an id is there twice.
+    rows = rows.select(*facts.columns, "_us", F.explode_outer("_cs").alias("_c")).select(*facts.columns, "_c", F.explode_outer("_us").alias("_u"))
+    dangling = F.col("_c").isNull() | (F.col("unit_id").isNotNull() & F.col("_u").isNull())
+    return rows.select(*facts.columns, *[F.col(f"_c.{c}") for c in context if c not in ("filing_id", "context_id")], *[F.col(f"_u.{c}") for c in unit if c not in ("filing_id", "unit_id")], dangling.alias("dangling"))
 
 
 def owners_of(registry: DataFrame) -> DataFrame:
@@ -46,8 +71,16 @@ def normalise_facts(facts: DataFrame, contexts: DataFrame, units: DataFrame, fil
     """A row per fact: name, mapping and quality, three hashes (of the fact's identity, of what other filings can be compared in, of the observation), effective time, and issue where the filing must be refused.
 
     facts: filing_id, raw_qname, value (text), decimals, context_id, unit_id. contexts: entity_scheme, entity_identifier, period_start, period_end, instant, dimensions (axis,
-    member). filings: filing_id, code, report_period, report_type, filing_version, parser_version. mapping: raw_qname, canonical_name, statement_type, expected_kind."""
-    rows = attach_parts(facts, contexts, units).join(filings, "filing_id").join(mapping, "raw_qname", "left").join(owners, ["entity_scheme", "entity_identifier"], "left")
+    member). filings: filing_id, code, report_period, report_type, filing_version, parser_version. mapping: raw_qname, canonical_name, statement_type, expected_kind; it goes to every task, as large as a taxonomy at most.
+
+    Facts are moved once, as they come in; a filing's entities, not its facts, go to their owners and back. Contexts and units of one filing are a list in one row."""
+    entity = ["entity_scheme", "entity_identifier"]
+    asked = dealt(contexts.select("filing_id", *entity)).distinct()
+    found = listed(asked.join(owners, entity).select("filing_id", *entity, "owners"), "_os")
+    own = lambda x: F.get(F.filter("_os", lambda o: (o["entity_scheme"] == x["entity_scheme"]) & (o["entity_identifier"] == x["entity_identifier"])), F.lit(0))["owners"]
+    there = listed(contexts, "_cs").join(found, "filing_id", "left").select("filing_id", F.transform("_cs", lambda x: x.withField("owners", own(x))).alias("_cs"))
+    filed = dealt(facts).join(dealt(filings), "filing_id")
+    rows = with_parts(filed, there, listed(unit_rows(dealt(units)), "_us"), [*contexts.columns, "owners"], [*units.columns, *UNIT]).join(F.broadcast(mapping), "raw_qname", "left")
     c, mapped = F.col, F.col("canonical_name").isNotNull()
     issue = first_reason({
         "FINANCIAL_XBRL_PARSE_ERROR": c("dangling"),
@@ -56,8 +89,7 @@ def normalise_facts(facts: DataFrame, contexts: DataFrame, units: DataFrame, fil
     })
     day = lambda x: F.date_format(x, "yyyy-MM-dd")
     period = F.struct(day("instant").alias("instant"), day("period_end").alias("period_end"), day("period_start").alias("period_start"))
-    entity = {"entity_scheme": c("entity_scheme"), "entity_identifier": c("entity_identifier")}
-    place = entity | {"period": period, "dimensions": sorted_pairs(c("dimensions"), "axis", "member")}
+    place = {e: c(e) for e in entity} | {"period": period, "dimensions": sorted_pairs(c("dimensions"), "axis", "member")}
     same = place | {"raw_qname": c("raw_qname"), "unit_signature": c("unit_signature")}
     rows = rows.withColumns({
         "issue": issue, "mapping_status": F.when(mapped, "MAPPED").otherwise("UNMAPPED"), "quality_status": F.when(mapped, "VALID").otherwise("UNVERIFIED"), "statement_type": F.coalesce("statement_type", F.lit("OTHER")), "consolidation_scope": F.lit("UNKNOWN"),

@@ -58,12 +58,13 @@ _RAW = raw_sql(_LINES, _MAPPING)
 
 def _raw_facts(spark, d):
     k, lines = F.col("l_linenumber"), table(spark, d, "lineitem")
-    return lines.select(F.col("l_orderkey").alias("filing_id"), F.concat(F.lit("q"), k).alias("raw_qname"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("value"), F.when(F.col("l_tax") > 0.04, "0").alias("decimals"),
-                       F.concat(F.lit("c"), F.when(F.col("l_partkey") % 97 == 0, 9).otherwise(k % 3)).alias("context_id"), F.when(k % 4 != 0, F.concat(F.lit("u"), k % 4)).alias("unit_id")).distinct()
+    rows = lines.select(F.col("l_orderkey").alias("filing_id"), F.concat(F.lit("q"), k).alias("raw_qname"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("value"), F.when(F.col("l_tax") > 0.04, "0").alias("decimals"),
+                       F.concat(F.lit("c"), F.when(F.col("l_partkey") % 97 == 0, 9).otherwise(k % 3)).alias("context_id"), F.when(k % 4 != 0, F.concat(F.lit("u"), k % 4)).alias("unit_id"))
+    return normalise.dealt(rows).distinct()
 
 
 def normalised(spark, d, raw, mapping):
-    orders = table(spark, d, "orders")
+    orders = table(spark, d, "orders").repartition("o_orderkey")
     day = F.col("o_orderdate").cast("date")
     pair = lambda a, m: F.struct(F.lit(a).alias("axis"), F.col(m).alias("member"))
     none = F.array().cast("array<struct<axis:string,member:string>>")
