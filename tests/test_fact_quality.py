@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +102,17 @@ def test_no_filings_and_no_facts(spark):
 def test_rounding(spark):
     rows = spark.createDataFrame([("0",), ("-3",), ("2",), ("INF",), (None,), ("x",)], "d string")
     assert [None if r[0] is None else float(r[0]) for r in rows.select(quality.rounding(F.col("d"))).collect()] == [0.5, 500.0, 0.005, 0.0, 0.0, None]
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") + plan.count("Exchange shufflepartition")
+
+
+def test_facts_are_dealt_once_and_stored_nowhere(spark):
+    stored = set(Path(spark.conf.get("spark.checkpoint.dir")).iterdir())
+    filings = spark.createDataFrame([(f, DAY) for f in LISTED], "filing_id string, collected_at date")
+    found = quality.validate_facts(filings, spark.createDataFrame(CASES, FACT))
+    assert [exchanges(x) for x in found] == [2, 2, 2, 2]
+    assert [x.count() for x in found] == [len(CASES) - 1 - 3, 2, 15, len(LISTED)]
+    assert set(Path(spark.conf.get("spark.checkpoint.dir")).iterdir()) == stored

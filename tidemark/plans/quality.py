@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import quality
+from tidemark.operators import normalise, quality
 from tidemark.plans.further import normalised, raw_sql
 from tidemark.plans.registry import query, table
 
@@ -39,7 +39,7 @@ kept AS MATERIALIZED (SELECT r2.filing_id, r2.fact_id, CASE WHEN clash OR u.fact
 def _result(spark, d):
     k, q = F.col("l_linenumber"), F.col("l_quantity").cast("int")
     decimals = F.when(F.col("l_tax") > 0.06, "INF").when(F.col("l_tax") > 0.04, "-3").when(F.col("l_tax") > 0.02, "0")
-    raw = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("filing_id"), F.concat(F.lit("q"), k).alias("raw_qname"), ((q - q % 20) / 20 * 1000).cast("int").cast("string").alias("value"), decimals.alias("decimals"), F.when(F.col("l_orderkey") % 5 == 0, "c2").otherwise("c0").alias("context_id"), F.lit("u1").alias("unit_id")).distinct()
+    raw = normalise.dealt(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("filing_id"), F.concat(F.lit("q"), k).alias("raw_qname"), ((q - q % 20) / 20 * 1000).cast("int").cast("string").alias("value"), decimals.alias("decimals"), F.when(F.col("l_orderkey") % 5 == 0, "c2").otherwise("c0").alias("context_id"), F.lit("u1").alias("unit_id"))).distinct()
     key = F.col("o_orderkey")
     filings = table(spark, d, "orders").select(F.explode(F.when(key % 11 == 0, F.array(key, -key - 1)).otherwise(F.array(key))).alias("filing_id"), F.lit("1999-01-01").cast("date").alias("collected_at"))
     return quality.validate_facts(filings, normalised(spark, d, raw, _MAPPING))
@@ -53,16 +53,19 @@ def fact_quality_result(spark, d):
 
 @query(_FACTS + "SELECT filing_id, code, about, array_to_string(ids, ',') AS fact_ids FROM issue", "facts")
 def fact_quality_issues(spark, d):
-    return quality.issues_in_order(_result(spark, d).issues).select("filing_id", "code", "about", F.array_join("fact_ids", ",").alias("fact_ids"))
+    rows = _result(spark, d).issues.withColumn("fact_ids", F.transform("fact_ids", quality.id_bytes))
+    return quality.issues_in_order(rows).select("filing_id", "code", "about", F.array_join(F.transform("fact_ids", quality.id_text), ",").alias("fact_ids"))
 
 
 @query(_FACTS + """SELECT sha256(to_json({'fact_identity_hash': hash, 'fact_ids': ids, 'filing_id': filing_id::VARCHAR})) AS conflict_id, filing_id, hash AS fact_identity_hash, array_to_string(ids, ',') AS fact_ids, kind AS conflict_type, DATE '1999-01-01' AS detected_at FROM (
   SELECT filing_id, fact_identity_hash AS hash, ids, 'VALUE_MISMATCH' AS kind FROM g WHERE clash UNION ALL SELECT filing_id, hash, ids, 'CANONICAL_VALUE_MISMATCH' FROM a WHERE NOT equal)""", "facts")
 def fact_quality_conflicts(spark, d):
-    found = quality.conflicts_in_order(_result(spark, d).conflicts)
-    return found.select("conflict_id", "filing_id", "fact_identity_hash", F.array_join("competing_fact_ids", ",").alias("fact_ids"), "conflict_type", "detected_at")
+    found = _result(spark, d).conflicts.select(F.unhex("conflict_id").alias("id"), "filing_id", F.unhex("fact_identity_hash").alias("of"), F.transform("competing_fact_ids", quality.id_bytes).alias("ids"), "conflict_type", "detected_at")
+    hashed = lambda c: F.lower(F.hex(c))
+    return quality.in_hash_order(found, "id").select(hashed("id").alias("conflict_id"), "filing_id", hashed("of").alias("fact_identity_hash"), F.array_join(F.transform("ids", quality.id_text), ",").alias("fact_ids"), "conflict_type", "detected_at")
 
 
 @query(_FACTS + "SELECT filing_id, fact_id, quality_status FROM kept", "facts")
 def fact_quality_facts(spark, d):
-    return quality.facts_in_order(_result(spark, d).facts).select("filing_id", "fact_id", "quality_status")
+    rows = _result(spark, d).facts.select("filing_id", quality.id_bytes(F.col("fact_id")).alias("id"), "quality_status")
+    return quality.in_hash_order(rows, "id", "filing_id").select("filing_id", quality.id_text(F.col("id")).alias("fact_id"), "quality_status")
