@@ -116,3 +116,13 @@ def test_facts_are_dealt_once_and_stored_nowhere(spark):
     assert [exchanges(x) for x in found] == [2, 2, 2, 2]
     assert [x.count() for x in found] == [len(CASES) - 1 - 3, 2, 15, len(LISTED)]
     assert set(Path(spark.conf.get("spark.checkpoint.dir")).iterdir()) == stored
+
+
+def test_hashes_are_sorted_as_bytes(spark):
+    ids = spark.range(300).select(F.concat(F.lit("fact-"), F.sha2(F.col("id").cast("string"), 256)).alias("fact_id"), "id")
+    want = [r.fact_id for r in ids.orderBy("fact_id").collect()]
+    rows = ids.select(quality.id_bytes(F.col("fact_id")).alias("b"), "id")
+    got = quality.in_hash_order(rows, "b", "id")
+    assert [r[0] for r in got.select(quality.id_text(F.col("b"))).collect()] == want
+    # No pass over the rows to sample ranges, and every task has some.
+    assert "rangepartitioning" not in got._jdf.queryExecution().executedPlan().toString() and got.select(F.spark_partition_id()).distinct().count() == 4
