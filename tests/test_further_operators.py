@@ -203,6 +203,14 @@ def test_a_writer_that_dies_leaves_nothing(spark, tmp_path, monkeypatch):
     assert artifacts.manifest(spark, path).count() == 2
 
 
+def test_hashes_are_moved_once_and_as_bytes(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 1), ("b", None)], "g string, x int")
+    one, two = (tables.content_digest(rows, ["g"], ["x"], copies=c) for c in (False, True))
+    # Branches of a group meet once more; of rows there is one move, or two where copies are counted before.
+    assert [x._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for x in (one, two)] == [2, 3]
+    assert sorted(one.collect()) == sorted(two.collect()) and [(r.g, r.n) for r in one.orderBy("g").collect()] == [("a", 3), ("b", 2)]
+
+
 def test_an_attempt_counts_once(spark, tmp_path):
     log = str(tmp_path / "log")
     assert commits.committed(spark, log) == {}

@@ -12,7 +12,7 @@ from tidemark.operators.backfill import backfill, progress
 from tidemark.plans.registry import query, table
 from tidemark.plans.views import view
 from tidemark.sources import artifacts, responses
-from tidemark.sources.staging import new_path
+from tidemark.sources.staging import new_path, release, settle
 from tidemark.streaming import sinks
 
 _MONTHS = "SELECT strftime(trade_date, '%Y-%m') AS month, count(*) AS n, row_number() OVER (ORDER BY strftime(trade_date, '%Y-%m')) AS k FROM bars GROUP BY 1"
@@ -23,11 +23,18 @@ def _bars(spark, d):
     return view(spark, d, "bars").withColumn("month", F.date_format("trade_date", "yyyy-MM"))
 
 
+def _once(rows, name):
+    """rows that are read several times, computed once."""
+    out = settle(rows, name)
+    release(rows.sparkSession)
+    return out
+
+
 @query(f"+m AS ({_MONTHS}) SELECT month, CASE k % 7 {' '.join(f'''WHEN {k} THEN '{c}' ''' for k, c in _CASES.items())} END AS issue FROM m", "bars")
 def bars_artifacts_damaged(spark, d):
     """Of every seven months of stored bars, one has lost a row, one has a row too many, one has the rows of another month, one other content than its digest, and one no files; two are well."""
     path = new_path(spark, "damaged-artifacts")
-    artifacts.write_artifacts(_bars(spark, d), path, ["month"])
+    artifacts.write_artifacts(_once(_bars(spark, d), "bars"), path, ["month"])
     listed = artifacts.manifest(spark, path)
     place = listed.groupBy().agg(F.array_sort(F.collect_list("month")).alias("months"))
     k = F.array_position("months", F.col("month")) % 7
@@ -44,8 +51,8 @@ def bars_artifacts_damaged(spark, d):
 @query(f"+m AS ({_MONTHS}) SELECT month, n, NULL::VARCHAR AS issue FROM m", "bars")
 def bars_artifacts_after_crash(spark, d):
     """The writer dies after its rows and before its commit; then it runs again, and another writer commits the same content at the same time: every row is there once."""
-    bars, path, real = _bars(spark, d), new_path(spark, "crashed-artifacts"), artifacts.commit
-    lost = artifacts.content_digest(bars, ["month"], sorted(bars.columns))
+    bars, path, real = _once(_bars(spark, d), "bars"), new_path(spark, "crashed-artifacts"), artifacts.commit
+    lost = _once(artifacts.content_digest(bars, ["month"], sorted(bars.columns), copies=False), "lost")
     artifacts.write_rows(bars, lost, f"{path}/rows/attempt=a-dead", ["month"])
     artifacts.write_artifacts(bars, path, ["month"], attempt="first")
     other = artifacts.settle(lost.where("month >= '1995'"), "other-writer")
@@ -59,7 +66,7 @@ def bars_artifacts_after_crash(spark, d):
 @query("+p AS (SELECT code, count(*) AS n FROM bars GROUP BY 1) SELECT algorithm, code % 16 AS slice, sum(n)::BIGINT AS n, count(*) AS codes, NULL::VARCHAR AS issue FROM p, (VALUES ('total-return-v1'), ('total-return-v2')) a(algorithm) GROUP BY ALL", "bars", "actions")
 def return_artifacts(spark, d):
     """Total returns by algorithm version and slice of securities, stored in two calls of which the second holds both versions, validated and read back."""
-    series = returns.total_return(view(spark, d, "bars"), view(spark, d, "actions")).withColumn("slice", F.col("code") % 16)
+    series = _once(returns.total_return(view(spark, d, "bars"), view(spark, d, "actions")).withColumn("slice", F.col("code") % 16), "returns")
     path, by = new_path(spark, "return-artifacts"), ["algorithm", "slice"]
     first = series.withColumn("algorithm", F.lit("total-return-v1"))
     artifacts.write_artifacts(first, path, by)

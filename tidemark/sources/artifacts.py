@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.canonical import json_of_map, map_of_json
 from tidemark.functions.reasons import first_reason
 from tidemark.sources.commits import commit, committed
-from tidemark.sources.staging import settle
+from tidemark.sources.staging import release, settle
 from tidemark.sources.tables import content_digest
 
 
@@ -32,7 +32,7 @@ def stored_form(rows: DataFrame, maps: list[str]) -> DataFrame:
 def write_artifacts(rows: DataFrame, path: str, by: list[str], *, maps: tuple[str, ...] = (), group: str | None = None, same: tuple[str, ...] = (), mixed: str = "ARTIFACT_MIXED", attempt: str | None = None) -> DataFrame:
     """Store each group of rows (by: its partition columns) under its digest; gives by, n, digest of what this call has published.
 
-    Groups that are stored already with the same content are left alone. group, same: columns that all rows of a group must share; the error mixed is raised otherwise. No rows: ValueError.
+    rows are read twice, for their digests and to be written: rows that are dear to compute should be settled before. Groups that are stored already with the same content are left alone. group, same: columns that all rows of a group must share; the error mixed is raised otherwise. No rows: ValueError.
     attempt: a name under which the call publishes once, however often it is made (such as a batch of a stream)."""
     spark = rows.sparkSession
     if attempt is not None and attempt in committed(spark, f"{path}/commits"):
@@ -40,7 +40,8 @@ def write_artifacts(rows: DataFrame, path: str, by: list[str], *, maps: tuple[st
     if group and not mixed_groups(rows, group, list(same)).isEmpty():
         raise ValueError(mixed)
     stored = stored_form(rows, list(maps))
-    found = settle(content_digest(stored, by, sorted(stored.columns)), "digests")
+    found = settle(content_digest(stored, by, sorted(stored.columns), copies=False), "digests")
+    release(spark)
     if found.isEmpty():
         raise ValueError("ARTIFACT_EMPTY")
     # The digest is over the partition columns too, so it tells a group by itself.
@@ -61,6 +62,7 @@ def write_rows(stored: DataFrame, new: DataFrame, folder: str, by: list[str]) ->
     keyed = keyed.withColumns({f"p_{c}": F.concat(F.lit("v"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in by})
     # A group is one task's unless it is large: adaptive execution splits those and puts small ones together.
     keyed.hint("rebalance", "_key").sortWithinPartitions("_key").drop("_key").write.partitionBy(*[f"p_{c}" for c in by], "artifact").parquet(folder)
+    release(stored.sparkSession)
 
 
 def list_files(spark: SparkSession, new: DataFrame, folder: str, by: list[str], token: str) -> DataFrame:
@@ -101,7 +103,7 @@ def validate_artifacts(spark: SparkSession, path: str, by: list[str], *, listed:
     rows = listed_rows(spark, path, listed)
     parts = [f"p_{c}" for c in by]
     columns = sorted(c for c in rows.columns if c not in ("_claimed", *parts))
-    again = content_digest(rows, ["_claimed"], columns).select("_claimed", F.col("n").alias("_n"), F.col("digest").alias("_digest"))
+    again = content_digest(rows, ["_claimed"], columns, copies=False).select("_claimed", F.col("n").alias("_n"), F.col("digest").alias("_digest"))
     # A group has one value of each of its columns, and so have its rows.
     found = [F.min(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"_lo_{c}") for c in by] + [F.max(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"_hi_{c}") for c in by]
     met = listed.join(again, F.col("digest") == F.col("_claimed"), "left").drop("_claimed").join(rows.groupBy("_claimed").agg(*found), F.col("digest") == F.col("_claimed"), "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -57,6 +58,12 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of jobs that have ended. Spark deletes them once the driver has collected what refers to them, which it does for want of memory only; a job of many steps would keep those of all its steps on disk."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete settled tables whose last reader has ended, before their passing() block does. Other tables are left alone."""
     for path, df in ((vars(df).get("_settled_at"), df) for df in tables):

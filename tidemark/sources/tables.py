@@ -125,16 +125,21 @@ def digest_of(parts: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.collect_list(parts)), ","), 256)
 
 
-def content_digest(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+def content_digest(rows: DataFrame, by: list[str], columns: list[str], *, copies: bool = True) -> DataFrame:
     """by, n, digest: a digest of each group's rows that doesn't depend on their order.
 
     It is a tree. Rows are hashed, and equal ones counted; hashes that share their first eight digits make a leaf, leaves that share four a branch, and the branches of a group its digest, each of them the hash of
     its sorted parts. So the rows of one group are dealt over 65,536 branches, no list is longer than that or a leaf of some thousand rows of 10**13, and what reaches the group's own task are its branches."""
-    hashed = rows.select(*by, row_hash(columns).alias("_h")).groupBy(*by, "_h").agg(F.count("*").alias("_c"))
-    dealt = hashed.select(*by, F.substring("_h", 1, 4).alias("_branch"), F.substring("_h", 1, 8).alias("_leaf"), "_h", "_c").repartition(*by, "_branch")
+    # Hashes travel as their 32 bytes; as text, with branch and leaf beside it, they were most of a job's disk.
+    hashed = rows.select(*by, F.unhex(row_hash(columns)).alias("_b"), F.lit(1).cast("long").alias("_n"))
+    if copies:
+        hashed = hashed.groupBy(*by, "_b").agg(F.sum("_n").alias("_n"))
+    dealt = hashed.withColumn("_two", F.substring("_b", 1, 2)).repartition(*by, "_two")
+    dealt = dealt.groupBy(*by, "_two", "_b").agg(F.sum("_n").alias("_c")).withColumn("_h", F.lower(F.hex("_b")))
     # What is dealt by branch is together by leaf too.
-    leaves = dealt.groupBy(*by, "_branch", "_leaf").agg(F.sum("_c").alias("_c"), digest_of(F.concat_ws(":", "_h", "_c")).alias("_d"))
-    branches = leaves.groupBy(*by, "_branch").agg(F.sum("_c").alias("_c"), digest_of(F.concat_ws(":", "_leaf", "_d")).alias("_d"))
+    leaves = dealt.groupBy(*by, "_two", F.substring("_h", 1, 8).alias("_leaf")).agg(F.sum("_c").alias("_c"), digest_of(F.concat_ws(":", "_h", "_c")).alias("_d"))
+    leaves = leaves.withColumn("_branch", F.substring("_leaf", 1, 4))
+    branches = leaves.groupBy(*by, "_two", "_branch").agg(F.sum("_c").alias("_c"), digest_of(F.concat_ws(":", "_leaf", "_d")).alias("_d"))
     return branches.groupBy(*by).agg(F.sum("_c").alias("n"), digest_of(F.concat_ws(":", "_branch", "_d")).alias("digest"))
 
 
