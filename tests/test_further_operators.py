@@ -152,6 +152,29 @@ def test_prefixes_mean_what_they_mean_there():
         instances.parse_instance(b'<xbrl xmlns="http://www.xbrl.org/2003/instance"><a xmlns:z="urn:z"/><unit id="u"><measure>z:x</measure></unit></xbrl>')
 
 
+def test_scopes_are_told_only_where_they_differ(monkeypatch):
+    inner = INSTANCE.replace(b"<measure>c:CNY</measure></unit>", b'<measure xmlns:c="urn:other">c:CNY</measure></unit>')
+    assert instances.parse_instance(inner)["units"][0]["over"] == ["{urn:other}CNY"]
+    wide = INSTANCE.decode().replace("?>", ' encoding="UTF-16"?>', 1).encode("utf-16")
+    want = instances.parse_instance(INSTANCE)
+    assert instances.parse_instance(wide) == want and [u["over"] for u in want["units"]] == [[CNY], [CNY]]
+
+    def slow(*_, **__):
+        raise AssertionError
+
+    monkeypatch.setattr(instances.ElementTree, "iterparse", slow)
+    assert instances.parse_instance(INSTANCE) == want
+
+
+def test_codes_of_files_are_found_in_one_pass(spark):
+    files = spark.createDataFrame([("a", bytearray(INSTANCE)), ("b", bytearray(b"<x")), ("c", bytearray(INSTANCE.replace(b">1000<", b">none<"))), ("d", bytearray(b"<!DOCTYPE x><x/>")), ("d", bytearray(b"<x"))], "path string, content binary")
+    rows = instances.read_instances(files)
+    got = instances.instance_codes(rows)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = {"a": [], "b": ["FINANCIAL_XBRL_PARSE_ERROR"], "c": ["FINANCIAL_XBRL_PARSE_ERROR"], "d": ["FINANCIAL_XBRL_PARSE_ERROR", "FINANCIAL_XML_UNSAFE"]}
+    assert {r.path: r.codes for r in got.collect()} == want == {r.path: r.codes for r in instances.diagnostics(rows, instances.facts_of(rows)).collect()}
+
+
 def test_document_types_are_refused(spark):
     bad = '<?xml version="1.0" encoding="%s"?><!DOCTYPE xbrl [<!ENTITY a "77">]><xbrl xmlns="http://www.xbrl.org/2003/instance">&a;</xbrl>'
     files = [("a", bytearray((bad % "UTF-8").encode())), ("b", bytearray((bad % "UTF-16").encode("utf-16"))), ("c", bytearray(INSTANCE)), ("d", bytearray(b"<!DOCTYPE x SYSTEM 'file:///etc/passwd'><x/>")), ("e", bytearray(b""))]

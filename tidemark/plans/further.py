@@ -15,7 +15,7 @@ from tidemark.plans.catalogue import _FOLD, _SCREEN, _label_text, _score_sql, _s
 from tidemark.plans.registry import AS_OF, KNOWN_AT, query, table
 from tidemark.plans.views import view
 from tidemark.sources import artifacts, instances, labelled_text, tables
-from tidemark.sources.staging import new_path
+from tidemark.sources.staging import new_path, settle
 from tidemark.streaming.windows import event_sessions, event_windows, stream_once
 
 CNY, SHARE = normalise.CURRENCIES + "CNY", normalise.SHARES
@@ -164,7 +164,12 @@ def filings_finalised(spark, d):
 # --- Instances, attachments and archives -------------------------------------------------------------------------------------
 
 
-def _instances(spark, d):
+def _orders(spark, d):
+    """Orders dealt over all tasks: a file of some megabytes is one task's else, and with it the parsing of a million instances."""
+    return table(spark, d, "orders").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
+
+
+def _files(spark, d):
     """A tagged instance of each order as XML."""
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     head = ('<?xml version="1.0"?><x:xbrl xmlns:x="http://www.xbrl.org/2003/instance" xmlns:i="http://www.xbrl.org/2003/iso4217" xmlns:d="http://xbrl.org/2006/xbrldi" xmlns:t="urn:t" xmlns:n="http://www.w3.org/2001/XMLSchema-instance">')
@@ -172,7 +177,11 @@ def _instances(spark, d):
     xml = F.concat(F.lit(head), F.lit('<x:context id="a">'), entity, F.lit("<x:period><x:instant>"), day, F.lit('</x:instant></x:period><x:scenario><d:explicitMember dimension="t:axis">t:'), F.col("o_orderstatus"), F.lit('</d:explicitMember></x:scenario></x:context><x:context id="b">'), entity, F.lit("<x:period><x:startDate>1990-01-01</x:startDate><x:endDate>"), day,
                    F.lit('</x:endDate></x:period></x:context><x:unit id="u"><x:measure>i:CNY</x:measure></x:unit><t:Assets contextRef="a" unitRef="u" decimals="0">'), F.round("o_totalprice").cast("long"), F.lit('</t:Assets><t:Tuple><t:Revenue contextRef="b" unitRef="u">'), F.col("o_orderkey"), F.lit("</t:Revenue></t:Tuple>"),
                    F.when(F.col("o_orderkey") % 3 == 0, F.lit('<t:Assets contextRef="a" unitRef="u" n:nil="true"/>')).otherwise(""), F.lit('<t:Note contextRef="b">text</t:Note>'), F.when(F.col("o_orderkey") % 101 == 0, "").otherwise(F.lit("</x:xbrl>")))
-    return instances.read_instances(table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.encode(xml, "UTF-8").alias("content")))
+    return _orders(spark, d).select(F.col("o_orderkey").cast("string").alias("path"), F.encode(xml, "UTF-8").alias("content"))
+
+
+def _instances(spark, d):
+    return instances.read_instances(_files(spark, d))
 
 
 @query("""SELECT o_orderkey::VARCHAR AS path, k AS context_id, o_custkey::VARCHAR AS entity_identifier, CASE WHEN k = 'b' THEN DATE '1990-01-01' END AS period_start, CASE WHEN k = 'b' THEN o_orderdate::DATE END AS period_end, CASE WHEN k = 'a' THEN o_orderdate::DATE END AS instant,
@@ -185,7 +194,9 @@ def xbrl_contexts(spark, d):
 @query("""SELECT o_orderkey::VARCHAR AS path, q AS raw_qname, CASE WHEN q = '{urn:t}Assets' THEN round(o_totalprice)::BIGINT::VARCHAR ELSE o_orderkey::VARCHAR END AS value, CASE WHEN q = '{urn:t}Assets' THEN '0' END AS decimals, CASE WHEN q = '{urn:t}Assets' THEN 'a' ELSE 'b' END AS context_id, 'u' AS unit_id
   FROM orders, unnest(['{urn:t}Assets', '{urn:t}Revenue']) u(q) WHERE o_orderkey % 101 <> 0""")
 def xbrl_facts(spark, d):
-    return normalise.in_order(instances.facts_of(_instances(spark, d)).where("issue IS NULL")).select("path", "raw_qname", "value", "decimals", "context_id", "unit_id")
+    # Settled, for a sort reads its rows twice and they are parsed once; by path, for all files have the same two names.
+    rows = settle(instances.facts_of(_instances(spark, d)).where("issue IS NULL").select("path", "raw_qname", "value", "decimals", "context_id", "unit_id"), "instance-facts")
+    return normalise.in_order(rows, "path").select("path", "raw_qname", "value", "decimals", "context_id", "unit_id")
 
 
 @query("SELECT CASE WHEN o_orderkey % 101 = 0 THEN 'FINANCIAL_XBRL_PARSE_ERROR' END AS issue, count(*) AS files, sum(CASE WHEN o_orderkey % 101 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS nil_facts, sum(CASE WHEN o_orderkey % 101 <> 0 THEN 1 END)::BIGINT AS text_facts FROM orders GROUP BY 1")
@@ -196,11 +207,10 @@ def xbrl_diagnostics(spark, d):
 @query("SELECT CASE WHEN o_orderkey < 0 THEN 'unsafe-' ELSE '' END || o_orderkey AS path, CASE WHEN o_orderkey < 0 THEN 'FINANCIAL_XML_UNSAFE' WHEN o_orderkey % 101 = 0 THEN 'FINANCIAL_XBRL_PARSE_ERROR' ELSE '' END AS codes FROM (SELECT o_orderkey FROM orders UNION ALL SELECT -o_orderkey - 1 FROM orders WHERE o_orderkey % 13 = 0)")
 def instance_codes(spark, d):
     """The diagnostic codes of every instance; some more have a document type with an entity."""
-    key = table(spark, d, "orders").where("o_orderkey % 13 = 0").select((-F.col("o_orderkey") - 1).alias("k"))
+    key = _orders(spark, d).where("o_orderkey % 13 = 0").select((-F.col("o_orderkey") - 1).alias("k"))
     more = key.select(F.concat(F.lit("unsafe-"), "k").alias("path"), F.encode(F.lit('<?xml version="1.0"?><!DOCTYPE x [<!ENTITY a "77">]><x>&a;</x>'), "UTF-8").alias("content"))
-    found = _instances(spark, d)
-    found = found.withColumn("path", F.col("path").cast("string")).unionByName(instances.read_instances(more))
-    return instances.diagnostics(found, instances.facts_of(found)).select("path", F.array_join("codes", ",").alias("codes"))
+    found = instances.read_instances(_files(spark, d).union(more))
+    return instances.instance_codes(found).select("path", F.array_join("codes", ",").alias("codes"))
 
 
 @query("""SELECT page_id, CASE WHEN page_id % 6 = 5 OR (page_id % 6 = 4 AND page_id % 2 = 0) THEN 'FINANCIAL_ATTACHMENT_TYPE_INVALID' WHEN regexp_matches(html, '^[ \\t\\r\\n]*<') AND regexp_matches(html, '(?i)<!(doctype|entity)') THEN 'FINANCIAL_XML_UNSAFE' WHEN NOT regexp_matches(html, '^[ \\t\\r\\n]*<') THEN 'FINANCIAL_ATTACHMENT_TYPE_INVALID' END AS reason FROM pages""")

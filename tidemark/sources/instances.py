@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 from xml.parsers import expat
 
@@ -51,8 +51,9 @@ class UnsafeXml(ValueError):
     """A document type, and with it entities."""
 
 
-def refuse_types(content: bytes) -> None:
-    """UnsafeXml for a document type declaration, in whatever encoding; nothing behind it is read, so no entity is expanded."""
+def refuse_types(content: bytes) -> dict[str, str]:
+    """UnsafeXml for a document type declaration, in whatever encoding; nothing behind it is read, so no entity is expanded. Gives the attributes of the root element as they are written."""
+    found: dict[str, str] = {}
 
     class Begun(Exception):
         pass
@@ -60,23 +61,30 @@ def refuse_types(content: bytes) -> None:
     def unsafe(*_):
         raise UnsafeXml
 
-    def begun(*_):
+    def begun(_, attributes):
+        found.update(attributes)
         raise Begun
 
     parser = expat.ParserCreate()
     parser.StartDoctypeDeclHandler, parser.StartElementHandler = unsafe, begun
     with contextlib.suppress(Begun, expat.ExpatError):
         parser.Parse(content, True)
+    return found
 
 
 #: Elements whose text or attributes hold names with prefixes.
 NAMED = {XBRLI + "measure", DIMENSION}
+XML_PREFIX = ("xml", "http://www.w3.org/XML/1998/namespace")
 
 
-def scoped_tree(content: bytes) -> tuple[ElementTree.Element, dict]:
-    """The root, and of each element in NAMED what the prefixes mean there: a prefix may be bound again further in."""
-    refuse_types(content)
-    bound, scopes, root = [("xml", "http://www.w3.org/XML/1998/namespace")], {}, None
+def scoped_tree(content: bytes) -> tuple[ElementTree.Element, Callable[[ElementTree.Element], dict]]:
+    """The root, and a function from an element in NAMED to what the prefixes mean there: a prefix may be bound again further in."""
+    root_names = {k[6:]: v for k, v in refuse_types(content).items() if k == "xmlns" or k.startswith("xmlns:")}
+    if content.count(b"xmlns") == len(root_names) and b"\0" not in content:
+        # Nothing binds a prefix behind the root's own tag, as in most files, and the tree is built without telling every scope. Encodings with zero bytes could hide it.
+        everywhere = dict([XML_PREFIX]) | root_names
+        return ElementTree.fromstring(content), lambda _: everywhere
+    bound, scopes, root = [XML_PREFIX], {}, None
     for event, x in ElementTree.iterparse(io.BytesIO(content), events=("start-ns", "end-ns", "start")):
         if event == "start-ns":
             bound.append(x)
@@ -86,34 +94,46 @@ def scoped_tree(content: bytes) -> tuple[ElementTree.Element, dict]:
             root = x if root is None else root
             if x.tag in NAMED:
                 scopes[x] = dict(bound)
-    return root, scopes
+    return root, scopes.__getitem__
+
+
+def _text(e: ElementTree.Element | None, path: str) -> str | None:
+    return (found.text or "").strip() if e is not None and (found := e.find(path)) is not None else None
+
+
+def _context(c: ElementTree.Element, scope: Callable[[ElementTree.Element], dict]) -> dict:
+    entity, period = c.find(f"{XBRLI}entity/{XBRLI}identifier"), c.find(XBRLI + "period")
+    start, end, instant = (_text(period, XBRLI + n) for n in ("startDate", "endDate", "instant"))
+    if entity is None or not (instant or start and end) or next(c.iter(TYPED), None) is not None:
+        raise ValueError("context")
+    members = sorted((_clark(m.get("dimension"), scope(m)), _clark(m.text, scope(m))) for m in c.iter(DIMENSION))
+    return {"context_id": c.get("id"), "entity_scheme": entity.get("scheme"), "entity_identifier": (entity.text or "").strip(), "period_start": start, "period_end": end, "instant": instant, "dimensions": [{"axis": a, "member": m} for a, m in members]}
+
+
+def _unit(u: ElementTree.Element, scope: Callable[[ElementTree.Element], dict]) -> dict:
+    parts = [u.iterfind(XBRLI + "measure"), []] if u.find(XBRLI + "divide") is None else [u.iterfind(f".//{XBRLI}{n}/{XBRLI}measure") for n in ("unitNumerator", "unitDenominator")]
+    over, under = (sorted(_clark(m.text, scope(m)) for m in p) for p in parts)
+    return {"unit_id": u.get("id"), "over": over, "under": under}
 
 
 def parse_instance(content: bytes) -> dict:
     """contexts, units, numeric facts (in tuples too), and counts of nil and text facts. Raises ValueError or ParseError on what can't be read, UnsafeXml on a document type."""
-    root, scopes = scoped_tree(content)
-    text = lambda e, path: (found.text or "").strip() if e is not None and (found := e.find(path)) is not None else None
+    root, scope = scoped_tree(content)
     contexts, units, facts, nil, prose = [], [], [], 0, 0
-    for c in root.iter(XBRLI + "context"):
-        entity, period = c.find(f"{XBRLI}entity/{XBRLI}identifier"), c.find(XBRLI + "period")
-        start, end, instant = (text(period, XBRLI + n) for n in ("startDate", "endDate", "instant"))
-        if entity is None or not (instant or start and end) or c.find(f".//{TYPED}") is not None:
-            raise ValueError("context")
-        members = sorted((_clark(m.get("dimension"), scopes[m]), _clark(m.text, scopes[m])) for m in c.iter(DIMENSION))
-        contexts.append({"context_id": c.get("id"), "entity_scheme": entity.get("scheme"), "entity_identifier": (entity.text or "").strip(), "period_start": start, "period_end": end, "instant": instant, "dimensions": [{"axis": a, "member": m} for a, m in members]})
-    for u in root.iter(XBRLI + "unit"):
-        parts = [u.iterfind(XBRLI + "measure"), []] if u.find(XBRLI + "divide") is None else [u.iterfind(f".//{XBRLI}{n}/{XBRLI}measure") for n in ("unitNumerator", "unitDenominator")]
-        over, under = (sorted(_clark(m.text, scopes[m]) for m in p) for p in parts)
-        units.append({"unit_id": u.get("id"), "over": over, "under": under})
-    for f in root.iter():
-        if f.get("contextRef") is None:
+    context, unit = XBRLI + "context", XBRLI + "unit"
+    for x in root.iter():
+        if x.tag == context:
+            contexts.append(_context(x, scope))
+        elif x.tag == unit:
+            units.append(_unit(x, scope))
+        if (of := x.get("contextRef")) is None:
             continue
-        if f.get(NIL) in ("true", "1"):
+        if x.get(NIL) in ("true", "1"):
             nil += 1
-        elif f.get("unitRef") is None:
+        elif x.get("unitRef") is None:
             prose += 1
         else:
-            facts.append({"raw_qname": f.tag, "fact_name": f.tag.rpartition("}")[2], "value": (f.text or "").strip(), "decimals": f.get("decimals"), "context_id": f.get("contextRef"), "unit_id": f.get("unitRef")})
+            facts.append({"raw_qname": x.tag, "fact_name": x.tag.rpartition("}")[2], "value": (x.text or "").strip(), "decimals": x.get("decimals"), "context_id": of, "unit_id": x.get("unitRef")})
     return {"contexts": contexts, "units": units, "facts": facts, "nil_facts": nil, "text_facts": prose}
 
 
@@ -157,6 +177,13 @@ def facts_of(instances: DataFrame, key: str = "path") -> DataFrame:
     return rows.withColumn("issue", F.when(F.col("value").try_cast("decimal(38,10)").isNull(), "FINANCIAL_XBRL_PARSE_ERROR"))
 
 
+def instance_codes(instances: DataFrame, key: str = "path") -> DataFrame:
+    """key, codes: the different issues of a file and of its facts, sorted; empty where all is well. Files are parsed once: a file's codes are taken from its own row, and rows of one key meet afterwards."""
+    wrong = F.exists("facts", lambda f: f["value"].try_cast("decimal(38,10)").isNull())
+    own = F.array_compact(F.array("issue", F.when(wrong, "FINANCIAL_XBRL_PARSE_ERROR")))
+    return instances.select(key, F.explode_outer(own).alias("_code")).groupBy(key).agg(F.array_sort(F.collect_set("_code")).alias("codes"))
+
+
 def diagnostics(instances: DataFrame, facts: DataFrame, key: str = "path") -> DataFrame:
     """key, codes: the different issues of a file and of its facts, sorted; empty where all is well."""
     found = facts.where("issue IS NOT NULL").select(key, F.col("issue").alias("_code")).distinct()
