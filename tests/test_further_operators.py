@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import canonical
 from tidemark.operators import backfill, filings, market, metrics, normalise, reports, returns, scoring, state
+from tidemark.plans import warehouse
 from tidemark.sources import artifacts, commits, instances, responses, staging, tables
 from tidemark.streaming import sinks
 from tidemark.streaming.windows import event_sessions, stream_once
@@ -205,6 +206,17 @@ def test_responses_of_a_provider(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(requested" in plan
 
 
+def test_responses_come_in_pages(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(warehouse, "_PAGE", 50)
+    whole, paged = (warehouse._responses(spark, d, p).where("issue IS NULL") for p in (False, True))
+    size = lambda x: F.max(F.size("items")).alias(x)
+    # No file grows with the number of codes, and together they have the same rows.
+    assert 2 * paged.agg(size("n")).first().n < whole.agg(size("n")).first().n and paged.count() > 2 * whole.count()
+    one, two = (responses.daily_bars(x).drop("file") for x in (whole, paged))
+    assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+
+
 def test_a_writer_that_dies_leaves_nothing(spark, tmp_path, monkeypatch):
     """The case that doubled rows: rows are written, the job dies before they count, and the call is made again."""
     path, rows = str(tmp_path / "a"), spark.createDataFrame([(1, "x"), (2, "x"), (3, None)], "code int, day string")

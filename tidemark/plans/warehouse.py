@@ -134,27 +134,32 @@ def bars_backfill(spark, d):
 _FIELDS = list(responses.DAILY_FIELDS)
 
 
-def _responses(spark, d):
-    """A month's bars as the provider's response to a request for its first day, in every third month with the fields in another order; in July a second file has a field too many and in August one too few, in September one is no JSON."""
+#: Codes of a page: some 6,000 bars of a month, as many rows as the provider gives at once.
+_PAGE = 16_000
+
+
+def _responses(spark, d, paged=False):
+    """A month's bars as the provider's response to a request for its first day (paged: in responses of some 6,000 rows, so that a file doesn't grow with the number of codes), in every third month with the fields in another order; in July a second file has a field too many and in August one too few, in September one is no JSON."""
     path, day = new_path(spark, "responses"), F.trunc("trade_date", "month")
     number = [F.col(c).cast("string") for c in ("open", "high", "low", "close", "open", "volume", "amount")]
     cells = F.array(F.format_string('"%s.SH"', "code"), F.format_string('"%s"', F.date_format(day, "yyyyMMdd")), *number)
-    rows = view(spark, d, "bars").select(F.date_format(day, "yyyyMMdd").alias("day"), F.month(day).alias("m"), cells.alias("cells"))
+    page = F.floor(F.col("code") / _PAGE) if paged else F.lit(0)
+    rows = view(spark, d, "bars").select(F.date_format(day, "yyyyMMdd").alias("day"), F.month(day).alias("m"), page.alias("page"), cells.alias("cells"))
     rows = rows.withColumn("cells", F.when(F.col("m") % 3 == 0, F.reverse("cells")).otherwise(F.col("cells")))
-    items = rows.groupBy("day", "m").agg(F.array_join(F.collect_list(F.concat(F.lit("["), F.array_join("cells", ","), F.lit("]"))), ",").alias("items"))
+    items = rows.groupBy("day", "m", "page").agg(F.array_join(F.collect_list(F.concat(F.lit("["), F.array_join("cells", ","), F.lit("]"))), ",").alias("items"))
     names = lambda fs: F.lit(",".join(f'"{f}"' for f in fs))
     body = lambda fs, rows: F.concat(F.lit('{"code":0,"data":{"fields":['), fs, F.lit('],"items":['), rows, F.lit("]}}"))
-    good = items.select("day", body(F.when(F.col("m") % 3 == 0, names(_FIELDS[::-1])).otherwise(names(_FIELDS)), F.col("items")).alias("value"))
+    good = items.select("day", "page", body(F.when(F.col("m") % 3 == 0, names(_FIELDS[::-1])).otherwise(names(_FIELDS)), F.col("items")).alias("value"))
     odd = F.when(F.col("m") == 7, body(names([*_FIELDS, "extra"]), F.lit(""))).when(F.col("m") == 8, body(names(_FIELDS[:-1]), F.lit(""))).when(F.col("m") == 9, F.lit("{"))
-    more = items.select("day", odd.alias("value")).where("value IS NOT NULL")
+    more = rows.select("day", "m").distinct().select("day", F.lit(0).alias("page"), odd.alias("value")).where("value IS NOT NULL")
     for part in (good, more):
-        part.select(F.concat(F.lit("d"), "day").alias("requested"), "value").repartition("requested").write.mode("append").option("maxRecordsPerFile", 1).partitionBy("requested").text(path)
+        part.repartition("day", "page").select(F.concat(F.lit("d"), "day").alias("requested"), "value").write.mode("append").option("maxRecordsPerFile", 1).partitionBy("requested").text(path)
     return responses.judge_responses(responses.landed(spark, path))
 
 
 @query("SELECT strftime(trade_date, '%Y%m') || '01' AS requested, code || '.SH' AS ts_code, open, high, low, close, volume::DOUBLE AS vol, amount, NULL::VARCHAR AS issue FROM bars", "bars")
 def provider_bars(spark, d):
-    rows = responses.daily_bars(_responses(spark, d))
+    rows = responses.daily_bars(_responses(spark, d, paged=True))
     return rows.select("requested", "ts_code", *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "vol", "amount")], "issue")
 
 
