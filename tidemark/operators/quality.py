@@ -1,7 +1,7 @@
 """The quality of a filing's facts, from normalised facts to what is kept, what conflicts, why, and the filing's status.
 
 Each step works on what the step before it has left: facts of one identity, raw names that mean one canonical fact, facts without a mapping, the balance equation of a context, the status.
-Every step is a window over the facts of a filing's identity, canonical fact or context. Facts are dealt by filing once and nothing is stored between the steps: hashes make most of a fact's bytes, and moved or stored at each step they were ninety times the input. So one filing is one task's, sorted there
+Every step is a window over the facts of a filing's identity, canonical fact or context. Facts are dealt by filing once and nothing is stored between the steps: hashes make most of a fact's bytes, and moved and stored at each step they took fifty times the disk. So one filing is one task's, sorted there
 and spilled; the lists of fact ids that issues carry are the result asked for."""
 
 from __future__ import annotations
